@@ -1,40 +1,56 @@
 """Sales measures and ratios.
 
-Net sales are kept as two running sums, what was sold and what came back, until the
-last step: each can be added up again at a coarser grain, and multiplied by the number
-of matches of a later join, without changing the result.
+Amounts are added up as whole minor units (cents) in 64-bit integers: exact in any
+order, and far cheaper than wide decimals; a sum too large raises an error.
+
+Net sales stay two running sums, what was sold and what came back, until the last step.
+Both can be added up again at a coarser grain, and multiplied by the number of matches
+of a later join, without changing the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+ALL_SALES = ["all_sold", "all_returned"]
+MEMBER_SALES = ["member_sold", "member_returned"]
 
 
-def sold(where: Column | None = None) -> Column:
-    """Amount of a line that sells something, else 0."""
-    return _amount(F.col("sales_qty") > 0, F.col("order_rrp_amt"), where)
+@dataclass(frozen=True)
+class Money:
+    """Converts amounts with ``scale`` decimals to minor units and back."""
 
+    scale: int = 2
 
-def returned(where: Column | None = None) -> Column:
-    """Amount of a line that takes something back, else 0."""
-    return _amount(F.col("sales_qty") < 0, F.abs("order_rrp_amt"), where)
+    @classmethod
+    def of(cls, lines: DataFrame, column: str = "order_rrp_amt") -> Money:
+        kind = lines.schema[column].dataType
+        return cls(kind.scale) if isinstance(kind, DecimalType) else cls()
 
+    def units(self, amount: Column) -> Column:
+        exact = amount.cast(DecimalType(18, self.scale))
+        return (exact * F.lit(10**self.scale)).cast("bigint")
 
-def _amount(sign: Column, amount: Column, where: Column | None) -> Column:
-    condition = sign if where is None else sign & where
-    return F.when(condition, amount).otherwise(F.lit(0))
+    def amount(self, units: Column) -> Column:
+        return units.cast("decimal(38,0)") / F.lit(10**self.scale)
 
+    def sums(self, *, members_only: bool = False) -> list[Column]:
+        """Aggregates over lines: what was sold and what came back, in minor units."""
+        names = MEMBER_SALES if members_only else ALL_SALES
+        wanted = F.col("is_member_order") if members_only else F.lit(True)
+        quantity, units = F.col("sales_qty"), self.units(F.col("order_rrp_amt"))
+        sold = F.when((quantity > 0) & wanted, units).otherwise(0)
+        returned = F.when((quantity < 0) & wanted, F.abs(units)).otherwise(0)
+        return [F.sum(sold).alias(names[0]), F.sum(returned).alias(names[1])]
 
-def sales_sums(*, members_only: bool) -> list[Column]:
-    """Aggregates over lines: all sales, or only those of member orders."""
-    if members_only:
-        member = F.col("is_member_order")
-        return [
-            F.sum(sold(member)).alias("member_sold"),
-            F.sum(returned(member)).alias("member_returned"),
-        ]
-    return [F.sum(sold()).alias("all_sold"), F.sum(returned()).alias("all_returned")]
+    def net(self, names: list[str]) -> Column:
+        """Net amount from the sums of :meth:`sums`, in a last aggregation."""
+        sold, returned = names
+        return self.amount(F.sum(sold) - F.sum(returned))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

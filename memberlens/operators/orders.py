@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memberlens.functions.keys import SPREAD, keyed, lookup, spread_nulls, text_key
 from memberlens.functions.labels import DOUYIN, DOUYIN_B2B, LCS, TMALL
-from memberlens.functions.measures import sales_sums
+from memberlens.functions.measures import ALL_SALES, Money
 
 # Fixed values of the order table.
 ALL_CHANNELS = (LCS, TMALL, DOUYIN, DOUYIN_B2B)
@@ -117,9 +117,12 @@ def lcs_buyers(order_line: DataFrame, crm_map: DataFrame, as_of: date) -> DataFr
 
 
 def raw_sales_by_year(order_line: DataFrame, as_of: date, channel: str) -> DataFrame:
-    """Net-sales parts of a channel over all lines, equal ones included."""
+    """Net sales of a channel over all lines, equal ones included."""
+    money = Money.of(order_line)
     return (
         order_line.filter(counts_as_order(as_of, [channel]))
         .groupBy(F.year("order_paid_date").alias("transaction_year"))
-        .agg(*sales_sums(members_only=False))
+        .agg(*money.sums())
+        .groupBy("transaction_year")
+        .agg(money.net(ALL_SALES).alias("total_sales"))
     )

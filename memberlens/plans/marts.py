@@ -31,12 +31,9 @@ class Mart:
             clock["as_of"] = as_of or date.today()
         if self.takes_load_time:
             clock["load_time"] = load_time or datetime.now().replace(microsecond=0)
-        frames = {}
-        for role in self.inputs:
-            frame = getattr(tables, role)
-            if frame is None:
-                raise ValueError(f"{self.table} needs the input '{role}'")
-            frames["log" if role == "visit_log" else role] = frame
+        frames = tables.pick(*self.inputs)
+        if "visit_log" in frames:
+            frames["log"] = frames.pop("visit_log")
         return self.build(**frames, **clock)
 
 

@@ -2,6 +2,10 @@
 
 Sums are not safe against joins that repeat rows, so every lookup that can repeat a
 line brings the number of repeats along, and the sums are multiplied by it.
+
+Members and orders are distinct counts of different things. Each row is handed to the
+member and to the order it belongs to, so that one shuffle by ``(kind, key)`` settles
+both counts and the input is read once.
 """
 
 from __future__ import annotations
@@ -12,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.functions.keys import (
-    SPREAD,
     int_key,
     int_text_key,
     keyed,
@@ -21,7 +24,13 @@ from memberlens.functions.keys import (
     text_key,
 )
 from memberlens.functions.labels import BRANDWMP, LCS, OMNI, platform_label
-from memberlens.functions.measures import ratio, sales_sums, zero_to_null
+from memberlens.functions.measures import (
+    ALL_SALES,
+    MEMBER_SALES,
+    Money,
+    ratio,
+    zero_to_null,
+)
 from memberlens.operators.contacts import adding_years, still_added
 from memberlens.operators.orders import (
     ALL_CHANNELS,
@@ -34,28 +43,52 @@ from memberlens.operators.orders import (
 ASSISTANT_PAYMENT = "WOS企微小程序-新场景"
 ORGANIC = "Organic"
 
-EFFECTIVE_MEMBER_ORDER = "effective_member_order"
+MEMBER = "member"
+ORDER = "order"
+EFFECTIVE = "effective_member_order"
+
+
+def _any(condition: Column | str) -> Column:
+    """Whether any row of the group meets the condition; unknown counts as no."""
+    condition = F.col(condition) if isinstance(condition, str) else condition
+    return F.max(F.coalesce(condition, F.lit(False)))
 
 
 def _effective_member_order() -> Column:
-    line = F.col("is_member_order") & F.col("if_eff_order_tag")
-    return F.max(F.coalesce(line, F.lit(False))).alias(EFFECTIVE_MEMBER_ORDER)
+    return _any(F.col("is_member_order") & F.col("if_eff_order_tag")).alias(EFFECTIVE)
+
 
+def _by_member_and_order(facts: DataFrame, member: str, order: str, sums: list[str]) -> DataFrame:
+    """Each fact once for its member, with the sums, and once for its order, without.
 
-def _any(condition: Column, name: str) -> Column:
-    return F.max(F.coalesce(condition, F.lit(False))).alias(name)
+    Facts without an effective member order count for no order.
+    """
+    nothing = F.lit(None).cast("bigint")
+
+    def share(kind: str, key: str, with_sums: bool) -> Column:
+        amounts = [(F.col(s) if with_sums else nothing).alias(s) for s in sums]
+        return F.struct(F.lit(kind).alias("kind"), text_key(key).alias("key"), *amounts)
 
+    shares = F.array_compact(
+        F.array(share(MEMBER, member, True), F.when(F.col(EFFECTIVE), share(ORDER, order, False)))
+    )
+    others = [c for c in facts.columns if c not in [member, order, *sums]]
+    return facts.select(*others, F.explode(shares).alias("share")).select(*others, "share.*")
 
-def _times(amount: str, copies: Column) -> Column:
-    return F.col(amount) * copies.cast("int")
 
+def _keys(kind: str, flag: str) -> Column:
+    """Number of members or orders with the flag."""
+    return F.count(F.when((F.col("kind") == kind) & F.col(flag), F.col("key")))
 
-def _double(column: Column) -> Column:
-    return column.cast("double")
 
+def yearly_sales(
+    order_line: DataFrame, crm_map: DataFrame, member: DataFrame, as_of: date
+) -> DataFrame:
+    """Sales per year and channel, of everybody and of mini-program registrants.
 
-def wmp_registrant_copies(member: DataFrame) -> DataFrame:
-    """Mini-program registrants to look up by id text, with their dimension rows."""
+    Equal lines count once. Each line counts towards its platform and towards ``Omni``.
+    """
+    money = Money.of(order_line)
     registrants = (
         member.filter(
             (F.col("eff_reg_channel") == BRANDWMP) & F.col("member_detail_id").isNotNull()
@@ -63,77 +96,64 @@ def wmp_registrant_copies(member: DataFrame) -> DataFrame:
         .groupBy(text_key("member_detail_id").alias("member_detail_id"))
         .agg(F.count("*").alias("copies"))
     )
-    return keyed(registrants, F.col("member_detail_id"), "copies")
-
-
-def yearly_sales(lines: DataFrame, registrants: DataFrame) -> DataFrame:
-    """Sales per year and channel, of everybody and of the registrants given.
-
-    ``lines`` are distinct lines with order ids; ``Omni`` rows add up all platforms.
-    Members and orders are distinct counts of different things, so each is brought to
-    its own grain from the one shuffle that merged the lines. Member and order rows
-    are then counted towards their platform and towards ``Omni``.
-    """
-    grain = [
-        F.year("order_paid_date").alias("transaction_year"),
-        platform_label().alias("platform"),
-        "omni_channel_member_id",
-    ]
-    channels = F.explode(F.array("platform", F.lit(OMNI))).alias("source_channel")
-    cell = ["transaction_year", "source_channel"]
-    copies = F.col("copies")
-
-    def with_registration(rows: DataFrame, *more: str) -> DataFrame:
-        by = ["transaction_year", "platform", *more]
-        return lookup(spread_nulls(rows, F.col("omni_channel_member_id"), by), registrants)
-
-    sales = ["all_sold", "all_returned", "member_sold", "member_returned"]
-    members = (
-        with_registration(
-            lines.groupBy(*grain).agg(
-                *sales_sums(members_only=False),
-                *sales_sums(members_only=True),
-                _any(F.col("is_member_order"), "member"),
-            )
+    orders = (
+        distinct_lines(order_line, crm_map, as_of, ALL_CHANNELS)
+        .groupBy(
+            F.year("order_paid_date").alias("transaction_year"),
+            platform_label().alias("platform"),
+            "omni_channel_member_id",
+            "parent_order_id",
         )
-        .select("*", channels)
-        .groupBy(*cell, "omni_channel_member_id", SPREAD)
         .agg(
-            *[F.sum(name).alias(name) for name in sales],
-            F.sum(_times("member_sold", copies)).alias("reg_sold"),
-            F.sum(_times("member_returned", copies)).alias("reg_returned"),
-            F.max("member").alias("member"),
-            _any(copies.isNotNull(), "registered"),
+            *money.sums(),
+            *money.sums(members_only=True),
+            _any("is_member_order").alias("by_member"),
+            _effective_member_order(),
         )
     )
-    member_id = F.col("omni_channel_member_id")
-    amounts = members.groupBy(*cell).agg(
-        (F.sum("all_sold") - F.sum("all_returned")).alias("total_sales"),
-        (F.sum("member_sold") - F.sum("member_returned")).alias("member_sales"),
-        (F.sum("reg_sold") - F.sum("reg_returned")).alias("reg_sales"),
-        F.count(F.when(F.col("member"), member_id)).alias("member_shopper"),
-        F.count(F.when(F.col("registered"), member_id)).alias("reg_shopper"),
+    spread = spread_nulls(
+        orders,
+        F.col("omni_channel_member_id"),
+        ["transaction_year", "platform", "parent_order_id"],
     )
-    orders = (
-        with_registration(
-            lines.groupBy(*grain, "parent_order_id").agg(_effective_member_order()),
-            "parent_order_id",
+    known = lookup(spread, keyed(registrants, F.col("member_detail_id"), "copies"))
+    copies = F.col("copies")
+    facts = known.select(
+        "transaction_year",
+        F.explode(F.array("platform", F.lit(OMNI))).alias("source_channel"),
+        "omni_channel_member_id",
+        "parent_order_id",
+        "by_member",
+        EFFECTIVE,
+        copies.isNotNull().alias("registered"),
+        *ALL_SALES,
+        *MEMBER_SALES,
+        (F.col("member_sold") * copies).alias("reg_sold"),
+        (F.col("member_returned") * copies).alias("reg_returned"),
+    )
+    reg_sales = ["reg_sold", "reg_returned"]
+    sums = [*ALL_SALES, *MEMBER_SALES, *reg_sales]
+    cell = ["transaction_year", "source_channel"]
+    return (
+        _by_member_and_order(facts, "omni_channel_member_id", "parent_order_id", sums)
+        .groupBy(*cell, "kind", "key")
+        .agg(
+            *[F.sum(name).alias(name) for name in sums],
+            _any("by_member").alias("by_member"),
+            _any("registered").alias("registered"),
+            _any(EFFECTIVE).alias(EFFECTIVE),
         )
-        .filter(EFFECTIVE_MEMBER_ORDER)
-        .select("*", channels)
-        .groupBy(*cell, "parent_order_id")
-        .agg(_any(copies.isNotNull(), "registered"))
         .groupBy(*cell)
         .agg(
-            F.count("parent_order_id").alias("transactions"),
-            F.count(F.when(F.col("registered"), F.col("parent_order_id"))).alias(
-                "reg_transactions"
-            ),
+            money.net(ALL_SALES).alias("total_sales"),
+            money.net(MEMBER_SALES).alias("member_sales"),
+            money.net(reg_sales).alias("reg_sales"),
+            _keys(MEMBER, "by_member").alias("member_shopper"),
+            _keys(MEMBER, "registered").alias("reg_shopper"),
+            _keys(ORDER, EFFECTIVE).alias("transactions"),
+            _keys(ORDER, "registered").alias("reg_transactions"),
         )
     )
-    return amounts.join(orders, cell, "left").na.fill(
-        0, ["transactions", "reg_transactions"]
-    )
 
 
 def registrant_sales(
@@ -144,19 +164,18 @@ def registrant_sales(
     A platform without any known amount shows no platform figures; ``Omni`` rows
     compare with all platforms together.
     """
-    lines = distinct_lines(order_line, crm_map, as_of, ALL_CHANNELS)
-    sales = yearly_sales(lines, wmp_registrant_copies(member)).filter("reg_shopper > 0")
+    sales = yearly_sales(order_line, crm_map, member, as_of).filter("reg_shopper > 0")
     total = F.col("total_sales")
     known = total.isNotNull() | (F.col("source_channel") == OMNI)
     return sales.select(
         F.col("transaction_year").cast("bigint").alias("transaction_year"),
         "source_channel",
         F.col("reg_shopper").alias("member_shopper"),
-        _double(F.col("reg_sales")).alias("member_sales"),
+        F.col("reg_sales").cast("double").alias("member_sales"),
         F.col("reg_transactions").alias("member_transactions"),
         ratio(F.col("reg_transactions"), F.col("reg_shopper")).alias("frequency"),
         ratio(F.col("reg_sales"), F.col("reg_transactions")).alias("atv"),
-        _double(total).alias("YTD_platform_TTL"),
+        total.cast("double").alias("YTD_platform_TTL"),
         ratio(F.col("reg_sales"), total).alias("sales_share_of_YTD_platform_TTL"),
         F.when(known, ratio(F.col("transactions"), F.col("member_shopper"))).alias(
             "YTD_platform_frequency"
@@ -183,10 +202,11 @@ def contact_adder_sales(
     An id spelled in several ways (``7``, ``007``) is several adders and repeats the
     sales of its member; the total is over all lines, equal ones included.
     """
+    money = Money.of(order_line)
     lines = distinct_lines(order_line, crm_map, as_of, [LCS], by_order=False)
     purchases = lines.groupBy(
         F.year("order_paid_date").alias("transaction_year"), "omni_channel_member_id"
-    ).agg(*sales_sums(members_only=True))
+    ).agg(*money.sums(members_only=True))
     adders = (
         adding_years(contact_event, identity, contact_tag, as_of)
         .groupBy("crm_member_id")
@@ -203,13 +223,8 @@ def contact_adder_sales(
     in_time = F.when(F.col("first_year") <= F.col("transaction_year"), F.col("adders"))
     bought = (
         purchases.join(adders, "omni_channel_member_id")
-        .groupBy("omni_channel_member_id", "transaction_year")
-        .agg(
-            F.first("member_sold").alias("member_sold"),
-            F.first("member_returned").alias("member_returned"),
-            F.sum(in_time).alias("adders"),
-            F.sum("wmp_adders").alias("wmp_adders"),
-        )
+        .groupBy("omni_channel_member_id", "transaction_year", *MEMBER_SALES)
+        .agg(F.sum(in_time).alias("adders"), F.sum("wmp_adders").alias("wmp_adders"))
         .filter(F.col("adders") > 0)
         .join(still, "omni_channel_member_id", "left")
     )
@@ -218,31 +233,28 @@ def contact_adder_sales(
         * F.greatest("wmp_adders", F.lit(1))
         * F.coalesce("still_copies", F.lit(1))
     )
-    cells = bought.groupBy(
+    facts = bought.select(
         "transaction_year",
-        F.when(F.col("still_copies").isNotNull(), 1).otherwise(0).cast("bigint").alias(
-            "if_still_added_wecom"
-        ),
-        F.when(F.col("wmp_adders") > 0, 1).otherwise(0).cast("bigint").alias(
-            "if_added_wecom_through_wmp"
-        ),
+        "omni_channel_member_id",
+        F.col("still_copies").isNotNull().cast("bigint").alias("if_still_added_wecom"),
+        (F.col("wmp_adders") > 0).cast("bigint").alias("if_added_wecom_through_wmp"),
+        *[(F.col(name) * repeats).alias(name) for name in MEMBER_SALES],
+    )
+    cells = facts.groupBy(
+        "transaction_year", "if_still_added_wecom", "if_added_wecom_through_wmp"
     ).agg(
         F.count("omni_channel_member_id").alias("member_shopper"),
-        (
-            F.sum(_times("member_sold", repeats)) - F.sum(_times("member_returned", repeats))
-        ).alias("member_sales"),
-    )
-    totals = raw_sales_by_year(order_line, as_of, LCS).select(
-        "transaction_year", (F.col("all_sold") - F.col("all_returned")).alias("total_sales")
+        money.net(MEMBER_SALES).alias("member_sales"),
     )
+    totals = raw_sales_by_year(order_line, as_of, LCS)
     return cells.join(totals, "transaction_year", "left").select(
         F.col("transaction_year").cast("bigint").alias("transaction_year"),
         F.lit(LCS).alias("source_channel"),
         "if_still_added_wecom",
         "if_added_wecom_through_wmp",
         "member_shopper",
-        _double(F.col("member_sales")).alias("member_sales"),
-        _double(F.col("total_sales")).alias("YTD_platform_TTL"),
+        F.col("member_sales").cast("double").alias("member_sales"),
+        F.col("total_sales").cast("double").alias("YTD_platform_TTL"),
         ratio(F.col("member_sales"), F.col("total_sales")).alias(
             "sales_share_of_YTD_platform_TTL"
         ),
@@ -262,6 +274,7 @@ def assistant_sales(
     from the mapped id. "New" members joined in the as-of year, whatever the order's
     year. Lines become one row per year, member and order before any lookup.
     """
+    money = Money.of(order_line)
     bought = (
         order_line.filter(
             counts_as_order(as_of, [LCS]) & (F.col("payment_type") == ASSISTANT_PAYMENT)
@@ -272,22 +285,21 @@ def assistant_sales(
             text_key("original_order_id").alias("original_order_id"),
             text_key("parent_order_id").alias("parent_order_id"),
         )
-        .agg(
-            *sales_sums(members_only=False),
-            *sales_sums(members_only=True),
-            _effective_member_order(),
-        )
+        .agg(*money.sums(), *money.sums(members_only=True), _effective_member_order())
     )
-    organic = (
+    scenarios = (
         order_scenario.select(
-            text_key("parent_order_id").alias("scenario_order"),
-            (F.col("order_scenario").eqNullSafe(ORGANIC)).alias("organic"),
-            "order_scenario",
+            text_key("parent_order_id").alias("scenario_order"), "order_scenario"
         )
         .distinct()
-        .groupBy("scenario_order", "organic")
+        .groupBy("scenario_order", F.col("order_scenario").eqNullSafe(ORGANIC).alias("organic"))
         .agg(F.count("*").alias("scenario_copies"))
     )
+    channel = F.col("eff_reg_channel")
+    registered = member.select(
+        int_key("member_detail_id").alias("registered_key"),
+        F.when(channel == BRANDWMP, "wmp").when(channel.contains(LCS), "lcs").alias("via"),
+    )
     new_members = (
         member.filter(F.year("join_time") == as_of.year)
         .select("member_detail_id")
@@ -295,136 +307,93 @@ def assistant_sales(
         .groupBy(int_key("member_detail_id").alias("new_key"))
         .agg(F.count("*").alias("new_copies"))
     )
-    row = [
-        "transaction_year",
-        "crm_id",
-        "original_order_id",
-        "parent_order_id",
+    mapped = F.col("id").alias("member_id")
+    lookups = [
+        (F.col("original_order_id"), keyed(
+            scenarios, F.col("scenario_order"), "organic", "scenario_copies")),
+        (F.col("crm_id"), keyed(crm_map, text_key("member_id"), mapped)),
+        (int_key("crm_id"), keyed(registered, F.col("registered_key"), "via")),
+        (int_key("member_id"), keyed(new_members, F.col("new_key"), "new_copies")),
     ]
+    rows = bought
+    spread_by = ["transaction_year", "crm_id", "original_order_id", "parent_order_id"]
+    for key, side in lookups:
+        rows = lookup(spread_nulls(rows, key, spread_by), side)
+    return _assistant_measures(rows, money)
 
-    def look_up(rows: DataFrame, key: Column, side: DataFrame) -> DataFrame:
-        return lookup(spread_nulls(rows, key, row), side)
 
-    channel = F.col("eff_reg_channel")
-    by_channel = member.select(
-        int_key("member_detail_id").alias("registered_key"),
-        F.when(channel == BRANDWMP, "wmp").when(channel.contains(LCS), "lcs").alias("registered_by"),
-    )
-    rows = look_up(
-        bought,
-        F.col("original_order_id"),
-        keyed(organic, F.col("scenario_order"), "organic", "scenario_copies"),
-    )
-    rows = look_up(
-        rows, F.col("crm_id"), keyed(crm_map, text_key("member_id"), F.col("id").alias("member_id"))
-    )
-    rows = look_up(
-        rows, int_key("crm_id"), keyed(by_channel, F.col("registered_key"), "registered_by")
-    )
-    rows = look_up(
-        rows, int_key("member_id"), keyed(new_members, F.col("new_key"), "new_copies")
-    )
-    return _assistant_measures(rows)
-
-
-def _assistant_measures(rows: DataFrame) -> DataFrame:
-    is_organic = F.coalesce("organic", F.lit(False))
+def _assistant_measures(rows: DataFrame, money: Money) -> DataFrame:
+    sums = [*ALL_SALES, *MEMBER_SALES]
+    organic_sums = [f"organic_{name}" for name in sums]
+    organic = F.coalesce("organic", F.lit(False))
     repeats = F.coalesce("scenario_copies", F.lit(1)) * F.coalesce("new_copies", F.lit(1))
-    sums = ["all_sold", "all_returned", "member_sold", "member_returned"]
     facts = rows.select(
         "transaction_year",
-        text_key("member_id").alias("member_id"),
+        "member_id",
         "parent_order_id",
-        is_organic.alias("organic"),
-        "registered_by",
+        EFFECTIVE,
+        organic.alias("organic"),
+        (organic & (F.col("via") == "wmp")).alias("wmp"),
+        (organic & (F.col("via") == "lcs")).alias("lcs"),
         F.col("new_copies").isNotNull().alias("new"),
-        EFFECTIVE_MEMBER_ORDER,
-        *[_times(name, repeats).alias(name) for name in sums],
-    )
-    # Members and orders are counted side by side: each fact gives one row to the
-    # member it belongs to, with the sums, and one to its order, without them.
-    nothing = F.lit(None).cast("decimal(38,2)")
-
-    def count_for(kind: str, key: str, with_sums: bool) -> Column:
-        amounts = [
-            (F.col(name).cast("decimal(38,2)") if with_sums else nothing).alias(name)
+        *[(F.col(name) * repeats).alias(name) for name in sums],
+        *[
+            F.when(organic, F.col(name) * repeats).otherwise(0).alias(f"organic_{name}")
             for name in sums
-        ]
-        return F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), *amounts)
-
-    counted = facts.select(
-        "transaction_year",
-        "organic",
-        "registered_by",
-        "new",
-        EFFECTIVE_MEMBER_ORDER,
-        F.explode(
-            F.array(
-                count_for("member", "member_id", True),
-                count_for("order", "parent_order_id", False),
-            )
-        ).alias("c"),
-    ).select("*", "c.*")
-
-    effective = F.col(EFFECTIVE_MEMBER_ORDER)
-    organic = effective & F.col("organic")
-    wmp = organic & (F.col("registered_by") == "wmp")
-    lcs = organic & (F.col("registered_by") == "lcs")
-    is_member = F.col("kind") == "member"
-    organic_sums = [
-        F.sum(F.when(F.col("organic"), F.col(name)).when(is_member, F.lit(0))).alias(
-            f"organic_{name}"
+        ],
+    )
+    effective, new = F.col(EFFECTIVE), F.col("new")
+    yearly = (
+        _by_member_and_order(facts, "member_id", "parent_order_id", [*sums, *organic_sums])
+        .groupBy("transaction_year", "kind", "key")
+        .agg(
+            *[F.sum(name).alias(name) for name in [*sums, *organic_sums]],
+            _any(effective).alias(EFFECTIVE),
+            _any(effective & F.col("organic")).alias("organic"),
+            _any(effective & F.col("wmp")).alias("wmp"),
+            _any(effective & F.col("lcs")).alias("lcs"),
+            _any(effective & F.col("wmp") & new).alias("new_wmp"),
+            _any(effective & F.col("lcs") & new).alias("new_lcs"),
+        )
+        .groupBy("transaction_year")
+        .agg(
+            money.net(ALL_SALES).alias("sales"),
+            money.net(MEMBER_SALES).alias("member_sales"),
+            money.net(organic_sums[:2]).alias("organic_sales"),
+            money.net(organic_sums[2:]).alias("organic_member_sales"),
+            _keys(ORDER, EFFECTIVE).alias("orders"),
+            _keys(ORDER, "organic").alias("organic_orders"),
+            _keys(MEMBER, EFFECTIVE).alias("shoppers"),
+            *[
+                _keys(MEMBER, flag).alias(f"{flag}_shoppers")
+                for flag in ["organic", "wmp", "lcs", "new_wmp", "new_lcs"]
+            ],
         )
-        for name in sums
-    ]
-    per_key = counted.groupBy("transaction_year", "kind", "key").agg(
-        *[F.sum(name).alias(name) for name in sums],
-        *organic_sums,
-        _any(effective, "any"),
-        _any(organic, "organic"),
-        _any(wmp, "wmp"),
-        _any(lcs, "lcs"),
-        _any(wmp & F.col("new"), "wmp_new"),
-        _any(lcs & F.col("new"), "lcs_new"),
     )
 
-    def count(kind: str, flag: str) -> Column:
-        return F.count(F.when((F.col("kind") == kind) & F.col(flag), F.col("key")))
-
-    def net(prefix: str) -> Column:
-        return F.sum(f"{prefix}_sold") - F.sum(f"{prefix}_returned")
-
-    yearly = per_key.groupBy("transaction_year").agg(
-        net("all").alias("all_net"),
-        net("member").alias("member_net"),
-        net("organic_all").alias("organic_all_net"),
-        net("organic_member").alias("organic_member_net"),
-        count("member", "any").alias("shoppers"),
-        count("member", "organic").alias("organic_shoppers"),
-        count("member", "wmp").alias("wmp_shoppers"),
-        count("member", "lcs").alias("lcs_shoppers"),
-        count("member", "wmp_new").alias("new_wmp_shoppers"),
-        count("member", "lcs_new").alias("new_lcs_shoppers"),
-        count("order", "any").alias("orders"),
-        count("order", "organic").alias("organic_orders"),
-    )
-    col = F.col
+    def shoppers(count: str, name: str) -> Column:
+        return zero_to_null(F.col(count)).alias(name)
+
+    def quotient(part: str, whole: str, name: str) -> Column:
+        return ratio(F.col(part), F.col(whole)).alias(name)
+
+    def amount(sales: str, name: str) -> Column:
+        return F.col(sales).cast("double").alias(name)
+
     return yearly.select(
-        col("transaction_year").cast("bigint").alias("transaction_year"),
-        zero_to_null(col("shoppers")).alias("wos_member_shopper_ttl"),
-        _double(col("member_net")).alias("wos_member_sales_ttl"),
-        _double(col("all_net")).alias("wos_sales_ttl"),
-        ratio(col("member_net"), col("orders")).alias("wos_member_atv_ttl"),
-        ratio(col("orders"), col("shoppers")).alias("wos_member_frequency_ttl"),
-        zero_to_null(col("organic_shoppers")).alias("wos_member_shopper_from_wmp"),
-        _double(col("organic_member_net")).alias("wos_member_sales_from_wmp"),
-        _double(col("organic_all_net")).alias("wos_ttl_sales_from_wmp"),
-        ratio(col("organic_member_net"), col("organic_orders")).alias("wos_member_atv_from_wmp"),
-        ratio(col("organic_orders"), col("organic_shoppers")).alias(
-            "wos_member_frequency_from_wmp"
-        ),
-        zero_to_null(col("wmp_shoppers")).alias("wos_member_shopper_wmp_reg"),
-        zero_to_null(col("lcs_shoppers")).alias("wos_member_shopper_lcs_reg"),
-        zero_to_null(col("new_wmp_shoppers")).alias("wos_member_shopper_wmp_reg_new"),
-        zero_to_null(col("new_lcs_shoppers")).alias("wos_member_shopper_lcs_reg_new"),
+        F.col("transaction_year").cast("bigint").alias("transaction_year"),
+        shoppers("shoppers", "wos_member_shopper_ttl"),
+        amount("member_sales", "wos_member_sales_ttl"),
+        amount("sales", "wos_sales_ttl"),
+        quotient("member_sales", "orders", "wos_member_atv_ttl"),
+        quotient("orders", "shoppers", "wos_member_frequency_ttl"),
+        shoppers("organic_shoppers", "wos_member_shopper_from_wmp"),
+        amount("organic_member_sales", "wos_member_sales_from_wmp"),
+        amount("organic_sales", "wos_ttl_sales_from_wmp"),
+        quotient("organic_member_sales", "organic_orders", "wos_member_atv_from_wmp"),
+        quotient("organic_orders", "organic_shoppers", "wos_member_frequency_from_wmp"),
+        shoppers("wmp_shoppers", "wos_member_shopper_wmp_reg"),
+        shoppers("lcs_shoppers", "wos_member_shopper_lcs_reg"),
+        shoppers("new_wmp_shoppers", "wos_member_shopper_wmp_reg_new"),
+        shoppers("new_lcs_shoppers", "wos_member_shopper_lcs_reg_new"),
     )

@@ -23,7 +23,7 @@ def key_report(tables: Tables) -> DataFrame:
         "staff": text_key("staff_ext_id"),
     }
     reports = [
-        repeated_keys(getattr(tables, role).select(key.alias("key")), "key")
+        repeated_keys(tables[role].select(key.alias("key")), "key")
         .filter(F.col("key").isNotNull())
         .agg(F.count("*").alias("repeated_keys"), F.sum("rows").alias("rows"))
         .select(

@@ -7,6 +7,8 @@ in FIXTURES.md, and once more as SQL in ``memberlens.verification.oracle``.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,33 +38,36 @@ SEGMENT_CHANNELS = {
 
 
 def from_test_data(spark: SparkSession, folder: str) -> Tables:
+    @cache
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    orders = read("orders").select(
-        "o_orderkey",
-        "o_custkey",
-        "o_orderpriority",
-        F.col("o_orderstatus").alias("status"),
-        F.expr("o_orderdate + interval 24 year").alias("ts"),
-    )
-    customer, supplier, events = read("customer"), read("supplier"), read("events")
-    member_order = _member_order(orders)
-    return Tables(
-        member=_member(customer, member_order),
-        order_line=_order_line(read("lineitem"), orders),
-        crm_map=_crm_map(customer),
-        member_order=member_order,
-        contact_event=_contact_event(orders, events),
-        identity=_identity(customer),
-        page_view=_page_view(orders, events),
-        contact_tag=_contact_tag(customer),
-        staff_relation=_staff_relation(customer, supplier),
-        staff=_staff(supplier),
-        thirdparty_bind=_thirdparty_bind(customer),
-        ec_history=_ec_history(customer),
-        order_scenario=_order_scenario(orders),
-    )
+    @cache
+    def orders() -> DataFrame:
+        return read("orders").select(
+            "o_orderkey",
+            "o_custkey",
+            "o_orderpriority",
+            F.col("o_orderstatus").alias("status"),
+            F.expr("o_orderdate + interval 24 year").alias("ts"),
+        )
+
+    derive = {
+        "member": lambda: _member(read("customer"), orders()),
+        "order_line": lambda: _order_line(read("lineitem"), orders()),
+        "crm_map": lambda: _crm_map(read("customer")),
+        "member_order": lambda: _member_order(orders()),
+        "contact_event": lambda: _contact_event(orders(), read("events")),
+        "identity": lambda: _identity(read("customer")),
+        "page_view": lambda: _page_view(orders(), read("events")),
+        "contact_tag": lambda: _contact_tag(read("customer")),
+        "staff_relation": lambda: _staff_relation(read("customer"), read("supplier")),
+        "staff": lambda: _staff(read("supplier")),
+        "thirdparty_bind": lambda: _thirdparty_bind(read("customer")),
+        "ec_history": lambda: _ec_history(read("customer")),
+        "order_scenario": lambda: _order_scenario(orders()),
+    }
+    return Tables(lambda role: derive[role]())
 
 
 def _tagged(prefix: str, column: str) -> Column:
@@ -74,9 +79,9 @@ def _rows(df: DataFrame, *rows: Column) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
 
 
-def _member_order(orders: DataFrame) -> DataFrame:
+def _sales(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
-    sales = orders.select(
+    return orders.select(
         "o_orderkey",
         F.col("o_custkey").cast("string").alias("crm_member_id"),
         F.to_date("ts").alias("date_id"),
@@ -87,6 +92,10 @@ def _member_order(orders: DataFrame) -> DataFrame:
         .alias("distributor_name"),
         (F.col("status") != "P").alias("if_eff_order_tag"),
     )
+
+
+def _member_order(orders: DataFrame) -> DataFrame:
+    sales = _sales(orders)
     # Each customer's first qualifying order, found without gathering the customer's rows.
     first = (
         qualifying(sales)
@@ -102,9 +111,9 @@ def _member_order(orders: DataFrame) -> DataFrame:
     )
 
 
-def _member(customer: DataFrame, member_order: DataFrame) -> DataFrame:
+def _member(customer: DataFrame, orders: DataFrame) -> DataFrame:
     first = (
-        qualifying(member_order)
+        qualifying(_sales(orders))
         .groupBy(F.col("crm_member_id").alias("member_detail_id"))
         .agg(F.min("date_id").alias("first_date"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,36 +52,40 @@ COLUMNS = {
 }
 
 
-@dataclass(frozen=True)
+VISIT_LOG = "visit_log"
+
+
 class Tables:
-    """The 13 inputs; ``visit_log`` is the written log that eight marts read."""
-
-    member: DataFrame
-    order_line: DataFrame
-    crm_map: DataFrame
-    member_order: DataFrame
-    contact_event: DataFrame
-    identity: DataFrame
-    page_view: DataFrame
-    contact_tag: DataFrame
-    staff_relation: DataFrame
-    staff: DataFrame
-    thirdparty_bind: DataFrame
-    ec_history: DataFrame
-    order_scenario: DataFrame
-    visit_log: DataFrame | None = None
+    """Inputs by role, opened when first asked for.
 
-    def pick(self, *roles: str) -> dict[str, DataFrame]:
-        return {role: getattr(self, role) for role in roles}
+    ``visit_log`` is not an input of the warehouse: it is the written log that eight
+    marts read, added with :meth:`with_visit_log`.
+    """
+
+    def __init__(self, open_role: Callable[[str], DataFrame]):
+        self._open = open_role
+        self._opened: dict[str, DataFrame] = {}
 
+    def __getitem__(self, role: str) -> DataFrame:
+        if role not in self._opened:
+            if role not in SOURCE_TABLES:
+                raise KeyError(f"no input '{role}'")
+            self._opened[role] = self._open(role)
+        return self._opened[role]
 
-ROLES = [f.name for f in fields(Tables) if f.name != "visit_log"]
+    def pick(self, *roles: str) -> dict[str, DataFrame]:
+        return {role: self[role] for role in roles}
+
+    def with_visit_log(self, log: DataFrame) -> Tables:
+        tables = Tables(self._open)
+        tables._opened = {**self._opened, VISIT_LOG: log}
+        return tables
 
 
 def from_catalog(spark: SparkSession, names: dict[str, str] | None = None) -> Tables:
     """Inputs from catalog tables; ``names`` replaces single table names."""
     chosen = {**SOURCE_TABLES, **(names or {})}
-    return Tables(**{role: _checked(role, spark.table(chosen[role])) for role in ROLES})
+    return Tables(lambda role: _checked(role, spark.table(chosen[role])))
 
 
 def from_folder(spark: SparkSession, root: str, file_format: str = "parquet") -> Tables:
@@ -91,7 +95,12 @@ def from_folder(spark: SparkSession, root: str, file_format: str = "parquet") ->
         path = f"{root.rstrip('/')}/{SOURCE_TABLES[role].replace('.', '/')}"
         return _checked(role, spark.read.format(file_format).load(path))
 
-    return Tables(**{role: read(role) for role in ROLES})
+    return Tables(read)
+
+
+def from_frames(frames: dict[str, DataFrame]) -> Tables:
+    """Inputs that are already DataFrames, as in tests."""
+    return Tables(lambda role: _checked(role, frames[role]))
 
 
 def _checked(role: str, df: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from memberlens.functions.labels import LCS
 from memberlens.operators import contacts, identity, orders, purchases, visits
 from memberlens.plans.marts import MARTS, VISIT_LOG
-from memberlens.plans.sales_marts import wmp_registrant_copies, yearly_sales
+from memberlens.plans.sales_marts import yearly_sales
 from memberlens.session import configure
 from memberlens.sources.sample import from_test_data
 from memberlens.sources.tables import Tables
@@ -35,7 +34,7 @@ def _mart_query(mart, as_of: date, load_time: datetime) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = from_test_data(configure(spark), folder)
         if "visit_log" in mart.inputs:
-            tables = replace(tables, visit_log=daily_log(tables))
+            tables = tables.with_visit_log(daily_log(tables))
         return mart(tables, as_of, load_time)
 
     return run
@@ -44,7 +43,7 @@ def _mart_query(mart, as_of: date, load_time: datetime) -> Query:
 def daily_log(tables: Tables) -> DataFrame:
     """Stands in for the written visit log: its readers look no closer than the day."""
     return visits.identified_views(
-        tables.page_view, tables.identity, tables.member, by_day=True
+        **tables.pick("page_view", "identity", "member"), by_day=True
     )
 
 
@@ -61,21 +60,21 @@ def _blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
     def omni_member_ids(t: Tables) -> DataFrame:
         given = [F.col(c).alias(f"given_{c}") for c in orders.ID_COLUMNS]
         ids = (
-            t.order_line.filter(orders.counts_as_order(as_of))
+            t["order_line"].filter(orders.counts_as_order(as_of))
             .select(*orders.ID_COLUMNS)
             .distinct()
             .select("*", *given)
         )
         back = [F.col(f"given_{c}").alias(c) for c in orders.ID_COLUMNS]
         return (
-            orders.with_omni_id(ids, t.crm_map)
+            orders.with_omni_id(ids, t["crm_map"])
             .select(*back, "omni_channel_member_id")
             .distinct()
         )
 
     def platform_totals(t: Tables) -> DataFrame:
-        lines = orders.distinct_lines(t.order_line, t.crm_map, as_of)
-        return yearly_sales(lines, wmp_registrant_copies(t.member)).select(
+        sales = yearly_sales(**t.pick("order_line", "crm_map", "member"), as_of=as_of)
+        return sales.select(
             F.col("transaction_year").cast("bigint").alias("transaction_year"),
             "source_channel",
             F.col("total_sales").cast("double").alias("total_sales"),
@@ -85,14 +84,13 @@ def _blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
         )
 
     def raw_lcs_totals(t: Tables) -> DataFrame:
-        net = F.col("all_sold") - F.col("all_returned")
-        return orders.raw_sales_by_year(t.order_line, as_of, LCS).select(
+        return orders.raw_sales_by_year(t["order_line"], as_of, LCS).select(
             F.col("transaction_year").cast("bigint").alias("transaction_year"),
-            net.cast("double").alias("total_sales"),
+            F.col("total_sales").cast("double").alias("total_sales"),
         )
 
     return {
-        "latest_identity": lambda t: identity.latest_identity(t.identity),
+        "latest_identity": lambda t: identity.latest_identity(t["identity"]),
         "contact_adds": lambda t: contacts.contact_adds(**t.pick(*contact_inputs), as_of=as_of),
         "current_relations": lambda t: contacts.current_relations(
             **t.pick("staff_relation", "staff", "thirdparty_bind")
@@ -100,14 +98,14 @@ def _blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
         .withColumn("created_type", F.col("created_type").cast("bigint"))
         .withColumn("relation_deleted", F.col("relation_deleted").cast("bigint")),
         "omni_member_ids": omni_member_ids,
-        "lcs_buyers": lambda t: orders.lcs_buyers(t.order_line, t.crm_map, as_of),
-        "buying_years": lambda t: orders.buying_years(t.order_line, t.crm_map, as_of).withColumn(
+        "lcs_buyers": lambda t: orders.lcs_buyers(t["order_line"], t["crm_map"], as_of),
+        "buying_years": lambda t: orders.buying_years(t["order_line"], t["crm_map"], as_of).withColumn(
             "buy_year", F.col("buy_year").cast("bigint")
         ),
         "distinct_lines": lambda t: orders.distinct_lines(
-            t.order_line, t.crm_map, as_of
+            t["order_line"], t["crm_map"], as_of
         ).withColumn("order_rrp_amt", F.col("order_rrp_amt").cast("double")),
-        "purchase_days": lambda t: purchases.purchase_days(t.member_order),
+        "purchase_days": lambda t: purchases.purchase_days(t["member_order"]),
         "platform_totals": platform_totals,
         "raw_lcs_totals": raw_lcs_totals,
     }
