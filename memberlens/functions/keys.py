@@ -40,8 +40,12 @@ def spread_nulls(df: DataFrame, key: Column, by: list[str]) -> DataFrame:
 
 
 def keyed(df: DataFrame, key: Column, *columns: str | Column) -> DataFrame:
-    """The right-hand side of a lookup against :func:`spread_nulls`."""
-    return df.select(F.concat(F.lit("="), key.cast("string")).alias(SPREAD), *columns)
+    """The right-hand side of a lookup against :func:`spread_nulls`.
+
+    A side that is grouped should be grouped by this key, which also places it for the
+    lookup. Rows without a key match nothing and are left out.
+    """
+    return df.filter(key.isNotNull()).select(F.concat(F.lit("="), key.cast("string")).alias(SPREAD), *columns)
 
 
 def lookup(left: DataFrame, right: DataFrame) -> DataFrame:

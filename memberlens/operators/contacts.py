@@ -124,7 +124,10 @@ def current_relations(
 def still_added(
     staff_relation: DataFrame, staff: DataFrame, thirdparty_bind: DataFrame
 ) -> DataFrame:
-    """Members with a current relation: numeric id and how many spellings it has."""
+    """Members with a current relation, to look up by numeric id.
+
+    ``still_copies`` is how many spellings of the id have one.
+    """
     store_staff = (
         staff.filter(F.col("lego_store_code").isNotNull()).select("staff_ext_id").distinct()
     )
@@ -134,12 +137,14 @@ def still_added(
         .select(F.col("external_user_unionid").alias("id_value"))
         .distinct()
     )
-    return (
+    members = (
         _bindings(thirdparty_bind)
         .join(union_ids, "id_value")
         .select("member_detail_id")
         .distinct()
-        .groupBy(int_key("member_detail_id").alias("still_key"))
+    )
+    return (
+        keyed(members, int_key("member_detail_id"))
+        .groupBy(SPREAD)
         .agg(F.count("*").alias("still_copies"))
-        .filter(F.col("still_key").isNotNull())
     )

@@ -10,23 +10,28 @@ from memberlens.operators.members import first_join_date
 
 
 def identified_views(
-    page_view: DataFrame, identity: DataFrame, member: DataFrame, by_day: bool = False
+    page_view: DataFrame,
+    identity: DataFrame,
+    member: DataFrame,
+    by_day: bool = False,
+    with_pages: bool = True,
 ) -> DataFrame:
     """Distinct views of identified members on or after the day they joined.
 
     Views become distinct before the join, where equal views combine on the map side;
     the device then has at most one member and one join date, so the join adds no row
     and nothing is merged after it. For a member with several join dates the first one
-    decides. ``by_day`` cuts view times to the day before merging: enough for every
-    mart that reads the log, and far fewer rows to move.
+    decides. ``by_day`` cuts view times to the day before merging, enough for every mart
+    that reads the log; without the page type even fewer rows are left to move.
     """
+    pages = ["page_type"] if with_pages else []
     seen = F.to_date("event_time") if by_day else F.col("event_time")
-    views = page_view.select("gio_id", seen.alias("event_time"), "page_type").distinct()
+    views = page_view.select("gio_id", seen.alias("event_time"), *pages).distinct()
     devices = latest_identity(identity).join(first_join_date(member), "member_detail_id")
     return (
         views.join(devices, "gio_id")
         .filter(F.to_date("event_time") >= F.col("join_date"))
-        .select("member_detail_id", "gio_id", "event_time", "page_type")
+        .select("member_detail_id", "gio_id", "event_time", *pages)
     )
 
 

@@ -19,7 +19,6 @@ from memberlens.functions.keys import (
     keyed,
     lookup,
     spread_nulls,
-    text_key,
 )
 from memberlens.functions.labels import (
     CONVERSION_GAPS,
@@ -90,13 +89,8 @@ def conversion_by_cohort(
     """Purchases of mini-program registrants, by platform and contact-adding."""
     registrants = wmp_registrants(member, FLOOR_ENGLISH)
     buyers = _buyers(order_line, crm_map, as_of, LCS, TMALL, DOUYIN, DOUYIN_B2B)
-    adders = (
-        adding_years(contact_event, identity, contact_tag, as_of)
-        .select(int_key("crm_member_id").alias("member_key"))
-        .filter(F.col("member_key").isNotNull())
-        .distinct()
-        .select("member_key", F.lit(True).alias("added"))
-    )
+    adds = adding_years(contact_event, identity, contact_tag, as_of)
+    adders = keyed(adds, int_key("crm_member_id")).distinct().withColumn("added", F.lit(True))
     same_year = F.col("buy_year") == F.col("join_year")
     at = F.col("bought_at")
     members = (
@@ -114,7 +108,7 @@ def conversion_by_cohort(
     )
     everyone = lookup(
         spread_nulls(members, int_key("member_detail_id"), ["reg_year", "member_detail_id"]),
-        keyed(adders, F.col("member_key"), "added"),
+        adders,
     )
     added = F.col("added").isNotNull()
     return everyone.groupBy("reg_year").agg(
@@ -153,15 +147,15 @@ def recruitment_funnel(
     "Still added" looks at current relations alone and needs no contact-adding event.
     """
     registrants = wmp_registrants(member, FLOOR_ENGLISH)
+    adds = adding_years(contact_event, identity, contact_tag, as_of)
     adders = (
-        adding_years(contact_event, identity, contact_tag, as_of)
-        .groupBy(int_key("crm_member_id").alias("member_key"))
+        keyed(adds, int_key("crm_member_id"), "through_wmp")
+        .groupBy(SPREAD)
         .agg(F.max("through_wmp").alias("through_wmp"))
     )
-    still = still_added(staff_relation, staff, thirdparty_bind)
     sides = [
-        keyed(adders, F.col("member_key"), "through_wmp"),
-        keyed(still, F.col("still_key"), "still_copies"),
+        adders,
+        still_added(staff_relation, staff, thirdparty_bind),
         _buyers(order_line, crm_map, as_of, LCS),
     ]
     joined = spread_nulls(registrants, F.col("member_detail_id"), registrants.columns)
@@ -243,12 +237,10 @@ def contact_adders_by_year(
     a channel. "Same year" is the year the contact was added.
     """
     adds = adding_years(contact_event, identity, contact_tag, as_of)
-    still = still_added(staff_relation, staff, thirdparty_bind)
-    cohort = channels(member)
     joined = spread_nulls(adds, int_text_key("crm_member_id"), adds.columns)
     for side in [
-        keyed(still, F.col("still_key"), "still_copies"),
-        keyed(cohort, text_key("member_detail_id"), "eff_reg_channel"),
+        still_added(staff_relation, staff, thirdparty_bind),
+        keyed(channels(member), F.col("member_detail_id"), "eff_reg_channel"),
         _buyers(order_line, crm_map, as_of, LCS),
     ]:
         joined = lookup(joined, side)

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.functions.keys import (
+    SPREAD,
     int_key,
-    int_text_key,
     keyed,
     lookup,
     spread_nulls,
@@ -90,10 +90,8 @@ def yearly_sales(
     """
     money = Money.of(order_line)
     registrants = (
-        member.filter(
-            (F.col("eff_reg_channel") == BRANDWMP) & F.col("member_detail_id").isNotNull()
-        )
-        .groupBy(text_key("member_detail_id").alias("member_detail_id"))
+        keyed(member.filter(F.col("eff_reg_channel") == BRANDWMP), text_key("member_detail_id"))
+        .groupBy(SPREAD)
         .agg(F.count("*").alias("copies"))
     )
     orders = (
@@ -116,7 +114,7 @@ def yearly_sales(
         F.col("omni_channel_member_id"),
         ["transaction_year", "platform", "parent_order_id"],
     )
-    known = lookup(spread, keyed(registrants, F.col("member_detail_id"), "copies"))
+    known = lookup(spread, registrants)
     copies = F.col("copies")
     facts = known.select(
         "transaction_year",
@@ -211,22 +209,25 @@ def contact_adder_sales(
         adding_years(contact_event, identity, contact_tag, as_of)
         .groupBy("crm_member_id")
         .agg(F.min("add_year").alias("first_year"), F.max("through_wmp").alias("by_wmp"))
-        .groupBy(int_text_key("crm_member_id").alias("omni_channel_member_id"), "first_year")
+    )
+    # All spellings of an id meet here, so counting and joining share one shuffle.
+    spelled = (
+        keyed(adders, int_key("crm_member_id"), "first_year", "by_wmp")
+        .repartition(SPREAD)
+        .groupBy(SPREAD, "first_year")
         .agg(
             F.count("*").alias("adders"),
             F.sum(F.col("by_wmp").cast("int")).alias("wmp_adders"),
         )
     )
-    still = still_added(staff_relation, staff, thirdparty_bind).select(
-        text_key("still_key").alias("omni_channel_member_id"), "still_copies"
-    )
     in_time = F.when(F.col("first_year") <= F.col("transaction_year"), F.col("adders"))
-    bought = (
-        purchases.join(adders, "omni_channel_member_id")
-        .groupBy("omni_channel_member_id", "transaction_year", *MEMBER_SALES)
+    bought = lookup(
+        keyed(purchases, F.col("omni_channel_member_id"), "transaction_year", *MEMBER_SALES)
+        .join(spelled, SPREAD)
+        .groupBy(SPREAD, "transaction_year", *MEMBER_SALES)
         .agg(F.sum(in_time).alias("adders"), F.sum("wmp_adders").alias("wmp_adders"))
-        .filter(F.col("adders") > 0)
-        .join(still, "omni_channel_member_id", "left")
+        .filter(F.col("adders") > 0),
+        still_added(staff_relation, staff, thirdparty_bind),
     )
     repeats = (
         F.col("adders")
@@ -235,7 +236,6 @@ def contact_adder_sales(
     )
     facts = bought.select(
         "transaction_year",
-        "omni_channel_member_id",
         F.col("still_copies").isNotNull().cast("bigint").alias("if_still_added_wecom"),
         (F.col("wmp_adders") > 0).cast("bigint").alias("if_added_wecom_through_wmp"),
         *[(F.col(name) * repeats).alias(name) for name in MEMBER_SALES],
@@ -243,7 +243,7 @@ def contact_adder_sales(
     cells = facts.groupBy(
         "transaction_year", "if_still_added_wecom", "if_added_wecom_through_wmp"
     ).agg(
-        F.count("omni_channel_member_id").alias("member_shopper"),
+        F.count("*").alias("member_shopper"),
         money.net(MEMBER_SALES).alias("member_sales"),
     )
     totals = raw_sales_by_year(order_line, as_of, LCS)
@@ -287,33 +287,27 @@ def assistant_sales(
         )
         .agg(*money.sums(), *money.sums(members_only=True), _effective_member_order())
     )
+    scenario = order_scenario.select(text_key("parent_order_id").alias("o"), "order_scenario")
+    organic = F.count(F.when(F.col("order_scenario") == ORGANIC, True))
     scenarios = (
-        order_scenario.select(
-            text_key("parent_order_id").alias("scenario_order"), "order_scenario"
-        )
-        .distinct()
-        .groupBy("scenario_order", F.col("order_scenario").eqNullSafe(ORGANIC).alias("organic"))
-        .agg(F.count("*").alias("scenario_copies"))
+        keyed(scenario.distinct(), F.col("o"), "order_scenario")
+        .groupBy(SPREAD)
+        .agg(F.count("*").alias("scenarios"), organic.alias("organic"))
     )
-    channel = F.col("eff_reg_channel")
-    registered = member.select(
-        int_key("member_detail_id").alias("registered_key"),
-        F.when(channel == BRANDWMP, "wmp").when(channel.contains(LCS), "lcs").alias("via"),
-    )
-    new_members = (
-        member.filter(F.year("join_time") == as_of.year)
-        .select("member_detail_id")
-        .distinct()
-        .groupBy(int_key("member_detail_id").alias("new_key"))
+    new_members = member.filter(F.year("join_time") == as_of.year).select("member_detail_id")
+    new_copies = (
+        keyed(new_members.distinct(), int_key("member_detail_id"))
+        .groupBy(SPREAD)
         .agg(F.count("*").alias("new_copies"))
     )
-    mapped = F.col("id").alias("member_id")
+    mapped = crm_map.select(F.col("id").alias("member_id"), text_key("member_id").alias("crm_id"))
+    mapped = lookup(spread_nulls(mapped, int_key("member_id"), mapped.columns), new_copies)
+    channel = F.col("eff_reg_channel")
+    via = F.when(channel == BRANDWMP, "wmp").when(channel.contains(LCS), "lcs").alias("via")
     lookups = [
-        (F.col("original_order_id"), keyed(
-            scenarios, F.col("scenario_order"), "organic", "scenario_copies")),
-        (F.col("crm_id"), keyed(crm_map, text_key("member_id"), mapped)),
-        (int_key("crm_id"), keyed(registered, F.col("registered_key"), "via")),
-        (int_key("member_id"), keyed(new_members, F.col("new_key"), "new_copies")),
+        (F.col("original_order_id"), scenarios),
+        (F.col("crm_id"), keyed(mapped, F.col("crm_id"), "member_id", "new_copies")),
+        (int_key("crm_id"), keyed(member, int_key("member_detail_id"), via)),
     ]
     rows = bought
     spread_by = ["transaction_year", "crm_id", "original_order_id", "parent_order_id"]
@@ -325,22 +319,26 @@ def assistant_sales(
 def _assistant_measures(rows: DataFrame, money: Money) -> DataFrame:
     sums = [*ALL_SALES, *MEMBER_SALES]
     organic_sums = [f"organic_{name}" for name in sums]
-    organic = F.coalesce("organic", F.lit(False))
-    repeats = F.coalesce("scenario_copies", F.lit(1)) * F.coalesce("new_copies", F.lit(1))
+    organic = F.coalesce("organic", F.lit(0))
+    scenarios = F.coalesce("scenarios", F.lit(1))
+    new_copies = F.coalesce("new_copies", F.lit(1))
+
+    def organic_part(name: str) -> Column:
+        # An unknown amount stays unknown only if no other scenario adds its 0.
+        amount = F.when(organic == scenarios, F.col(name)).otherwise(F.coalesce(name, F.lit(0)))
+        return (amount * organic * new_copies).alias(f"organic_{name}")
+
     facts = rows.select(
         "transaction_year",
         "member_id",
         "parent_order_id",
         EFFECTIVE,
-        organic.alias("organic"),
-        (organic & (F.col("via") == "wmp")).alias("wmp"),
-        (organic & (F.col("via") == "lcs")).alias("lcs"),
+        (organic > 0).alias("organic"),
+        ((organic > 0) & (F.col("via") == "wmp")).alias("wmp"),
+        ((organic > 0) & (F.col("via") == "lcs")).alias("lcs"),
         F.col("new_copies").isNotNull().alias("new"),
-        *[(F.col(name) * repeats).alias(name) for name in sums],
-        *[
-            F.when(organic, F.col(name) * repeats).otherwise(0).alias(f"organic_{name}")
-            for name in sums
-        ],
+        *[(F.col(name) * scenarios * new_copies).alias(name) for name in sums],
+        *[organic_part(name) for name in sums],
     )
     effective, new = F.col(EFFECTIVE), F.col("new")
     yearly = (

@@ -130,7 +130,7 @@ def revisit_gaps(log: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _bought_in_year(member_years: DataFrame, member_order: DataFrame) -> DataFrame:
-    """Member-years with a 0/1 flag: a qualifying purchase in the same year."""
+    """Adds a 0/1 flag: a qualifying purchase of the member in the same year."""
     bought = purchase_years(member_order).withColumn("bought", F.lit(1))
     return member_years.join(bought, ["member_detail_id", "visit_year"], "left").withColumn(
         "bought", F.coalesce("bought", F.lit(0))
@@ -155,31 +155,37 @@ def page_penetration(log: DataFrame, member_order: DataFrame, member: DataFrame)
     """Share of visitors that saw a page type, buyers against others.
 
     The flag belongs to the member: a purchase in any year with a visit sets it for all
-    years. Cells without a channel get no denominator.
+    years. Cells without a channel get no denominator. The log is read once: windows
+    over a member's few (year, page type) rows find the flag and mark one row per year,
+    and the marked rows add up to the members of a cell.
     """
     pages = log.select(
         "member_detail_id", F.year("event_time").alias("visit_year"), "page_type"
     ).distinct()
-    years = pages.select("member_detail_id", "visit_year").distinct()
-    profile = (
-        _bought_in_year(years, member_order)
-        .groupBy("member_detail_id")
-        .agg(F.max("bought").alias("YTD_converted"))
-        .join(channels(member), "member_detail_id", "left")
-        .distinct()
+    of_member = Window.partitionBy("member_detail_id")
+    of_year = Window.partitionBy("member_detail_id", "visit_year").orderBy("page_type")
+    known = F.when(F.col("member_detail_id").isNotNull(), F.max("bought").over(of_member))
+    seen = (
+        _bought_in_year(pages, member_order)
+        .withColumn("YTD_converted", known)
+        .withColumn("first_of_year", F.row_number().over(of_year) == 1)
     )
     cell = ["visit_year", "YTD_converted", "eff_reg_channel"]
-
-    def count_members(seen: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return (
-            seen.join(profile, "member_detail_id", "left")
-            .groupBy(*keys)
-            .agg(F.count("member_detail_id").alias(name))
+    marked = F.when(F.col("first_of_year"), F.col("member_detail_id"))
+    counts = (
+        seen.join(channels(member), "member_detail_id", "left")
+        .groupBy(*cell, "page_type", "member_detail_id")
+        .agg(F.max(marked).alias("marked"))
+        .groupBy(*cell, "page_type")
+        .agg(
+            F.count("member_detail_id").alias("member_count"), F.count("marked").alias("marked")
         )
-
-    on_page = count_members(pages, [*cell, "page_type"], "member_count")
-    in_cell = count_members(years, cell, "ttl_member_count")
-    return on_page.join(in_cell, cell, "left").select(
+    )
+    in_cell = F.sum("marked").over(Window.partitionBy(*cell))
+    complete = F.col(cell[0]).isNotNull()
+    for column in cell[1:]:
+        complete = complete & F.col(column).isNotNull()
+    return counts.withColumn("ttl_member_count", F.when(complete, in_cell)).select(
         _bigint("visit_year").alias("visit_year"),
         _bigint("YTD_converted").alias("YTD_converted"),
         "eff_reg_channel",

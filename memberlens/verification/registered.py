@@ -12,6 +12,7 @@ from memberlens.functions.labels import LCS
 from memberlens.operators import contacts, identity, orders, purchases, visits
 from memberlens.plans.marts import MARTS, VISIT_LOG
 from memberlens.plans.sales_marts import yearly_sales
+from memberlens.plans.visit_marts import page_penetration
 from memberlens.session import configure
 from memberlens.sources.sample import from_test_data
 from memberlens.sources.tables import Tables
@@ -34,16 +35,16 @@ def _mart_query(mart, as_of: date, load_time: datetime) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = from_test_data(configure(spark), folder)
         if "visit_log" in mart.inputs:
-            tables = tables.with_visit_log(daily_log(tables))
+            tables = tables.with_visit_log(daily_log(tables, mart.build is page_penetration))
         return mart(tables, as_of, load_time)
 
     return run
 
 
-def daily_log(tables: Tables) -> DataFrame:
+def daily_log(tables: Tables, with_pages: bool) -> DataFrame:
     """Stands in for the written visit log: its readers look no closer than the day."""
     return visits.identified_views(
-        **tables.pick("page_view", "identity", "member"), by_day=True
+        **tables.pick("page_view", "identity", "member"), by_day=True, with_pages=with_pages
     )
 
 
