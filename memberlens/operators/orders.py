@@ -57,12 +57,8 @@ def distinct_lines(
     crm_map: DataFrame,
     as_of: date,
     channels: Sequence[str] = ALL_CHANNELS,
-    by_order: bool = True,
 ) -> DataFrame:
-    """Order lines with equal ones merged, as the sales marts add them up.
-
-    The column list decides which lines are equal; ``by_order`` adds the order id.
-    """
+    """Order lines with equal ones merged; the column list decides which are equal."""
     lines = order_line.filter(counts_as_order(as_of, channels)).select(
         F.to_date("order_paid_date").alias("order_paid_date"),
         "source_channel",
@@ -70,7 +66,7 @@ def distinct_lines(
         "sales_qty",
         "is_member_order",
         "order_rrp_amt",
-        *(["parent_order_id"] if by_order else []),
+        "parent_order_id",
         *ID_COLUMNS,
     )
     return with_omni_id(lines, crm_map).distinct()

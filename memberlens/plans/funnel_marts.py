@@ -7,8 +7,6 @@ keeps rows from multiplying and lets one pass answer all counts of a mart.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +32,7 @@ from memberlens.functions.labels import (
     year_label,
 )
 from memberlens.functions.measures import ratio
-from memberlens.operators.contacts import adding_years, still_added
 from memberlens.operators.members import channels, join_year, wmp_registrants
-from memberlens.operators.orders import buying_years
 from memberlens.operators.purchases import first_purchase_days
 
 
@@ -45,14 +41,14 @@ def _flag(condition: Column) -> Column:
     return F.max(F.coalesce(condition, F.lit(False)))
 
 
-def _buyers(
-    order_line: DataFrame, crm_map: DataFrame, as_of: date, *channels: str
-) -> DataFrame:
+def _look_up(buyers: DataFrame) -> DataFrame:
     """Buying years to look up by the text of the member id."""
-    bought = buying_years(order_line, crm_map, as_of, channels)
-    return keyed(
-        bought, F.col("omni_channel_member_id"), "buy_year", F.col("source_channel").alias("bought_at")
-    )
+    at = F.col("source_channel").alias("bought_at")
+    return keyed(buyers, F.col("omni_channel_member_id"), "buy_year", at)
+
+
+def _store_buyers(buyers: DataFrame) -> DataFrame:
+    return _look_up(buyers.filter(F.col("source_channel") == LCS))
 
 
 def days_to_first_purchase(member: DataFrame, member_order: DataFrame) -> DataFrame:
@@ -78,24 +74,19 @@ def days_to_first_purchase(member: DataFrame, member_order: DataFrame) -> DataFr
 
 
 def conversion_by_cohort(
-    member: DataFrame,
-    order_line: DataFrame,
-    crm_map: DataFrame,
-    contact_event: DataFrame,
-    identity: DataFrame,
-    contact_tag: DataFrame,
-    as_of: date,
+    member: DataFrame, buyers: DataFrame, contact_adds: DataFrame
 ) -> DataFrame:
     """Purchases of mini-program registrants, by platform and contact-adding."""
     registrants = wmp_registrants(member, FLOOR_ENGLISH)
-    buyers = _buyers(order_line, crm_map, as_of, LCS, TMALL, DOUYIN, DOUYIN_B2B)
-    adds = adding_years(contact_event, identity, contact_tag, as_of)
-    adders = keyed(adds, int_key("crm_member_id")).distinct().withColumn("added", F.lit(True))
+    adders = (
+        keyed(contact_adds, int_key("crm_member_id")).distinct().withColumn("added", F.lit(True))
+    )
     same_year = F.col("buy_year") == F.col("join_year")
     at = F.col("bought_at")
     members = (
         lookup(
-            spread_nulls(registrants, F.col("member_detail_id"), registrants.columns), buyers
+            spread_nulls(registrants, F.col("member_detail_id"), registrants.columns),
+            _look_up(buyers),
         )
         .groupBy("reg_year", "member_detail_id", SPREAD)
         .agg(
@@ -131,35 +122,20 @@ def _members(condition: Column, member: str = "member_detail_id") -> Column:
 
 
 def recruitment_funnel(
-    member: DataFrame,
-    order_line: DataFrame,
-    crm_map: DataFrame,
-    contact_event: DataFrame,
-    identity: DataFrame,
-    contact_tag: DataFrame,
-    staff_relation: DataFrame,
-    staff: DataFrame,
-    thirdparty_bind: DataFrame,
-    as_of: date,
+    member: DataFrame, buyers: DataFrame, contact_adds: DataFrame, still_added: DataFrame
 ) -> DataFrame:
     """Registered, contact added, still added, bought in store; with ratios.
 
     "Still added" looks at current relations alone and needs no contact-adding event.
     """
     registrants = wmp_registrants(member, FLOOR_ENGLISH)
-    adds = adding_years(contact_event, identity, contact_tag, as_of)
     adders = (
-        keyed(adds, int_key("crm_member_id"), "through_wmp")
+        keyed(contact_adds, int_key("crm_member_id"), "through_wmp")
         .groupBy(SPREAD)
         .agg(F.max("through_wmp").alias("through_wmp"))
     )
-    sides = [
-        adders,
-        still_added(staff_relation, staff, thirdparty_bind),
-        _buyers(order_line, crm_map, as_of, LCS),
-    ]
     joined = spread_nulls(registrants, F.col("member_detail_id"), registrants.columns)
-    for side in sides:
+    for side in [adders, still_added, _store_buyers(buyers)]:
         joined = lookup(joined, side)
     members = joined.groupBy("reg_year", "member_detail_id", SPREAD).agg(
         _flag(F.col("through_wmp").isNotNull()).alias("added"),
@@ -220,29 +196,16 @@ def recruitment_funnel(
 
 
 def contact_adders_by_year(
-    contact_event: DataFrame,
-    identity: DataFrame,
-    contact_tag: DataFrame,
-    staff_relation: DataFrame,
-    staff: DataFrame,
-    thirdparty_bind: DataFrame,
-    member: DataFrame,
-    order_line: DataFrame,
-    crm_map: DataFrame,
-    as_of: date,
+    contact_adds: DataFrame, still_added: DataFrame, member: DataFrame, buyers: DataFrame
 ) -> DataFrame:
     """Contact-adding members per add year, channel and way of adding.
 
     Members are counted by the id's text, so ids that are no number count too, without
     a channel. "Same year" is the year the contact was added.
     """
-    adds = adding_years(contact_event, identity, contact_tag, as_of)
-    joined = spread_nulls(adds, int_text_key("crm_member_id"), adds.columns)
-    for side in [
-        still_added(staff_relation, staff, thirdparty_bind),
-        keyed(channels(member), F.col("member_detail_id"), "eff_reg_channel"),
-        _buyers(order_line, crm_map, as_of, LCS),
-    ]:
+    joined = spread_nulls(contact_adds, int_text_key("crm_member_id"), contact_adds.columns)
+    cohort = keyed(channels(member), F.col("member_detail_id"), "eff_reg_channel")
+    for side in [still_added, cohort, _store_buyers(buyers)]:
         joined = lookup(joined, side)
     keys = ["add_year", "eff_reg_channel", "through_wmp"]
     per_member = joined.groupBy(*keys, "crm_member_id", SPREAD).agg(

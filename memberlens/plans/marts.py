@@ -8,7 +8,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 
-from memberlens.plans import funnel_marts, sales_marts, visit_marts
+from memberlens.plans import funnel_marts, sales_marts, shared, visit_marts
 from memberlens.sources.tables import Tables
 
 
@@ -26,24 +26,18 @@ class Mart:
         self, tables: Tables, as_of: date | None = None, load_time: datetime | None = None
     ) -> DataFrame:
         """The mart as of a day (today if none is given) and a load time (now)."""
+        as_of = as_of or date.today()
         clock = {}
         if self.takes_as_of:
-            clock["as_of"] = as_of or date.today()
+            clock["as_of"] = as_of
         if self.takes_load_time:
             clock["load_time"] = load_time or datetime.now().replace(microsecond=0)
-        frames = tables.pick(*self.inputs)
-        if "visit_log" in frames:
-            frames["log"] = frames.pop("visit_log")
-        return self.build(**frames, **clock)
+        return self.build(**shared.resolve(tables, self.inputs, as_of), **clock)
 
 
-_CONTACTS = ("contact_event", "identity", "contact_tag")
-_RELATIONS = ("staff_relation", "staff", "thirdparty_bind")
-_ORDERS = ("order_line", "crm_map")
-
 # Output table names. The log comes first, eight others read it.
 VISIT_LOG = Mart(
-    "wmp_member_visits_log", visit_marts.visit_log, ("page_view", "identity", "member")
+    "wmp_member_visits_log", visit_marts.member_visits_log, ("page_view", "identity", "member")
 )
 MARTS = [
     VISIT_LOG,
@@ -82,37 +76,33 @@ MARTS = [
     Mart(
         "wmp_member_converted",
         funnel_marts.conversion_by_cohort,
-        ("member", *_ORDERS, *_CONTACTS),
-        takes_as_of=True,
+        ("member", "buyers", "contact_adds"),
     ),
     Mart(
         "wmp_recruit",
         funnel_marts.recruitment_funnel,
-        ("member", *_ORDERS, *_CONTACTS, *_RELATIONS),
-        takes_as_of=True,
+        ("member", "buyers", "contact_adds", "still_added"),
     ),
     Mart(
         "wmp_reg_member_converted_by_transaction_year",
         sales_marts.registrant_sales,
-        (*_ORDERS, "member"),
-        takes_as_of=True,
+        ("lines", "member"),
     ),
     Mart(
         "add_wecom",
         funnel_marts.contact_adders_by_year,
-        (*_CONTACTS, *_RELATIONS, "member", *_ORDERS),
-        takes_as_of=True,
+        ("contact_adds", "still_added", "member", "buyers"),
     ),
     Mart(
         "add_wecom_member_converted_by_transaction_year",
         sales_marts.contact_adder_sales,
-        (*_ORDERS, *_CONTACTS, *_RELATIONS),
+        ("lines", "order_line", "contact_adds", "still_added"),
         takes_as_of=True,
     ),
     Mart(
         "wos_converted_through_wmp_by_transaction_year",
         sales_marts.assistant_sales,
-        (*_ORDERS, "member", "order_scenario"),
+        ("order_line", "crm_map", "member", "order_scenario"),
         takes_as_of=True,
     ),
 ]

@@ -31,13 +31,7 @@ from memberlens.functions.measures import (
     ratio,
     zero_to_null,
 )
-from memberlens.operators.contacts import adding_years, still_added
-from memberlens.operators.orders import (
-    ALL_CHANNELS,
-    counts_as_order,
-    distinct_lines,
-    raw_sales_by_year,
-)
+from memberlens.operators.orders import counts_as_order, raw_sales_by_year
 
 # The payment scene and the order scenario of the assistant mini-program.
 ASSISTANT_PAYMENT = "WOS企微小程序-新场景"
@@ -81,22 +75,19 @@ def _keys(kind: str, flag: str) -> Column:
     return F.count(F.when((F.col("kind") == kind) & F.col(flag), F.col("key")))
 
 
-def yearly_sales(
-    order_line: DataFrame, crm_map: DataFrame, member: DataFrame, as_of: date
-) -> DataFrame:
+def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     """Sales per year and channel, of everybody and of mini-program registrants.
 
-    Equal lines count once. Each line counts towards its platform and towards ``Omni``.
+    ``lines`` are distinct. Each counts towards its platform and towards ``Omni``.
     """
-    money = Money.of(order_line)
+    money = Money.of(lines)
     registrants = (
         keyed(member.filter(F.col("eff_reg_channel") == BRANDWMP), text_key("member_detail_id"))
         .groupBy(SPREAD)
         .agg(F.count("*").alias("copies"))
     )
     orders = (
-        distinct_lines(order_line, crm_map, as_of, ALL_CHANNELS)
-        .groupBy(
+        lines.groupBy(
             F.year("order_paid_date").alias("transaction_year"),
             platform_label().alias("platform"),
             "omni_channel_member_id",
@@ -154,15 +145,13 @@ def yearly_sales(
     )
 
 
-def registrant_sales(
-    order_line: DataFrame, crm_map: DataFrame, member: DataFrame, as_of: date
-) -> DataFrame:
+def registrant_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     """Purchases of mini-program registrants per year and platform, with shares.
 
     A platform without any known amount shows no platform figures; ``Omni`` rows
     compare with all platforms together.
     """
-    sales = yearly_sales(order_line, crm_map, member, as_of).filter("reg_shopper > 0")
+    sales = yearly_sales(lines, member).filter("reg_shopper > 0")
     total = F.col("total_sales")
     known = total.isNotNull() | (F.col("source_channel") == OMNI)
     return sales.select(
@@ -185,30 +174,25 @@ def registrant_sales(
 
 
 def contact_adder_sales(
+    lines: DataFrame,
     order_line: DataFrame,
-    crm_map: DataFrame,
-    contact_event: DataFrame,
-    identity: DataFrame,
-    contact_tag: DataFrame,
-    staff_relation: DataFrame,
-    staff: DataFrame,
-    thirdparty_bind: DataFrame,
+    contact_adds: DataFrame,
+    still_added: DataFrame,
     as_of: date,
 ) -> DataFrame:
     """Store purchases of members who had added a contact by that year.
 
-    An id spelled in several ways (``7``, ``007``) is several adders and repeats the
-    sales of its member; the total is over all lines, equal ones included.
+    Equal lines count once, whatever their order. An id spelled in several ways (``7``,
+    ``007``) is several adders and repeats the sales of its member. The total is over
+    all lines, equal ones included.
     """
-    money = Money.of(order_line)
-    lines = distinct_lines(order_line, crm_map, as_of, [LCS], by_order=False)
-    purchases = lines.groupBy(
+    money = Money.of(lines)
+    bought_in_store = lines.filter(F.col("source_channel") == LCS).drop("parent_order_id")
+    purchases = bought_in_store.distinct().groupBy(
         F.year("order_paid_date").alias("transaction_year"), "omni_channel_member_id"
     ).agg(*money.sums(members_only=True))
-    adders = (
-        adding_years(contact_event, identity, contact_tag, as_of)
-        .groupBy("crm_member_id")
-        .agg(F.min("add_year").alias("first_year"), F.max("through_wmp").alias("by_wmp"))
+    adders = contact_adds.groupBy("crm_member_id").agg(
+        F.min("add_year").alias("first_year"), F.max("through_wmp").alias("by_wmp")
     )
     # All spellings of an id meet here, so counting and joining share one shuffle.
     spelled = (
@@ -227,7 +211,7 @@ def contact_adder_sales(
         .groupBy(SPREAD, "transaction_year", *MEMBER_SALES)
         .agg(F.sum(in_time).alias("adders"), F.sum("wmp_adders").alias("wmp_adders"))
         .filter(F.col("adders") > 0),
-        still_added(staff_relation, staff, thirdparty_bind),
+        still_added,
     )
     repeats = (
         F.col("adders")

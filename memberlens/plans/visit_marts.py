@@ -30,15 +30,15 @@ def _bigint(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("bigint")
 
 
-def visit_log(page_view: DataFrame, identity: DataFrame, member: DataFrame) -> DataFrame:
+def member_visits_log(page_view: DataFrame, identity: DataFrame, member: DataFrame) -> DataFrame:
     """Distinct page views of identified members since they joined."""
     return visits.identified_views(page_view, identity, member)
 
 
-def visitors_by_year(log: DataFrame, member: DataFrame) -> DataFrame:
+def visitors_by_year(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Visiting members per visit year, channel and join year."""
     return (
-        visits.visit_years(log)
+        visits.visit_years(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(
             _bigint("visit_year").alias("visit_wmp_year"), "eff_reg_channel", "join_year"
@@ -47,7 +47,7 @@ def visitors_by_year(log: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def average_visit_days(log: DataFrame, member: DataFrame) -> DataFrame:
+def average_visit_days(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Visit days, visitors and days per visitor.
 
     A member listed twice in the dimension adds its days twice but counts once.
@@ -55,7 +55,7 @@ def average_visit_days(log: DataFrame, member: DataFrame) -> DataFrame:
     days = F.sum("visit_days").cast("double")
     members = F.count_distinct("member_detail_id")
     return (
-        visits.visit_day_counts(log)
+        visits.visit_day_counts(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(_bigint("visit_year").alias("visit_year"), "eff_reg_channel", "join_year")
         .agg(days.alias("ttl_visit_days"), members.alias("visit_member_count"))
@@ -63,10 +63,10 @@ def average_visit_days(log: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def visit_day_distribution(log: DataFrame, member: DataFrame) -> DataFrame:
+def visit_day_distribution(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Members by their number of visit days in the year."""
     return (
-        visits.visit_day_counts(log)
+        visits.visit_day_counts(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(
             _bigint("visit_year").alias("visit_year"),
@@ -78,11 +78,11 @@ def visit_day_distribution(log: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def revisiting_members(log: DataFrame, member: DataFrame) -> DataFrame:
+def revisiting_members(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Visitors, and those with two or more visit days in the year."""
     keys = ["visit_year", "join_year", "eff_reg_channel"]
     per_member = (
-        visits.visit_day_counts(log)
+        visits.visit_day_counts(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(*keys, "member_detail_id")
         .agg(F.max("visit_days").alias("visit_days"))
@@ -97,14 +97,14 @@ def revisiting_members(log: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def revisit_gaps(log: DataFrame, member: DataFrame) -> DataFrame:
+def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Days between the first and second visit day of a member's year.
 
     A member with several labels has one row per day and label; the rows order by day,
     then label, and a gap of 0 has no bucket.
     """
     labelled = (
-        visits.visit_days(log)
+        visits.visit_days(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .withColumn("visit_year", F.year("visit_date"))
         .distinct()
@@ -137,10 +137,10 @@ def _bought_in_year(member_years: DataFrame, member_order: DataFrame) -> DataFra
     )
 
 
-def same_year_buyers(log: DataFrame, member_order: DataFrame, member: DataFrame) -> DataFrame:
+def same_year_buyers(visit_log: DataFrame, member_order: DataFrame, member: DataFrame) -> DataFrame:
     """Visitors by whether they bought in the year of the visit."""
     return (
-        _bought_in_year(visits.visit_years(log), member_order)
+        _bought_in_year(visits.visit_years(visit_log), member_order)
         .join(channels(member), "member_detail_id", "left")
         .groupBy(
             _bigint("visit_year").alias("visit_year"),
@@ -151,7 +151,7 @@ def same_year_buyers(log: DataFrame, member_order: DataFrame, member: DataFrame)
     )
 
 
-def page_penetration(log: DataFrame, member_order: DataFrame, member: DataFrame) -> DataFrame:
+def page_penetration(visit_log: DataFrame, member_order: DataFrame, member: DataFrame) -> DataFrame:
     """Share of visitors that saw a page type, buyers against others.
 
     The flag belongs to the member: a purchase in any year with a visit sets it for all
@@ -159,7 +159,7 @@ def page_penetration(log: DataFrame, member_order: DataFrame, member: DataFrame)
     over a member's few (year, page type) rows find the flag and mark one row per year,
     and the marked rows add up to the members of a cell.
     """
-    pages = log.select(
+    pages = visit_log.select(
         "member_detail_id", F.year("event_time").alias("visit_year"), "page_type"
     ).distinct()
     of_member = Window.partitionBy("member_detail_id")
@@ -197,7 +197,7 @@ def page_penetration(log: DataFrame, member_order: DataFrame, member: DataFrame)
 
 
 def registered_and_visited(
-    log: DataFrame, member: DataFrame, ec_history: DataFrame, load_time: datetime
+    visit_log: DataFrame, member: DataFrame, ec_history: DataFrame, load_time: datetime
 ) -> DataFrame:
     """Members registered to date per channel, and those that ever visited."""
     registered = member.groupBy(channel_label().alias("eff_reg_channel")).agg(
@@ -227,7 +227,7 @@ def registered_and_visited(
         .agg(F.sum("member_count").alias("reg_member_count"))
     )
     visited = (
-        log.select("member_detail_id")
+        visit_log.select("member_detail_id")
         .distinct()
         .join(channels(member), "member_detail_id", "left")
         .groupBy("eff_reg_channel")

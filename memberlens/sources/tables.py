@@ -52,33 +52,33 @@ COLUMNS = {
 }
 
 
-VISIT_LOG = "visit_log"
-
-
 class Tables:
-    """Inputs by role, opened when first asked for.
+    """Tables by role, opened when first asked for.
 
-    ``visit_log`` is not an input of the warehouse: it is the written log that eight
-    marts read, added with :meth:`with_visit_log`.
+    Besides the inputs, a role may name a table that a run has written: the visit log,
+    or a block that several marts share.
     """
 
     def __init__(self, open_role: Callable[[str], DataFrame]):
         self._open = open_role
         self._opened: dict[str, DataFrame] = {}
 
+    def __contains__(self, role: str) -> bool:
+        return role in self._opened or role in SOURCE_TABLES
+
     def __getitem__(self, role: str) -> DataFrame:
+        if role not in self:
+            raise KeyError(f"no table '{role}'")
         if role not in self._opened:
-            if role not in SOURCE_TABLES:
-                raise KeyError(f"no input '{role}'")
             self._opened[role] = self._open(role)
         return self._opened[role]
 
     def pick(self, *roles: str) -> dict[str, DataFrame]:
         return {role: self[role] for role in roles}
 
-    def with_visit_log(self, log: DataFrame) -> Tables:
+    def with_table(self, role: str, table: DataFrame) -> Tables:
         tables = Tables(self._open)
-        tables._opened = {**self._opened, VISIT_LOG: log}
+        tables._opened = {**self._opened, role: table}
         return tables
 
 

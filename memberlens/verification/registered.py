@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memberlens.functions.labels import LCS
 from memberlens.operators import contacts, identity, orders, purchases, visits
-from memberlens.plans.marts import MARTS, VISIT_LOG
+from memberlens.plans.marts import MARTS
 from memberlens.plans.sales_marts import yearly_sales
 from memberlens.plans.visit_marts import page_penetration
 from memberlens.session import configure
@@ -21,21 +21,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries(as_of: date, load_time: datetime) -> dict[str, Query]:
-    result = {_name(mart): _mart_query(mart, as_of, load_time) for mart in MARTS}
+    result = {mart.build.__name__: _mart_query(mart, as_of, load_time) for mart in MARTS}
     for name, block in _blocks(as_of).items():
         result[f"block_{name}"] = _block_query(block)
     return result
 
 
-def _name(mart) -> str:
-    return "member_visits_log" if mart is VISIT_LOG else mart.build.__name__
-
-
 def _mart_query(mart, as_of: date, load_time: datetime) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = from_test_data(configure(spark), folder)
         if "visit_log" in mart.inputs:
-            tables = tables.with_visit_log(daily_log(tables, mart.build is page_penetration))
+            tables = tables.with_table(
+                "visit_log", daily_log(tables, mart.build is page_penetration)
+            )
         return mart(tables, as_of, load_time)
 
     return run
@@ -74,8 +72,8 @@ def _blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
         )
 
     def platform_totals(t: Tables) -> DataFrame:
-        sales = yearly_sales(**t.pick("order_line", "crm_map", "member"), as_of=as_of)
-        return sales.select(
+        lines = orders.distinct_lines(t["order_line"], t["crm_map"], as_of)
+        return yearly_sales(lines, t["member"]).select(
             F.col("transaction_year").cast("bigint").alias("transaction_year"),
             "source_channel",
             F.col("total_sales").cast("double").alias("total_sales"),
