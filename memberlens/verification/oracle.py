@@ -22,18 +22,20 @@ INPUTS = """
                    AS distributor_name,
                status <> 'P' AS if_eff_order_tag
         FROM ord),
-    good AS (
+    counted AS (
         SELECT * FROM sales
         WHERE is_rrp_sales_type = 1 AND distributor_name <> 'LBR' AND if_eff_order_tag),
     first_order AS (
-        SELECT k FROM good
+        SELECT k FROM counted
         QUALIFY row_number() OVER (PARTITION BY crm_member_id ORDER BY date_id, k) = 1),
     member_order AS (
-        SELECT sales.*, k IN (SELECT k FROM first_order) AS is_first FROM sales),
+        SELECT *, CASE WHEN k IN (FROM first_order) THEN '会员生命周期首单' ELSE 'repeat' END
+                      AS initial_vs_repurchase_lifecycle
+        FROM sales),
     joined AS (
         SELECT k, segment,
                coalesce(
-                   (SELECT min(date_id) FROM good WHERE crm_member_id = cus.k::VARCHAR)
+                   (SELECT min(date_id) FROM counted WHERE crm_member_id = cus.k::VARCHAR)
                    - [0, 5, 10, 20, 60, 120, 300, 361, 500, -4, 1, NULL][k % 12 + 1],
                    DATE '2023-06-01' + (k % 700)::INTEGER) AS joined_on
         FROM cus),
@@ -102,36 +104,39 @@ INPUTS = """
         UNION ALL SELECT 'g' || user_id, ts, event_type FROM events),
     contact_tag AS (
         SELECT CASE WHEN k % 7 <> 0 THEN 'u' || k END AS union_id,
-               CASE k % 3 WHEN 0 THEN '乐高小程序' WHEN 1 THEN 'other' END AS source
+               CASE k % 3 WHEN 0 THEN '乐高小程序' WHEN 1 THEN 'other' END
+                   AS wecom_channel_source
         FROM cus
         UNION ALL
         SELECT CASE WHEN k % 7 <> 0 THEN 'u' || k END, '乐高小程序' FROM cus WHERE k % 21 = 1),
     staff_relation AS (
-        SELECT 'u' || k AS union_id, k % (SELECT count(*) FROM supplier) AS staff_ext_id,
+        SELECT 'u' || k AS external_user_unionid, k % (SELECT count(*) FROM supplier) AS staff_ext_id,
                TIMESTAMP '2024-01-01' AS relation_created_at, k % 2 AS relation_source,
                CASE WHEN k % 2 <> 0 OR k % 5 = 0 THEN 1 ELSE 0 END AS relation_deleted
         FROM cus),
     staff AS (
         SELECT s_suppkey AS staff_ext_id, s_name AS staff_name,
-               CASE WHEN s_suppkey % 10 <> 4 THEN 'store' || s_suppkey END AS store_code,
-               'Store ' || s_suppkey AS store_name, s_nationkey::VARCHAR AS region
+               CASE WHEN s_suppkey % 10 <> 4 THEN 'store' || s_suppkey END AS lego_store_code,
+               'Store ' || s_suppkey AS store_name, 'D1' AS distributor, 'P1' AS partner,
+               s_nationkey::VARCHAR AS region, 'LCS' AS channel
         FROM supplier),
-    bind AS (
+    thirdparty_bind AS (
         SELECT CASE WHEN k % 13 = 0 THEN 'openId' ELSE 'unionId' END AS id_type,
-               CASE WHEN k % 17 = 0 THEN 3 ELSE 4 END AS app, 'u' || k AS id_value,
+               CASE WHEN k % 17 = 0 THEN 3 ELSE 4 END AS thirdparty_app_id, 'u' || k AS id_value,
                k::VARCHAR AS member_detail_id
         FROM cus),
     ec_history AS (
-        SELECT CASE WHEN k % 2 = 0 THEN 'BRANDEC' ELSE 'DOUYIN' END AS eff_reg_channel,
+        SELECT 'registerOrBind' AS belong_type,
+               CASE WHEN k % 2 = 0 THEN 'TMall' ELSE 'Douyin' END AS eff_belong_channel,
                CASE WHEN k % 3 = 0 THEN k::VARCHAR END AS member_detail_id,
-               'p' || (k % 50) AS platform_id
+               'p' || (k % 50) AS platform_id_value
         FROM cus),
-    scenario AS (
-        SELECT k AS order_id,
+    order_scenario AS (
+        SELECT k AS parent_order_id,
                CASE WHEN k % 7 = 0 THEN NULL WHEN k % 4 = 0 THEN 'Organic' ELSE 'Staff' END
-                   AS scenario
+                   AS order_scenario
         FROM ord
-        UNION SELECT k, 'Staff' FROM ord WHERE k % 16 = 0)
+        UNION ALL SELECT k, 'Staff' FROM ord WHERE k % 16 = 0)
 """
 
 BLOCKS = """
@@ -160,13 +165,21 @@ BLOCKS = """
         SELECT member_detail_id, year(event_time) AS visit_year,
                count(DISTINCT event_time::DATE) AS days
         FROM log GROUP BY ALL),
+    good AS (
+        SELECT * FROM member_order
+        WHERE is_rrp_sales_type = 1 AND distributor_name <> 'LBR' AND if_eff_order_tag),
     bought AS (
         SELECT DISTINCT try_cast(crm_member_id AS BIGINT) AS member_detail_id,
-               year(date_id) AS bought_year FROM good),
+               year(date_id) AS bought_year FROM good
+        WHERE try_cast(crm_member_id AS BIGINT) IS NOT NULL),
     valid AS (
         SELECT *, order_paid_date::DATE AS paid, year(order_paid_date) AS y,
                CASE WHEN source_channel IN ('DOUYIN', 'DOUYIN_B2B') THEN 'DOUYIN'
-                    ELSE source_channel END AS platform
+                    ELSE source_channel END AS platform,
+               CASE WHEN sales_qty > 0 THEN order_rrp_amt ELSE 0 END AS sold,
+               CASE WHEN sales_qty < 0 THEN abs(order_rrp_amt) ELSE 0 END AS back,
+               CASE WHEN is_member_order THEN sold ELSE 0 END AS m_sold,
+               CASE WHEN is_member_order THEN back ELSE 0 END AS m_back
         FROM order_line
         WHERE order_paid_date::DATE < DATE '{as_of}'
           AND CASE WHEN source_channel = 'LCS' THEN sales_type <> 3
@@ -182,17 +195,15 @@ BLOCKS = """
         WHERE if_eff_order_tag AND omni IS NOT NULL),
     lines AS (
         SELECT DISTINCT paid, source_channel, omni, if_eff_order_tag, sales_qty,
-               is_member_order, order_rrp_amt, parent_order_id, platform, y
+               is_member_order, order_rrp_amt, parent_order_id, platform, y,
+               sold, back, m_sold, m_back
         FROM resolved),
-    net_lines AS (
-        SELECT *, CASE WHEN sales_qty > 0 THEN order_rrp_amt
-                       WHEN sales_qty < 0 THEN -abs(order_rrp_amt) ELSE 0 END AS net
-        FROM lines),
     adds AS (
         SELECT event_key, make_timestamp(event_time * 1000000) AS event_time, attributes,
                contact_event.gio_id, prop_value AS crm_member_id,
                try_cast(prop_value AS BIGINT) AS crm_key,
-               json_attr(attributes, 'unionId') AS union_id, source
+               json_attr(attributes, 'unionId') AS union_id,
+               wecom_channel_source AS source
         FROM contact_event
         LEFT JOIN identity
           ON identity.gio_id = contact_event.gio_id AND prop_key = 'id_CRM_memberid'
@@ -200,11 +211,15 @@ BLOCKS = """
         WHERE event_key = 'external_user_add'
           AND make_timestamp(event_time * 1000000) < TIMESTAMP '{as_of}'),
     relations AS (
-        SELECT staff_relation.*, staff.* EXCLUDE (staff_ext_id), bind.member_detail_id,
-               try_cast(bind.member_detail_id AS BIGINT) AS still_key
+        SELECT staff_relation.*, staff.* EXCLUDE (staff_ext_id), b.member_detail_id,
+               try_cast(b.member_detail_id AS BIGINT) AS still_key
         FROM staff_relation JOIN staff USING (staff_ext_id)
-        LEFT JOIN bind ON id_value = union_id AND id_type = 'unionId' AND app = 4
-        WHERE store_code IS NOT NULL AND relation_deleted = 0)
+        LEFT JOIN thirdparty_bind b ON id_value = external_user_unionid
+              AND id_type = 'unionId' AND thirdparty_app_id = 4
+        WHERE lego_store_code IS NOT NULL AND relation_deleted = 0),
+    scenario AS (
+        SELECT DISTINCT parent_order_id::VARCHAR AS order_id, order_scenario AS scenario
+        FROM order_scenario)
 """
 
 # DuckDB raises on invalid JSON, so each use tests the text first.
@@ -282,10 +297,15 @@ QUERIES = {
         FROM page LEFT JOIN cells USING (visit_year, bought_once, eff_reg_channel)""",
     "registered_and_visited": """
         , registered AS (
-            SELECT eff_reg_channel, count(*) AS n FROM dim GROUP BY ALL
+            SELECT CASE WHEN contains(eff_reg_channel, 'LCS') THEN 'LCS'
+                        ELSE eff_reg_channel END AS eff_reg_channel,
+                   count(member_detail_id) AS n
+            FROM member GROUP BY ALL
             UNION ALL
-            SELECT eff_reg_channel, count(DISTINCT platform_id)
-                       FILTER (member_detail_id IS NULL) FROM ec_history GROUP BY ALL),
+            SELECT label, (SELECT count(DISTINCT platform_id_value) FROM ec_history
+                           WHERE member_detail_id IS NULL AND belong_type = 'registerOrBind'
+                             AND eff_belong_channel = origin)
+            FROM (VALUES ('BRANDEC', 'TMall'), ('DOUYIN', 'Douyin')) v(label, origin)),
         visited AS (
             SELECT eff_reg_channel, count(DISTINCT member_detail_id) AS n FROM dim
             WHERE member_detail_id IN (SELECT member_detail_id FROM log) GROUP BY ALL)
@@ -299,10 +319,12 @@ QUERIES = {
         , gaps AS (
             SELECT m.member_detail_id, year(join_time) AS joined,
                    date_diff('day', join_time::DATE, date_id) AS gap
-            FROM member m LEFT JOIN (FROM good SEMI JOIN first_order USING (k)) f
+            FROM member m LEFT JOIN (
+                FROM good WHERE initial_vs_repurchase_lifecycle = '会员生命周期首单') f
               ON try_cast(f.crm_member_id AS BIGINT) = try_cast(m.member_detail_id AS BIGINT)
             WHERE contains(eff_reg_channel, 'WMP'))
-        SELECT CASE WHEN joined > 2022 THEN joined::VARCHAR ELSE '2022及以前' END AS reg_year,
+        SELECT CASE WHEN joined > 2022 THEN joined::VARCHAR
+                    WHEN joined <= 2022 THEN '2022及以前' END AS reg_year,
                CASE WHEN gap < 0 OR gap = 361 OR gap IS NULL THEN '未转化'
                     WHEN gap < 1 THEN '1 - 当天转化' WHEN gap < 8 THEN '2 - 1-7天转化'
                     WHEN gap < 15 THEN '3 - 8-14天转化' WHEN gap < 31 THEN '4 - 15-30'
@@ -315,7 +337,7 @@ QUERIES = {
         , r AS (
             SELECT m.member_detail_id AS id,
                    CASE WHEN year(join_time) > 2022 THEN year(join_time)::VARCHAR
-                        ELSE '2022 and before' END AS reg_year,
+                        WHEN year(join_time) <= 2022 THEN '2022 and before' END AS reg_year,
                    id IN (SELECT omni FROM buyers) AS ltd,
                    EXISTS (FROM buyers WHERE omni = id AND y = year(join_time)) AS ytd,
                    EXISTS (FROM buyers WHERE omni = id AND y = year(join_time)
@@ -342,7 +364,7 @@ QUERIES = {
         , r AS (
             SELECT m.member_detail_id AS id,
                    CASE WHEN year(join_time) > 2022 THEN year(join_time)::VARCHAR
-                        ELSE '2022 and before' END AS reg_year,
+                        WHEN year(join_time) <= 2022 THEN '2022 and before' END AS reg_year,
                    EXISTS (FROM adds WHERE crm_key::VARCHAR = id) AS a,
                    EXISTS (FROM adds WHERE crm_key::VARCHAR = id AND source = '乐高小程序') AS w,
                    EXISTS (FROM relations WHERE still_key::VARCHAR = id) AS s,
@@ -378,18 +400,18 @@ QUERIES = {
     "registrant_sales": """
         , wmp AS (SELECT member_detail_id AS omni FROM member WHERE eff_reg_channel = 'BRANDWMP'),
         tally AS (
-            SELECT *, platform AS channel FROM net_lines
-            UNION ALL SELECT *, 'Omni' FROM net_lines),
+            SELECT *, platform AS channel FROM lines
+            UNION ALL SELECT *, 'Omni' FROM lines),
         mine AS (
             SELECT y, channel, count(DISTINCT omni) AS shoppers,
-                   coalesce(sum(net) FILTER (is_member_order), 0) AS sales,
+                   sum(m_sold) - sum(m_back) AS sales,
                    count(DISTINCT parent_order_id)
                        FILTER (is_member_order AND if_eff_order_tag) AS orders
             FROM tally JOIN wmp USING (omni) GROUP BY ALL),
         total AS (
-            SELECT y, channel, sum(net) AS sales,
+            SELECT y, channel, sum(sold) - sum(back) AS sales,
                    count(DISTINCT omni) FILTER (is_member_order) AS shoppers,
-                   coalesce(sum(net) FILTER (is_member_order), 0) AS member_sales,
+                   sum(m_sold) - sum(m_back) AS member_sales,
                    count(DISTINCT parent_order_id)
                        FILTER (is_member_order AND if_eff_order_tag) AS orders
             FROM tally GROUP BY ALL)
@@ -401,8 +423,12 @@ QUERIES = {
                total.sales::DOUBLE AS "YTD_platform_TTL",
                mine.sales::DOUBLE / nullif(total.sales, 0)::DOUBLE
                    AS "sales_share_of_YTD_platform_TTL",
-               total.orders::DOUBLE / nullif(total.shoppers, 0) AS "YTD_platform_frequency",
-               total.member_sales::DOUBLE / nullif(total.orders, 0) AS "YTD_platform_atv"
+               CASE WHEN channel = 'Omni' OR total.sales IS NOT NULL
+                    THEN total.orders::DOUBLE / nullif(total.shoppers, 0) END
+                   AS "YTD_platform_frequency",
+               CASE WHEN channel = 'Omni' OR total.sales IS NOT NULL
+                    THEN total.member_sales::DOUBLE / nullif(total.orders, 0) END
+                   AS "YTD_platform_atv"
         FROM mine JOIN total USING (y, channel)""",
     "contact_adders_by_year": """
         , a AS (
@@ -427,7 +453,7 @@ QUERIES = {
     "contact_adder_sales": """
         , one AS (
             SELECT DISTINCT y, paid, omni, if_eff_order_tag, sales_qty, is_member_order,
-                   order_rrp_amt
+                   order_rrp_amt, m_sold, m_back
             FROM lines WHERE source_channel = 'LCS'),
         adder AS (
             SELECT crm_member_id, crm_key::VARCHAR AS omni, min(year(event_time)) AS since
@@ -440,14 +466,13 @@ QUERIES = {
         mine AS (
             SELECT y, (still.omni IS NOT NULL)::BIGINT AS s, (by_wmp.omni IS NOT NULL)::BIGINT AS w,
                    count(DISTINCT one.omni) AS shoppers,
-                   sum(CASE WHEN NOT is_member_order THEN 0 ELSE
-                           sign(sales_qty) * abs(order_rrp_amt) END)::DECIMAL(38, 2) AS sales
+                   sum(m_sold) - sum(m_back) AS sales
             FROM one JOIN adder ON adder.omni = one.omni AND since <= y
             LEFT JOIN by_wmp ON by_wmp.omni = one.omni
             LEFT JOIN still ON still.omni = one.omni
             GROUP BY ALL),
         total AS (
-            SELECT y, sum(sign(sales_qty) * abs(order_rrp_amt))::DECIMAL(38, 2) AS sales
+            SELECT y, sum(sold) - sum(back) AS sales
             FROM valid WHERE source_channel = 'LCS' GROUP BY ALL)
         SELECT y AS transaction_year, 'LCS' AS source_channel, s AS if_still_added_wecom,
                w AS if_added_wecom_through_wmp, shoppers AS member_shopper,
@@ -463,22 +488,23 @@ QUERIES = {
         t AS (
             SELECT y, mapped, parent_order_id AS o, scenario IS NOT DISTINCT FROM 'Organic' AS org,
                    raw_channel = 'BRANDWMP' AS wmp, contains(raw_channel, 'LCS') AS lcs,
-                   newcomer.id IS NOT NULL AS new, is_member_order AS mem,
+                   newcomer.id IS NOT NULL AS new,
                    is_member_order AND if_eff_order_tag AS me,
-                   CASE WHEN sales_qty > 0 THEN order_rrp_amt
-                        WHEN sales_qty < 0 THEN -abs(order_rrp_amt) ELSE 0 END AS net
+                   sold, back, m_sold, m_back
             FROM resolved
             LEFT JOIN dim ON dim.member_detail_id = try_cast(crm_member_detail_id AS BIGINT)
-            LEFT JOIN scenario ON order_id = original_order_id
+            LEFT JOIN scenario ON order_id = original_order_id::VARCHAR
             LEFT JOIN newcomer ON newcomer.id = mapped
             WHERE source_channel = 'LCS' AND payment_type = 'WOS企微小程序-新场景'),
         n AS (
             SELECT y, count(DISTINCT mapped) FILTER (me) AS shoppers,
-                   coalesce(sum(net) FILTER (mem), 0) AS sales, sum(net) AS all_sales,
+                   sum(m_sold) - sum(m_back) AS sales, sum(sold) - sum(back) AS all_sales,
                    count(DISTINCT o) FILTER (me) AS orders,
                    count(DISTINCT mapped) FILTER (me AND org) AS org_shoppers,
-                   coalesce(sum(net) FILTER (mem AND org), 0) AS org_sales,
-                   coalesce(sum(net) FILTER (org), 0) AS org_all_sales,
+                   sum(CASE WHEN org THEN m_sold ELSE 0 END)
+                       - sum(CASE WHEN org THEN m_back ELSE 0 END) AS org_sales,
+                   sum(CASE WHEN org THEN sold ELSE 0 END)
+                       - sum(CASE WHEN org THEN back ELSE 0 END) AS org_all_sales,
                    count(DISTINCT o) FILTER (me AND org) AS org_orders,
                    count(DISTINCT mapped) FILTER (me AND org AND wmp) AS wmp,
                    count(DISTINCT mapped) FILTER (me AND org AND lcs) AS lcs,
@@ -509,9 +535,9 @@ QUERIES = {
                crm_member_id, source AS latest_wecom_channel_source
         FROM adds""",
     "block_current_relations": """
-        SELECT member_detail_id, union_id AS external_user_unionid, staff_ext_id, staff_name,
-               store_code AS lego_store_code, store_name, 'D1' AS distributor, 'P1' AS partner,
-               region, 'LCS' AS channel, relation_created_at,
+        SELECT member_detail_id, external_user_unionid, staff_ext_id, staff_name,
+               lego_store_code, store_name, distributor, partner, region, channel,
+               relation_created_at,
                relation_source::BIGINT AS created_type, relation_deleted::BIGINT AS relation_deleted
         FROM relations""",
     "block_omni_member_ids": """
@@ -534,24 +560,28 @@ QUERIES = {
             SELECT *, platform AS channel FROM net_lines
             UNION ALL SELECT *, 'Omni' FROM net_lines)
         SELECT y AS transaction_year, channel AS source_channel,
-               sum(net)::DOUBLE AS total_sales,
+               (sum(sold) - sum(back))::DOUBLE AS total_sales,
                count(DISTINCT omni) FILTER (is_member_order) AS member_shopper,
-               (coalesce(sum(net) FILTER (is_member_order), 0))::DOUBLE AS member_sales,
+               (sum(m_sold) - sum(m_back))::DOUBLE AS member_sales,
                count(DISTINCT parent_order_id) FILTER (is_member_order AND if_eff_order_tag)
                    AS transactions
         FROM tally GROUP BY ALL""",
     "block_raw_lcs_totals": """
         SELECT y AS transaction_year,
-               sum(sign(sales_qty) * abs(order_rrp_amt))::DECIMAL(38, 2)::DOUBLE AS total_sales
+               (sum(sold) - sum(back))::DOUBLE AS total_sales
         FROM valid WHERE source_channel = 'LCS' GROUP BY ALL""",
 }
 
 
-def statements(as_of: date, load_time: datetime) -> dict[str, str]:
+def statements(
+    as_of: date, load_time: datetime, inputs: str | None = INPUTS
+) -> dict[str, str]:
+    """One statement per query; without ``inputs`` over tables named by input role."""
     clock = {"{as_of}": as_of.isoformat(), "{load_time}": load_time.isoformat(sep=" ")}
+    tables = f"{inputs}, {BLOCKS}" if inputs else BLOCKS
 
     def complete(select: str) -> str:
-        text = f"WITH {INPUTS}, {BLOCKS} {select}"
+        text = f"WITH {tables} {select}"
         for name, value in clock.items():
             text = text.replace(name, value)
         for field in ["unionId", "store_codes", "external_userId", "add_way", "code_name"]:
