@@ -42,8 +42,10 @@ def spread_nulls(df: DataFrame, key: Column, by: list[str]) -> DataFrame:
 def keyed(df: DataFrame, key: Column, *columns: str | Column) -> DataFrame:
     """The right-hand side of a lookup against :func:`spread_nulls`.
 
-    A side that is grouped should be grouped by this key, which also places it for the
-    lookup. Rows without a key match nothing and are left out.
+    Rows without a key match nothing and are left out. A side grouped by this key is
+    placed for the lookup already, which saves a shuffle; but adaptive execution splits
+    a hot key only if both sides come straight from a shuffle, so where the left-hand
+    rows per key are not bounded, group by the plain id first and key the result.
     """
     return df.filter(key.isNotNull()).select(F.concat(F.lit("="), key.cast("string")).alias(SPREAD), *columns)
 

@@ -31,27 +31,25 @@ def refresh_marts(
     """
     as_of = as_of or date.today()
     chosen = [BY_TABLE[name] for name in only] or MARTS
-    work = FolderSink(spark, _work_folder(spark, sink))
-    written = []
-
-    def keep(role: str, rows) -> None:
-        nonlocal tables
-        tables = tables.with_table(role, work.refresh(role, rows))
-        written.append(role)
+    uses = [role for mart in chosen for role in mart.inputs]
+    repeated = [role for role in shared.BLOCKS if uses.count(role) > 1]
+    work = None
+    if repeated or "visit_log" in uses:
+        work = FolderSink(spark, _work_folder(spark, sink))
 
     if VISIT_LOG in chosen:
         sink.refresh(VISIT_LOG.table, VISIT_LOG(tables, as_of, load_time))
-    uses = [role for mart in chosen for role in mart.inputs]
     if "visit_log" in uses:
-        keep("visit_log", shared.by_day(sink.read(VISIT_LOG.table)))
-    for role, build in shared.BLOCKS.items():
-        if uses.count(role) > 1:
-            keep(role, build(tables, as_of))
+        log = shared.by_day(sink.read(VISIT_LOG.table))
+        tables = tables.with_table("visit_log", work.refresh("visit_log", log))
+    for role in repeated:
+        block = shared.BLOCKS[role](tables, as_of)
+        tables = tables.with_table(role, work.refresh(role, block))
     for mart in chosen:
         if mart is not VISIT_LOG:
             sink.refresh(mart.table, mart(tables, as_of, load_time))
-    for role in written:
-        work.drop(role)
+    if work:
+        work.remove()
     return [mart.table for mart in chosen]
 
 

@@ -128,18 +128,16 @@ def still_added(
 
     ``still_copies`` is how many spellings of the id have one.
     """
-    store_staff = (
-        staff.filter(F.col("lego_store_code").isNotNull()).select("staff_ext_id").distinct()
-    )
+    store_staff = staff.filter(F.col("lego_store_code").isNotNull()).select("staff_ext_id")
     union_ids = (
         staff_relation.filter(F.col("relation_deleted") == 0)
         .join(store_staff, "staff_ext_id", "left_semi")
-        .select(F.col("external_user_unionid").alias("id_value"))
+        .select("external_user_unionid")
         .distinct()
     )
     members = (
-        _bindings(thirdparty_bind)
-        .join(union_ids, "id_value")
+        keyed(_bindings(thirdparty_bind), F.col("id_value"), "member_detail_id")
+        .join(keyed(union_ids, F.col("external_user_unionid")), SPREAD)
         .select("member_detail_id")
         .distinct()
     )

@@ -1,4 +1,8 @@
-"""Views of the member dimension."""
+"""Views of the member dimension.
+
+All are merged to distinct rows before they are joined, so that a member listed very
+often does not multiply the rows of a join.
+"""
 
 from __future__ import annotations
 
@@ -16,32 +20,47 @@ def join_year() -> Column:
 def cohorts(member: DataFrame, floor_text: str) -> DataFrame:
     """Reporting channel and join-year label by numeric member id.
 
-    One row per dimension row: a repeated member keeps all its labels.
+    A repeated member keeps each of its labels once, with the number of dimension rows.
     """
-    return member.select(
-        int_key("member_detail_id").alias("member_detail_id"),
-        channel_label().alias("eff_reg_channel"),
-        year_label(join_year(), floor_text).alias("join_year"),
+    return (
+        _known(member)
+        .groupBy(
+            "member_detail_id",
+            channel_label().alias("eff_reg_channel"),
+            year_label(join_year(), floor_text).alias("join_year"),
+        )
+        .agg(F.count("*").alias("copies"))
     )
 
 
 def channels(member: DataFrame) -> DataFrame:
-    return member.select(
-        int_key("member_detail_id").alias("member_detail_id"),
-        channel_label().alias("eff_reg_channel"),
-    )
+    """Distinct (numeric member id, reporting channel)."""
+    label = channel_label().alias("eff_reg_channel")
+    return _known(member).select("member_detail_id", label).distinct()
 
 
 def first_join_date(member: DataFrame) -> DataFrame:
-    return member.groupBy(int_key("member_detail_id").alias("member_detail_id")).agg(
-        F.min(F.to_date("join_time")).alias("join_date")
+    return (
+        _known(member)
+        .groupBy("member_detail_id")
+        .agg(F.min(F.to_date("join_time")).alias("join_date"))
     )
 
 
 def wmp_registrants(member: DataFrame, floor_text: str) -> DataFrame:
-    """Members registered in the mini-program, by the id's text."""
-    return member.filter(F.col("eff_reg_channel") == BRANDWMP).select(
-        text_key("member_detail_id").alias("member_detail_id"),
-        join_year().alias("join_year"),
-        year_label(join_year(), floor_text).alias("reg_year"),
+    """Distinct (id text, join year, label) of members registered in the mini-program."""
+    return (
+        member.filter(F.col("eff_reg_channel") == BRANDWMP)
+        .select(
+            text_key("member_detail_id").alias("member_detail_id"),
+            join_year().alias("join_year"),
+            year_label(join_year(), floor_text).alias("reg_year"),
+        )
+        .distinct()
     )
+
+
+def _known(member: DataFrame) -> DataFrame:
+    """Dimension rows with a numeric id; the others match no lookup."""
+    key = int_key("member_detail_id")
+    return member.filter(key.isNotNull()).withColumn("member_detail_id", key)

@@ -40,11 +40,13 @@ def with_omni_id(lines: DataFrame, crm_map: DataFrame) -> DataFrame:
     """Replace the three id columns by ``omni_channel_member_id``.
 
     The mapped CRM id comes first, then the channel's own id; id types outside the
-    list have none, so those lines skip the lookup. A repeated map entry repeats lines.
+    list have none, so those lines skip the lookup. An id mapped in several ways
+    repeats its lines; equal map entries do not.
     """
     resolvable = F.col("type_name").isin(*RESOLVABLE_IDS)
     crm_id = F.when(resolvable, text_key("crm_member_detail_id"))
-    mapped = keyed(crm_map, text_key("member_id"), text_key("id").alias("mapped_id"))
+    entries = crm_map.select("member_id", text_key("id").alias("mapped_id")).distinct()
+    mapped = keyed(entries, text_key("member_id"), "mapped_id")
     omni_id = F.when(resolvable, F.coalesce("mapped_id", text_key("type_value")))
     rest = [c for c in lines.columns if c not in ID_COLUMNS]
     return lookup(spread_nulls(lines, crm_id, lines.columns), mapped).select(
@@ -103,6 +105,19 @@ def buying_years(
     )
 
 
+def buying_years_of(lines: DataFrame) -> DataFrame:
+    """The same rows as :func:`buying_years`, from distinct lines that are written."""
+    return (
+        lines.filter(F.col("if_eff_order_tag") & F.col("omni_channel_member_id").isNotNull())
+        .select(
+            "omni_channel_member_id",
+            F.year("order_paid_date").alias("buy_year"),
+            "source_channel",
+        )
+        .distinct()
+    )
+
+
 def lcs_buyers(order_line: DataFrame, crm_map: DataFrame, as_of: date) -> DataFrame:
     """Members with an effective store order, ever."""
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memberlens.functions.keys import SPREAD, keyed
 from memberlens.operators.identity import latest_identity
 from memberlens.operators.members import first_join_date
 
@@ -27,7 +28,10 @@ def identified_views(
     pages = ["page_type"] if with_pages else []
     seen = F.to_date("event_time") if by_day else F.col("event_time")
     views = page_view.select("gio_id", seen.alias("event_time"), *pages).distinct()
-    devices = latest_identity(identity).join(first_join_date(member), "member_detail_id")
+    joined = first_join_date(member)
+    devices = keyed(
+        latest_identity(identity), F.col("member_detail_id"), "gio_id", "member_detail_id"
+    ).join(keyed(joined, F.col("member_detail_id"), "join_date"), SPREAD)
     return (
         views.join(devices, "gio_id")
         .filter(F.to_date("event_time") >= F.col("join_date"))

@@ -82,8 +82,8 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     """
     money = Money.of(lines)
     registrants = (
-        keyed(member.filter(F.col("eff_reg_channel") == BRANDWMP), text_key("member_detail_id"))
-        .groupBy(SPREAD)
+        member.filter(F.col("eff_reg_channel") == BRANDWMP)
+        .groupBy(text_key("member_detail_id").alias("member_detail_id"))
         .agg(F.count("*").alias("copies"))
     )
     orders = (
@@ -105,7 +105,7 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
         F.col("omni_channel_member_id"),
         ["transaction_year", "platform", "parent_order_id"],
     )
-    known = lookup(spread, registrants)
+    known = lookup(spread, keyed(registrants, F.col("member_detail_id"), "copies"))
     copies = F.col("copies")
     facts = known.select(
         "transaction_year",
@@ -271,27 +271,41 @@ def assistant_sales(
         )
         .agg(*money.sums(), *money.sums(members_only=True), _effective_member_order())
     )
-    scenario = order_scenario.select(text_key("parent_order_id").alias("o"), "order_scenario")
-    organic = F.count(F.when(F.col("order_scenario") == ORGANIC, True))
     scenarios = (
-        keyed(scenario.distinct(), F.col("o"), "order_scenario")
-        .groupBy(SPREAD)
-        .agg(F.count("*").alias("scenarios"), organic.alias("organic"))
+        order_scenario.select(text_key("parent_order_id").alias("o"), "order_scenario")
+        .distinct()
+        .groupBy("o")
+        .agg(
+            F.count("*").alias("scenarios"),
+            F.count(F.when(F.col("order_scenario") == ORGANIC, True)).alias("organic"),
+        )
     )
-    new_members = member.filter(F.year("join_time") == as_of.year).select("member_detail_id")
-    new_copies = (
-        keyed(new_members.distinct(), int_key("member_detail_id"))
-        .groupBy(SPREAD)
+    new_members = (
+        member.filter(F.year("join_time") == as_of.year)
+        .select("member_detail_id")
+        .distinct()
+        .groupBy(int_key("member_detail_id").alias("new_key"))
         .agg(F.count("*").alias("new_copies"))
     )
-    mapped = crm_map.select(F.col("id").alias("member_id"), text_key("member_id").alias("crm_id"))
-    mapped = lookup(spread_nulls(mapped, int_key("member_id"), mapped.columns), new_copies)
+    entries = crm_map.groupBy(
+        text_key("member_id").alias("mapped_crm_id"), F.col("id").alias("member_id")
+    ).agg(F.count("*").alias("map_copies"))
+    mapped = lookup(
+        spread_nulls(entries, int_key("member_id"), ["mapped_crm_id"]),
+        keyed(new_members, F.col("new_key"), "new_copies"),
+    )
     channel = F.col("eff_reg_channel")
-    via = F.when(channel == BRANDWMP, "wmp").when(channel.contains(LCS), "lcs").alias("via")
+    via = F.when(channel == BRANDWMP, "wmp").when(channel.contains(LCS), "lcs")
+    registered = member.groupBy(
+        int_key("member_detail_id").alias("registered_key"), via.alias("via")
+    ).agg(F.count("*").alias("reg_copies"))
     lookups = [
-        (F.col("original_order_id"), scenarios),
-        (F.col("crm_id"), keyed(mapped, F.col("crm_id"), "member_id", "new_copies")),
-        (int_key("crm_id"), keyed(member, int_key("member_detail_id"), via)),
+        (F.col("original_order_id"), keyed(scenarios, F.col("o"), "scenarios", "organic")),
+        (
+            F.col("crm_id"),
+            keyed(mapped, F.col("mapped_crm_id"), "member_id", "map_copies", "new_copies"),
+        ),
+        (int_key("crm_id"), keyed(registered, F.col("registered_key"), "via", "reg_copies")),
     ]
     rows = bought
     spread_by = ["transaction_year", "crm_id", "original_order_id", "parent_order_id"]
@@ -305,12 +319,14 @@ def _assistant_measures(rows: DataFrame, money: Money) -> DataFrame:
     organic_sums = [f"organic_{name}" for name in sums]
     organic = F.coalesce("organic", F.lit(0))
     scenarios = F.coalesce("scenarios", F.lit(1))
-    new_copies = F.coalesce("new_copies", F.lit(1))
+    others = F.lit(1)
+    for copies in ["map_copies", "new_copies", "reg_copies"]:
+        others = others * F.coalesce(copies, F.lit(1))
 
     def organic_part(name: str) -> Column:
         # An unknown amount stays unknown only if no other scenario adds its 0.
         amount = F.when(organic == scenarios, F.col(name)).otherwise(F.coalesce(name, F.lit(0)))
-        return (amount * organic * new_copies).alias(f"organic_{name}")
+        return (amount * organic * others).alias(f"organic_{name}")
 
     facts = rows.select(
         "transaction_year",
@@ -321,7 +337,7 @@ def _assistant_measures(rows: DataFrame, money: Money) -> DataFrame:
         ((organic > 0) & (F.col("via") == "wmp")).alias("wmp"),
         ((organic > 0) & (F.col("via") == "lcs")).alias("lcs"),
         F.col("new_copies").isNotNull().alias("new"),
-        *[(F.col(name) * scenarios * new_copies).alias(name) for name in sums],
+        *[(F.col(name) * scenarios * others).alias(name) for name in sums],
         *[organic_part(name) for name in sums],
     )
     effective, new = F.col(EFFECTIVE), F.col("new")

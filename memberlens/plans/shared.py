@@ -25,6 +25,8 @@ def _lines(tables: Tables, as_of: date) -> DataFrame:
 
 
 def _buyers(tables: Tables, as_of: date) -> DataFrame:
+    if "lines" in tables:
+        return orders.buying_years_of(tables["lines"])
     return orders.buying_years(**tables.pick(*_ORDERS), as_of=as_of)
 
 

@@ -1,4 +1,8 @@
-"""Marts over the visit log."""
+"""Marts over the visit log.
+
+Both sides of each join are distinct, per member and period and per member and label,
+so that every member meets a cell at most once and plain counts are distinct counts.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +47,7 @@ def visitors_by_year(visit_log: DataFrame, member: DataFrame) -> DataFrame:
         .groupBy(
             _bigint("visit_year").alias("visit_wmp_year"), "eff_reg_channel", "join_year"
         )
-        .agg(F.count_distinct("member_detail_id").alias("visit_wmp_member_count"))
+        .agg(F.count("member_detail_id").alias("visit_wmp_member_count"))
     )
 
 
@@ -52,8 +56,8 @@ def average_visit_days(visit_log: DataFrame, member: DataFrame) -> DataFrame:
 
     A member listed twice in the dimension adds its days twice but counts once.
     """
-    days = F.sum("visit_days").cast("double")
-    members = F.count_distinct("member_detail_id")
+    days = F.sum(F.col("visit_days") * F.coalesce("copies", F.lit(1))).cast("double")
+    members = F.count("member_detail_id")
     return (
         visits.visit_day_counts(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
@@ -74,22 +78,17 @@ def visit_day_distribution(visit_log: DataFrame, member: DataFrame) -> DataFrame
             "eff_reg_channel",
             frequency_label(F.col("visit_days")).alias("visit_day_count"),
         )
-        .agg(F.count_distinct("member_detail_id").alias("member_count"))
+        .agg(F.count("member_detail_id").alias("member_count"))
     )
 
 
 def revisiting_members(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Visitors, and those with two or more visit days in the year."""
-    keys = ["visit_year", "join_year", "eff_reg_channel"]
-    per_member = (
-        visits.visit_day_counts(visit_log)
-        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
-        .groupBy(*keys, "member_detail_id")
-        .agg(F.max("visit_days").alias("visit_days"))
-    )
     revisited = F.when(F.col("visit_days") >= 2, F.col("member_detail_id"))
     return (
-        per_member.groupBy(_bigint("visit_year").alias("visit_year"), *keys[1:])
+        visits.visit_day_counts(visit_log)
+        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
+        .groupBy(_bigint("visit_year").alias("visit_year"), "join_year", "eff_reg_channel")
         .agg(
             F.count("member_detail_id").alias("visit_member_count"),
             F.count(revisited).alias("revisit_member_count"),
@@ -107,7 +106,6 @@ def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
         visits.visit_days(visit_log)
         .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .withColumn("visit_year", F.year("visit_date"))
-        .distinct()
     )
     in_year = Window.partitionBy("member_detail_id", "visit_year").orderBy(
         "visit_date",
@@ -125,7 +123,7 @@ def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
             "eff_reg_channel",
             gap_label(gap, REVISIT_GAPS).alias("time_diff"),
         )
-        .agg(F.count_distinct("member_detail_id").alias("member_count"))
+        .agg(F.count("member_detail_id").alias("member_count"))
     )
 
 
@@ -147,7 +145,7 @@ def same_year_buyers(visit_log: DataFrame, member_order: DataFrame, member: Data
             _bigint("bought").alias("YTD_converted"),
             "eff_reg_channel",
         )
-        .agg(F.count_distinct("member_detail_id").alias("ttl_member_count"))
+        .agg(F.count("member_detail_id").alias("ttl_member_count"))
     )
 
 
@@ -174,12 +172,8 @@ def page_penetration(visit_log: DataFrame, member_order: DataFrame, member: Data
     marked = F.when(F.col("first_of_year"), F.col("member_detail_id"))
     counts = (
         seen.join(channels(member), "member_detail_id", "left")
-        .groupBy(*cell, "page_type", "member_detail_id")
-        .agg(F.max(marked).alias("marked"))
         .groupBy(*cell, "page_type")
-        .agg(
-            F.count("member_detail_id").alias("member_count"), F.count("marked").alias("marked")
-        )
+        .agg(F.count("member_detail_id").alias("member_count"), F.count(marked).alias("marked"))
     )
     in_cell = F.sum("marked").over(Window.partitionBy(*cell))
     complete = F.col(cell[0]).isNotNull()
@@ -231,7 +225,7 @@ def registered_and_visited(
         .distinct()
         .join(channels(member), "member_detail_id", "left")
         .groupBy("eff_reg_channel")
-        .agg(F.count_distinct("member_detail_id").alias("member_visit_count"))
+        .agg(F.count("member_detail_id").alias("member_visit_count"))
     )
     return by_channel.join(visited, "eff_reg_channel", "left").select(
         "eff_reg_channel",

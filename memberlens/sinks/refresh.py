@@ -37,8 +37,9 @@ class FolderSink:
         files.remove(replaced)
         return self.read(table)
 
-    def drop(self, table: str) -> None:
-        _Files(self.spark, self.root).remove(self.path(table))
+    def remove(self) -> None:
+        """Delete the folder with all its tables."""
+        _Files(self.spark, self.root).remove(self.root)
 
 
 class CatalogSink:

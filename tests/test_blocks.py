@@ -323,11 +323,15 @@ def test_buying_years_want_effective_orders(frame):
         line(paid=datetime(2022, 1, 1), effective=False),
         line(paid=datetime(2021, 1, 1), effective=None),
     )
-    found = orders.buying_years(lines, crm_map, AS_OF)
-    assert rows_of(found, "omni_channel_member_id", "buy_year", "source_channel") == [
-        ("100", 2023, "TMALL"),
-        ("100", 2024, "LCS"),
-    ]
+    distinct = orders.distinct_lines(lines, crm_map, AS_OF)
+    for found in [
+        orders.buying_years(lines, crm_map, AS_OF),
+        orders.buying_years_of(distinct),
+    ]:
+        assert rows_of(found, "omni_channel_member_id", "buy_year", "source_channel") == [
+            ("100", 2023, "TMALL"),
+            ("100", 2024, "LCS"),
+        ]
 
 
 def net_sales(df, money: Money):
