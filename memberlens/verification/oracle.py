@@ -557,8 +557,8 @@ QUERIES = {
     "block_purchase_days": "SELECT DISTINCT crm_member_id, date_id FROM good",
     "block_platform_totals": """
         , tally AS (
-            SELECT *, platform AS channel FROM net_lines
-            UNION ALL SELECT *, 'Omni' FROM net_lines)
+            SELECT *, platform AS channel FROM lines
+            UNION ALL SELECT *, 'Omni' FROM lines)
         SELECT y AS transaction_year, channel AS source_channel,
                (sum(sold) - sum(back))::DOUBLE AS total_sales,
                count(DISTINCT omni) FILTER (is_member_order) AS member_shopper,
