@@ -11,6 +11,7 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memberlens.functions.labels import (
     BRANDEC,
@@ -36,11 +37,17 @@ SEGMENT_CHANNELS = {
     "AUTOMOBILE": BRANDEC,
 }
 
+# Schemas of files read before; asking the file again costs a job per table and query.
+_schemas: dict[str, StructType] = {}
+
 
 def from_test_data(spark: SparkSession, folder: str) -> Tables:
     @cache
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        path = f"{folder}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_schemas[path]).parquet(path)
 
     @cache
     def orders() -> DataFrame:
