@@ -47,10 +47,10 @@ class Money:
         returned = F.when((quantity < 0) & wanted, F.abs(units)).otherwise(0)
         return [F.sum(sold).alias(names[0]), F.sum(returned).alias(names[1])]
 
-    def net(self, names: list[str]) -> Column:
+    def net(self, names: list[str], where: Column | None = None) -> Column:
         """Net amount from the sums of :meth:`sums`, in a last aggregation."""
-        sold, returned = names
-        return self.amount(F.sum(sold) - F.sum(returned))
+        parts = [F.col(n) if where is None else F.when(where, F.col(n)) for n in names]
+        return self.amount(F.sum(parts[0]) - F.sum(parts[1]))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

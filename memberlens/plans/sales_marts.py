@@ -3,9 +3,9 @@
 Sums are not safe against joins that repeat rows, so every lookup that can repeat a
 line brings the number of repeats along, and the sums are multiplied by it.
 
-Members and orders are distinct counts of different things. Each row is handed to the
-member and to the order it belongs to, so that one shuffle by ``(kind, key)`` settles
-both counts and the input is read once.
+Members and orders are distinct counts of different things. Each row is dealt to the
+sums, to its member and to its order, with the conditions to count as bits of a number;
+one shuffle by ``(kind, key)`` then settles all counts, and the input is read once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from memberlens.functions.keys import (
     spread_nulls,
     text_key,
 )
-from memberlens.functions.labels import BRANDWMP, LCS, OMNI, platform_label
+from memberlens.functions.labels import BRANDWMP, DOUYIN, LCS, OMNI, TMALL, platform_label
 from memberlens.functions.measures import (
     ALL_SALES,
     MEMBER_SALES,
@@ -37,14 +37,16 @@ from memberlens.operators.orders import counts_as_order, raw_sales_by_year
 ASSISTANT_PAYMENT = "WOS企微小程序-新场景"
 ORGANIC = "Organic"
 
+PLATFORMS = [LCS, TMALL, DOUYIN]
+
+SUMS = "sums"
 MEMBER = "member"
 ORDER = "order"
 EFFECTIVE = "effective_member_order"
 
 
-def _any(condition: Column | str) -> Column:
+def _any(condition: Column) -> Column:
     """Whether any row of the group meets the condition; unknown counts as no."""
-    condition = F.col(condition) if isinstance(condition, str) else condition
     return F.max(F.coalesce(condition, F.lit(False)))
 
 
@@ -52,27 +54,51 @@ def _effective_member_order() -> Column:
     return _any(F.col("is_member_order") & F.col("if_eff_order_tag")).alias(EFFECTIVE)
 
 
-def _by_member_and_order(facts: DataFrame, member: str, order: str, sums: list[str]) -> DataFrame:
-    """Each fact once for its member, with the sums, and once for its order, without.
+def _bits(*conditions: Column) -> Column:
+    """The conditions as bits of a number, the first one lowest."""
+    bits = F.lit(0)
+    for place, condition in enumerate(conditions):
+        bits = bits + F.when(condition, F.lit(1 << place)).otherwise(0)
+    return bits
 
-    Facts without an effective member order count for no order.
-    """
-    nothing = F.lit(None).cast("bigint")
 
-    def share(kind: str, key: str, with_sums: bool) -> Column:
-        amounts = [(F.col(s) if with_sums else nothing).alias(s) for s in sums]
-        return F.struct(F.lit(kind).alias("kind"), text_key(key).alias("key"), *amounts)
+def _deal(
+    facts: DataFrame, sums: list[str], sums_key: Column, member: Column, order: Column
+) -> DataFrame:
+    """One row per year, kind and key, with the sums or the bits that belong to it.
+
+    ``facts`` hold ``member_bits`` and ``order_bits``; a fact without order bits counts
+    for no order. Sums have few keys, so they shrink before the shuffle.
+    """
 
-    shares = F.array_compact(
-        F.array(share(MEMBER, member, True), F.when(F.col(EFFECTIVE), share(ORDER, order, False)))
+    def row(kind: str, key: Column, bits: Column, with_sums: bool) -> Column:
+        amounts = [
+            (F.col(name) if with_sums else F.lit(None).cast("bigint")).alias(name)
+            for name in sums
+        ]
+        key = key.cast("string").alias("key")
+        return F.struct(F.lit(kind).alias("kind"), key, bits.alias("bits"), *amounts)
+
+    member_bits, order_bits = F.col("member_bits"), F.col("order_bits")
+    rows = F.array_compact(
+        F.array(
+            row(SUMS, sums_key, F.lit(0), True),
+            row(MEMBER, member, member_bits, False),
+            F.when(order_bits > 0, row(ORDER, order, order_bits, False)),
+        )
+    )
+    return (
+        facts.select("transaction_year", F.explode(rows).alias("row"))
+        .select("transaction_year", "row.*")
+        .groupBy("transaction_year", "kind", "key")
+        .agg(F.bit_or("bits").alias("bits"), *[F.sum(name).alias(name) for name in sums])
     )
-    others = [c for c in facts.columns if c not in [member, order, *sums]]
-    return facts.select(*others, F.explode(shares).alias("share")).select(*others, "share.*")
 
 
-def _keys(kind: str, flag: str) -> Column:
-    """Number of members or orders with the flag."""
-    return F.count(F.when((F.col("kind") == kind) & F.col(flag), F.col("key")))
+def _keys(kind: str, mask: int) -> Column:
+    """Number of members or orders with one of the bits."""
+    has_bit = F.col("bits").bitwiseAND(F.lit(mask)) != 0
+    return F.count(F.when((F.col("kind") == kind) & has_bit, F.col("key")))
 
 
 def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
@@ -86,19 +112,16 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
         .groupBy(text_key("member_detail_id").alias("member_detail_id"))
         .agg(F.count("*").alias("copies"))
     )
-    orders = (
-        lines.groupBy(
-            F.year("order_paid_date").alias("transaction_year"),
-            platform_label().alias("platform"),
-            "omni_channel_member_id",
-            "parent_order_id",
-        )
-        .agg(
-            *money.sums(),
-            *money.sums(members_only=True),
-            _any("is_member_order").alias("by_member"),
-            _effective_member_order(),
-        )
+    orders = lines.groupBy(
+        F.year("order_paid_date").alias("transaction_year"),
+        platform_label().alias("platform"),
+        "omni_channel_member_id",
+        "parent_order_id",
+    ).agg(
+        *money.sums(),
+        *money.sums(members_only=True),
+        _any(F.col("is_member_order")).alias("by_member"),
+        _effective_member_order(),
     )
     spread = spread_nulls(
         orders,
@@ -106,42 +129,59 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
         ["transaction_year", "platform", "parent_order_id"],
     )
     known = lookup(spread, keyed(registrants, F.col("member_detail_id"), "copies"))
-    copies = F.col("copies")
+    platform, copies = F.col("platform"), F.col("copies")
+
+    def per_platform(*conditions: Column) -> Column:
+        return _bits(*[c & (platform == name) for c in conditions for name in PLATFORMS])
+
+    registered, effective = copies.isNotNull(), F.col(EFFECTIVE)
     facts = known.select(
         "transaction_year",
-        F.explode(F.array("platform", F.lit(OMNI))).alias("source_channel"),
+        platform,
         "omni_channel_member_id",
         "parent_order_id",
-        "by_member",
-        EFFECTIVE,
-        copies.isNotNull().alias("registered"),
+        per_platform(F.col("by_member"), registered).alias("member_bits"),
+        per_platform(effective, effective & registered).alias("order_bits"),
         *ALL_SALES,
         *MEMBER_SALES,
         (F.col("member_sold") * copies).alias("reg_sold"),
         (F.col("member_returned") * copies).alias("reg_returned"),
     )
     reg_sales = ["reg_sold", "reg_returned"]
-    sums = [*ALL_SALES, *MEMBER_SALES, *reg_sales]
-    cell = ["transaction_year", "source_channel"]
-    return (
-        _by_member_and_order(facts, "omni_channel_member_id", "parent_order_id", sums)
-        .groupBy(*cell, "kind", "key")
-        .agg(
-            *[F.sum(name).alias(name) for name in sums],
-            _any("by_member").alias("by_member"),
-            _any("registered").alias("registered"),
-            _any(EFFECTIVE).alias(EFFECTIVE),
-        )
-        .groupBy(*cell)
-        .agg(
-            money.net(ALL_SALES).alias("total_sales"),
-            money.net(MEMBER_SALES).alias("member_sales"),
-            money.net(reg_sales).alias("reg_sales"),
-            _keys(MEMBER, "by_member").alias("member_shopper"),
-            _keys(MEMBER, "registered").alias("reg_shopper"),
-            _keys(ORDER, EFFECTIVE).alias("transactions"),
-            _keys(ORDER, "registered").alias("reg_transactions"),
+    dealt = _deal(
+        facts,
+        [*ALL_SALES, *MEMBER_SALES, *reg_sales],
+        platform,
+        F.col("omni_channel_member_id"),
+        F.col("parent_order_id"),
+    )
+    is_sum = F.col("kind") == SUMS
+
+    def channel(name: str, members: Column, mask: int) -> Column:
+        registered_mask = mask << len(PLATFORMS)
+        return F.struct(
+            F.lit(name).alias("source_channel"),
+            F.count(F.when(members, True)).alias("parts"),
+            money.net(ALL_SALES, members).alias("total_sales"),
+            money.net(MEMBER_SALES, members).alias("member_sales"),
+            money.net(reg_sales, members).alias("reg_sales"),
+            _keys(MEMBER, mask).alias("member_shopper"),
+            _keys(MEMBER, registered_mask).alias("reg_shopper"),
+            _keys(ORDER, mask).alias("transactions"),
+            _keys(ORDER, registered_mask).alias("reg_transactions"),
         )
+
+    channels = [
+        channel(name, is_sum & (F.col("key") == name), 1 << place)
+        for place, name in enumerate(PLATFORMS)
+    ]
+    channels.append(channel(OMNI, is_sum, (1 << len(PLATFORMS)) - 1))
+    return (
+        dealt.groupBy("transaction_year")
+        .agg(F.array(*channels).alias("channels"))
+        .select("transaction_year", F.inline("channels"))
+        .filter("parts > 0")
+        .drop("parts")
     )
 
 
@@ -328,45 +368,33 @@ def _assistant_measures(rows: DataFrame, money: Money) -> DataFrame:
         amount = F.when(organic == scenarios, F.col(name)).otherwise(F.coalesce(name, F.lit(0)))
         return (amount * organic * others).alias(f"organic_{name}")
 
+    effective = F.col(EFFECTIVE)
+    from_wmp = effective & (organic > 0)
+    by_wmp, by_lcs = from_wmp & (F.col("via") == "wmp"), from_wmp & (F.col("via") == "lcs")
+    new = F.col("new_copies").isNotNull()
+    flags = [effective, from_wmp, by_wmp, by_lcs, by_wmp & new, by_lcs & new]
     facts = rows.select(
         "transaction_year",
         "member_id",
         "parent_order_id",
-        EFFECTIVE,
-        (organic > 0).alias("organic"),
-        ((organic > 0) & (F.col("via") == "wmp")).alias("wmp"),
-        ((organic > 0) & (F.col("via") == "lcs")).alias("lcs"),
-        F.col("new_copies").isNotNull().alias("new"),
+        _bits(*flags).alias("member_bits"),
+        _bits(effective, from_wmp).alias("order_bits"),
         *[(F.col(name) * scenarios * others).alias(name) for name in sums],
         *[organic_part(name) for name in sums],
     )
-    effective, new = F.col(EFFECTIVE), F.col("new")
-    yearly = (
-        _by_member_and_order(facts, "member_id", "parent_order_id", [*sums, *organic_sums])
-        .groupBy("transaction_year", "kind", "key")
-        .agg(
-            *[F.sum(name).alias(name) for name in [*sums, *organic_sums]],
-            _any(effective).alias(EFFECTIVE),
-            _any(effective & F.col("organic")).alias("organic"),
-            _any(effective & F.col("wmp")).alias("wmp"),
-            _any(effective & F.col("lcs")).alias("lcs"),
-            _any(effective & F.col("wmp") & new).alias("new_wmp"),
-            _any(effective & F.col("lcs") & new).alias("new_lcs"),
-        )
-        .groupBy("transaction_year")
-        .agg(
-            money.net(ALL_SALES).alias("sales"),
-            money.net(MEMBER_SALES).alias("member_sales"),
-            money.net(organic_sums[:2]).alias("organic_sales"),
-            money.net(organic_sums[2:]).alias("organic_member_sales"),
-            _keys(ORDER, EFFECTIVE).alias("orders"),
-            _keys(ORDER, "organic").alias("organic_orders"),
-            _keys(MEMBER, EFFECTIVE).alias("shoppers"),
-            *[
-                _keys(MEMBER, flag).alias(f"{flag}_shoppers")
-                for flag in ["organic", "wmp", "lcs", "new_wmp", "new_lcs"]
-            ],
-        )
+    names = ["shoppers", "organic_shoppers", "wmp_shoppers", "lcs_shoppers",
+             "new_wmp_shoppers", "new_lcs_shoppers"]
+    dealt = _deal(
+        facts, [*sums, *organic_sums], F.lit("all"), F.col("member_id"), F.col("parent_order_id")
+    )
+    yearly = dealt.groupBy("transaction_year").agg(
+        money.net(ALL_SALES).alias("sales"),
+        money.net(MEMBER_SALES).alias("member_sales"),
+        money.net(organic_sums[:2]).alias("organic_sales"),
+        money.net(organic_sums[2:]).alias("organic_member_sales"),
+        _keys(ORDER, 1).alias("orders"),
+        _keys(ORDER, 2).alias("organic_orders"),
+        *[_keys(MEMBER, 1 << place).alias(name) for place, name in enumerate(names)],
     )
 
     def shoppers(count: str, name: str) -> Column:
