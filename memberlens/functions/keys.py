@@ -47,7 +47,8 @@ def keyed(df: DataFrame, key: Column, *columns: str | Column) -> DataFrame:
     a hot key only if both sides come straight from a shuffle, so where the left-hand
     rows per key are not bounded, group by the plain id first and key the result.
     """
-    return df.filter(key.isNotNull()).select(F.concat(F.lit("="), key.cast("string")).alias(SPREAD), *columns)
+    matching = F.concat(F.lit("="), key.cast("string"))
+    return df.filter(key.isNotNull()).select(matching.alias(SPREAD), *columns)
 
 
 def lookup(left: DataFrame, right: DataFrame) -> DataFrame:

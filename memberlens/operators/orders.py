@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.keys import SPREAD, keyed, lookup, spread_nulls, text_key
+from memberlens.functions.keys import keyed, lookup, spread_nulls, text_key
 from memberlens.functions.labels import DOUYIN, DOUYIN_B2B, LCS, TMALL
 from memberlens.functions.measures import ALL_SALES, Money
 

@@ -110,7 +110,8 @@ INPUTS = """
         UNION ALL
         SELECT CASE WHEN k % 7 <> 0 THEN 'u' || k END, '乐高小程序' FROM cus WHERE k % 21 = 1),
     staff_relation AS (
-        SELECT 'u' || k AS external_user_unionid, k % (SELECT count(*) FROM supplier) AS staff_ext_id,
+        SELECT 'u' || k AS external_user_unionid,
+               k % (SELECT count(*) FROM supplier) AS staff_ext_id,
                TIMESTAMP '2024-01-01' AS relation_created_at, k % 2 AS relation_source,
                CASE WHEN k % 2 <> 0 OR k % 5 = 0 THEN 1 ELSE 0 END AS relation_deleted
         FROM cus),

@@ -98,9 +98,9 @@ def _blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
         .withColumn("relation_deleted", F.col("relation_deleted").cast("bigint")),
         "omni_member_ids": omni_member_ids,
         "lcs_buyers": lambda t: orders.lcs_buyers(t["order_line"], t["crm_map"], as_of),
-        "buying_years": lambda t: orders.buying_years(t["order_line"], t["crm_map"], as_of).withColumn(
-            "buy_year", F.col("buy_year").cast("bigint")
-        ),
+        "buying_years": lambda t: orders.buying_years(
+            t["order_line"], t["crm_map"], as_of
+        ).withColumn("buy_year", F.col("buy_year").cast("bigint")),
         "distinct_lines": lambda t: orders.distinct_lines(
             t["order_line"], t["crm_map"], as_of
         ).withColumn("order_rrp_amt", F.col("order_rrp_amt").cast("double")),
