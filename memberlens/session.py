@@ -11,17 +11,24 @@ RUNTIME_SETTINGS = {
     # Split a hot join key even where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def configure(spark: SparkSession, time_zone: str = "UTC") -> SparkSession:
     """Apply the runtime settings to a session that already exists.
 
-    ``time_zone`` decides the calendar day of epoch-second events. Shuffle width,
-    memory and broadcast limits stay as the session has them.
+    ``time_zone`` decides the calendar day of epoch-second events. Memory and broadcast
+    limits stay as the session has them. A cluster with more cores than shuffle
+    partitions shuffles into four partitions per core, which adaptive execution merges
+    where they are small.
     """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     spark.conf.set("spark.sql.session.timeZone", time_zone)
+    cores = spark.sparkContext.defaultParallelism
+    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if cores > planned and not spark.conf.get(INITIAL_PARTITIONS, None):
+        spark.conf.set(INITIAL_PARTITIONS, str(4 * cores))
     return spark
 
 

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries(as_of: date, load_time: datetime) -> dict[str, Query]:
     result = {mart.build.__name__: _mart_query(mart, as_of, load_time) for mart in MARTS}
-    for name, block in _blocks(as_of).items():
+    for name, block in blocks(as_of).items():
         result[f"block_{name}"] = _block_query(block)
     return result
 
@@ -53,7 +53,8 @@ def _block_query(block: Callable[[Tables], DataFrame]) -> Query:
     return run
 
 
-def _blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
+def blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
+    """The shared blocks over given inputs, with the column types of their SQL."""
     contact_inputs = ("contact_event", "identity", "contact_tag")
 
     def omni_member_ids(t: Tables) -> DataFrame:

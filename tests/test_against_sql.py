@@ -15,7 +15,7 @@ from conftest import AS_OF, LOAD_TIME, duck_rows, rows_of
 import __spark_entry__ as entry_points
 from memberlens.plans.marts import MARTS, VISIT_LOG
 from memberlens.sources.tables import SOURCE_TABLES, from_frames
-from memberlens.verification import oracle
+from memberlens.verification import oracle, registered
 
 SMALL = "/root/testdata/sf0.001"
 RAW = ["customer", "supplier", "orders", "lineitem", "events"]
@@ -207,4 +207,8 @@ def test_on_hostile_tables(spark, tmp_path, seed):
         result = mart(tables, AS_OF, LOAD_TIME)
         wanted = duck_rows(con.sql(expected[mart.build.__name__]), result.columns)
         assert rows_of(result) == wanted, mart.table
+    for name, block in registered.blocks(AS_OF).items():
+        result = block(tables)
+        wanted = duck_rows(con.sql(expected[f"block_{name}"]), result.columns)
+        assert rows_of(result) == wanted, name
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from memberlens.functions import keys, labels
 from memberlens.functions.measures import ALL_SALES, MEMBER_SALES, Money, ratio, zero_to_null
 from memberlens.operators import contacts, identity, orders, purchases
+from memberlens.session import INITIAL_PARTITIONS, configure
 from memberlens.sources.checks import key_report, repeated_keys
 from memberlens.sources.tables import from_frames
 
@@ -425,3 +426,15 @@ def test_missing_columns_are_named(frame):
     tables = from_frames({"crm_map": frame("id bigint", (1,))})
     with pytest.raises(ValueError, match="member_id"):
         tables["crm_map"]
+
+
+def test_shuffles_use_all_cores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark.conf.get(INITIAL_PARTITIONS, None) is None
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        configure(spark)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "16"
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
