@@ -37,19 +37,21 @@ def refresh_marts(
     if repeated or "visit_log" in uses:
         work = FolderSink(spark, _work_folder(spark, sink))
 
-    if VISIT_LOG in chosen:
-        sink.refresh(VISIT_LOG.table, VISIT_LOG(tables, as_of, load_time))
-    if "visit_log" in uses:
-        log = shared.by_day(sink.read(VISIT_LOG.table))
-        tables = tables.with_table("visit_log", work.refresh("visit_log", log))
-    for role in repeated:
-        block = shared.BLOCKS[role](tables, as_of)
-        tables = tables.with_table(role, work.refresh(role, block))
-    for mart in chosen:
-        if mart is not VISIT_LOG:
-            sink.refresh(mart.table, mart(tables, as_of, load_time))
-    if work:
-        work.remove()
+    try:
+        if VISIT_LOG in chosen:
+            sink.refresh(VISIT_LOG.table, VISIT_LOG(tables, as_of, load_time))
+        if "visit_log" in uses:
+            log = shared.by_day(sink.read(VISIT_LOG.table))
+            tables = tables.with_table("visit_log", work.refresh("visit_log", log))
+        for role in repeated:
+            block = shared.BLOCKS[role](tables, as_of)
+            tables = tables.with_table(role, work.refresh(role, block))
+        for mart in chosen:
+            if mart is not VISIT_LOG:
+                sink.refresh(mart.table, mart(tables, as_of, load_time))
+    finally:
+        if work:
+            work.remove()
     return [mart.table for mart in chosen]
 
 

@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class FolderSink:
-    """Tables as folders of files below one root, on any file system Spark can reach."""
+    """Tables as folders of files below one root, on any file system Spark can reach.
+
+    Where moving a folder copies it, as on object stores, prefer :class:`CatalogSink`
+    with a table format that swaps in its metadata.
+    """
 
     def __init__(self, spark: SparkSession, root: str, file_format: str = "parquet"):
         self.spark = spark
