@@ -94,7 +94,10 @@ def buying_years(
         .select(
             F.year("order_paid_date").alias("buy_year"),
             "source_channel",
-            *ID_COLUMNS,
+            # These types all resolve alike; one name for them leaves fewer rows.
+            F.lit(RESOLVABLE_IDS[0]).alias("type_name"),
+            "type_value",
+            "crm_member_detail_id",
         )
         .distinct()
     )
