@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import grace_dedup, line_dedup, mixing, sharding
+from memberlens.llm import bpe, grace_dedup, language, line_dedup, mixing, rotated_codes
+from memberlens.llm import sharding, url_model
+
+#: (verdict, host and beginning of the path) of the URL filter's rules.
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +36,21 @@ def op2_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return grace_dedup.copy_groups(_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op3_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings", "vec_id", "embedding")
+    return rotated_codes.nearest(vectors, F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op4_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text", "lang")
+    found = language.identified(docs.select("doc_id", "text"), labelled=docs)
+    return found.select("doc.doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_url_model(spark: SparkSession, folder: str) -> DataFrame:
+    return url_model.judged(_table(spark, folder, "pages", "page_id", "url"), URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_dedup.without_common_lines(_table(spark, folder, "documents", "doc_id", "text"))
     digest = F.sha2("kept_text", 256).alias("kept_sha256")
@@ -38,7 +63,28 @@ def op9_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    found = bpe.digests(docs, tokenizer_file())
+    return found.select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op1_extendible_sharding, op2_grace_dedup, op8_line_dedup, op9_systematic_mix)
+    for q in (
+        op1_extendible_sharding,
+        op2_grace_dedup,
+        op3_rotated_codes,
+        op4_string_kernel,
+        op7_url_model,
+        op8_line_dedup,
+        op9_systematic_mix,
+        op10_backtracking_bpe,
+    )
 }
