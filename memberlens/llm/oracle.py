@@ -87,3 +87,51 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
        (size * ((unit * nth + shift) // 1000000000 - (unit * (nth - 1) + shift) // 1000000000))::BIGINT AS taken
 FROM walked
 """
+
+STATEMENTS["op6_block_anchors"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS s FROM d WHERE len(ws) >= 35),
+g AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 34], ' ')) AS name FROM w),
+r AS (SELECT doc_id, s FROM g QUALIFY count(*) OVER (PARTITION BY name) > 1),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM r)
+SELECT d.doc_id,
+       any_value(len(d.ws))::BIGINT AS n_words,
+       count(gone.i)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(words.word, ' ' ORDER BY words.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id
+LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i
+GROUP BY d.doc_id
+"""
+
+STATEMENTS["op5_sparse_product"] = rf"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[s:s + 4], ' ')) AS name
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM d WHERE len(ws) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM g a JOIN g b ON a.name = b.name AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+),
+reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.seen
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(seen) AS component_id
+FROM d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id)
+GROUP BY d.doc_id
+"""

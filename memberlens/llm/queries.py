@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import bpe, grace_dedup, language, line_dedup, mixing, rotated_codes
-from memberlens.llm import sharding, url_model
+from memberlens.llm import bpe, grace_dedup, jaccard, language, line_dedup, mixing, repeats
+from memberlens.llm import rotated_codes, sharding, url_model
 
 #: (verdict, host and beginning of the path) of the URL filter's rules.
 URL_RULES = (
@@ -47,6 +47,16 @@ def op4_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_sparse_product(spark: SparkSession, folder: str) -> DataFrame:
+    rows = jaccard.grouped(_table(spark, folder, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def op6_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeats.without_repeats(_table(spark, folder, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_url_model(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.judged(_table(spark, folder, "pages", "page_id", "url"), URL_RULES)
 
@@ -82,6 +92,8 @@ QUERIES: dict[str, Query] = {
         op2_grace_dedup,
         op3_rotated_codes,
         op4_string_kernel,
+        op5_sparse_product,
+        op6_block_anchors,
         op7_url_model,
         op8_line_dedup,
         op9_systematic_mix,
