@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memberlens.llm.scratch import columns
+
 #: Entries at which a cache of words or pairs starts anew.
 CACHE = 1 << 18
 #: Stands for the end-of-word suffix; no byte is mapped to it.
@@ -256,8 +258,8 @@ def _encoder(docs: DataFrame, path: str):
 
 def _mapped(docs: DataFrame, text: str, fields: list[T.StructField], answer) -> DataFrame:
     """``doc`` (the row but for its text) and what ``answer`` gives for each text."""
-    others = [F.col(c) for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*others).alias("doc"), F.coalesce(text, F.lit("")).alias("whole"))
+    others = F.struct(*columns(docs, text)).alias("doc")
+    rows = docs.select(others, F.coalesce(text, F.lit("")).alias("whole"))
     schema = T.StructType([rows.schema["doc"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

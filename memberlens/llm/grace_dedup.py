@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from memberlens.llm.scratch import columns
+
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 64 << 20
 #: Hash bits that one level of spill files uses.
@@ -147,24 +149,22 @@ def distinct_contents(
     *,
     text: str = "text",
     id: str = "doc_id",
-    carry: DataFrame | None = None,
     digest_only: bool = False,
     table_bytes: int = TABLE_BYTES,
 ) -> DataFrame:
-    """One row per distinct text: hash, content, keep_id, group_size and ``carry``.
+    """One row per distinct text: hash, content, keep_id, group_size and carried.
 
     A null text is an empty one. Of equal texts the largest id stays, a null id only if
     there is no other. ``carried`` is a struct of the columns of the row that stays, but
     for the text, with ``text_is_null``. With ``digest_only``, ``content`` is the SHA-256
     of the text in hexadecimal.
     """
-    others = [F.col(c) for c in docs.columns if c != text] if carry is None else carry
     rows = docs.select(
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"),
         F.coalesce(text, F.lit("")).alias("content"),
         F.col(id).cast("bigint").alias("keep_id"),
         F.lit(1).cast("bigint").alias("group_size"),
-        F.struct(F.col(text).isNull().alias("text_is_null"), *others).alias("carried"),
+        F.struct(F.col(text).isNull().alias("text_is_null"), *columns(docs, text)).alias("carried"),
     )
     if digest_only:
         rows = rows.drop("carried")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.llm.components import components
-from memberlens.llm.scratch import saved, width
+from memberlens.llm.scratch import columns, saved, width
 from memberlens.llm.words import Words, bucket_of, chunks, mix, plain, planes, unplanes
 
 #: Shingles of one batch of documents that are merged before they are sent.
@@ -76,7 +76,8 @@ def _dealt(docs: DataFrame, text: str, id: str, n: int) -> DataFrame:
     body = F.coalesce(text, F.lit(""))
     own = F.col(id).cast("bigint").alias("id")
     block = F.pmod(F.xxhash64(F.col(id), body), F.lit(n)).cast("int").alias("block")
-    return docs.select(block, own, body.alias("body")).repartition(n, "block")
+    print_ = F.xxhash64(body).alias("print")
+    return docs.select(block, own, body.alias("body"), print_).repartition(n, "block")
 
 
 def _shared_shingles(dealt: DataFrame, like: Likeness, n: int) -> DataFrame:
@@ -145,7 +146,7 @@ def _shared_shingles(dealt: DataFrame, like: Likeness, n: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, like: Likeness, *, text: str, id: str) -> DataFrame:
-    """id, n, and for sets that can be linked: class, shared, minima, prefix.
+    """id, print (of the text), n, and for sets that can be linked: class, shared, minima, prefix.
 
     ``class`` names the set, ``shared`` are its shingles that other documents have too (six
     bytes each), ``prefix`` those among which a similar set has one.
@@ -172,10 +173,10 @@ def sets(docs: DataFrame, like: Likeness, *, text: str, id: str) -> DataFrame:
                     out[name].append(value)
         kinds = {"n": pa.int64(), "class": pa.binary(), "shared": pa.binary()}
         lists = pa.list_(pa.int64())
-        ids = left["id"] if left.num_rows else pa.array([], pa.int64())
-        return pa.table({"id": ids} | {c: pa.array(v, kinds.get(c, lists)) for c, v in out.items()})
+        given = {c: left[c] if left.num_rows else pa.array([], pa.int64()) for c in ("id", "print")}
+        return pa.table(given | {c: pa.array(v, kinds.get(c, lists)) for c, v in out.items()})
 
-    schema = "id bigint, n bigint, class binary, shared binary, minima array<bigint>, prefix array<bigint>"
+    schema = "id bigint, print bigint, n bigint, class binary, shared binary, minima array<bigint>, prefix array<bigint>"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(match, schema)
 
 
@@ -331,7 +332,7 @@ def product_links(shared: list[np.ndarray], n: np.ndarray, parts: list, like: Li
 def grouped(
     docs: DataFrame, like: Likeness = Likeness(), *, text: str = "text", id: str = "doc_id"
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id and group.
+    """One row per document: id, n_shingles, component_id, group and print (of the text).
 
     ``component_id`` is the smallest id that links reach, ``group`` names the component
     where ids are null or repeat; it is null for documents whose set is like no other
@@ -365,9 +366,33 @@ def grouped(
     whole = saved(_with_root(whole, second, "part", "group").select("class", "least", "group"))
     named = whole.groupBy("group").agg(F.min("least").alias("component"))
     of_class = whole.select("class", "group").join(named, "group")
-    return found.select("id", "n", "class").join(of_class, "class", "left").select(
+    return found.select("id", "print", "n", "class").join(of_class, "class", "left").select(
         F.col("id").alias(id),
         F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
         "group",
+        "print",
     )
+
+
+def one_of_each(
+    docs: DataFrame, like: Likeness = Likeness(), *, text: str = "text", id: str = "doc_id"
+) -> DataFrame:
+    """The documents with one of each component, the smallest id, all columns as they were.
+
+    Among null or repeated ids the text's fingerprint decides. Rows that repeat id and text
+    are one document and stay together.
+    """
+    rows = grouped(docs, like, text=text, id=id).filter("group is not null")
+    rank = F.struct(F.col(id).isNull(), F.col(id), F.col("print"))
+    rows = saved(rows.select("group", F.col(id).alias("own"), "print", rank.alias("rank")))
+    first = rows.groupBy("group").agg(F.min("rank").alias("first"))
+    gone = rows.join(first, "group").filter("rank != first").select("own", "print").distinct()
+    body = F.coalesce(text, F.lit(""))
+    whole = docs.select(
+        F.struct(*columns(docs)).alias("doc"),
+        F.col(id).cast("bigint").alias("key"),
+        F.xxhash64(body).alias("key_print"),
+    )
+    same = F.col("key").eqNullSafe(F.col("own")) & (F.col("key_print") == F.col("print"))
+    return whole.join(gone, same, "left_anti").select("doc.*")

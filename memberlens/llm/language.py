@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memberlens.llm.scratch import columns
+
 UNKNOWN = "und"
 
 
@@ -148,7 +150,7 @@ def identified(
     model = fitted(labelled if labelled is not None else docs, fit, text=text, id=id, label=label)
     shared = docs.sparkSession.sparkContext.broadcast(model and model.__dict__ | {"presence": model.presence.__dict__})
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        F.struct(*columns(docs)).alias("doc"),
         F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("body"),
         held_out(id).alias("held_out"),
     )
@@ -177,3 +179,9 @@ def identified(
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def with_language(docs: DataFrame, fit: Fit = Fit(), **names: str) -> DataFrame:
+    """The documents in which a language was found, all columns as they were."""
+    found = identified(docs, fit, **names)
+    return found.filter(F.col("lang_pred") != UNKNOWN).select("doc.*")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.scratch import saved
+from memberlens.llm.scratch import columns, saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -114,7 +114,7 @@ def mixed(
     ``size`` is the number of words, 0 for a null text. A null source is a source. Rows that
     repeat an id are walked one after the other. An empty table gives an empty result.
     """
-    kept = docs.columns if carry else [id]
+    kept = columns(docs) if carry else [F.col(id)]
     rows = docs.select(
         F.struct(*kept).alias("doc"),
         _by_source(F.col(source)).alias("mix_source"),

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder of ``spark.checkpoint.dir``.
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df``, whatever their names, but for some."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
 
-    A lost executor then costs no earlier stage. Only a local session without the setting
-    gets a folder of its own.
-    """
-    spark = df.sparkSession
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without it gets its own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +23,15 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder of ``spark.checkpoint.dir``.
+
+    A lost executor then costs no earlier stage.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

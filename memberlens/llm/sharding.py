@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.scratch import saved
+from memberlens.llm.scratch import columns, saved
 
 SHARD_BYTES = 1 << 20
 #: Bits that are looked at in one pass beyond those the total size calls for.
@@ -36,7 +36,7 @@ def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
     body = F.md5(F.coalesce(text, F.lit("")))
     key = F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), body)
     return docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        F.struct(*columns(docs)).alias("doc"),
         _bits(key).alias("bits"),
         record_bytes(F.col(text)).alias("n_bytes"),
     )
