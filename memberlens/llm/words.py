@@ -126,7 +126,7 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """The values' first bytes, then their second bytes, and so on: compresses well if small."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unplanes(blob: bytes, kind: type) -> np.ndarray:
