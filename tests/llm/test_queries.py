@@ -1,0 +1,93 @@
+"""The registered queries: SQL where there is some, and the pipeline against brute force."""
+
+import hashlib
+from collections import Counter
+
+import duckdb
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer as Public
+
+import corpus_pipeline
+from memberlens.llm import jaccard, mixing, oracle, queries
+from tests.llm.conftest import DATA, ordered
+from tests.llm.test_dedup import smallest
+
+
+@pytest.fixture(scope="module")
+def database():
+    found = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        found.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(oracle.STATEMENTS))
+def test_against_sql(spark, database, name):
+    rows = queries.QUERIES[name](spark, DATA)
+    names = sorted(rows.columns)
+    want = database.execute(oracle.STATEMENTS[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == names
+    place = [columns.index(c) for c in names]
+    assert ordered(rows.select(*names).collect()) == ordered(tuple(r[k] for k in place) for r in want.fetchall())
+
+
+def test_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_bpe_query(spark):
+    public = Public.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.QUERIES["op10_backtracking_bpe"](spark, DATA).collect():
+        ids = public.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        back = public.decode(ids, skip_special_tokens=False)
+        assert r["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+
+
+def test_pipeline_stage_by_stage(spark, docs, tmp_path):
+    docs = docs.select("*").fillna({"lang": "aa"})
+    public = Public.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        out = stage(spark, docs, DATA)
+        if name != "encode":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "encode":
+            got = [(r["doc_id"], r["n_tokens"], list(r["ids"])) for r in out.collect()]
+            ids = [(i, public.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+            assert ordered(got) == ordered((i, len(x), x) for i, x in ids)
+            continue
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        if name == "language_id":
+            want = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+        elif name == "exact_dedup":
+            want = []
+            for text in {t or "" for _, t in rows}:
+                ids = [i for i, t in rows if (t or "") == text and i is not None]
+                want.append((max(ids, default=None), text))
+            got = [(i, t or "") for i, t in got]
+        elif name == "near_dedup":
+            found = jaccard.grouped(docs).collect()
+            groups = {r["group"] for r in found if r["group"] is not None}
+            alone = sum(r["group"] is None for r in found)
+            assert len(got) == len(groups) + alone and len(got) < len(rows)
+            firsts = {smallest(r["doc_id"] for r in found if r["group"] == g) for g in groups}
+            assert firsts <= {i for i, _ in got}
+            want = got
+        else:
+            want = []
+            for r in mixing.mixed(docs, carry=True).select("doc.doc_id", "doc.text", "copies").collect():
+                want += [(r["doc_id"], r["text"])] * r["copies"]
+        assert Counter(got) == Counter(want), name
+        docs = out
+
+
+def test_run(spark):
+    rows = corpus_pipeline.run(spark, DATA)
+    assert rows.count() > 100 and {"doc_id", "n_tokens", "ids"} <= set(rows.columns)
