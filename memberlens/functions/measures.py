@@ -1,7 +1,9 @@
 """Sales measures and ratios.
 
-Amounts are added up as whole minor units (cents) in 64-bit integers: exact in any
-order, and far cheaper than wide decimals; a sum too large raises an error.
+Amounts are added up as whole minor units: exact in any order. Decimal columns of up to 18
+digits, 6 of them decimals, use 64-bit integers, far cheaper than wide decimals; all others
+use 38-digit integers. A sum too large raises an error; nothing is rounded but DOUBLE amounts,
+which become decimals first (``DOUBLES``).
 
 Net sales stay two running sums, what was sold and what came back, until the last step.
 Both can be added up again at a coarser grain, and multiplied by the number of matches
@@ -14,29 +16,55 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DataType, DecimalType, IntegralType
 
 ALL_SALES = ["all_sold", "all_returned"]
 MEMBER_SALES = ["member_sold", "member_returned"]
 
+#: What amounts of a type that is not exact are cast to before they are added up.
+DOUBLES = DecimalType(38, 12)
+#: Digits and decimals up to which minor units are 64-bit integers.
+NARROW = DecimalType(18, 6)
+
 
 @dataclass(frozen=True)
 class Money:
-    """Converts amounts with ``scale`` decimals to minor units and back."""
+    """Converts amounts of a decimal type to minor units and back."""
 
-    scale: int = 2
+    kind: DecimalType = DecimalType(18, 2)
 
     @classmethod
-    def of(cls, lines: DataFrame, column: str = "order_rrp_amt") -> Money:
-        kind = lines.schema[column].dataType
-        return cls(kind.scale) if isinstance(kind, DecimalType) else cls()
+    def of(
+        cls, lines: DataFrame, column: str = "order_rrp_amt", doubles: DecimalType = DOUBLES
+    ) -> Money:
+        """For the type of a column; ``doubles`` says what other than exact numbers become."""
+        kind: DataType = lines.schema[column].dataType
+        if isinstance(kind, IntegralType):
+            kind = DecimalType(20, 0)
+        return cls(kind if isinstance(kind, DecimalType) else doubles)
+
+    @property
+    def narrow(self) -> bool:
+        return self.kind.precision <= NARROW.precision and self.kind.scale <= NARROW.scale
 
     def units(self, amount: Column) -> Column:
-        exact = amount.cast(DecimalType(18, self.scale))
-        return (exact * F.lit(10**self.scale)).cast("bigint")
+        exact = amount.cast(self.kind)
+        unit = F.lit(10**self.kind.scale)
+        if self.narrow:
+            return (exact * unit).cast("bigint")
+        # Whole part and decimals apart: one product would exceed 38 digits and be rounded,
+        # as would the sign or absolute value of a number of more than 34.
+        unit = unit.cast(DecimalType(self.kind.scale + 1, 0))
+        whole = F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact))
+        rest = exact % F.lit(1).cast("decimal(1,0)")
+        parts = [(p * unit).cast("decimal(38,0)") for p in (whole, rest)]
+        return (parts[0] + parts[1]).cast("decimal(38,0)")
 
     def amount(self, units: Column) -> Column:
-        return units.cast("decimal(38,0)") / F.lit(10**self.scale)
+        """Exact up to 6 decimals, else the nearest double."""
+        if self.kind.scale <= NARROW.scale:
+            return units.cast("decimal(38,0)") / F.lit(10**self.kind.scale)
+        return units.cast("double") / F.lit(float(10**self.kind.scale))
 
     def sums(self, *, members_only: bool = False) -> list[Column]:
         """Aggregates over lines: what was sold and what came back, in minor units."""

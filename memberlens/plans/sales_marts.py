@@ -73,7 +73,7 @@ def _deal(
 
     def row(kind: str, key: Column, bits: Column, with_sums: bool) -> Column:
         amounts = [
-            (F.col(name) if with_sums else F.lit(None).cast("bigint")).alias(name)
+            (F.col(name) if with_sums else F.when(F.lit(False), F.col(name))).alias(name)
             for name in sums
         ]
         key = key.cast("string").alias("key")
