@@ -58,8 +58,9 @@ def adding_years(
 ) -> DataFrame:
     """Distinct (member id text, add year, added through the mini-program).
 
-    What the marts need of :func:`contact_adds`, brought down to one row per device,
-    union id and year before anything is joined.
+    What the marts need of :func:`contact_adds`. Union ids are looked up and dropped before
+    members are: a device then has two rows a year at most, so a device that many members
+    and many union ids share does not meet in all their pairs.
     """
     devices = (
         _events(contact_event, as_of)
@@ -70,22 +71,17 @@ def adding_years(
         )
         .distinct()
     )
-    members = all_identities(identity).filter(F.col("crm_member_id").isNotNull()).distinct()
-    adds = devices.join(members, "gio_id").select("crm_member_id", "union_id", "add_year")
     through_wmp = F.coalesce(F.col("wecom_channel_source") == WMP_SCENE, F.lit(False))
     tags = contact_tag.select("union_id", through_wmp.alias("through_wmp")).distinct()
-    return (
-        lookup(
-            spread_nulls(adds, F.col("union_id"), adds.columns),
-            keyed(tags, F.col("union_id"), "through_wmp"),
-        )
-        .select(
-            "crm_member_id",
-            "add_year",
-            F.coalesce("through_wmp", F.lit(False)).alias("through_wmp"),
-        )
-        .distinct()
+    tagged = lookup(
+        spread_nulls(devices, F.col("union_id"), devices.columns),
+        keyed(tags, F.col("union_id"), "through_wmp"),
     )
+    adds = tagged.select(
+        "gio_id", "add_year", F.coalesce("through_wmp", F.lit(False)).alias("through_wmp")
+    ).distinct()
+    members = all_identities(identity).filter(F.col("crm_member_id").isNotNull()).distinct()
+    return adds.join(members, "gio_id").select("crm_member_id", "add_year", "through_wmp").distinct()
 
 
 def _bindings(thirdparty_bind: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ MEMBER_PROPERTY = "id_CRM_memberid"
 def latest_identity(identity: DataFrame) -> DataFrame:
     """One member per device: the newest active all-digit value.
 
-    NULL update times count as oldest and ties go to the greater text, which is how a
-    struct maximum orders them. The maximum combines before the shuffle, so a device
+    An unknown update time comes before all others, as NULLs do in the descending order of
+    the Postgres family, and ties go to the greater text. The maximum combines before the shuffle, so a device
     with very many updates reaches its task as one row per input split.
     """
-    newest = F.max(F.struct("update_time", "prop_value"))
+    unknown = F.col("update_time").isNull().alias("unknown")
+    newest = F.max(F.struct(unknown, "update_time", "prop_value"))
     return (
         identity.filter(
             (F.col("prop_key") == MEMBER_PROPERTY)

@@ -39,6 +39,19 @@ def channels(member: DataFrame) -> DataFrame:
     return _known(member).select("member_detail_id", label).distinct()
 
 
+def channel_years(member: DataFrame) -> DataFrame:
+    """Distinct (numeric member id, reporting channel, join year), years as they are."""
+    return (
+        _known(member)
+        .select(
+            "member_detail_id",
+            channel_label().alias("eff_reg_channel"),
+            join_year().alias("join_year"),
+        )
+        .distinct()
+    )
+
+
 def first_join_date(member: DataFrame) -> DataFrame:
     return (
         _known(member)

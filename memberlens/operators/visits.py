@@ -19,24 +19,26 @@ def identified_views(
 ) -> DataFrame:
     """Distinct views of identified members on or after the day they joined.
 
-    Views become distinct before the join, where equal views combine on the map side;
-    the device then has at most one member and one join date, so the join adds no row
-    and nothing is merged after it. For a member with several join dates the first one
-    decides. ``by_day`` cuts view times to the day before merging, enough for every mart
-    that reads the log; without the page type even fewer rows are left to move.
+    A device has at most one member and one join date, so the join adds no row. Full times
+    hardly repeat: views are joined first and made distinct after, which needs no second
+    shuffle, as they lie by device already. ``by_day`` cuts times to the day, enough for
+    counting visits; such views repeat a lot and become distinct first, combined on the map
+    side. For a member with several join dates the first one decides.
     """
     pages = ["page_type"] if with_pages else []
     seen = F.to_date("event_time") if by_day else F.col("event_time")
-    views = page_view.select("gio_id", seen.alias("event_time"), *pages).distinct()
+    views = page_view.select("gio_id", seen.alias("event_time"), *pages)
+    views = views.distinct() if by_day else views
     joined = first_join_date(member)
     devices = keyed(
         latest_identity(identity), F.col("member_detail_id"), "gio_id", "member_detail_id"
     ).join(keyed(joined, F.col("member_detail_id"), "join_date"), SPREAD)
-    return (
+    found = (
         views.join(devices, "gio_id")
         .filter(F.to_date("event_time") >= F.col("join_date"))
         .select("member_detail_id", "gio_id", "event_time", *pages)
     )
+    return found if by_day else found.distinct()
 
 
 def visit_days(log: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ from memberlens.functions.labels import (
     channel_label,
     frequency_label,
     gap_label,
+    year_label,
 )
 from memberlens.functions.measures import ratio
 from memberlens.operators import visits
-from memberlens.operators.members import channels, cohorts
+from memberlens.operators.members import channel_years, channels, cohorts
 from memberlens.operators.purchases import purchase_years
 
 # Fixed values of the historical e-commerce member table.
@@ -99,12 +100,13 @@ def revisiting_members(visit_log: DataFrame, member: DataFrame) -> DataFrame:
 def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     """Days between the first and second visit day of a member's year.
 
-    A member with several labels has one row per day and label; the rows order by day,
-    then label, and a gap of 0 has no bucket.
+    A member with several join years or channels has one row per day and each of them,
+    also of years that share a label; the rows order by day, then year, then channel, and a
+    gap of 0 has no bucket. Years get their labels last.
     """
-    labelled = (
+    each = (
         visits.visit_days(visit_log)
-        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
+        .join(channel_years(member), "member_detail_id", "left")
         .withColumn("visit_year", F.year("visit_date"))
     )
     in_year = Window.partitionBy("member_detail_id", "visit_year").orderBy(
@@ -114,12 +116,12 @@ def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     )
     gap = F.datediff("visit_date", F.col("previous_date"))
     return (
-        labelled.withColumn("visit_rank", F.row_number().over(in_year))
+        each.withColumn("visit_rank", F.row_number().over(in_year))
         .withColumn("previous_date", F.lag("visit_date").over(in_year))
         .filter((F.col("visit_rank") == 2) & F.col("previous_date").isNotNull())
         .groupBy(
             _bigint("visit_year").alias("visit_year"),
-            "join_year",
+            year_label(F.col("join_year"), FLOOR_SPACED).alias("join_year"),
             "eff_reg_channel",
             gap_label(gap, REVISIT_GAPS).alias("time_diff"),
         )
