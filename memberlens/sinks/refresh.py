@@ -1,7 +1,9 @@
 """Full refresh of a written table (B18): write aside, then swap.
 
-Readers see the old rows until the new ones are complete, and a failed job leaves the
-old table as it was.
+Readers see the old rows until the new ones are complete. Whatever fails, the write or
+either move of the swap, the old table is put back and what was written aside is removed;
+the old rows are deleted last. A new table begins with the properties of its writer, so
+grants and table properties are to be set on the database or again.
 """
 
 from __future__ import annotations
@@ -33,11 +35,19 @@ class FolderSink:
         run = uuid4().hex
         staged = f"{self.root}/_staged/{table}-{run}"
         replaced = f"{self.root}/_replaced/{table}-{run}"
-        rows.write.format(self.file_format).save(staged)
         files = _Files(self.spark, self.root)
-        if files.exists(self.path(table)):
-            files.move(self.path(table), replaced)
-        files.move(staged, self.path(table))
+        aside = False
+        try:
+            rows.write.format(self.file_format).save(staged)
+            if files.exists(self.path(table)):
+                files.move(self.path(table), replaced)
+                aside = True
+            files.move(staged, self.path(table))
+        except BaseException:
+            if aside and not files.exists(self.path(table)):
+                files.move(replaced, self.path(table))
+            files.remove(staged)
+            raise
         files.remove(replaced)
         return self.read(table)
 
@@ -64,12 +74,26 @@ class CatalogSink:
         return self.spark.table(self.name(table))
 
     def refresh(self, table: str, rows: DataFrame) -> DataFrame:
-        staged = self.name(f"{table}_{uuid4().hex}")
-        rows.write.format(self.file_format).saveAsTable(staged)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
-        self.spark.sql(f"ALTER TABLE {staged} RENAME TO {self.name(table)}")
+        run = uuid4().hex
+        staged, replaced = self.name(f"{table}_{run}"), self.name(f"{table}_old_{run}")
+        aside = False
+        try:
+            rows.write.format(self.file_format).saveAsTable(staged)
+            if self.spark.catalog.tableExists(self.name(table)):
+                self.rename(self.name(table), replaced)
+                aside = True
+            self.rename(staged, self.name(table))
+        except BaseException:
+            if aside:
+                self.rename(replaced, self.name(table))
+            self.spark.sql(f"DROP TABLE IF EXISTS {staged}")
+            raise
+        self.spark.sql(f"DROP TABLE IF EXISTS {replaced}")
         return self.read(table)
 
+    def rename(self, source: str, target: str) -> None:
+        self.spark.sql(f"ALTER TABLE {source} RENAME TO {target}")
+
 
 class _Files:
     """The file-system calls of a swap, through Spark's Hadoop configuration."""
