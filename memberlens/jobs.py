@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from memberlens.plans import shared
 from memberlens.plans.marts import BY_TABLE, MARTS, VISIT_LOG
-from memberlens.session import configure
+from memberlens.session import configure, now
 from memberlens.sinks.refresh import CatalogSink, FolderSink
 from memberlens.sources.tables import Tables, from_catalog, from_folder
 
@@ -29,7 +29,7 @@ def refresh_marts(
     more than one of the marts needs are written once to the shared work folder, which
     also spares recomputing them when an executor is lost, and removed at the end.
     """
-    as_of = as_of or date.today()
+    as_of = as_of or now(spark).date()
     chosen = [BY_TABLE[name] for name in only] or MARTS
     uses = [role for mart in chosen for role in mart.inputs]
     repeated = [role for role in shared.BLOCKS if uses.count(role) > 1]
@@ -62,6 +62,8 @@ def _work_folder(spark: SparkSession, sink: FolderSink | CatalogSink) -> str:
         if not isinstance(sink, FolderSink):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared_folder = f"{sink.root}/_work"
+    if shared_folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{shared_folder} is a folder of one machine: executors cannot share it")
     return f"{shared_folder.rstrip('/')}/memberlens-{spark.sparkContext.applicationId}"
 
 
@@ -74,12 +76,14 @@ def main() -> None:
     parser.add_argument("--as-of", type=date.fromisoformat, help="default: today")
     parser.add_argument("--load-time", type=datetime.fromisoformat, help="default: now")
     parser.add_argument("--time-zone", default="UTC", help="of the events' calendar days")
+    parser.add_argument("--input-gb", type=float, help="size of the largest input, for shuffles")
     parser.add_argument("marts", nargs="*", help="table names; default: all")
     options = parser.parse_args()
     if bool(options.target_folder) == bool(options.target_database):
         parser.error("give either --target-folder or --target-database")
 
-    spark = configure(SparkSession.builder.getOrCreate(), options.time_zone)
+    size = options.input_gb and int(options.input_gb * 1e9)
+    spark = configure(SparkSession.builder.getOrCreate(), options.time_zone, size)
     if options.source_folder:
         tables = from_folder(spark, options.source_folder)
     else:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from memberlens.plans import funnel_marts, sales_marts, shared, visit_marts
+from memberlens.session import now
 from memberlens.sources.tables import Tables
 
 
@@ -25,13 +26,15 @@ class Mart:
     def __call__(
         self, tables: Tables, as_of: date | None = None, load_time: datetime | None = None
     ) -> DataFrame:
-        """The mart as of a day (today if none is given) and a load time (now)."""
-        as_of = as_of or date.today()
+        """The mart as of a day and a load time; today and now, in the session's time zone."""
+        if as_of is None or (load_time is None and self.takes_load_time):
+            clock_now = now(SparkSession.active())
+            as_of, load_time = as_of or clock_now.date(), load_time or clock_now
         clock = {}
         if self.takes_as_of:
             clock["as_of"] = as_of
         if self.takes_load_time:
-            clock["load_time"] = load_time or datetime.now().replace(microsecond=0)
+            clock["load_time"] = load_time
         return self.build(**shared.resolve(tables, self.inputs, as_of), **clock)
 
 

@@ -1,7 +1,10 @@
-"""Session settings the marts rely on."""
+"""Session settings the marts rely on, and the session's clock."""
 
 from __future__ import annotations
 
+from datetime import datetime
+from math import ceil
+
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -14,21 +17,32 @@ RUNTIME_SETTINGS = {
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
-def configure(spark: SparkSession, time_zone: str = "UTC") -> SparkSession:
-    """Apply the runtime settings to a session that already exists.
+#: Bytes of input for each shuffle partition, where the size of the input is given.
+PARTITION_BYTES = 128 << 20
+
+
+def now(spark: SparkSession) -> datetime:
+    """The wall clock in the session's time zone, to the second."""
+    text = spark.sql("SELECT date_format(now(), 'yyyy-MM-dd HH:mm:ss')").first()[0]
+    return datetime.fromisoformat(text)
+
+
+def configure(
+    spark: SparkSession, time_zone: str = "UTC", input_bytes: int | None = None
+) -> SparkSession:
+    """Apply the runtime settings, for good, to a session that already exists.
 
     ``time_zone`` decides the calendar day of epoch-second events. Memory and broadcast
-    limits stay as the session has them. A cluster with more cores than shuffle
-    partitions shuffles into four partitions per core, which adaptive execution merges
-    where they are small.
+    limits stay as the session has them. With ``input_bytes``, the size of the largest
+    input, shuffles begin with a partition for each 128 MB of it, which adaptive execution
+    merges where they turn out small; else with as many as the session says.
     """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     spark.conf.set("spark.sql.session.timeZone", time_zone)
-    cores = spark.sparkContext.defaultParallelism
-    planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if cores > planned and not spark.conf.get(INITIAL_PARTITIONS, None):
-        spark.conf.set(INITIAL_PARTITIONS, str(4 * cores))
+    if input_bytes:
+        planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(INITIAL_PARTITIONS, str(max(planned, ceil(input_bytes / PARTITION_BYTES))))
     return spark
 
 

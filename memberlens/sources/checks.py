@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.functions.keys import int_text_key, text_key
+from memberlens.functions.keys import digits_only, int_key, int_text_key, text_key
 from memberlens.sources.tables import Tables
 
 
@@ -35,3 +35,26 @@ def key_report(tables: Tables) -> DataFrame:
     for report in reports[1:]:
         result = result.unionByName(report)
     return result
+
+
+def lost_keys(tables: Tables) -> DataFrame:
+    """How many ids are all digits, yet beyond 64 bits: they join nothing."""
+    ids = {
+        "member": "member_detail_id",
+        "identity": "prop_value",
+        "member_order": "crm_member_id",
+        "thirdparty_bind": "member_detail_id",
+        "crm_map": "id",
+    }
+    reports = [
+        tables[role]
+        .select(F.col(column).cast("string").alias("id"))
+        .filter(digits_only("id") & int_key("id").isNull())
+        .agg(F.count("*").alias("rows"))
+        .select(F.lit(role).alias("input"), "rows")
+        for role, column in ids.items()
+    ]
+    result = reports[0]
+    for report in reports[1:]:
+        result = result.unionByName(report)
+    return result
