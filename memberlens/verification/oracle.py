@@ -146,7 +146,7 @@ BLOCKS = """
         WHERE prop_key = 'id_CRM_memberid' AND sign = 1
           AND regexp_full_match(prop_value, '[0-9]+')
         QUALIFY row_number() OVER (
-            PARTITION BY gio_id ORDER BY update_time DESC NULLS LAST, prop_value DESC) = 1),
+            PARTITION BY gio_id ORDER BY update_time DESC NULLS FIRST, prop_value DESC) = 1),
     dim AS (
         SELECT try_cast(member_detail_id AS BIGINT) AS member_detail_id, join_time,
                eff_reg_channel AS raw_channel,
@@ -250,13 +250,13 @@ QUERIES = {
         FROM member_days m LEFT JOIN dim USING (member_detail_id) GROUP BY ALL""",
     "revisit_gaps": """
         , days AS (
-            SELECT DISTINCT log.member_detail_id, join_year, eff_reg_channel,
+            SELECT DISTINCT log.member_detail_id, joined, join_year, eff_reg_channel,
                    event_time::DATE AS day, year(event_time) AS visit_year
             FROM log LEFT JOIN dim USING (member_detail_id)),
         numbered AS (
             SELECT *, row_number() OVER (
                 PARTITION BY member_detail_id, visit_year
-                ORDER BY day, join_year NULLS LAST, eff_reg_channel NULLS LAST) AS n
+                ORDER BY day, joined NULLS LAST, eff_reg_channel NULLS LAST) AS n
             FROM days),
         gaps AS (
             SELECT b.*, date_diff('day', a.day, b.day) AS gap
@@ -526,6 +526,50 @@ QUERIES = {
                nullif(wmp_new, 0) AS wos_member_shopper_wmp_reg_new,
                nullif(lcs_new, 0) AS wos_member_shopper_lcs_reg_new
         FROM n""",
+    "block_all_identities": """
+        SELECT gio_id, prop_value AS crm_member_id FROM identity
+        WHERE prop_key = 'id_CRM_memberid'""",
+    "block_valid_orders": """
+        SELECT source_channel, order_type, sales_type::BIGINT AS sales_type,
+               count(*) FILTER (order_paid_date::DATE < DATE '{as_of}'
+                   AND CASE WHEN source_channel = 'LCS' THEN sales_type <> 3
+                            WHEN source_channel IN ('TMALL', 'DOUYIN', 'DOUYIN_B2B')
+                            THEN order_type = 'normal' END) AS valid,
+               count(*) AS lines
+        FROM order_line GROUP BY ALL""",
+    "block_net_sales": """
+        SELECT y AS transaction_year, platform,
+               (sum(sold) - sum(back))::DOUBLE AS sales,
+               (sum(m_sold) - sum(m_back))::DOUBLE AS member_sales,
+               count(DISTINCT parent_order_id) AS transactions,
+               (sum(sold) - sum(back))::DOUBLE / nullif(count(DISTINCT parent_order_id), 0) AS atv
+        FROM valid GROUP BY ALL""",
+    "block_labels": """
+        , m AS (
+            SELECT CASE WHEN contains(eff_reg_channel, 'LCS') THEN 'LCS' ELSE eff_reg_channel END
+                       AS channel,
+                   year(join_time) AS y, month(join_time) AS mo,
+                   date_diff('day', join_time::DATE, DATE '{as_of}') AS d
+            FROM member)
+        SELECT channel,
+               CASE WHEN y <= 2022 THEN '2022 及以前' ELSE y::VARCHAR END AS a,
+               CASE WHEN y <= 2022 THEN '2022及以前' ELSE y::VARCHAR END AS b,
+               CASE WHEN y <= 2022 THEN '2022 and before' ELSE y::VARCHAR END AS c,
+               CASE WHEN d > 360 THEN '> 361 days' WHEN d > 180 THEN '181-360 days'
+                    WHEN d > 90 THEN '91-180 days' WHEN d > 60 THEN '61-90 days'
+                    WHEN d > 30 THEN '31-60 days' WHEN d > 14 THEN '15-30 days'
+                    WHEN d > 7 THEN '8-14 days' WHEN d > 0 THEN '1-7 days' END AS revisit,
+               CASE WHEN d > 361 THEN '8 - 361+' WHEN d = 361 OR d < 0 OR d IS NULL THEN '未转化'
+                    WHEN d > 180 THEN '7 - 181-360' WHEN d > 90 THEN '6 - 91-180'
+                    WHEN d > 30 THEN '5 - 31-90' WHEN d > 14 THEN '4 - 15-30'
+                    WHEN d > 7 THEN '3 - 8-14天转化' WHEN d > 0 THEN '2 - 1-7天转化'
+                    ELSE '1 - 当天转化' END AS conversion,
+               CASE WHEN mo < 5 THEN mo::VARCHAR WHEN mo IS NOT NULL THEN 'greater than 5' END
+                   AS frequency,
+               count(*) AS members
+        FROM m GROUP BY ALL""",
+    "block_buying_years_of": """
+        SELECT omni AS omni_channel_member_id, y AS buy_year, source_channel FROM buyers""",
     "block_latest_identity": "SELECT gio_id, member_detail_id FROM latest",
     "block_contact_adds": """
         SELECT event_key, event_time, json_attr(attributes, 'store_codes') AS store_codes,

@@ -8,11 +8,25 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.functions.labels import LCS
-from memberlens.operators import contacts, identity, orders, purchases, visits
-from memberlens.plans.marts import MARTS
+from memberlens.functions.labels import (
+    CONVERSION_GAPS,
+    FLOOR_ENGLISH,
+    FLOOR_JOINED,
+    FLOOR_SPACED,
+    LCS,
+    NOT_CONVERTED,
+    REVISIT_GAPS,
+    channel_label,
+    frequency_label,
+    gap_label,
+    platform_label,
+    year_label,
+)
+from memberlens.functions.measures import ALL_SALES, MEMBER_SALES, Money, ratio
+from memberlens.operators import contacts, identity, members, orders, purchases
+from memberlens.plans import shared
+from memberlens.plans.marts import MARTS, VISIT_LOG
 from memberlens.plans.sales_marts import yearly_sales
-from memberlens.plans.visit_marts import page_penetration
 from memberlens.session import configure
 from memberlens.sources.sample import from_test_data
 from memberlens.sources.tables import Tables
@@ -31,21 +45,12 @@ def _mart_query(mart, as_of: date, load_time: datetime) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = from_test_data(configure(spark), folder)
         if "visit_log" in mart.inputs:
-            tables = tables.with_table(
-                "visit_log", daily_log(tables, mart.build is page_penetration)
-            )
+            tables = tables.with_table("visit_log", shared.by_day(VISIT_LOG(tables, as_of, load_time)))
         return mart(tables, as_of, load_time)
 
     return run
 
 
-def daily_log(tables: Tables, with_pages: bool) -> DataFrame:
-    """Stands in for the written visit log: its readers look no closer than the day."""
-    return visits.identified_views(
-        **tables.pick("page_view", "identity", "member"), by_day=True, with_pages=with_pages
-    )
-
-
 def _block_query(block: Callable[[Tables], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return block(from_test_data(configure(spark), folder))
@@ -89,7 +94,58 @@ def blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
             F.col("total_sales").cast("double").alias("total_sales"),
         )
 
+    def valid_orders(t: Tables) -> DataFrame:
+        counted = orders.counts_as_order(as_of)
+        return (
+            t["order_line"].groupBy("source_channel", "order_type", F.col("sales_type").cast("bigint").alias("sales_type"))
+            .agg(F.count(F.when(counted, 1)).alias("valid"), F.count("*").alias("lines"))
+        )
+
+    def net_sales(t: Tables) -> DataFrame:
+        lines = t["order_line"].filter(orders.counts_as_order(as_of))
+        money = Money.of(lines)
+        per_order = lines.groupBy(
+            F.year("order_paid_date").cast("bigint").alias("transaction_year"),
+            platform_label().alias("platform"),
+            "parent_order_id",
+        ).agg(*money.sums(), *money.sums(members_only=True))
+        sales = F.col("sales")
+        return (
+            per_order.groupBy("transaction_year", "platform")
+            .agg(
+                money.net(ALL_SALES).cast("double").alias("sales"),
+                money.net(MEMBER_SALES).cast("double").alias("member_sales"),
+                F.count("parent_order_id").alias("transactions"),
+            )
+            .withColumn("atv", ratio(sales, F.col("transactions")))
+        )
+
+    def labels(t: Tables) -> DataFrame:
+        year, floors = members.join_year(), (FLOOR_SPACED, FLOOR_JOINED, FLOOR_ENGLISH)
+        days = F.datediff(F.lit(as_of), F.to_date("join_time"))
+        return (
+            t["member"]
+            .select(
+                channel_label().alias("channel"),
+                *(year_label(year, f).alias(n) for f, n in zip(floors, "abc", strict=True)),
+                gap_label(days, REVISIT_GAPS).alias("revisit"),
+                gap_label(days, CONVERSION_GAPS, NOT_CONVERTED).alias("conversion"),
+                frequency_label(F.month("join_time")).alias("frequency"),
+            )
+            .groupBy("channel", "a", "b", "c", "revisit", "conversion", "frequency")
+            .agg(F.count("*").alias("members"))
+        )
+
+    def buying_years_of(t: Tables) -> DataFrame:
+        lines = orders.distinct_lines(t["order_line"], t["crm_map"], as_of)
+        return orders.buying_years_of(lines).withColumn("buy_year", F.col("buy_year").cast("bigint"))
+
     return {
+        "all_identities": lambda t: identity.all_identities(t["identity"]),
+        "valid_orders": valid_orders,
+        "net_sales": net_sales,
+        "labels": labels,
+        "buying_years_of": buying_years_of,
         "latest_identity": lambda t: identity.latest_identity(t["identity"]),
         "contact_adds": lambda t: contacts.contact_adds(**t.pick(*contact_inputs), as_of=as_of),
         "current_relations": lambda t: contacts.current_relations(

@@ -29,7 +29,11 @@ def raw_tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+#: The marts and blocks; the training-data operators have tests of their own.
+OWN = sorted(registered.queries(AS_OF, LOAD_TIME))
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_on_test_data(spark, raw_tables, name):
     result = entry_points.queries()[name](spark, SMALL)
     expected = raw_tables.sql(entry_points.oracle_sql()[name])
@@ -40,7 +44,7 @@ def test_on_test_data(spark, raw_tables, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(OWN) <= set(entry_points.queries()) & set(entry_points.oracle_sql())
 
 
 IDS = ["1", "2", "3", "4", "5", "6", "7", "007", "x8", None]

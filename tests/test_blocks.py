@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
-from decimal import Decimal
+from datetime import date, datetime, timedelta
+from decimal import Decimal, localcontext
 
 import pytest
 from conftest import AS_OF, rows_of
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from memberlens.functions import keys, labels
 from memberlens.functions.measures import ALL_SALES, MEMBER_SALES, Money, ratio, zero_to_null
 from memberlens.operators import contacts, identity, orders, purchases
-from memberlens.session import INITIAL_PARTITIONS, configure
-from memberlens.sources.checks import key_report, repeated_keys
+from memberlens.session import INITIAL_PARTITIONS, PARTITION_BYTES, configure, now
+from memberlens.sources.checks import key_report, lost_keys, repeated_keys
 from memberlens.sources.tables import from_frames
 
 DAY = datetime(2024, 2, 1)
@@ -112,7 +113,7 @@ def test_latest_identity(frame):
     )
     assert rows_of(identity.latest_identity(df), "gio_id", "member_detail_id") == [
         ("g1", 2),
-        ("g2", 6),
+        ("g2", 5),  # NULL comes first in a descending order
         ("g3", 8),
     ]
 
@@ -362,12 +363,38 @@ def test_net_sales_of_unknown_amounts(frame):
 def test_money_keeps_the_scale_of_the_column(spark):
     df = spark.sql("SELECT cast(1.2345 AS decimal(18,4)) AS order_rrp_amt")
     money = Money.of(df)
-    assert money == Money(4)
+    assert money == Money(DecimalType(18, 4)) and money.narrow
     units = df.select(money.units(F.col("order_rrp_amt")).alias("u"))
     assert units.first().u == 12345
     assert units.select(money.amount(F.col("u"))).first()[0] == Decimal("1.2345")
 
 
+@pytest.mark.parametrize(
+    ("kind", "amount", "copies", "total"),
+    [
+        ("double", "0.004", 1000, 4.0),
+        ("decimal(38,12)", "1234567890.5", 3, 3703703671.5),
+        ("decimal(38,12)", "-12345678901234567890123456.000000000001", 1, -1.2345678901234567e25),
+        ("decimal(38,8)", "0.00000001", 7, 7e-8),
+        ("decimal(38,0)", "9" * 30, 2, 2e30),
+        ("decimal(18,6)", "999999999999.999999", 4, 3999999999999.999996),
+        ("bigint", "9007199254740993", 2, 18014398509481986.0),
+    ],
+)
+def test_money_of_any_type_is_not_rounded(spark, kind, amount, copies, total):
+    df = spark.range(copies).select(
+        F.lit(1).alias("sales_qty"),
+        F.lit(True).alias("is_member_order"),
+        F.lit(amount).cast(kind).alias("order_rrp_amt"),
+    )
+    money = Money.of(df)
+    sums = df.groupBy().agg(*money.sums())
+    assert float(sums.groupBy().agg(money.net(ALL_SALES)).first()[0]) == pytest.approx(total, rel=1e-15)
+    units = sums.select(F.col(ALL_SALES[0]).cast("string")).first()[0]
+    with localcontext(prec=60):
+        assert Decimal(units) == Decimal(amount) * copies * 10**money.kind.scale
+
+
 def test_ratio_and_zero_to_null(frame):
     df = frame("a bigint, b bigint", (1, 3), (1, 0), (None, 1))
     found = df.select(ratio(F.col("a"), F.col("b")), zero_to_null(F.col("b"))).collect()
@@ -428,13 +455,61 @@ def test_missing_columns_are_named(frame):
         tables["crm_map"]
 
 
-def test_shuffles_use_all_cores(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+def test_shuffles_follow_the_size_of_the_input(spark):
     assert spark.conf.get(INITIAL_PARTITIONS, None) is None
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
     try:
         configure(spark)
-        assert spark.conf.get(INITIAL_PARTITIONS) == "16"
+        assert spark.conf.get(INITIAL_PARTITIONS, None) is None
+        configure(spark, input_bytes=1000 * PARTITION_BYTES + 1)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "1001"
+        configure(spark, input_bytes=1)
+        assert spark.conf.get(INITIAL_PARTITIONS) == spark.conf.get("spark.sql.shuffle.partitions")
     finally:
         spark.conf.unset(INITIAL_PARTITIONS)
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_clock_is_the_sessions(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "+14:00")
+        east = now(spark)
+        spark.conf.set("spark.sql.session.timeZone", "-10:00")
+        assert timedelta(hours=23, minutes=59) < east - now(spark) <= timedelta(hours=24)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def rows_out_of_joins(plan) -> list[int]:
+    """The row counts of all joins of a plan that has run, stages and all."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return rows_out_of_joins(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return rows_out_of_joins(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    below = plan.children()
+    return own + [n for k in range(below.size()) for n in rows_out_of_joins(below.apply(k))]
+
+
+def test_a_shared_device_does_not_pair_members_with_union_ids(frame):
+    n = 200
+    event = ("external_user_add", int(DAY.timestamp()))
+    events = [(*event, f'{{"unionId":"u{k}"}}', "g") for k in range(n)]
+    owners = [("g", MEMBER_KEY, str(k), 1, DAY) for k in range(n)]
+    adds = contacts.adding_years(
+        frame("event_key string, event_time bigint, attributes string, gio_id string", *events),
+        frame(IDENTITY, *owners),
+        frame("union_id string, wecom_channel_source string", ("u1", "乐高小程序")),
+        AS_OF,
+    )
+    assert len(adds.collect()) == 2 * n
+    made = rows_out_of_joins(adds._jdf.queryExecution().executedPlan())
+    assert len(made) == 2 and max(made) <= 2 * n
+
+
+def test_ids_beyond_64_bits_are_reported(frame):
+    ids = {"member": "member_detail_id", "identity": "prop_value", "member_order": "crm_member_id",
+           "thirdparty_bind": "member_detail_id", "crm_map": "id"}
+    rows = [("9" * 25,), ("7",), ("x",), (None,)]
+    tables = {role: frame(f"{c} string", *rows) for role, c in ids.items()}
+    assert {tuple(r) for r in lost_keys(tables).collect()} == {(role, 1) for role in ids}

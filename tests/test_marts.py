@@ -121,6 +121,15 @@ def test_gap_of_a_member_with_two_labels(frame):
     assert rows_of(gaps, "eff_reg_channel", "time_diff") == [("B", None)]
 
 
+def test_gap_of_a_member_with_two_early_join_years(frame):
+    """Years that share a label are told apart until the last step."""
+    early = [datetime(2021, 5, 1), datetime(2022, 5, 1)]
+    twice = frame(MEMBER, *[("1", at, "A") for at in early])
+    log = log_of(frame, (1, (2024, 1, 1)), (1, (2024, 1, 3)))
+    gaps = visit_marts.revisit_gaps(log, twice)
+    assert rows_of(gaps, "join_year", "time_diff", "member_count") == [("2022 及以前", None, 1)]
+
+
 ORDER = (
     "crm_member_id string, date_id date, is_rrp_sales_type int, distributor_name string, "
     "if_eff_order_tag boolean, initial_vs_repurchase_lifecycle string"

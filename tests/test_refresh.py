@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memberlens.jobs import refresh_marts
 from memberlens.plans.marts import MARTS, VISIT_LOG
-from memberlens.sinks.refresh import CatalogSink, FolderSink
+from memberlens.sinks.refresh import CatalogSink, FolderSink, _Files
 from memberlens.sources.sample import from_test_data
 from memberlens.sources.tables import SOURCE_TABLES, from_catalog, from_folder
 
@@ -42,6 +42,52 @@ def test_failed_refresh_keeps_the_old_rows(spark, sinks):
         assert sink.read("kept").count() == 5
 
 
+def test_failed_swap_keeps_the_old_rows(spark, tmp_path, monkeypatch):
+    sink = FolderSink(spark, str(tmp_path))
+    sink.refresh("swapped", spark.range(5))
+    move, moves = _Files.move, []
+
+    def second_fails(self, source, target):
+        moves.append(target)
+        if len(moves) == 2:
+            raise OSError("no second move")
+        move(self, source, target)
+
+    monkeypatch.setattr(_Files, "move", second_fails)
+    with pytest.raises(OSError, match="no second move"):
+        sink.refresh("swapped", spark.range(2))
+    assert sink.read("swapped").count() == 5
+    assert [p.name for p in tmp_path.rglob("part-*") if "_staged" in str(p)] == []
+
+
+def test_failed_rename_keeps_the_old_rows(spark, monkeypatch):
+    spark.sql("CREATE DATABASE IF NOT EXISTS marts")
+    sink = CatalogSink(spark, "marts", prefix="r_")
+    sink.refresh("renamed", spark.range(5))
+    rename, renames = CatalogSink.rename, []
+
+    def second_fails(self, source, target):
+        renames.append(target)
+        if len(renames) == 2:
+            raise OSError("no second rename")
+        rename(self, source, target)
+
+    monkeypatch.setattr(CatalogSink, "rename", second_fails)
+    with pytest.raises(OSError, match="no second rename"):
+        sink.refresh("renamed", spark.range(2))
+    assert sink.read("renamed").count() == 5
+    left = [t.name for t in spark.catalog.listTables("marts") if t.name.startswith("r_renamed")]
+    assert left == ["r_renamed"]
+
+
+def test_failed_write_leaves_nothing_aside(spark, sinks, tmp_path):
+    for sink in sinks:
+        with pytest.raises(Exception, match="broken"):
+            sink.refresh("never", failing(spark))
+    assert not list((tmp_path / "_staged").glob("*"))
+    assert not [t.name for t in spark.catalog.listTables("marts") if t.name.startswith("t_never")]
+
+
 def test_refresh_leaves_nothing_else_behind(spark, tmp_path):
     sink = FolderSink(spark, str(tmp_path))
     for _ in range(2):
