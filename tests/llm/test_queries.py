@@ -10,7 +10,7 @@ from tokenizers import Tokenizer as Public
 
 import corpus_pipeline
 from memberlens.llm import jaccard, mixing, oracle, queries
-from tests.llm.conftest import DATA, ordered
+from tests.llm.cases import DATA, docs, ordered  # noqa: F401
 from tests.llm.test_dedup import smallest
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Public
 
 from memberlens.llm import bpe, language, mixing, queries, rotated_codes, sharding, url_model
-from tests.llm.conftest import DATA, WORD, documents, ordered
+from tests.llm.cases import DATA, WORD, docs, documents, none, ordered  # noqa: F401
 
 ROWS = [r[:4] for r in documents()]
 
