@@ -18,6 +18,8 @@ RESOLVABLE_IDS = ("CRM_memberid", "DY_openid", "TMALL_kyid")
 LCS_EXCLUDED_SALES_TYPE = 3
 ECOM_ORDER_TYPE = "normal"
 ID_COLUMNS = ["type_name", "type_value", "crm_member_detail_id"]
+#: Where distinct lines are placed; sums by these columns need no further shuffle.
+PLACE = ["omni_channel_member_id", "parent_order_id", "order_paid_date"]
 
 
 def counts_as_order(as_of: date, channels: Sequence[str] = ALL_CHANNELS) -> Column:
@@ -60,7 +62,12 @@ def distinct_lines(
     as_of: date,
     channels: Sequence[str] = ALL_CHANNELS,
 ) -> DataFrame:
-    """Order lines with equal ones merged; the column list decides which are equal."""
+    """Order lines with equal ones merged; the column list decides which are equal.
+
+    Lines are placed by member, order and day: equal ones meet there, and so do the lines of
+    an order for the sums that follow, all in one shuffle. Lines without a member and order
+    still spread by day.
+    """
     lines = order_line.filter(counts_as_order(as_of, channels)).select(
         F.to_date("order_paid_date").alias("order_paid_date"),
         "source_channel",
@@ -71,7 +78,7 @@ def distinct_lines(
         "parent_order_id",
         *ID_COLUMNS,
     )
-    return with_omni_id(lines, crm_map).distinct()
+    return with_omni_id(lines, crm_map).repartition(*PLACE).distinct()
 
 
 def buying_years(

@@ -31,7 +31,7 @@ from memberlens.functions.measures import (
     ratio,
     zero_to_null,
 )
-from memberlens.operators.orders import counts_as_order, raw_sales_by_year
+from memberlens.operators.orders import PLACE, counts_as_order, raw_sales_by_year
 
 # The payment scene and the order scenario of the assistant mini-program.
 ASSISTANT_PAYMENT = "WOS企微小程序-新场景"
@@ -104,7 +104,8 @@ def _keys(kind: str, mask: int) -> Column:
 def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     """Sales per year and channel, of everybody and of mini-program registrants.
 
-    ``lines`` are distinct. Each counts towards its platform and towards ``Omni``.
+    ``lines`` are distinct. Each counts towards its platform and towards ``Omni``. The rows
+    of an order split by day where they lie anyway; dealing joins them again.
     """
     money = Money.of(lines)
     registrants = (
@@ -115,8 +116,7 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     orders = lines.groupBy(
         F.year("order_paid_date").alias("transaction_year"),
         platform_label().alias("platform"),
-        "omni_channel_member_id",
-        "parent_order_id",
+        *PLACE,
     ).agg(
         *money.sums(),
         *money.sums(members_only=True),
@@ -126,7 +126,7 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     spread = spread_nulls(
         orders,
         F.col("omni_channel_member_id"),
-        ["transaction_year", "platform", "parent_order_id"],
+        ["order_paid_date", "platform", "parent_order_id"],
     )
     known = lookup(spread, keyed(registrants, F.col("member_detail_id"), "copies"))
     platform, copies = F.col("platform"), F.col("copies")

@@ -130,3 +130,17 @@ def test_member_flags_need_no_further_shuffle(tables, no_broadcast):
     plan = mart_plan(tables, "recruitment_funnel", "simple")
     assert len(re.findall(r"Exchange hashpartitioning\(reg_year#\d+, \d+\)", plan)) == 1
     assert not re.search(r"Exchange hashpartitioning\(reg_year#\d+, member_detail_id", plan)
+
+
+def test_order_lines_are_shuffled_twice(tables, no_broadcast):
+    """Once for their ids, once by member and order; equal lines and sums meet there."""
+    plan = mart_plan(tables, "registrant_sales")
+    blocks = [b for b in re.split(r"\n\n", plan) if re.match(r"\(\d+\) Exchange", b.lstrip())]
+    line_scale = [b for b in blocks if "sales_qty" in b]
+    assert len(line_scale) == 2, line_scale
+
+
+def test_views_are_shuffled_once(tables, no_broadcast):
+    plan = mart_plan(tables, "member_visits_log")
+    blocks = [b for b in re.split(r"\n\n", plan) if re.match(r"\(\d+\) Exchange", b.lstrip())]
+    assert len([b for b in blocks if "page_type" in b]) == 1
