@@ -18,9 +18,10 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; translate() goes letter by letter and is slow."""
+    spelt_out = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(spelt_out)
 
 
 def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -50,12 +51,12 @@ def keep_bitmaps(
     in at least ``min_docs`` documents stays in the largest id that holds it and goes
     elsewhere; a null id is less than any other.
     """
-    key = line_key(F.col("line"))
+    line = F.btrim(F.col("line"), F.lit(SPACE))
     lines = (
         _keyed(docs, text, id)
         .select("line_doc", "print", F.posexplode(_lines(F.col("whole"))).alias("pos", "line"))
-        .filter(F.char_length(key) >= min_chars)
-        .select(F.unhex(F.md5(key)).alias("hash"), "line_doc", "print", "pos")
+        .filter(F.char_length(line) >= min_chars)
+        .select(F.unhex(F.md5(lower_ascii(line))).alias("hash"), "line_doc", "print", "pos")
     )
     dealt = lines.repartitionByRange(F.col("hash"), F.col("line_doc").desc(), F.col("print"))
     in_document = Window.partitionBy("hash", "line_doc", "print").orderBy("pos")
