@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.scratch import saved
+from memberlens.llm.scratch import Scratch
 
 
-def _roots(hooks: DataFrame) -> DataFrame:
+def _roots(hooks: DataFrame, scratch: Scratch) -> DataFrame:
     """node and root, from node and parent, a smaller node."""
     now = hooks
     while True:
         above = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        now = saved(
+        now = scratch.saved(
             now.join(above, "parent", "left").select(
                 "node",
                 F.coalesce("above", "parent").alias("parent"),
@@ -31,24 +31,24 @@ def _roots(hooks: DataFrame) -> DataFrame:
         now = now.select("node", "parent")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node and root, the least node of its component, of all nodes but the roots.
 
     ``edges`` has two columns of nodes; loops and repeats do no harm. No edges, no rows.
     """
     a, b = (F.col(c) for c in edges.columns)
     left = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    left = saved(left.distinct())
+    left = scratch.saved(left.distinct())
     done = None
     while not left.isEmpty():
-        hooks = saved(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
-        roots = _roots(hooks)
+        hooks = scratch.saved(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
+        roots = _roots(hooks, scratch)
         if done is None:
             done = roots
         else:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             moved = done.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            done = saved(moved.unionByName(roots))
+            done = scratch.saved(moved.unionByName(roots))
         lows = roots.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
         # All nodes with a smaller neighbour have a root; a node that is only ever the smaller one is one.
         highs = roots.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("hi_root").alias("x"), F.coalesce("lo_root", "lo").alias("y"))
             .filter("x != y")
         )
-        left = saved(at_roots.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
+        left = scratch.saved(at_roots.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
     if done is None:
         return left.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return done

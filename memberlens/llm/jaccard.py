@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.llm.components import components
-from memberlens.llm.scratch import columns, saved, width
+from memberlens.llm.scratch import Scratch, columns, saved, width
 from memberlens.llm.words import Words, bucket_of, chunks, mix, plain, planes, unplanes
 
 #: Shingles of one batch of documents that are merged before they are sent.
@@ -260,10 +260,12 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def _multiplied(members: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+def _multiplied(
+    members: DataFrame, classes: DataFrame, like: Likeness, scratch: Scratch
+) -> DataFrame:
     """Links (a, b) between parts, from class, part and cluster of the sets in question."""
-    placed = saved(_block_pairs(members))
-    blocks = saved(placed.select("cluster", "at").distinct())
+    placed = scratch.saved(_block_pairs(members))
+    blocks = scratch.saved(placed.select("cluster", "at").distinct())
     part = F.substring_index("one", ":", 1)
     inside = (part == F.substring_index("two", ":", 1)) & (part != "")
     pairs = (
@@ -329,17 +331,9 @@ def product_links(shared: list[np.ndarray], n: np.ndarray, parts: list, like: Li
     return links
 
 
-def grouped(
-    docs: DataFrame, like: Likeness = Likeness(), *, text: str = "text", id: str = "doc_id"
-) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, group and print (of the text).
-
-    ``component_id`` is the smallest id that links reach, ``group`` names the component
-    where ids are null or repeat; it is null for documents whose set is like no other
-    document's. A null or empty text, or one of white space, has no shingles and no links.
-    """
-    found = saved(sets(docs, like, text=text, id=id))
-    classes = saved(
+def _class_groups(found: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
+    """class, group and component (the smallest id) of all sets that can be linked."""
+    classes = scratch.saved(
         found.filter("class is not null")
         .groupBy("class")
         .agg(
@@ -350,29 +344,52 @@ def grouped(
             F.first("prefix").alias("prefix"),
         )
     )
-    first = saved(components(_compared(_least_alike(classes), classes, like)))
+    first = components(_compared(_least_alike(classes), classes, like), scratch)
     entries = _with_root(classes.select("class", F.explode("prefix").alias("gram")), first, "class", "part")
+    entries = scratch.saved(entries)
     several = (
         entries.groupBy("gram")
         .agg(F.min("part").alias("head"), F.max("part").alias("last"))
         .filter("head != last")
         .select("gram", "head")
     )
-    open_ = saved(entries.join(several, "gram").select("class", "part", "head").distinct())
-    clusters = components(open_.select("part", "head").distinct())
+    open_ = scratch.saved(entries.join(several, "gram").select("class", "part", "head").distinct())
+    clusters = components(open_.select("part", "head").distinct(), scratch)
     members = _with_root(open_.select("class", "part").distinct(), clusters, "part", "cluster")
-    second = components(_multiplied(members, classes, like))
+    second = components(_multiplied(members, classes, like, scratch), scratch)
     whole = _with_root(classes.select("class", "least"), first, "class", "part")
-    whole = saved(_with_root(whole, second, "part", "group").select("class", "least", "group"))
-    named = whole.groupBy("group").agg(F.min("least").alias("component"))
-    of_class = whole.select("class", "group").join(named, "group")
-    return found.select("id", "print", "n", "class").join(of_class, "class", "left").select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
-        "group",
-        "print",
-    )
+    whole = scratch.saved(_with_root(whole, second, "part", "group").select("class", "least", "group"))
+    named = scratch.saved(whole.groupBy("group").agg(F.min("least").alias("component")))
+    return scratch.saved(whole.select("class", "group").join(named, "group"))
+
+
+def grouped(
+    docs: DataFrame, like: Likeness = Likeness(), *, text: str = "text", id: str = "doc_id"
+) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, group and print (of the text).
+
+    ``component_id`` is the smallest id that links reach, ``group`` names the component
+    where ids are null or repeat; it is null for documents whose set is like no other
+    document's. A null or empty text, or one of white space, has no shingles and no links.
+    """
+    scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    try:
+        found = scratch.saved(sets(docs, like, text=text, id=id))
+        of_class = _class_groups(found, like, scratch)
+        rows = found.select("id", "print", "n", "class").join(of_class, "class", "left")
+        return kept.saved(
+            rows.select(
+                F.col("id").alias(id),
+                F.col("n").alias("n_shingles"),
+                F.when(F.col("class").isNull(), F.col("id"))
+                .otherwise(F.col("component"))
+                .alias("component_id"),
+                "group",
+                "print",
+            )
+        )
+    finally:
+        scratch.remove()
 
 
 def one_of_each(

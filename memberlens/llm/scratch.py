@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,30 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one computation in the folder of ``spark.checkpoint.dir``.
+
+    For computations of many small steps: a table that is read back has as many parts as
+    its size asks for, and carries nothing of the plan that made it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark)}/{uuid4().hex}"
+        self.tables = 0
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Deletes all tables; what is made from them lazily must have been computed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Into how many parts the session deals a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 from memberlens.llm import components, grace_dedup, jaccard, line_dedup, repeats
+from memberlens.llm.scratch import Scratch
 from memberlens.llm.words import Words, bucket_of, chunks, planes, unplanes
-from tests.llm.conftest import SCHEMA, WORD, ascii_lower, documents, ordered
+from tests.llm.cases import SCHEMA, WORD, ascii_lower, docs, documents, none, ordered  # noqa: F401
 
 
 def sha(text: str) -> str:
@@ -160,11 +161,14 @@ def test_products_agree_with_set_sizes():
 
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k + 1, k) for k in range(1, 60)] + [(100 + k, 100) for k in range(40)] + [(60, 139), (7, 7)]
-    found = components.components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()
+    scratch = Scratch(spark)
+    found = components.components(spark.createDataFrame(edges, "x bigint, y bigint"), scratch).collect()
     assert {r["node"]: r["root"] for r in found} == {
         k: 1 for k in [*range(2, 61), *range(100, 140)]
     }
-    assert components.components(spark.createDataFrame([(3, 3)], "x bigint, y bigint")).collect() == []
+    loop = spark.createDataFrame([(3, 3)], "x bigint, y bigint")
+    assert components.components(loop, scratch).collect() == []
+    scratch.remove()
 
 
 def brute_repeats():
