@@ -178,6 +178,12 @@ def nearest(
         )
     )
 
+    # At most ``most_lists`` counts come to the driver.
+    held = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
+    # However a query lies, the lists it looks into hold k other rows, if there are as many.
+    rows_in = np.cumsum(sorted(held.get(x, 0) for x in range(n_lists)))
+    probes = min(n_lists, max(probes, int(np.searchsorted(rows_in, k + 1)) + 1))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, _ = shared.value
         for batch in batches:
@@ -194,8 +200,6 @@ def nearest(
         .select("id", "v", F.explode("lists").alias("list"))
     )
     asked = saved(asked)
-    # At most ``most_lists`` counts come to the driver.
-    held = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
     asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
 
     def blocks(counts: dict[int, int]) -> Column:
