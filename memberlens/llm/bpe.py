@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from memberlens.llm.scratch import columns
 
-#: Entries at which a cache of words or pairs starts anew.
-CACHE = 1 << 18
+#: Entries at which a cache of words, pieces or pairs starts anew.
+CACHE = 1 << 19
 #: Stands for the end-of-word suffix; no byte is mapped to it.
 END = "\x00"
 NEVER = 1 << 62
@@ -150,32 +150,42 @@ class Tokenizer:
 
     def encode_piece(self, piece: str) -> list[int]:
         """The tokens of one piece that the pattern has split off."""
-        letters = self.letters
-        word = "".join([letters[b] for b in piece.encode()]) + END
-        n, longest = len(word) - 1, {}
+        if piece.isascii() and piece.isprintable():
+            word = piece + END
+        else:
+            letters = self.letters
+            word = "".join([letters[b] for b in piece.encode()]) + END
+        n = len(word) - 1
+        longest: list[int | None] = [None] * (n + 1)
         for end, token in self.longest_at.iter(word[::-1]):
-            longest.setdefault(n - end, token)
+            if longest[n - end] is None:  # the longest of those that begin here comes first
+                longest[n - end] = token
+        length, shorter, known = self.length, self.shorter, self.compatible.get
         tokens, at, dead = [], 0, set()
-        token = longest.get(0)
+        token, last = longest[0], None
         while at <= n:
-            last = tokens[-1] if tokens else None
             while token is not None:
-                end = at + self.length[token]
+                end = at + length[token]
                 # The end mark is part of the last letter's symbol: nothing ends just before it.
-                if end != n and end not in dead and (last is None or self.fits(last, token)):
-                    break
-                token = self.shorter[token]
+                if end != n and end not in dead:
+                    if last is None:
+                        break
+                    fit = known((last, token))
+                    if fit or (fit is None and self.fits(last, token)):
+                        break
+                token = shorter[token]
             if token is not None:
                 tokens.append(token)
-                at = end
-                token = longest.get(at)
+                last, at = token, end
+                token = longest[at] if at <= n else None
             else:
                 dead.add(at)
                 if not tokens:
                     raise ValueError(f"the vocabulary cannot spell {piece!r}")
-                last = tokens.pop()
-                at -= self.length[last]
-                token = self.shorter[last]
+                gone = tokens.pop()
+                at -= length[gone]
+                last = tokens[-1] if tokens else None
+                token = shorter[gone]
         return tokens
 
     def _piece(self, piece: str) -> list[int]:
@@ -215,7 +225,10 @@ class Tokenizer:
         return ids
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        ids = [i for piece in self.words.findall(word) for i in self._piece(piece)]
+        pieces = self.words.findall(word)
+        # A word that is one piece is kept as a word; its parts with commas share pieces.
+        find = self.encode_piece if len(pieces) == 1 else self._piece
+        ids = [i for piece in pieces for i in find(piece)]
         known = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         if len(self.by_word) >= CACHE:
             self.by_word.clear()
