@@ -30,6 +30,8 @@ class Fit:
 
     #: Labelled texts for each language, about; only texts up to ``sample_chars`` long.
     per_language: int = 400
+    #: Only the commonest languages are learned.
+    languages: int = 256
     sample_chars: int = 50_000
     landmarks: int = 256
     #: Letters told apart; all other characters are one. Grams are kept up to ``grams``.
@@ -121,12 +123,13 @@ def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Clas
     usable = docs.filter(
         ~held_out(id) & F.col(label).isNotNull() & (F.char_length(text) <= fit.sample_chars)
     ).select(F.col(label).cast("string").alias("label"), F.col(text).alias("body"), F.col(id).alias("own"))
-    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    common = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(fit.languages)
+    counts = {r["label"]: r["count"] for r in common.collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, fit.per_language / n)))
     draw = F.pmod(F.xxhash64("own", "body"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(draw < F.element_at(share, F.col("label")))
+    sample = usable.filter(draw < F.try_element_at(share, F.col("label")))
     rows = sorted((r["label"], r["body"]) for r in sample.select("label", "body").collect())
     # Sorting made the sample independent of the order of the table; shuffle it again alike.
     order = np.random.default_rng(0).permutation(len(rows))
