@@ -32,7 +32,7 @@ from memberlens.llm.scratch import Scratch, columns, saved, width
 from memberlens.llm.words import Words, bucket_of, chunks, mix, plain, planes, unplanes
 
 #: Shingles of one batch of documents that are merged before they are sent.
-SENT_TOGETHER = 2 << 20
+SENT_TOGETHER = 1 << 20
 #: Sets of one component or several that make a block.
 BLOCK_SETS = 128
 #: Columns of the incidence matrix that are multiplied at a time.
@@ -226,11 +226,16 @@ def _compared(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(compare, "a binary, b binary")
 
 
-def _least_alike(classes: DataFrame) -> DataFrame:
-    """Each class with the least of those that share a minimum hash with it."""
+def _least_alike(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each class with the least of those that share a minimum hash with it.
+
+    The least are a table of their own: a join with a sum over the same shuffle could not be
+    split where a minimum is very common.
+    """
     each = classes.select("class", F.posexplode("minima").alias("pos", "minimum"))
     heads = each.groupBy("pos", "minimum").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("k"))
-    pairs = each.join(heads.filter("k > 1"), ["pos", "minimum"]).filter(F.col("class") != F.col("head"))
+    heads = scratch.saved(heads.filter("k > 1"))
+    pairs = each.join(heads, ["pos", "minimum"]).filter(F.col("class") != F.col("head"))
     return pairs.select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
 
 
@@ -344,10 +349,10 @@ def _class_groups(found: DataFrame, like: Likeness, scratch: Scratch) -> DataFra
             F.first("prefix").alias("prefix"),
         )
     )
-    first = components(_compared(_least_alike(classes), classes, like), scratch)
+    first = components(_compared(_least_alike(classes, scratch), classes, like), scratch)
     entries = _with_root(classes.select("class", F.explode("prefix").alias("gram")), first, "class", "part")
     entries = scratch.saved(entries)
-    several = (
+    several = scratch.saved(
         entries.groupBy("gram")
         .agg(F.min("part").alias("head"), F.max("part").alias("last"))
         .filter("head != last")

@@ -36,11 +36,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Whether a query's shuffle files go when it ends, rather than when the driver next collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one computation in the folder of ``spark.checkpoint.dir``.
 
     For computations of many small steps: a table that is read back has as many parts as
-    its size asks for, and carries nothing of the plan that made it.
+    its size asks for, and carries nothing of the plan that made it. What was shuffled to
+    make a table is freed once the table is written.
     """
 
     def __init__(self, spark: SparkSession):
@@ -51,7 +56,12 @@ class Scratch:
     def saved(self, df: DataFrame) -> DataFrame:
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

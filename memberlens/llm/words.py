@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at a time; more only where one word is longer.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of text whose words are held at a time; more only where one text is longer.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 SPACES = [9, 10, 11, 12, 13, 32]
 MASK = (1 << 64) - 1
 #: Odd bases: of letters in a word, and of words in an n-gram.
