@@ -28,7 +28,7 @@ from memberlens.llm.scratch import width
 from memberlens.llm.words import Words, bucket_of, chunks, plain, planes, unplanes
 
 #: Runs or windows of one part of the corpus that are merged before they are sent.
-SENT_TOGETHER = 3 << 20
+SENT_TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,8 @@ def _sender(read, n: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
+            # A task may get several parts; the texts of each are read together.
+            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
             parts = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.diff(parts)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(parts)], strict=True):
