@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from memberlens.llm.scratch import columns
 
-#: Entries at which a cache of words, pieces or pairs starts anew.
-CACHE = 1 << 19
+#: Entries at which a cache starts anew: digests of words (some 200 MB in each Python worker,
+#: filled by digests() only), ids of pieces, and verdicts on pairs of tokens (some 30 MB each).
+WORD_CACHE, PIECE_CACHE, PAIR_CACHE = 1 << 19, 1 << 16, 1 << 17
 #: Stands for the end-of-word suffix; no byte is mapped to it.
 END = "\x00"
 NEVER = 1 << 62
@@ -143,7 +144,7 @@ class Tokenizer:
     def fits(self, left: int, right: int) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) >= CACHE:
+            if len(self.compatible) >= PAIR_CACHE:
                 self.compatible.clear()
             known = self.compatible[left, right] = self._fit(left, right)
         return known
@@ -191,7 +192,7 @@ class Tokenizer:
     def _piece(self, piece: str) -> list[int]:
         known = self.by_piece.get(piece)
         if known is None:
-            if len(self.by_piece) >= CACHE:
+            if len(self.by_piece) >= PIECE_CACHE:
                 self.by_piece.clear()
             known = self.encode_piece(piece)
             if len(piece) < 64:
@@ -230,7 +231,7 @@ class Tokenizer:
         find = self.encode_piece if len(pieces) == 1 else self._piece
         ids = [i for piece in pieces for i in find(piece)]
         known = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(self.by_word) >= CACHE:
+        if len(self.by_word) >= WORD_CACHE:
             self.by_word.clear()
         if len(word) < 64:
             self.by_word[word] = known
