@@ -112,7 +112,7 @@ def mixed(
     """One row per document: doc (its columns), size, source_size, target, copies.
 
     ``size`` is the number of words, 0 for a null text. A null source is a source. Rows that
-    repeat an id are walked one after the other. An empty table gives an empty result.
+    repeat an id are walked in the order of their texts' hashes. An empty table gives an empty result.
     """
     kept = columns(docs) if carry else [F.col(id)]
     rows = docs.select(
@@ -120,6 +120,7 @@ def mixed(
         _by_source(F.col(source)).alias("mix_source"),
         n_words(F.col(text)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(mix.seed), F.col(id).cast("string"))).alias("draw"),
+        F.xxhash64(F.col(text)).alias("print"),
     )
     cell = ["mix_source", "class", "cell"]
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn(
@@ -128,22 +129,24 @@ def mixed(
     cells = rows.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")
     )
-    cells = saved(cells)
+    cells = saved(cells.withColumn("block", F.substring("cell", 1, 1)))
     wanted = targets(cells.groupBy("mix_source").agg(F.sum("words").alias("source_size")), mix)
-    in_class = Window.partitionBy("mix_source", "class").orderBy("cell")
-    in_source = Window.partitionBy("mix_source").orderBy("class")
-    before = in_class.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = in_source.rowsBetween(Window.unboundedPreceding, -1)
-    classes = cells.groupBy("mix_source", "class").agg(F.sum("n").alias("n")).select(
-        "mix_source", "class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("class_start")
-    )
-    starts = (
-        cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(classes, ["mix_source", "class"])
-        .join(wanted, "mix_source")
-        .select(*cell, (F.col("start") + F.col("class_start")).alias("start"), "source_size", "target")
+    # Three short running sums, each over the totals of the one before.
+    levels = ["mix_source", "class", "block", "cell"]
+    starts = cells
+    for depth in (3, 2, 1):
+        totals = cells.groupBy(*levels[: depth + 1]).agg(F.sum("n").alias("n"))
+        earlier = Window.partitionBy(*levels[:depth]).orderBy(levels[depth])
+        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(f"before_{depth}")
+        starts = starts.join(totals.select(*levels[: depth + 1], start), levels[: depth + 1])
+    starts = starts.join(wanted, "mix_source").select(
+        *cell,
+        (F.col("before_1") + F.col("before_2") + F.col("before_3")).alias("start"),
+        "source_size",
+        "target",
     )
-    inside = Window.partitionBy(*cell).orderBy("draw")
+    inside = Window.partitionBy(*cell).orderBy("draw", "print")
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(mix.seed), "mix_source")), 1, 7), 16, 10)
     unit = F.floor(F.col("target") / F.col("source_size") * PARTS).cast("decimal(38,0)")
     shift = F.floor(offset.cast("double") / float(16**7) * PARTS).cast("decimal(38,0)")
@@ -163,7 +166,7 @@ def mixed(
     )
 
 
-def emitted(docs: DataFrame, mix: Mix = Mix(), **columns: str) -> DataFrame:
+def emitted(docs: DataFrame, mix: Mix = Mix(), **names: str) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    rows = mixed(docs, mix, carry=True, **columns).filter("copies > 0")
+    rows = mixed(docs, mix, carry=True, **names).filter("copies > 0")
     return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
