@@ -408,7 +408,8 @@ def one_of_each(
     rows = grouped(docs, like, text=text, id=id).filter("group is not null")
     rank = F.struct(F.col(id).isNull(), F.col(id), F.col("print"))
     rows = saved(rows.select("group", F.col(id).alias("own"), "print", rank.alias("rank")))
-    first = rows.groupBy("group").agg(F.min("rank").alias("first"))
+    # A table of its own, so that a join on a very large group can be split.
+    first = saved(rows.groupBy("group").agg(F.min("rank").alias("first")))
     gone = rows.join(first, "group").filter("rank != first").select("own", "print").distinct()
     body = F.coalesce(text, F.lit(""))
     whole = docs.select(
