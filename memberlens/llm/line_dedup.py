@@ -13,6 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memberlens.llm.scratch import saved
+
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -67,6 +69,8 @@ def keep_bitmaps(
         .filter(F.col("docs") >= min_docs)
         .select("hash", "stays_in")
     )
+    # Both sides then come straight from a shuffle, and a line of very many documents is split.
+    common = saved(common)
     dropped = lines.join(common, "hash").filter(~F.col("line_doc").eqNullSafe(F.col("stays_in")))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
     words = dropped.groupBy("line_doc", "print", F.expr("cast(pos div 64 as int)").alias("word")).agg(
