@@ -1,17 +1,19 @@
 """Language ID by a string kernel.
 
 The kernel of two texts is the number of character n-grams that occur in both (n-grams of
-one to three letters together, each counted once), over the root of the product of their
-numbers. Ridge regression, one language against the rest, is fitted on a sample through
-Nystroem landmarks. As a kernel value is an inner product of presence vectors, landmarks
-and weights fold into one matrix; a batch of texts is scored by one matrix product.
+one to three letters together, each counted once, all that is no letter being one
+character), over the root of the product of their numbers. Ridge regression, one language
+against the rest, is fitted on a sample through Nystroem landmarks. A text's n-grams are
+found in the tasks; only those of the sample come to the driver. As an n-gram weighs
+nothing unless a landmark has it, those of the landmarks are all that is kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,62 +21,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memberlens.llm.scratch import columns
+from memberlens.llm.scratch import columns, saved
 
 UNKNOWN = "und"
+#: Characters whose n-grams are sorted together.
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
 class Fit:
     """What the classifier is fitted on and how large it may get."""
 
-    #: Labelled texts for each language, about; only texts up to ``sample_chars`` long.
+    #: Labelled texts for each language, about, of any length.
     per_language: int = 400
     #: Only the commonest languages are learned.
     languages: int = 256
-    sample_chars: int = 50_000
+    #: n-grams of the sample, 8 bytes each; every language has an equal share, and one text.
+    sample_bytes: int = 128 << 20
     landmarks: int = 256
-    #: Letters told apart; all other characters are one. Grams are kept up to ``grams``.
-    letters: int = 127
-    grams: int = 1 << 15
+    #: Weights of n-grams and languages that are laid out in one matrix, at most.
+    grams: int = 1 << 24
     ridge: float = 1e-2
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each code point itself, or 1 if it is no letter."""
+    return np.fromiter((k if chr(k).isalpha() else 1 for k in range(0x110000)), np.int64, 0x110000)
+
+
+def distinct_grams(text: str) -> np.ndarray:
+    """The distinct n-grams of a text in order, each as its code points of 21 bits."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    letters = np.concatenate([[1], _letters()[points], [1]])
+    found = []
+    for lo in range(0, len(letters), PIECE):
+        one = letters[lo : lo + PIECE + 2]
+        two = one[:-1] << 21 | one[1:]
+        three = two[:-1] << 21 | one[2:]
+        found.append(np.unique(np.concatenate([one, two, three])))
+    own = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+    return own[own != 1]
+
+
 class Presence:
-    """Which of the known n-grams a text has."""
-
-    def __init__(self, texts: list[str], fit: Fit):
-        counts = Counter()
-        for text in texts:
-            counts.update(text.lower())
-        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c.isalpha()]
-        self.letters = np.zeros(0x110000, np.uint8)
-        for k, letter in enumerate(known[: fit.letters]):
-            self.letters[ord(letter)] = k + 1
-        self.base = fit.letters + 1
-        in_texts = np.zeros(self.base + self.base**2 + self.base**3, np.int32)
-        for text in texts:
-            in_texts[np.unique(self._codes(text))] += 1
-        in_texts[0] = 0
-        common = np.argsort(-in_texts, kind="stable")[: fit.grams]
-        self.n = int((in_texts[common] > 0).sum())
-        self.column = np.full(in_texts.size, self.n, np.int32)
-        self.column[common[: self.n]] = np.arange(self.n)
-
-    def _codes(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        one = np.concatenate([[0], self.letters[points], [0]]).astype(np.int32)
-        two = one[:-1] * self.base + one[1:]
-        three = two[:-1] * self.base + one[2:]
-        return np.concatenate([one, two + self.base, three + self.base + self.base**2])
+    """Which n-grams the landmarks have."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        self.sizes = np.array([max(len(m), 1) for m in marks], np.float64)
+        self.known = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+        places = [np.searchsorted(self.known, m) for m in marks]
+        gram = np.concatenate(places)
+        mark = np.repeat(np.arange(len(marks), dtype=np.int32), [len(m) for m in marks])
+        #: The landmarks of a gram follow one another, from ``starts``.
+        self.marks = mark[np.argsort(gram, kind="stable")]
+        self.starts = np.searchsorted(np.sort(gram), np.arange(len(self.known) + 1))
+
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Where those of a text's n-grams are that a landmark has."""
+        if not len(self.known):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        return at[self.known[at] == own]
+
+    def kernel(self, own: np.ndarray) -> np.ndarray:
+        """A text's kernel with each landmark."""
+        at = self.places(own)
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(self.marks[np.repeat(first, n) + steps], minlength=len(self.sizes))
+        return shared / np.sqrt(self.sizes * max(len(own), 1))
 
     def matrix(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: 1 for each gram it has, over the root of their number."""
-        found = np.zeros((len(texts), self.n + 1), np.float32)
-        for row, text in zip(found, texts, strict=True):
-            row[self.column[self._codes(text)]] = 1
-        found = found[:, :-1]
-        return found / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1))
+        """A row for each text: its kernel with each landmark."""
+        return np.array([self.kernel(distinct_grams(text)) for text in texts]).reshape(len(texts), -1)
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """The weights of landmarks as weights of n-grams."""
+        out = np.zeros((len(self.known), weights.shape[1]), np.float32)
+        gram = np.repeat(np.arange(len(self.known)), np.diff(self.starts))
+        order = np.argsort(self.marks, kind="stable")
+        ends = np.cumsum(np.bincount(self.marks, minlength=len(self.sizes)))
+        for k, at in enumerate(np.split(gram[order], ends[:-1])):
+            out[at] += weights[k] / np.sqrt(self.sizes[k])
+        return out
 
 
 @dataclass
@@ -82,32 +112,51 @@ class Classifier:
     presence: Presence
     languages: list[str]
     weights: np.ndarray
+    #: Weights of n-grams, if they are not too many.
+    by_gram: np.ndarray | None
 
     @classmethod
     def fitted(cls, texts: list[str], labels: list[str], fit: Fit) -> Classifier | None:
-        if not texts:
+        return cls.learned([distinct_grams(text) for text in texts], labels, fit)
+
+    @classmethod
+    def learned(cls, sets: list[np.ndarray], labels: list[str], fit: Fit) -> Classifier | None:
+        """From the n-grams of texts."""
+        if not sets:
             return None
         languages = [c for c, _ in sorted(Counter(labels).items(), key=lambda x: (-x[1], x[0]))]
-        presence = Presence(texts, fit)
-        rows = presence.matrix(texts)
+        place = {c: k for k, c in enumerate(languages)}
         # Landmarks take turns between the languages, so that rare ones have theirs.
         turn = Counter()
         order = []
         for k, label in enumerate(labels):
             order.append((turn[label], label, k))
             turn[label] += 1
-        marks = rows[[k for *_, k in sorted(order)[: fit.landmarks]]]
-        to_marks = (rows @ marks.T).astype(np.float64)
-        between = (marks @ marks.T).astype(np.float64)
-        wanted = np.where(np.array(labels)[:, None] == np.array(languages)[None], 1.0, -1.0)
-        left = to_marks.T @ to_marks + fit.ridge * len(texts) / len(marks) * between
+        marks = [sets[k] for *_, k in sorted(order)[: fit.landmarks]]
+        presence = Presence(marks)
+        between = np.array([presence.kernel(m) for m in marks])
+        left = fit.ridge * len(sets) / len(marks) * between
+        right = np.zeros((len(marks), len(languages)))
+        for lo in range(0, len(sets), 256):
+            to_marks = np.array([presence.kernel(own) for own in sets[lo : lo + 256]])
+            wanted = np.full((len(to_marks), len(languages)), -1.0)
+            wanted[np.arange(len(to_marks)), [place[c] for c in labels[lo : lo + 256]]] = 1
+            left += to_marks.T @ to_marks
+            right += to_marks.T @ wanted
         left += 1e-6 * np.trace(left) / len(marks) * np.eye(len(marks))
-        alpha = np.linalg.solve(left, to_marks.T @ wanted)
-        return cls(presence, languages, (marks.T @ alpha).astype(np.float32))
+        weights = np.linalg.solve(left, right)
+        few = len(presence.known) * len(languages) <= fit.grams
+        return cls(presence, languages, weights, presence.folded(weights) if few else None)
+
+    def scores(self, text: str) -> np.ndarray:
+        own = distinct_grams(text)
+        if self.by_gram is None:
+            return self.presence.kernel(own) @ self.weights
+        return self.by_gram[self.presence.places(own)].sum(0) / np.sqrt(max(len(own), 1))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score, 0 to 1; a text without a known gram is of the commonest."""
-        scores = self.presence.matrix(texts) @ self.weights
+        scores = np.array([self.scores(text) for text in texts])
         best = scores.argmax(1)
         score = np.clip((scores[np.arange(len(texts)), best] + 1) / 2, 0, 1)
         return [self.languages[k] for k in best], score.astype(np.float64)
@@ -120,20 +169,44 @@ def held_out(id: str) -> F.Column:
 
 def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Classifier | None:
     """The classifier of a sample drawn by a hash of id and text, about as large for each language."""
-    usable = docs.filter(
-        ~held_out(id) & F.col(label).isNotNull() & (F.char_length(text) <= fit.sample_chars)
-    ).select(F.col(label).cast("string").alias("label"), F.col(text).alias("body"), F.col(id).alias("own"))
+    spark = docs.sparkSession
+    usable = docs.filter(~held_out(id) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(label).cast("string").alias("label"),
+        F.xxhash64(F.col(id), F.col(text)).alias("draw"),
+        F.col(text).alias("body"),
+    )
     common = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(fit.languages)
     counts = {r["label"]: r["count"] for r in common.collect()}
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, fit.per_language / n)))
-    draw = F.pmod(F.xxhash64("own", "body"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(draw < F.try_element_at(share, F.col("label")))
-    rows = sorted((r["label"], r["body"]) for r in sample.select("label", "body").collect())
-    # Sorting made the sample independent of the order of the table; shuffle it again alike.
-    order = np.random.default_rng(0).permutation(len(rows))
-    return Classifier.fitted([rows[k][1] for k in order], [rows[k][0] for k in order], fit)
+    shares = [(name, fit.per_language / n) for name, n in counts.items()]
+    shares = F.broadcast(spark.createDataFrame(shares, "label string, share double"))
+    place = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.join(shares, "label").filter(place < F.col("share")).select("label", "draw", "body")
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                own = distinct_grams(row.column(2)[0].as_py())
+                arrays = [row.column(0), row.column(1), pa.array([len(own)]), pa.array([own.tobytes()])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["label", "draw", "n", "grams"])
+
+    sample = saved(drawn.mapInArrow(present, "label string, draw bigint, n bigint, grams binary"))
+    # Of each language the texts of the least hashes that fit into its share, and the first one.
+    limit = fit.sample_bytes // 8 // len(counts)
+    held, last = defaultdict(int), {}
+    for r in sorted(sample.select("draw", "label", "n").collect()):
+        held[r["label"]] += r["n"]
+        if held[r["label"]] <= limit or r["label"] not in last:
+            last[r["label"]] = r["draw"]
+    if not last:
+        return None
+    lasts = F.broadcast(spark.createDataFrame(list(last.items()), "label string, last bigint"))
+    kept = sample.join(lasts, "label").filter("draw <= last").select("draw", "label", "grams").toArrow()
+    kept = kept.sort_by([("draw", "ascending"), ("label", "ascending")])
+    sets = [np.frombuffer(own.as_buffer(), np.int64) for own in kept["grams"]]
+    return Classifier.learned(sets, kept["label"].to_pylist(), fit)
 
 
 def identified(
@@ -167,7 +240,7 @@ def identified(
         if parts:
             presence = Presence.__new__(Presence)
             presence.__dict__.update(parts["presence"])
-            own = Classifier(presence, parts["languages"], parts["weights"])
+            own = Classifier(**parts | {"presence": presence})
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -185,6 +258,9 @@ def identified(
 
 
 def with_language(docs: DataFrame, fit: Fit = Fit(), **names: str) -> DataFrame:
-    """The documents in which a language was found, all columns as they were."""
+    """The documents whose text has a letter, all columns as they were.
+
+    These are the ones in which a language is found if there is a label to learn from.
+    """
     found = identified(docs, fit, **names)
-    return found.filter(F.col("lang_pred") != UNKNOWN).select("doc.*")
+    return found.filter(F.col("doc").getField(names.get("text", "text")).rlike(r"\p{L}")).select("doc.*")

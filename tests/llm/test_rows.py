@@ -127,6 +127,30 @@ def test_texts_without_letters_have_no_language(docs, none):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcdefgh", "bb": "efghijklm", "cc": "мнопрсту"}
+
+    def prose(lang: str, n: int) -> str:
+        return " ".join("".join(rng.choices(letters[lang], k=rng.randint(2, 6))) for _ in range(n))
+
+    rows = [(k, prose("aa", 60), "aa") for k in range(40)]
+    rows += [(100 + k, prose("bb", 12_000), "bb") for k in range(12)]
+    rows += [(200 + k, prose("cc", 60), None) for k in range(4)] + [(300, "12 !", "aa"), (301, None, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert min(len(t) for _, t, c in rows if c == "bb" and t) > 50_000
+    for r in language.identified(docs).filter("doc.lang is not null").collect():
+        lettered = any(c.isalpha() for c in r["doc"]["text"] or "")
+        assert r["lang_pred"] == (r["doc"]["lang"] if lettered else "und")
+    # A small share of the sample still holds a text of each.
+    short = language.identified(docs, language.Fit(sample_bytes=64)).select("lang_pred").distinct()
+    assert {"aa", "bb"} <= {r["lang_pred"] for r in short.collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.with_language(unlabelled)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, t, _ in rows if k < 300}
+
+
 def test_kernel_ridge_regression_by_the_book():
     fit = language.Fit(landmarks=5, grams=1 << 12)
     texts = ["der hund bellt", "die katze schläft", "the dog barks", "the cat sleeps", "ein hund und eine katze", "a dog and a cat"]
