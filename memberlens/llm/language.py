@@ -34,10 +34,11 @@ class Fit:
 
     #: Labelled texts for each language, about, of any length.
     per_language: int = 400
-    #: Only the commonest languages are learned.
-    languages: int = 256
+    #: Labelled texts of all languages, about; many languages have fewer each, but 16.
+    sample: int = 100_000
     #: n-grams of the sample, 8 bytes each; every language has an equal share, and one text.
     sample_bytes: int = 128 << 20
+    #: At least; every language has one.
     landmarks: int = 256
     #: Weights of n-grams and languages that are laid out in one matrix, at most.
     grams: int = 1 << 24
@@ -132,7 +133,7 @@ class Classifier:
         for k, label in enumerate(labels):
             order.append((turn[label], label, k))
             turn[label] += 1
-        marks = [sets[k] for *_, k in sorted(order)[: fit.landmarks]]
+        marks = [sets[k] for *_, k in sorted(order)[: max(fit.landmarks, len(languages))]]
         presence = Presence(marks)
         between = np.array([presence.kernel(m) for m in marks])
         left = fit.ridge * len(sets) / len(marks) * between
@@ -175,14 +176,14 @@ def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Clas
         F.xxhash64(F.col(id), F.col(text)).alias("draw"),
         F.col(text).alias("body"),
     )
-    common = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(fit.languages)
-    counts = {r["label"]: r["count"] for r in common.collect()}
+    place = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
     if not counts:
         return None
-    shares = [(name, fit.per_language / n) for name, n in counts.items()]
+    texts = min(fit.per_language, max(fit.sample // len(counts), 16))
+    shares = [(r["label"], max(texts / r["n"], r["least"])) for r in counts]
     shares = F.broadcast(spark.createDataFrame(shares, "label string, share double"))
-    place = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(shares, "label").filter(place < F.col("share")).select("label", "draw", "body")
+    drawn = usable.join(shares, "label").filter(place <= F.col("share")).select("label", "draw", "body")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,6 +151,21 @@ def test_languages_of_long_texts_are_learned(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, t, _ in rows if k < 300}
 
 
+def test_every_label_and_letter_is_learned(spark):
+    rows = []
+    for k in range(300):  # languages of three letters that no other has
+        own = [chr(0x4E00 + 3 * k + j) for j in range(3)]
+        for j in range(4):
+            rows.append((len(rows), " ".join(own[j % 3 :] + own[: j % 3]) * 2, f"l{k}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.identified(docs).select("doc.lang", "held_out", "lang_pred").collect()
+    learned = {r["lang"] for r in found if not r["held_out"]}
+    assert len(learned) > 256
+    assert all(r["lang_pred"] == r["lang"] for r in found if r["lang"] in learned)
+    few = language.identified(docs, language.Fit(grams=0)).select("doc.lang", "held_out", "lang_pred").collect()
+    assert ordered(few) == ordered(found)
+
+
 def test_kernel_ridge_regression_by_the_book():
     fit = language.Fit(landmarks=5, grams=1 << 12)
     texts = ["der hund bellt", "die katze schläft", "the dog barks", "the cat sleeps", "ein hund und eine katze", "a dog and a cat"]
