@@ -141,13 +141,14 @@ def judged(
     """One row per page: id, host, path, rule, verdict and score.
 
     A rule's verdict stands; elsewhere a score below the limit blocks. ``score`` is null
-    where a rule decides. Pages of one host and path get one verdict, and a page without a
-    host is judged by the models like any other.
+    where a rule decides. Rules look at host and path, the models at the whole url, with a
+    null as empty: pages of one url get one verdict, and a page without a host is judged by
+    the models like any other.
     """
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(id).alias("page"), host.alias("host"), path.alias("path"))
-    ruled = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("ruled", ruled).withColumn("url", F.concat("host", "path"))
+    whole = F.coalesce(F.col(url), F.lit(""))
+    rows = pages.select(F.col(id).alias("page"), host.alias("host"), path.alias("path"), whole.alias("url"))
+    rows = rows.withColumn("ruled", longest_rule(F.col("host"), F.col("path"), rules))
     urls = rows.groupBy("url", F.col("ruled.verdict").alias("known")).agg(F.count(F.lit(1)).alias("n"))
     scored = saved(scores(urls))
     lowest = limit(scored)

@@ -274,6 +274,22 @@ def test_scores_by_brute_force(spark):
     assert sum(right) >= 0.9 * len(right)
 
 
+def test_models_see_the_whole_url(spark):
+    rng = random.Random(3)
+    good, bad = ["news", "weather", "science"], ["casino", "pills", "jackpot"]
+    urls = [f"https://a.org/p{k % 7}?cat={rng.choice(good)}&n={k}" for k in range(80)]
+    urls += [f"https://b.com/de/p{k % 7}?cat={rng.choice(bad)}&n={k}" for k in range(80)]
+    asked = [f"{start}?cat={word}" for start in ("https://c.net/p", "c.net/p") for word in good + bad]
+    asked += ["https://c.net/p#casino pills jackpot", "https://c.net/p#news weather science", None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls + asked)), "page_id bigint, url string")
+    found = {r["page_id"]: r for r in url_model.judged(pages, RULES).collect()}
+    for k, url in enumerate(asked, len(urls)):
+        assert found[k]["rule"] is None and found[k]["score"] is not None
+        if url:
+            assert found[k]["verdict"] == ("block" if any(word in url for word in bad) else "allow"), url
+    assert len({found[k]["score"] for k in range(len(urls), len(found))}) == len(asked) - 1
+
+
 TEXTS = [
     "", " ", "<|endoftext|>", "a<|startoftext|> b<|endoftext|>c", "</w> <w/>", "don't I'LL ΣΑΣ İstanbul", "a" * 400,
     "\x1c\x1d a\x1fb \x85  x y\u3000z", "é e\u0301 ﬁ ＡＢ 𝒜 👍🏽👨‍👩‍👧 ①②½", "\u200b\ufeff\x00 a\x00b", "한국어 テスト 中文 测试 हिन्दी", "'s''t'RE",
