@@ -68,7 +68,10 @@ def _centroids(sample: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def _probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
-    """The lists a query must look into so that the sample's own neighbours are found."""
+    """The lists a query must look into so that the sample's own neighbours are found.
+
+    The first of the sample ask; it must be in a random order.
+    """
     queries = sample[:256]
     distance = _squares(queries, sample)
     distance[np.arange(len(queries)), np.arange(len(queries))] = np.inf
@@ -138,9 +141,11 @@ def nearest(
         F.col(vector).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    draw = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) / float(1 << 30)
+    hashed = F.xxhash64("id", "v")
+    draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.filter(draw < index.sample / max(1, common["count"])).select("id", "v")
-    table = chosen.orderBy("id").toArrow()
+    # In the order of the hash, so that the first are a random part, whatever ids follow.
+    table = chosen.orderBy(hashed, "id").toArrow()
     if not table.num_rows:
         table = rows.select("id", "v").limit(1).toArrow()
     if not table.num_rows:

@@ -369,6 +369,21 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert rotated_codes.nearest(frame.filter("vec_id in (4, 5)"), F.lit(True)).collect() == []
 
 
+def test_probed_lists_are_fitted_on_random_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    # Ids follow the cluster: the lowest are one tight one.
+    centres = rng.normal(size=(20, 8)) * 20
+    rows = [(k, (centres[k // 150] + rng.normal(size=8)).tolist()) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked, probes = [], rotated_codes._probes
+    monkeypatch.setattr(
+        rotated_codes, "_probes", lambda sample, *rest: asked.append(sample[:256]) or probes(sample, *rest)
+    )
+    rotated_codes.nearest(frame, F.pmod("vec_id", F.lit(100)) == 0)
+    cluster = ((asked[0][:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert len(asked[0]) == 256 and len(set(cluster.tolist())) >= 15
+
+
 def test_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(1)
     v, q = rng.normal(size=(400, 64)), rng.normal(size=(20, 64))
