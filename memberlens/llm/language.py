@@ -177,7 +177,7 @@ def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Clas
         F.col(text).alias("body"),
     )
     place = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
-    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
+    counts = usable.groupBy("label").agg(F.approx_count_distinct("draw").alias("n"), F.min(place).alias("least")).collect()
     if not counts:
         return None
     texts = min(fit.per_language, max(fit.sample // len(counts), 16))
@@ -186,14 +186,21 @@ def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Clas
     drawn = usable.join(shares, "label").filter(place <= F.col("share")).select("label", "draw", "body")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
+                key = row.column(0)[0].as_py(), row.column(1)[0].as_py()
+                if key in seen:
+                    continue
+                seen.add(key)
                 own = distinct_grams(row.column(2)[0].as_py())
                 arrays = [row.column(0), row.column(1), pa.array([len(own)]), pa.array([own.tobytes()])]
                 yield pa.RecordBatch.from_arrays(arrays, names=["label", "draw", "n", "grams"])
 
-    sample = saved(drawn.mapInArrow(present, "label string, draw bigint, n bigint, grams binary"))
+    # Rows that repeat share a draw, so that they come once from each task, and then once.
+    found = drawn.mapInArrow(present, "label string, draw bigint, n bigint, grams binary")
+    sample = saved(found.dropDuplicates(["label", "draw"]))
     # Of each language the texts of the least hashes that fit into its share, and the first one.
     limit = fit.sample_bytes // 8 // len(counts)
     held, last = defaultdict(int), {}

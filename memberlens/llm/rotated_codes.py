@@ -143,7 +143,9 @@ def nearest(
     )
     hashed = F.xxhash64("id", "v")
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(draw < index.sample / max(1, common["count"])).select("id", "v")
+    # Rows that repeat share a draw: they count once, and come once.
+    unlike = rows.agg(F.approx_count_distinct(hashed)).first()[0]
+    chosen = rows.filter(draw < index.sample / max(1, unlike)).select("id", "v").distinct()
     # In the order of the hash, so that the first are a random part, whatever ids follow.
     table = chosen.orderBy(hashed, "id").toArrow()
     if not table.num_rows:

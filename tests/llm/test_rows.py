@@ -166,6 +166,18 @@ def test_every_label_and_letter_is_learned(spark):
     assert ordered(few) == ordered(found)
 
 
+def test_a_repeated_row_comes_once_into_the_sample(spark, monkeypatch):
+    rows = [(1, "one text many times", "aa")] * 500 + [(4 * k, f"text {chr(97 + k)}", "aa") for k in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    sizes = []
+    learned = language.Classifier.learned
+    monkeypatch.setattr(
+        language.Classifier, "learned", lambda sets, labels, fit: sizes.append(len(sets)) or learned(sets, labels, fit)
+    )
+    assert language.identified(docs, language.Fit(per_language=10_000)).count() == len(rows)
+    assert sizes == [docs.filter(~language.held_out("doc_id")).distinct().count()]
+
+
 def test_kernel_ridge_regression_by_the_book():
     fit = language.Fit(landmarks=5, grams=1 << 12)
     texts = ["der hund bellt", "die katze schläft", "the dog barks", "the cat sleeps", "ein hund und eine katze", "a dog and a cat"]
@@ -384,6 +396,18 @@ def test_probed_lists_are_fitted_on_random_queries(spark, monkeypatch):
     assert len(asked[0]) == 256 and len(set(cluster.tolist())) >= 15
 
 
+def test_a_repeated_vector_comes_once_into_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(200)] + [(1, [1.0, 2.0, 3.0, 4.0])] * 400
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    sizes, centroids = [], rotated_codes._centroids
+    monkeypatch.setattr(
+        rotated_codes, "_centroids", lambda sample, *rest: sizes.append(len(sample)) or centroids(sample, *rest)
+    )
+    found = rotated_codes.nearest(frame, F.pmod("vec_id", F.lit(100)) == 0).collect()
+    assert sizes == [201] and len(found) == 20
+
+
 def test_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(1)
     v, q = rng.normal(size=(400, 64)), rng.normal(size=(20, 64))
