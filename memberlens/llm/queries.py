@@ -28,7 +28,7 @@ def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFr
 
 def op1_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents", "doc_id", "text")
-    rows = sharding.sharded(docs)
+    rows = sharding.sharded(docs, split_repeats=True)
     return rows.select("doc.doc_id", "shard", "n_bytes", "shard_bytes")
 
 

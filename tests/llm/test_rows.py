@@ -38,6 +38,24 @@ def test_shards_split_only_where_they_are_too_large(docs):
     assert ordered(found.collect()) == ordered(want)
 
 
+def test_shards_of_repeated_rows_fit(spark):
+    rows = [(7, "x" * 100, "a")] * 333 + [(None, "é" * 40, None)] * 50 + [(k, f"text {k}", "b") for k in range(90)]
+    rows += [(1000, "y" * 1500, "c")] * 3 + [(1001, "z" * 1500, "c"), (None, None, None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    found = sharding.sharded(docs, limit=1000, split_repeats=True).select("doc.*", "shard", "n_bytes", "shard_bytes").collect()
+    assert ordered((r["doc_id"], r["text"], r["source"]) for r in found) == ordered(rows)
+    held, texts = Counter(), defaultdict(list)
+    for r in found:
+        assert r["n_bytes"] == len((r["text"] or "").encode())
+        held[r["shard"]] += r["n_bytes"]
+        texts[r["shard"]].append(r["text"])
+    assert all(r["shard_bytes"] == held[r["shard"]] for r in found)
+    assert all(n <= 1000 or len(texts[shard]) == 1 for shard, n in held.items())
+    names = sorted(held)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    assert sum(set(x) == {"x" * 100} for x in texts.values()) <= 64
+
+
 def test_shards_are_written(docs, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), limit=20_000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ROWS)
