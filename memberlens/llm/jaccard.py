@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.llm.components import components
-from memberlens.llm.scratch import Scratch, columns, saved, width
+from memberlens.llm.scratch import Scratch, columns, in_parts, saved
 from memberlens.llm.words import Words, bucket_of, chunks, mix, plain, planes, unplanes
 
 #: Shingles of one batch of documents that are merged before they are sent.
@@ -72,12 +72,12 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
                 yield base + k, mix(whole + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
 
 
-def _dealt(docs: DataFrame, text: str, id: str, n: int) -> DataFrame:
+def _dealt(docs: DataFrame, text: str, id: str) -> tuple[int, DataFrame]:
     body = F.coalesce(text, F.lit(""))
     own = F.col(id).cast("bigint").alias("id")
-    block = F.pmod(F.xxhash64(F.col(id), body), F.lit(n)).cast("int").alias("block")
+    key = F.xxhash64(F.col(id), body).alias("key")
     print_ = F.xxhash64(body).alias("print")
-    return docs.select(block, own, body.alias("body"), print_).repartition(n, "block")
+    return in_parts(docs.select(key, own, body.alias("body"), print_), "block")
 
 
 def _shared_shingles(dealt: DataFrame, like: Likeness, n: int) -> DataFrame:
@@ -151,8 +151,7 @@ def sets(docs: DataFrame, like: Likeness, *, text: str, id: str) -> DataFrame:
     ``class`` names the set, ``shared`` are its shingles that other documents have too (six
     bytes each), ``prefix`` those among which a similar set has one.
     """
-    n = width(docs.sparkSession)
-    dealt = _dealt(docs, text, id, n)
+    n, dealt = _dealt(docs, text, id)
     answers = _shared_shingles(dealt, like, n)
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memberlens.llm.scratch import width
+from memberlens.llm.scratch import in_parts
 from memberlens.llm.words import Words, bucket_of, chunks, plain, planes, unplanes
 
 #: Runs or windows of one part of the corpus that are merged before they are sent.
@@ -195,10 +195,9 @@ def without_repeats(
     another, are removed, in all places. Kept words are joined by one space. A null text
     has no words, and a text shorter than a window keeps them all. Every row is a document.
     """
-    n = width(docs.sparkSession)
     body = F.coalesce(text, F.lit(""))
-    part = F.pmod(F.xxhash64(F.col(id), body), F.lit(n)).cast("int").alias("part")
-    dealt = docs.select(part, F.col(id).cast("bigint").alias("id"), body.alias("body")).repartition(n, "part")
+    key = F.xxhash64(F.col(id), body).alias("key")
+    n, dealt = in_parts(docs.select(key, F.col(id).cast("bigint").alias("id"), body.alias("body")), "part")
     row = "bucket int, part int, body binary"
     answer = "part int, bucket int, body binary"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from uuid import uuid4
 
@@ -73,3 +74,38 @@ class Scratch:
 def width(spark: SparkSession) -> int:
     """Into how many parts the session deals a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of text in a part of a corpus, about.
+PART_BYTES = 100 << 20
+#: In so many cells the bytes are counted first.
+CELLS = 4096
+
+
+def in_parts(rows: DataFrame, name: str) -> tuple[int, DataFrame]:
+    """How many parts the text asks for, and the rows dealt into them by the column ``name``.
+
+    ``rows`` has key, a hash that says where a row goes, body, its text, and others; key is
+    left out. There are as many parts as the session deals a shuffle into, or more. Rows of
+    one key that would fill a part are written once and spread over all.
+    """
+    size, cell = F.octet_length("body"), F.pmod("key", F.lit(CELLS))
+    cells = rows.groupBy(cell.alias("cell")).agg(F.sum(size).alias("bytes")).collect()
+    n = max(width(rows.sparkSession), math.ceil(sum(r["bytes"] for r in cells) / PART_BYTES))
+    most = PART_BYTES // 4
+    full = [r["cell"] for r in cells if r["bytes"] > most]
+    hot = []
+    if full:
+        of_key = rows.filter(cell.isin(full)).groupBy("key")
+        of_key = of_key.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("k"))
+        hot = [r["key"] for r in of_key.filter((F.col("bytes") > most) & (F.col("k") > 1)).collect()]
+
+    def placed(some: DataFrame, key: Column) -> DataFrame:
+        part = F.pmod(key, F.lit(n)).cast("int").alias(name)
+        return some.select(part, *columns(some, "key"))
+
+    if not hot:
+        return n, placed(rows, F.col("key")).repartition(n, name)
+    is_hot = F.col("key").isin(hot)
+    spread = saved(placed(rows.filter(is_hot), F.xxhash64("key", F.monotonically_increasing_id())))
+    return n, placed(rows.filter(~is_hot), F.col("key")).unionByName(spread).repartition(n, name)

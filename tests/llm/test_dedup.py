@@ -1,13 +1,15 @@
 """Exact, line and near-duplicate removal, and repeats, against brute force."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from memberlens.llm import components, grace_dedup, jaccard, line_dedup, repeats
+from memberlens.llm import components, grace_dedup, jaccard, line_dedup, repeats, scratch
 from memberlens.llm.scratch import Scratch
 from memberlens.llm.words import Words, bucket_of, chunks, planes, unplanes
 from tests.llm.cases import SCHEMA, WORD, ascii_lower, docs, documents, none, ordered  # noqa: F401
@@ -209,3 +211,23 @@ def test_words_of_many_texts():
 
 def test_schema_has_clashing_names():
     assert "hash" in SCHEMA and "`a.b`" in SCHEMA
+
+
+def test_parts_follow_the_bytes_of_text(docs, spark, monkeypatch):
+    def near(rows):
+        found = jaccard.grouped(rows).select("doc_id", "n_shingles", "component_id")
+        return ordered(found.collect())
+
+    rows = docs.unionByName(docs.filter("doc_id = 15").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("again"))
+    want = near(rows), ordered(repeats.without_repeats(rows).collect())
+    limit = 8000
+    monkeypatch.setattr(scratch, "PART_BYTES", limit)
+    key = F.xxhash64("doc_id", "body").alias("key")
+    n, dealt = scratch.in_parts(rows.select(F.coalesce("text", F.lit("")).alias("body"), "doc_id").select(key, "doc_id", "body"), "part")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert n == max(scratch.width(spark), math.ceil(total / limit)) > scratch.width(spark)
+    assert ordered(dealt.select("doc_id").collect()) == ordered(rows.select("doc_id").collect())
+    # Forty copies of one row are more than a part; they are spread.
+    copies = dealt.filter("doc_id = 15").groupBy("part").agg(F.sum(F.octet_length("body")).alias("bytes")).collect()
+    assert sum(r["bytes"] for r in copies) > 2 * limit and max(r["bytes"] for r in copies) <= limit
+    assert (near(rows), ordered(repeats.without_repeats(rows).collect())) == want
