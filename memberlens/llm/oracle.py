@@ -135,3 +135,38 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(seen) AS c
 FROM d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id)
 GROUP BY d.doc_id
 """
+
+STATEMENTS["op11_norm_buckets"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+whole AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS all_terms FROM d WHERE len(terms) > 0),
+tf AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY ALL
+),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, whole GROUP BY term, n_docs
+),
+item AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+times AS (SELECT item_id, term, count(*) AS k FROM item GROUP BY ALL),
+m AS (SELECT row, doc_id, 100 - 75 + ((75 * len(terms) * n_docs) // all_terms) AS m FROM d, whole),
+scored AS (
+  SELECT item_id, row, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM times JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (row)
+  GROUP BY ALL
+),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scored JOIN d USING (row) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

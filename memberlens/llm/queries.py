@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import bpe, grace_dedup, jaccard, language, line_dedup, mixing, repeats
+from memberlens.llm import bpe, grace_dedup, jaccard, language, lexical, line_dedup, mixing, repeats
 from memberlens.llm import rotated_codes, sharding, url_model
 
 #: (verdict, host and beginning of the path) of the URL filter's rules.
@@ -85,6 +85,11 @@ def op10_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return lexical.ranked(docs, _table(spark, folder, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -98,5 +103,6 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_systematic_mix,
         op10_backtracking_bpe,
+        op11_norm_buckets,
     )
 }

@@ -17,7 +17,7 @@ from tests.llm.test_dedup import smallest
 @pytest.fixture(scope="module")
 def database():
     found = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         found.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     return found
 
@@ -34,7 +34,7 @@ def test_against_sql(spark, database, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 12))
 
 
 def test_bpe_query(spark):
