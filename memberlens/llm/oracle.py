@@ -170,3 +170,48 @@ ranked AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+STATEMENTS["op12_suffix_subtrees"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body
+  FROM documents
+),
+p AS (SELECT row, lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(words, s, s + k - 1), ' ') AS phrase
+  FROM w, range(1, 5) AS size(k), unnest(range(1, len(words) - k + 2)) AS start(s)
+),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 30),
+inner_ AS (
+  SELECT lang, array_to_string(list_slice(words, s, s + j - 1), ' ') AS phrase, max(a) AS longer
+  FROM c, range(2, 4) AS size(j), unnest(range(1, k - j + 2)) AS start(s)
+  WHERE j < k GROUP BY ALL
+),
+kept AS (
+  SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+),
+cuts AS (
+  SELECT kept.lang, kept.phrase, a, cut, fl.f AS l, fr.f AS r,
+         ((2000000 * a::HUGEINT) // (fl.f + fr.f))::BIGINT AS score
+  FROM kept, unnest(range(1, kept.k)) AS place_(cut), f AS fl, f AS fr
+  WHERE fl.lang = kept.lang AND fl.phrase = array_to_string(list_slice(words, 1, cut), ' ')
+    AND fr.lang = kept.lang AND fr.phrase = array_to_string(list_slice(words, cut + 1, kept.k), ' ')
+),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts
+),
+ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)
+  ) AS rank
+  FROM best WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

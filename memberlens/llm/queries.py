@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memberlens.llm import bpe, grace_dedup, jaccard, language, lexical, line_dedup, mixing, repeats
-from memberlens.llm import rotated_codes, sharding, url_model
+from memberlens.llm import bpe, collocations, grace_dedup, jaccard, language, lexical, line_dedup
+from memberlens.llm import mixing, repeats, rotated_codes, sharding, url_model
 
 #: (verdict, host and beginning of the path) of the URL filter's rules.
 URL_RULES = (
@@ -90,6 +90,11 @@ def op11_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(docs, _table(spark, folder, "benchmark", "item_id", "text"))
 
 
+def op12_suffix_subtrees(spark: SparkSession, folder: str) -> DataFrame:
+    rows = collocations.mined(_table(spark, folder, "documents", "lang", "text"))
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -104,5 +109,6 @@ QUERIES: dict[str, Query] = {
         op9_systematic_mix,
         op10_backtracking_bpe,
         op11_norm_buckets,
+        op12_suffix_subtrees,
     )
 }
