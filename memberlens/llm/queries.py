@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memberlens.llm import bpe, collocations, grace_dedup, jaccard, language, lexical, line_dedup
-from memberlens.llm import mixing, repeats, rotated_codes, sharding, url_model
+from memberlens.llm import mixing, repeats, rotated_codes, sharding, url_model, warc
+from memberlens.llm.scratch import Scratch
 
 #: (verdict, host and beginning of the path) of the URL filter's rules.
 URL_RULES = (
@@ -95,6 +96,22 @@ def op12_suffix_subtrees(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def op13_chunked_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages", "page_id", "url", "html")
+    archives = Scratch(spark)
+    try:
+        warc.write(pages, archives.folder, id="page_id", url="url", payload="html")
+        return warc.listed(spark, archives.folder).select(
+            F.col("source").cast("bigint").alias("page_id"),
+            F.col("size").alias("payload_bytes"),
+            F.col("digest").alias("payload_digest"),
+            F.col("kind").alias("record_type"),
+            F.col("refers_source").cast("bigint").alias("refers_to"),
+        )
+    finally:
+        archives.remove()
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -110,5 +127,6 @@ QUERIES: dict[str, Query] = {
         op10_backtracking_bpe,
         op11_norm_buckets,
         op12_suffix_subtrees,
+        op13_chunked_warc,
     )
 }
