@@ -36,9 +36,10 @@ GAPS = bytes_of((0x20, 0x20), (0x09, 0x09))
 BREAKS = bytes_of((0x0A, 0x0D)) | np.isin(np.arange(256), list(b".,;:!?"))
 #: Words of a suffix, and so of the longest phrase.
 DEPTH = 4
-#: Bytes of text that are split at a time, and words whose suffixes are merged before they are sent.
-TEXT_BYTES = 4 << 20
-HELD_WORDS = 1 << 20
+#: Bytes of text that are split at a time, and words that are counted, or whose suffixes are merged, before they are sent.
+TEXT_BYTES = 1 << 20
+COUNTED_WORDS = 1 << 20
+HELD_WORDS = 1 << 18
 #: Cells whose sizes the driver deals into groups.
 CELL_BITS = 16
 #: Phrases that a task ranks in the first of two rounds, about.
@@ -54,7 +55,7 @@ class Mining:
     least: int = 30
     percent: int = 80
     top: int = 2000
-    budget: int = 2 << 20
+    budget: int = 1 << 20
 
     @property
     def hot(self) -> int:
@@ -65,8 +66,8 @@ class Mining:
 Batch = tuple[str, pa.StringArray, np.ndarray, np.ndarray]
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
-    """lang, distinct words, the number of each word in turn, and whether it opens a piece."""
+def _read(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Batch]:
+    """lang, distinct words, the number of each word in turn, and whether it opens a piece, of about ``most`` words."""
     held: dict[str, list] = {}
     size = 0
 
@@ -75,7 +76,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
             parts = held.pop(lang)
             coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
             if len(coded):
-                yield lang, coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.concatenate([o for _, o in parts])
+                yield lang, coded.dictionary, coded.indices.to_numpy(), np.concatenate([o for _, o in parts])
 
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
@@ -86,7 +87,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
                     found = Tokens(texts, GAPS, BREAKS)
                     held.setdefault(lang, []).append((found.words, found.opens))
                     size += len(found.words)
-                    if size > HELD_WORDS:
+                    if size > most:
                         yield from flush()
                         size = 0
     yield from flush()
@@ -99,53 +100,67 @@ def _hashes(lang: str, words: pa.StringArray) -> np.ndarray:
     return np.concatenate([[np.uint64(seed)], np.fromiter(found, np.uint64, len(words))])
 
 
-def _distinct(w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(w: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns of ``w`` in order of their first row, second row and so on, with their counts added up."""
     if not w.shape[1]:
-        return w, counts
-    w = w.astype(np.uint64)
-    bits = np.uint64(int(w.max()).bit_length())
+        return w, np.zeros(0, np.int64)
+    bits = int(w.max()).bit_length()
+
+    def packed(rows: np.ndarray, bits: int) -> np.ndarray:
+        key = rows[0].astype(np.uint64)
+        for row in rows[1:]:
+            key <<= np.uint64(bits)
+            key |= row.astype(np.uint64)
+        return key
+
     if DEPTH * bits <= 64:
-        pairs = [(w[k] << bits) | w[k + 1] for k in (0, 2)]
-        key = (pairs[0] << (bits + bits)) | pairs[1]
+        key = packed(w, bits)
     else:
-        ranks = [np.unique((w[k] << np.uint64(32)) | w[k + 1], return_inverse=True)[1] for k in (0, 2)]
-        key = (ranks[0].astype(np.uint64) << np.uint64(32)) | ranks[1].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+        key = packed(np.stack([np.unique(packed(w[k : k + 2], 32), return_inverse=True)[1] for k in (0, 2)]), 32)
+    order = np.argsort(key)
+    key = key[order]
     fresh = np.ones(len(key), bool)
-    fresh[1:] = np.diff(key[order]) != 0
+    fresh[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(fresh)
-    return w[:, order[first]].astype(np.int64), np.add.reduceat(counts[order], first)
+    if counts is None:
+        return w[:, order[first]], np.diff(np.append(first, len(key)))
+    return w[:, order[first]], np.add.reduceat(counts[order], first)
 
 
-def _suffixes(ids: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct suffixes of two words at least, as numbers from 1 (0: the piece ends), and their counts."""
+def _suffixes(ids: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Suffixes of two words at least, as numbers from 1; 0 where the piece has ended."""
     n = len(ids)
-    w = np.zeros((DEPTH, n), np.int64)
+    w = np.zeros((DEPTH, n), np.int32)
     w[0] = ids + 1
     inside = np.ones(n, bool)
     for j in range(1, min(DEPTH, n)):
         inside[: n - j] &= ~opens[j:]
         inside[n - j :] = False
-        w[j, : n - j] = np.where(inside[: n - j], ids[j:] + 1, 0)
-    w = w[:, w[1] > 0]
-    return _distinct(w, np.ones(w.shape[1], np.int64))
+        np.multiply(w[0, j:], inside[: n - j], out=w[j, : n - j])
+    return w[:, w[1] > 0]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _prefixes(w: np.ndarray, hashes: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each suffix's prefix and how many words the prefix has."""
-    found, depth = hashes[w[0]], np.ones(w.shape[1], np.int64)
+    found, depth = hashes[w[0]], np.ones(w.shape[1], np.int8)
+    longer = np.flatnonzero(_among(hashes, hot[0])[w[0]]) if hot else ()
     for words, known in enumerate(hot, 1):
-        place = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-        longer = (known[place] == found) & (depth == words) if len(known) else np.zeros(len(found), bool)
-        found[longer] = mix(found[longer] * ODD + hashes[w[words][longer]])
+        if words > 1:
+            longer = longer[_among(found[longer], known)]
+        found[longer] = mix(found[longer] * ODD + hashes[w[words, longer]])
         depth[longer] = words + 1
     return found, depth
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids, _ in _read(batches):
+        for lang, words, ids, _ in _read(batches, COUNTED_WORDS):
             hashes = _hashes(lang, words)[1:].view(np.int64)
             counts = np.bincount(ids, minlength=len(words))
             own = pa.array([lang]).take(pa.array(np.zeros(len(words), np.int64)))
@@ -161,12 +176,9 @@ def _longer_prefixes(texts: DataFrame, hot: list[np.ndarray]) -> DataFrame:
     """Prefix and number of suffixes, of prefixes by one word longer than the last that were extended."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids, opens in _read(batches):
-            w, counts = _suffixes(ids, opens)
-            found, depth = _prefixes(w, _hashes(lang, words), hot)
-            here = depth == len(hot) + 1
-            names, place = np.unique(found[here], return_inverse=True)
-            sums = np.bincount(place, counts[here], len(names)).astype(np.int64)
+        for lang, words, ids, opens in _read(batches, HELD_WORDS):
+            found, depth = _prefixes(_suffixes(ids, opens), _hashes(lang, words), hot)
+            names, sums = np.unique(found[depth == len(hot) + 1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums)], names=["prefix", "f"])
 
     rows = texts.mapInArrow(count, "prefix bigint, f bigint")
@@ -225,8 +237,8 @@ def _sent(texts: DataFrame, directory) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Directory = directory.value
-        for lang, words, ids, opens in _read(batches):
-            w, counts = _suffixes(ids, opens)
+        for lang, words, ids, opens in _read(batches, HELD_WORDS):
+            w, counts = _distinct(_suffixes(ids, opens))
             if not w.shape[1]:
                 continue
             found, depth = _prefixes(w, _hashes(lang, words), known.hot)
@@ -257,12 +269,13 @@ def _subtree(rows: list[tuple[bytes, bytes]]) -> tuple[pa.StringArray, np.ndarra
     """The words, distinct suffixes in order, and their counts, of what several batches sent."""
     names = [pa.array(words.decode().split("\n")) for words, _ in rows]
     coded = pa.concat_arrays(names).dictionary_encode()
-    numbers = np.append(coded.indices.to_numpy().astype(np.int64) + 1, 0)
+    numbers = np.append(coded.indices.to_numpy() + 1, 0).astype(np.int32)
     parts, sums, base = [], [], 0
     for own, (_, body) in zip(names, rows, strict=True):
         columns = [unplanes(part, np.uint32) for part in _fifths(body)]
         local = np.stack(columns[:DEPTH]).astype(np.int64)
-        parts.append(np.where(local > 0, numbers[base + local - 1], 0))
+        # The last number is 0, which stands for no word.
+        parts.append(numbers[np.where(local > 0, base + local - 1, -1)])
         sums.append(columns[DEPTH].astype(np.int64))
         base += len(own)
     return coded.dictionary, *_distinct(np.concatenate(parts, 1), np.concatenate(sums))

@@ -169,6 +169,7 @@ def test_phrases_equal_brute_force(phrased, monkeypatch, budget):
     """Also with so little room that prefixes are extended, up to whole suffixes, and cells are split."""
     rows, table = phrased
     monkeypatch.setattr(collocations, "HELD_WORDS", 300)
+    monkeypatch.setattr(collocations, "COUNTED_WORDS", 500)
     mining = collocations.Mining(least=8, budget=budget, top=150)
     assert ordered(collocations.mined(table, mining).collect()) == phrases_by_hand(rows, mining)
 
