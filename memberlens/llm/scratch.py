@@ -54,13 +54,13 @@ class Scratch:
         self.folder = f"{checkpoint_folder(spark)}/{uuid4().hex}"
         self.tables = 0
 
-    def saved(self, df: DataFrame) -> DataFrame:
+    def saved(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
         before = self.spark.conf.get(FREE_SHUFFLES)
         self.spark.conf.set(FREE_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         finally:
             self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -154,7 +154,8 @@ def write(
     """
     scratch = Scratch(rows.sparkSession)
     try:
-        chunks = scratch.saved(with_digests(chunk_rows(rows, id=id, url=url, payload=payload, segment=segment)))
+        chunks = with_digests(chunk_rows(rows, id=id, url=url, payload=payload, segment=segment))
+        chunks = scratch.saved(chunks, compression="zstd")
         decided = _decided(chunks, least, scratch)
         placed = chunks.drop("size", "sha1", "sha256").join(decided, "row").sortWithinPartitions("row", "chunk")
         run = scratch.folder.rsplit("/", 1)[-1]
