@@ -66,11 +66,17 @@ class Money:
             return units.cast("decimal(38,0)") / F.lit(10**self.kind.scale)
         return units.cast("double") / F.lit(float(10**self.kind.scale))
 
-    def sums(self, *, members_only: bool = False) -> list[Column]:
-        """Aggregates over lines: what was sold and what came back, in minor units."""
+    def sums(self, *, members_only: bool = False, copies: str | None = None) -> list[Column]:
+        """Aggregates over lines: what was sold and what came back, in minor units.
+
+        ``copies`` names a column with how many lines a row stands for.
+        """
         names = MEMBER_SALES if members_only else ALL_SALES
         wanted = F.col("is_member_order") if members_only else F.lit(True)
         quantity, units = F.col("sales_qty"), self.units(F.col("order_rrp_amt"))
+        if copies:
+            # A row that stands for no line adds nothing, not 0: unknown amounts stay unknown.
+            units = F.when(F.col(copies) > 0, units * F.col(copies))
         sold = F.when((quantity > 0) & wanted, units).otherwise(0)
         returned = F.when((quantity < 0) & wanted, F.abs(units)).otherwise(0)
         return [F.sum(sold).alias(names[0]), F.sum(returned).alias(names[1])]

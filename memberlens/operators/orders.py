@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.keys import keyed, lookup, spread_nulls, text_key
@@ -18,8 +18,11 @@ RESOLVABLE_IDS = ("CRM_memberid", "DY_openid", "TMALL_kyid")
 LCS_EXCLUDED_SALES_TYPE = 3
 ECOM_ORDER_TYPE = "normal"
 ID_COLUMNS = ["type_name", "type_value", "crm_member_detail_id"]
-#: Where distinct lines are placed; sums by these columns need no further shuffle.
-PLACE = ["omni_channel_member_id", "parent_order_id", "order_paid_date"]
+#: Where distinct lines are placed; sums by these columns need no further shuffle. ``loose``
+#: spreads lines without a member or order, which no order holds together.
+PLACE = ["omni_channel_member_id", "parent_order_id", "order_paid_date", "loose"]
+#: What distinct lines have besides the columns that make them equal.
+ADDED = ["loose", "copies"]
 
 
 def counts_as_order(as_of: date, channels: Sequence[str] = ALL_CHANNELS) -> Column:
@@ -38,21 +41,36 @@ def counts_as_order(as_of: date, channels: Sequence[str] = ALL_CHANNELS) -> Colu
     return (F.to_date("order_paid_date") < F.lit(as_of)) & per_channel
 
 
-def with_omni_id(lines: DataFrame, crm_map: DataFrame) -> DataFrame:
+def with_omni_id(lines: DataFrame, crm_map: DataFrame, first_match: str | None = None) -> DataFrame:
     """Replace the three id columns by ``omni_channel_member_id``.
 
     The mapped CRM id comes first, then the channel's own id; id types outside the
     list have none, so those lines skip the lookup. An id mapped in several ways
-    repeats its lines; equal map entries do not.
+    repeats its lines; equal map entries do not. ``first_match`` names a column that is true in
+    one of the rows of each line.
     """
     resolvable = F.col("type_name").isin(*RESOLVABLE_IDS)
     crm_id = F.when(resolvable, text_key("crm_member_detail_id"))
-    entries = crm_map.select("member_id", text_key("id").alias("mapped_id")).distinct()
-    mapped = keyed(entries, text_key("member_id"), "mapped_id")
+    entries = crm_map.select(text_key("member_id").alias("member_id"), text_key("id").alias("mapped_id"))
+    found, counted = ["mapped_id"], []
+    if first_match:
+        by_id = Window.partitionBy("member_id").orderBy("mapped_id")
+        repeats = F.lag("mapped_id").over(by_id).eqNullSafe(F.col("mapped_id"))
+        place = F.row_number().over(by_id)
+        entries = (
+            entries.filter(F.col("member_id").isNotNull())
+            .select("*", (place == 1).alias(first_match), ((place > 1) & repeats).alias("repeats"))
+            .filter(~F.col("repeats"))
+        )
+        found.append(first_match)
+        counted = [F.coalesce(first_match, F.lit(True)).alias(first_match)]
+    else:
+        entries = entries.distinct()
+    mapped = keyed(entries, F.col("member_id"), *found)
     omni_id = F.when(resolvable, F.coalesce("mapped_id", text_key("type_value")))
     rest = [c for c in lines.columns if c not in ID_COLUMNS]
     return lookup(spread_nulls(lines, crm_id, lines.columns), mapped).select(
-        *rest, omni_id.alias("omni_channel_member_id")
+        *rest, omni_id.alias("omni_channel_member_id"), *counted
     )
 
 
@@ -64,9 +82,11 @@ def distinct_lines(
 ) -> DataFrame:
     """Order lines with equal ones merged; the column list decides which are equal.
 
-    Lines are placed by member, order and day: equal ones meet there, and so do the lines of
-    an order for the sums that follow, all in one shuffle. Lines without a member and order
-    still spread by day.
+    ``copies`` is how many lines each stands for: a line whose id is mapped in several ways
+    is in several rows and counts in one of them, so that sums over all lines, equal ones
+    included, need no second read. Lines are placed by member, order and day: equal ones meet
+    there, and so do the lines of an order for the sums that follow, all in one shuffle. Where the
+    member or the order is null, the whole row decides the place (``loose``).
     """
     lines = order_line.filter(counts_as_order(as_of, channels)).select(
         F.to_date("order_paid_date").alias("order_paid_date"),
@@ -78,7 +98,15 @@ def distinct_lines(
         "parent_order_id",
         *ID_COLUMNS,
     )
-    return with_omni_id(lines, crm_map).repartition(*PLACE).distinct()
+    known = with_omni_id(lines, crm_map, first_match="counts")
+    equal = [c for c in known.columns if c != "counts"]
+    unplaced = F.col("omni_channel_member_id").isNull() | F.col("parent_order_id").isNull()
+    return (
+        known.withColumn("loose", F.when(unplaced, F.xxhash64(*equal)))
+        .repartition(*PLACE)
+        .groupBy(*equal, "loose")
+        .agg(F.sum(F.col("counts").cast("bigint")).alias("copies"))
+    )
 
 
 def buying_years(

@@ -99,8 +99,7 @@ MARTS = [
     Mart(
         "add_wecom_member_converted_by_transaction_year",
         sales_marts.contact_adder_sales,
-        ("lines", "order_line", "contact_adds", "still_added"),
-        takes_as_of=True,
+        ("lines", "contact_adds", "still_added"),
     ),
     Mart(
         "wos_converted_through_wmp_by_transaction_year",

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memberlens.functions.keys import (
@@ -31,7 +31,7 @@ from memberlens.functions.measures import (
     ratio,
     zero_to_null,
 )
-from memberlens.operators.orders import PLACE, counts_as_order, raw_sales_by_year
+from memberlens.operators.orders import ADDED, PLACE, counts_as_order
 
 # The payment scene and the order scenario of the assistant mini-program.
 ASSISTANT_PAYMENT = "WOS企微小程序-新场景"
@@ -126,7 +126,7 @@ def yearly_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
     spread = spread_nulls(
         orders,
         F.col("omni_channel_member_id"),
-        ["order_paid_date", "platform", "parent_order_id"],
+        ["order_paid_date", "platform", "parent_order_id", "loose"],
     )
     known = lookup(spread, keyed(registrants, F.col("member_detail_id"), "copies"))
     platform, copies = F.col("platform"), F.col("copies")
@@ -214,23 +214,24 @@ def registrant_sales(lines: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def contact_adder_sales(
-    lines: DataFrame,
-    order_line: DataFrame,
-    contact_adds: DataFrame,
-    still_added: DataFrame,
-    as_of: date,
+    lines: DataFrame, contact_adds: DataFrame, still_added: DataFrame
 ) -> DataFrame:
     """Store purchases of members who had added a contact by that year.
 
     Equal lines count once, whatever their order. An id spelled in several ways (``7``,
     ``007``) is several adders and repeats the sales of its member. The total is over
-    all lines, equal ones included.
+    all lines, equal ones included: merged lines bring their number along, and purchases of
+    those who added nobody stay until the cells are added up, so lines are read once.
     """
     money = Money.of(lines)
-    bought_in_store = lines.filter(F.col("source_channel") == LCS).drop("parent_order_id")
-    purchases = bought_in_store.distinct().groupBy(
-        F.year("order_paid_date").alias("transaction_year"), "omni_channel_member_id"
-    ).agg(*money.sums(members_only=True))
+    in_store = lines.filter(F.col("source_channel") == LCS)
+    equal = [c for c in lines.columns if c not in ["parent_order_id", *ADDED]]
+    purchases = (
+        in_store.groupBy(*equal)
+        .agg(F.sum("copies").alias("copies"))
+        .groupBy(F.year("order_paid_date").alias("transaction_year"), "omni_channel_member_id")
+        .agg(*money.sums(members_only=True), *money.sums(copies="copies"))
+    )
     adders = contact_adds.groupBy("crm_member_id").agg(
         F.min("add_year").alias("first_year"), F.max("through_wmp").alias("by_wmp")
     )
@@ -244,15 +245,16 @@ def contact_adder_sales(
             F.sum(F.col("by_wmp").cast("int")).alias("wmp_adders"),
         )
     )
+    sums = [*MEMBER_SALES, *ALL_SALES]
     in_time = F.when(F.col("first_year") <= F.col("transaction_year"), F.col("adders"))
+    member = F.col("omni_channel_member_id")
     bought = lookup(
-        keyed(purchases, F.col("omni_channel_member_id"), "transaction_year", *MEMBER_SALES)
-        .join(spelled, SPREAD)
-        .groupBy(SPREAD, "transaction_year", *MEMBER_SALES)
-        .agg(F.sum(in_time).alias("adders"), F.sum("wmp_adders").alias("wmp_adders"))
-        .filter(F.col("adders") > 0),
+        lookup(spread_nulls(purchases, member, ["transaction_year"]), spelled)
+        .groupBy(SPREAD, "transaction_year", *sums)
+        .agg(F.sum(in_time).alias("adders"), F.sum("wmp_adders").alias("wmp_adders")),
         still_added,
     )
+    added = F.coalesce(F.col("adders") > 0, F.lit(False))
     repeats = (
         F.col("adders")
         * F.greatest("wmp_adders", F.lit(1))
@@ -260,28 +262,36 @@ def contact_adder_sales(
     )
     facts = bought.select(
         "transaction_year",
-        F.col("still_copies").isNotNull().cast("bigint").alias("if_still_added_wecom"),
-        (F.col("wmp_adders") > 0).cast("bigint").alias("if_added_wecom_through_wmp"),
-        *[(F.col(name) * repeats).alias(name) for name in MEMBER_SALES],
+        added.alias("added"),
+        F.when(added, F.col("still_copies").isNotNull().cast("bigint")).alias("if_still_added_wecom"),
+        F.when(added, (F.col("wmp_adders") > 0).cast("bigint")).alias("if_added_wecom_through_wmp"),
+        *[F.when(added, F.col(name) * repeats).alias(name) for name in MEMBER_SALES],
+        *ALL_SALES,
     )
     cells = facts.groupBy(
-        "transaction_year", "if_still_added_wecom", "if_added_wecom_through_wmp"
+        "transaction_year", "added", "if_still_added_wecom", "if_added_wecom_through_wmp"
     ).agg(
         F.count("*").alias("member_shopper"),
         money.net(MEMBER_SALES).alias("member_sales"),
+        *[F.sum(name).alias(name) for name in ALL_SALES],
     )
-    totals = raw_sales_by_year(order_line, as_of, LCS)
-    return cells.join(totals, "transaction_year", "left").select(
-        F.col("transaction_year").cast("bigint").alias("transaction_year"),
-        F.lit(LCS).alias("source_channel"),
-        "if_still_added_wecom",
-        "if_added_wecom_through_wmp",
-        "member_shopper",
-        F.col("member_sales").cast("double").alias("member_sales"),
-        F.col("total_sales").cast("double").alias("YTD_platform_TTL"),
-        ratio(F.col("member_sales"), F.col("total_sales")).alias(
-            "sales_share_of_YTD_platform_TTL"
-        ),
+    of_year = Window.partitionBy("transaction_year")
+    sold, returned = (F.sum(name).over(of_year) for name in ALL_SALES)
+    return (
+        cells.withColumn("total_sales", money.amount(sold - returned))
+        .filter("added")
+        .select(
+            F.col("transaction_year").cast("bigint").alias("transaction_year"),
+            F.lit(LCS).alias("source_channel"),
+            "if_still_added_wecom",
+            "if_added_wecom_through_wmp",
+            "member_shopper",
+            F.col("member_sales").cast("double").alias("member_sales"),
+            F.col("total_sales").cast("double").alias("YTD_platform_TTL"),
+            ratio(F.col("member_sales"), F.col("total_sales")).alias(
+                "sales_share_of_YTD_platform_TTL"
+            ),
+        )
     )
 
 

@@ -160,7 +160,9 @@ def blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
         ).withColumn("buy_year", F.col("buy_year").cast("bigint")),
         "distinct_lines": lambda t: orders.distinct_lines(
             t["order_line"], t["crm_map"], as_of
-        ).withColumn("order_rrp_amt", F.col("order_rrp_amt").cast("double")),
+        )
+        .drop(*orders.ADDED)
+        .withColumn("order_rrp_amt", F.col("order_rrp_amt").cast("double")),
         "purchase_days": lambda t: purchases.purchase_days(t["member_order"]),
         "platform_totals": platform_totals,
         "raw_lcs_totals": raw_lcs_totals,

@@ -316,6 +316,17 @@ def test_omni_ids_and_distinct_lines(frame):
     assert rows_of(buyers) == [("100",), ("tv1",)]
 
 
+def test_merged_lines_know_how_many_they_are(frame):
+    """Each line counts in one row, however many ids it is mapped to, equal map entries aside."""
+    crm_map = frame("id bigint, member_id bigint", (100, 1), (200, 1), (100, 1), (None, 1), (None, 1), (None, 2), (None, 2), (3, None))
+    lines = frame(LINE, line(), line(), line(), line(crm="2"), line(crm=None), line(crm=None), line(order=2))
+    found = orders.distinct_lines(lines, crm_map, AS_OF)
+    rows = rows_of(found, "parent_order_id", "omni_channel_member_id", "copies")
+    assert sum(r[2] for r in rows) == 7
+    assert [r for r in rows if r[0] == 2] == [(2, "100", 0), (2, "200", 0), (2, "tv1", 1)]
+    assert [r for r in rows if r[0] == 1] == [(1, "100", 0), (1, "200", 0), (1, "tv1", 6)]
+
+
 def test_buying_years_want_effective_orders(frame):
     crm_map = frame("id bigint, member_id bigint", (100, 1))
     lines = frame(

@@ -266,12 +266,13 @@ def test_contact_adders_count_ids_that_are_no_number(frame, member):
 LINES = (
     "order_paid_date date, source_channel string, if_eff_order_tag boolean, sales_qty bigint, "
     "is_member_order boolean, order_rrp_amt decimal(18,2), parent_order_id bigint, "
-    "omni_channel_member_id string"
+    "omni_channel_member_id string, loose bigint, copies bigint"
 )
 
 
-def sale(amount, year=2024, channel="LCS", order=1, member="1", qty=1, by_member=True):
-    return (date(year, 1, 1), channel, True, qty, by_member, Decimal(amount), order, member)
+def sale(amount, year=2024, channel="LCS", order=1, member="1", qty=1, by_member=True, copies=1):
+    amount = None if amount is None else Decimal(amount)
+    return (date(year, 1, 1), channel, True, qty, by_member, amount, order, member, None, copies)
 
 
 def test_registrant_sales(frame, member):
@@ -310,9 +311,8 @@ def test_adder_sales_start_in_the_year_of_adding(frame):
         LINES, *[sale("10.00", year=y, order=y) for y in (2022, 2023, 2024)],
         sale("10.00", year=2024, order=9),
     )
-    raw = frame(ORDER_LINE, *[paid("10.00", year=y) for y in (2022, 2023, 2024, 2024)])
     adds = frame(ADD, ("1", 2023, False), ("1", 2024, True))
-    found = sales_marts.contact_adder_sales(lines, raw, adds, frame(STILL), AS_OF)
+    found = sales_marts.contact_adder_sales(lines, adds, frame(STILL))
     # 2024: two lines differ only in their order, so they count once against 20.00.
     assert rows_of(found) == [
         (2023, "LCS", 0, 1, 1, 10.0, 10.0, 1.0),
@@ -322,16 +322,34 @@ def test_adder_sales_start_in_the_year_of_adding(frame):
 
 def test_adder_sales_repeat_per_spelling(frame):
     lines = frame(LINES, sale("10.00", member="7"))
-    raw = frame(ORDER_LINE, paid("10.00"))
     adds = frame(ADD, ("7", 2023, False), ("007", 2024, False), ("07", 2025, False))
-    found = sales_marts.contact_adder_sales(
-        lines, raw, adds, frame(STILL, ("=7", 3)), AS_OF
-    )
+    found = sales_marts.contact_adder_sales(lines, adds, frame(STILL, ("=7", 3)))
     assert rows_of(found, "member_shopper", "member_sales", "if_still_added_wecom") == [
         (1, 60.0, 1)
     ]
 
 
+def test_adder_sales_compare_with_all_lines(frame):
+    """Of everybody, equal ones each, a line of two mapped ids once, other channels not."""
+    lines = frame(
+        LINES,
+        sale("10.00", copies=3),
+        sale("10.00", member="1b", copies=0),
+        sale("7.00", member=None, copies=2),
+        sale("5.00", member="8", qty=-1),
+        sale("1.00", member="9", by_member=False),
+        sale(None, member="9"),
+        sale("99.00", channel="TMALL"),
+        sale(None, year=2023),
+    )
+    adds = frame(ADD, ("1", 2022, False))
+    found = sales_marts.contact_adder_sales(lines, adds, frame(STILL))
+    assert rows_of(found, "transaction_year", "member_sales", "YTD_platform_TTL") == [
+        (2023, None, None),
+        (2024, 10.0, 40.0),
+    ]
+
+
 def test_assistant_sales(frame):
     members = frame(
         MEMBER, ("1", datetime(2025, 2, 1), "BRANDWMP"), ("2", datetime(2020, 1, 1), "A_LCS")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -24,7 +26,7 @@ def sinks(spark, tmp_path):
 
 
 def failing(spark):
-    return spark.range(3).select(F.raise_error(F.lit("broken")).cast("string").alias("id"))
+    return spark.range(3).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id"))
 
 
 def test_refresh_replaces_all_rows(spark, sinks):
@@ -42,58 +44,165 @@ def test_failed_refresh_keeps_the_old_rows(spark, sinks):
         assert sink.read("kept").count() == 5
 
 
-def test_failed_swap_keeps_the_old_rows(spark, tmp_path, monkeypatch):
-    sink = FolderSink(spark, str(tmp_path))
-    sink.refresh("swapped", spark.range(5))
-    move, moves = _Files.move, []
+KILLED = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from memberlens.session import local_session
+from memberlens.sinks import refresh
+spark = local_session("2", shuffle_partitions=2, memory="1g")
+sink = refresh.FolderSink(spark, {root!r})
+refresh._Versions.{step} = lambda *a, **b: os._exit(9)
+sink.refresh("t", spark.range(2))
+"""
 
-    def second_fails(self, source, target):
-        moves.append(target)
-        if len(moves) == 2:
-            raise OSError("no second move")
-        move(self, source, target)
 
-    monkeypatch.setattr(_Files, "move", second_fails)
-    with pytest.raises(OSError, match="no second move"):
-        sink.refresh("swapped", spark.range(2))
-    assert sink.read("swapped").count() == 5
-    assert [p.name for p in tmp_path.rglob("part-*") if "_staged" in str(p)] == []
+@pytest.mark.parametrize(("step", "rows"), [("mark", 5), ("clean", 2)])
+def test_killed_driver_leaves_a_whole_table(spark, tmp_path, step, rows):
+    """A driver that ends before the marker leaves the old rows, one that ends after it the new."""
+    sink = FolderSink(spark, str(tmp_path / "out"), keep=0)
+    sink.refresh("t", spark.range(5))
+    script = KILLED.format(repo=str(Path(__file__).resolve().parent.parent), root=sink.root, step=step)
+    ended = subprocess.run([sys.executable, "-c", script], capture_output=True, timeout=300)
+    assert ended.returncode == 9
+    assert sink.read("t").count() == rows
+    assert len(sink.versions("t").written()) == 2
+    assert sink.refresh("t", spark.range(3)).count() == 3
+    assert len(sink.versions("t").written()) == len(sink.versions("t").marked()) == 1
 
 
-def test_failed_rename_keeps_the_old_rows(spark, monkeypatch):
+class Killed(BaseException):
+    """Stands for the end of a driver: nothing that runs afterwards counts."""
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_catalog_table_is_whole_at_every_step(spark, monkeypatch, after):
+    """Killed before or after its location is set, a table has its old or its new rows."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS marts")
+    sink = CatalogSink(spark, "marts", prefix=f"k{int(after)}_", keep=0)
+    sink.refresh("t", spark.range(5))
+    point, remove = CatalogSink.point, _Files.remove
+
+    def killed(self, *args, **kwargs):
+        if after:
+            point(self, *args, **kwargs)
+        monkeypatch.setattr(_Files, "remove", lambda *a: None)
+        raise Killed
+
+    monkeypatch.setattr(CatalogSink, "point", killed)
+    with pytest.raises(Killed):
+        sink.refresh("t", spark.range(2))
+    monkeypatch.setattr(CatalogSink, "point", point)
+    monkeypatch.setattr(_Files, "remove", remove)
+    assert sink.read("t").count() == (2 if after else 5)
+    assert sink.refresh("t", spark.range(3)).count() == 3
+    assert len(sink.versions("t").written()) == 1
+
+
+def test_failed_step_whose_effect_came_keeps_the_new_rows(spark, monkeypatch):
+    """The catalog did as asked, and its answer was lost: the rows it points to stay."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS marts")
+    sink = CatalogSink(spark, "marts", prefix="lost_")
+    sink.refresh("t", spark.range(5))
+    point = CatalogSink.point
+
+    def lost(self, *args, **kwargs):
+        point(self, *args, **kwargs)
+        raise OSError("no answer")
+
+    monkeypatch.setattr(CatalogSink, "point", lost)
+    with pytest.raises(OSError, match="no answer"):
+        sink.refresh("t", spark.range(2))
+    assert sink.read("t").count() == 2
+
+
+def test_refreshed_table_keeps_its_properties(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS marts")
+    sink = CatalogSink(spark, "marts", prefix="p_")
+    sink.refresh("t", spark.range(5))
+    spark.sql("ALTER TABLE marts.p_t SET TBLPROPERTIES ('owner_team' = 'crm')")
+    spark.sql("COMMENT ON TABLE marts.p_t IS 'all members'")
+    assert sink.refresh("t", spark.range(2)).count() == 2
+    found = {r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES marts.p_t").collect()}
+    assert found["owner_team"] == "crm"
+    assert spark.catalog.getTable("marts.p_t").description == "all members"
+
+
+def test_table_of_another_writer_is_taken_over(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS marts")
+    spark.range(5).write.mode("overwrite").saveAsTable("marts.m_t")
+    sink = CatalogSink(spark, "marts", prefix="m_", keep=0)
+    old = sink.location("t")
+    assert sink.refresh("t", spark.range(2)).count() == 2
+    assert not Path(old.removeprefix("file:")).exists()
+    folders = FolderSink(spark, str(tmp_path))
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    assert folders.read("t").count() == 5
+    assert folders.refresh("t", spark.range(2)).count() == 2
+    assert not list((tmp_path / "t").glob("part-*"))
+
+
+def test_other_columns_are_refused(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS marts")
-    sink = CatalogSink(spark, "marts", prefix="r_")
-    sink.refresh("renamed", spark.range(5))
-    rename, renames = CatalogSink.rename, []
+    sink = CatalogSink(spark, "marts", prefix="c_")
+    sink.refresh("t", spark.range(5))
+    with pytest.raises(ValueError, match="has the columns"):
+        sink.refresh("t", spark.range(2).withColumn("more", F.lit(1)))
+    assert sink.read("t").count() == 5
+
+
+def test_readers_of_the_last_version_can_finish(spark, sinks):
+    for sink in sinks:
+        sink.refresh("slow", spark.range(5))
+        begun = sink.read("slow").inputFiles()
+        sink.refresh("slow", spark.range(2))
+        assert spark.read.parquet(*begun).count() == 5
+        sink.refresh("slow", spark.range(3))
+        assert not Path(begun[0].removeprefix("file://")).exists()
+        assert len(sink.versions("slow").written()) == 2
+
+
+def test_formats_with_commits_replace_rows_themselves(spark, monkeypatch):
+    calls = []
+
+    class Writer:
+        def using(self, kind):
+            calls.append(kind)
+            return self
+
+        def create(self):
+            calls.append("create")
+
+        def overwrite(self, condition):
+            calls.append("overwrite")
 
-    def second_fails(self, source, target):
-        renames.append(target)
-        if len(renames) == 2:
-            raise OSError("no second rename")
-        rename(self, source, target)
+    class Rows:
+        def writeTo(self, name):  # noqa: N802
+            calls.append(name)
+            return Writer()
 
-    monkeypatch.setattr(CatalogSink, "rename", second_fails)
-    with pytest.raises(OSError, match="no second rename"):
-        sink.refresh("renamed", spark.range(2))
-    assert sink.read("renamed").count() == 5
-    left = [t.name for t in spark.catalog.listTables("marts") if t.name.startswith("r_renamed")]
-    assert left == ["r_renamed"]
+    sink = CatalogSink(spark, "marts", file_format="iceberg")
+    monkeypatch.setattr(CatalogSink, "read", lambda *a: None)
+    for there in (False, True):
+        monkeypatch.setattr(CatalogSink, "exists", lambda *a, there=there: there)
+        sink.refresh("t", Rows())
+    assert calls == ["`marts`.`t`", "iceberg", "create", "`marts`.`t`", "overwrite"]
 
 
-def test_failed_write_leaves_nothing_aside(spark, sinks, tmp_path):
+def test_failed_write_leaves_nothing_aside(spark, sinks):
     for sink in sinks:
         with pytest.raises(Exception, match="broken"):
             sink.refresh("never", failing(spark))
-    assert not list((tmp_path / "_staged").glob("*"))
+        assert sink.versions("never").written() == []
     assert not [t.name for t in spark.catalog.listTables("marts") if t.name.startswith("t_never")]
 
 
 def test_refresh_leaves_nothing_else_behind(spark, tmp_path):
-    sink = FolderSink(spark, str(tmp_path))
-    for _ in range(2):
+    sink = FolderSink(spark, str(tmp_path), keep=0)
+    for _ in range(3):
         sink.refresh("t", spark.range(1))
+    (current,) = sink.versions("t").written()
     left = [p for p in tmp_path.rglob("*") if p.is_dir() and any(f.is_file() for f in p.iterdir())]
-    assert left == [tmp_path / "t"]
+    assert sorted(left) == sorted([tmp_path / "t" / current, tmp_path / "t" / "_current"])
 
 
 def test_full_run_equals_single_marts(spark, tmp_path):

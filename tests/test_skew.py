@@ -9,7 +9,7 @@ from conftest import AS_OF, LOAD_TIME, rows_of
 from pyspark.sql import functions as F
 
 from memberlens.functions.keys import SPREAD, spread_nulls
-from memberlens.operators.orders import distinct_lines
+from memberlens.operators.orders import counts_as_order, distinct_lines
 from memberlens.plans.marts import BY_TABLE, VISIT_LOG
 from memberlens.sources.tables import from_frames
 
@@ -139,6 +139,26 @@ def test_lines_of_a_hot_member_do_not_share_a_task(tables, as_if_large):
     assert max(counts) < 2 * sum(counts) / len(counts)
 
 
+@pytest.mark.parametrize("lost", ["member", "order", "both"])
+def test_lines_of_one_day_without_member_or_order_do_not_share_a_task(tables, as_if_large, lost):
+    """A third of all lines on one day, without what would spread them."""
+    on_the_day = number(21, 3) == 0
+    day = F.when(on_the_day, F.lit("2024-11-11").cast("timestamp")).otherwise(F.col("order_paid_date"))
+    lines = tables["order_line"].withColumn("id", F.xxhash64(*tables["order_line"].columns))
+    lines = lines.withColumn("order_paid_date", day)
+    if lost != "order":
+        for name in ("crm_member_detail_id", "type_value"):
+            lines = lines.withColumn(name, F.when(~on_the_day, F.col(name)))
+    if lost != "member":
+        lines = lines.withColumn("parent_order_id", F.when(~on_the_day, F.col("parent_order_id")))
+    if lost == "order":
+        lines = lines.withColumn("crm_member_detail_id", F.when(on_the_day, "42").otherwise(F.col("crm_member_detail_id")))
+    found = distinct_lines(lines.drop("id"), tables["crm_map"], AS_OF)
+    counts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(counts) < 2 * sum(counts) / len(counts)
+    assert found.agg(F.sum("copies")).first()[0] == lines.filter(counts_as_order(AS_OF)).count()
+
+
 def test_lines_without_a_member_do_not_share_a_task(tables, as_if_large):
     lines = tables["order_line"].filter(F.col("crm_member_detail_id").isNull())
     spread = spread_nulls(lines, F.col("crm_member_detail_id"), ["type_value", "parent_order_id",
