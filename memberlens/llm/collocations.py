@@ -40,8 +40,10 @@ DEPTH = 4
 TEXT_BYTES = 1 << 20
 COUNTED_WORDS = 1 << 20
 HELD_WORDS = 1 << 18
+#: Prefixes whose counts a task holds before it sends them.
+HELD_PREFIXES = 1 << 18
 #: Cells whose sizes the driver deals into groups.
-CELL_BITS = 16
+CELL_BITS = 12
 #: Phrases that a task ranks in the first of two rounds, about.
 RANKED_TOGETHER = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -158,6 +160,10 @@ def _prefixes(w: np.ndarray, hashes: np.ndarray, hot: list[np.ndarray]) -> tuple
     return found, depth
 
 
+def _cells(prefixes: np.ndarray) -> np.ndarray:
+    return (prefixes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _word_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids, _ in _read(batches, COUNTED_WORDS):
@@ -173,16 +179,43 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _longer_prefixes(texts: DataFrame, hot: list[np.ndarray]) -> DataFrame:
-    """Prefix and number of suffixes, of prefixes by one word longer than the last that were extended."""
+    """Of prefixes by one word longer than the last that were extended: how many suffixes they begin.
+
+    Rows with a cell have the sum of its prefixes, rows with a prefix those that may be
+    extended in turn: no other ends in a word that is not frequent enough itself.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, ids, opens in _read(batches, HELD_WORDS):
-            found, depth = _prefixes(_suffixes(ids, opens), _hashes(lang, words), hot)
-            names, sums = np.unique(found[depth == len(hot) + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(sums)], names=["prefix", "f"])
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        held, size = [], 0
+
+        def rows(cell, prefix, f) -> pa.RecordBatch:
+            names = ["cell", "prefix", "f"]
+            return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(prefix, pa.int64()), pa.array(f, pa.int64())], names=names)
+
+        def flush() -> pa.RecordBatch:
+            names, place = np.unique(np.concatenate([n for n, _ in held]), return_inverse=True)
+            sums = np.bincount(place, np.concatenate([c for _, c in held]), len(names)).astype(np.int64)
+            return rows([None] * len(names), names.view(np.int64), sums)
 
-    rows = texts.mapInArrow(count, "prefix bigint, f bigint")
-    return rows.groupBy("prefix").agg(F.sum("f").alias("f"))
+        for lang, words, ids, opens in _read(batches, HELD_WORDS):
+            hashes, w = _hashes(lang, words), _suffixes(ids, opens)
+            found, depth = _prefixes(w, hashes, hot)
+            new = depth == len(hot) + 1
+            cells += np.bincount(_cells(found[new]), minlength=len(cells))
+            often = _among(hashes, hot[0])[w[len(hot)]] & new
+            held.append(np.unique(found[often], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_PREFIXES:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+        at = np.flatnonzero(cells)
+        yield rows(at, [None] * len(at), cells[at])
+
+    sent = texts.mapInArrow(count, "cell int, prefix bigint, f bigint")
+    return sent.groupBy("cell", "prefix").agg(F.sum("f").alias("f"))
 
 
 @dataclass
@@ -194,7 +227,7 @@ class Directory:
     parts: np.ndarray
 
     def group(self, prefixes: np.ndarray) -> np.ndarray:
-        cell = prefixes >> np.uint64(64 - CELL_BITS)
+        cell = _cells(prefixes)
         return self.first[cell] + ((prefixes & np.uint64(0xFFFFFFFF)) % self.parts[cell]).astype(np.int64)
 
 
@@ -206,29 +239,47 @@ def partitioned(texts: DataFrame, words: DataFrame, mining: Mining, scratch: Scr
     hot: list[np.ndarray] = []
     sizes = np.zeros(1 << CELL_BITS, np.int64)
     level = words.groupBy("prefix").agg(F.sum("f").alias("f"))
+    cell = F.shiftrightunsigned("prefix", 64 - CELL_BITS).cast("int").alias("cell")
     for depth in range(1, DEPTH + 1):
         level = scratch.saved(level)
-        cool = F.col("f") <= mining.hot if depth < DEPTH else F.lit(True)
-        cell = F.shiftrightunsigned("prefix", 64 - CELL_BITS).cast("int").alias("cell")
-        cells = level.filter(cool).groupBy(cell).agg(F.sum("f").alias("f")).toArrow()
+        large = (F.col("f") > mining.hot) & F.lit(depth < DEPTH)
+        extended = level.filter(F.col("prefix").isNotNull() & large).select("prefix", "f")
+        if depth == 1:
+            cells = level.groupBy(cell).agg(F.sum("f").alias("f")).toArrow()
+        else:
+            cells = level.filter("cell is not null").select("cell", "f").toArrow()
         sizes[cells["cell"].to_numpy()] += cells["f"].to_numpy()
-        found = level.filter(~cool).select("prefix").toArrow()["prefix"].to_numpy().astype(np.int64)
-        if not len(found):
+        found = extended.toArrow()
+        if not found.num_rows:
             break
-        hot.append(np.sort(found.view(np.uint64)))
+        names = found["prefix"].to_numpy().view(np.uint64)
+        np.subtract.at(sizes, _cells(names), found["f"].to_numpy())
+        hot.append(np.sort(names))
         level = _longer_prefixes(texts, hot)
     parts = np.maximum(1, -(-sizes // mining.budget))
     first, group, room = np.zeros(len(sizes), np.int64), 0, mining.budget
-    for cell, size in enumerate(sizes.tolist()):
+    for at, size in enumerate(sizes.tolist()):
         if size > room:
             group, room = group + 1, mining.budget
-        first[cell] = group
+        first[at] = group
         room -= size
-        if parts[cell] > 1:
-            group, room = group + int(parts[cell]), mining.budget
+        if parts[at] > 1:
+            group, room = group + int(parts[at]), mining.budget
     return Directory(hot, first, parts.astype(np.uint64))
 
 
+def _packed(words: pa.StringArray) -> bytes:
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    lengths = np.diff(ends).astype(np.uint32)
+    return len(words).to_bytes(4, "little") + planes(lengths) + bytes(words.buffers()[2][int(ends[0]) : int(ends[-1])])
+
+
+def _unpacked(blob: bytes) -> pa.StringArray:
+    n = int.from_bytes(blob[:4], "little")
+    ends = np.concatenate([[0], np.cumsum(unplanes(blob[4 : 4 + 4 * n], np.uint32))]).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(blob[4 + 4 * n :]))
+
+
 SENT = "group bigint, lang string, depth int, words binary, body binary"
 
 
@@ -244,18 +295,21 @@ def _sent(texts: DataFrame, directory) -> DataFrame:
             found, depth = _prefixes(w, _hashes(lang, words), known.hot)
             place = known.group(found) * DEPTH + depth - 1
             order = np.argsort(place, kind="stable")
-            cuts = np.flatnonzero(np.diff(place[order])) + 1
+            place, table = place[order], np.concatenate([w, counts[None].astype(np.int32)])[:, order]
+            cuts = np.flatnonzero(np.diff(place)) + 1
             out = {"group": [], "depth": [], "words": [], "body": []}
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
-                at = order[lo:hi]
-                used, local = np.unique(w[:, at], return_inverse=True)
-                # Number 0 is no word, whether some piece ends here or not.
-                local = local.reshape(DEPTH, -1) + (used[0] != 0)
-                names = words.take(pa.array(used[used > 0] - 1))
-                out["group"].append(int(place[at[0]]) // DEPTH)
-                out["depth"].append(int(depth[at[0]]))
-                out["words"].append("\n".join(names.to_pylist()).encode())
-                out["body"].append(b"".join(planes(x.astype(np.uint32)) for x in (*local, counts[at])))
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                part = table[:, lo:hi]
+                used = np.zeros(len(words) + 1, np.int32)
+                used[part[:DEPTH]] = 1
+                used[0] = 0
+                local = np.cumsum(used, dtype=np.int32) * used
+                part[:DEPTH] = local[part[:DEPTH]]
+                group, depth_less_1 = divmod(int(place[lo]), DEPTH)
+                out["group"].append(group)
+                out["depth"].append(depth_less_1 + 1)
+                out["words"].append(_packed(words.take(pa.array(np.flatnonzero(used) - 1))))
+                out["body"].append(planes(part.astype(np.uint32).ravel()))
             kinds = {"group": pa.int64(), "depth": pa.int32(), "words": pa.binary(), "body": pa.binary()}
             columns = {c: pa.array(v, kinds[c]) for c, v in out.items()}
             columns["lang"] = pa.array([lang] * len(out["group"]))
@@ -267,23 +321,18 @@ def _sent(texts: DataFrame, directory) -> DataFrame:
 
 def _subtree(rows: list[tuple[bytes, bytes]]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """The words, distinct suffixes in order, and their counts, of what several batches sent."""
-    names = [pa.array(words.decode().split("\n")) for words, _ in rows]
+    names = [_unpacked(words) for words, _ in rows]
     coded = pa.concat_arrays(names).dictionary_encode()
+    # The last number is 0, which stands for no word.
     numbers = np.append(coded.indices.to_numpy() + 1, 0).astype(np.int32)
     parts, sums, base = [], [], 0
     for own, (_, body) in zip(names, rows, strict=True):
-        columns = [unplanes(part, np.uint32) for part in _fifths(body)]
-        local = np.stack(columns[:DEPTH]).astype(np.int64)
-        # The last number is 0, which stands for no word.
+        columns = unplanes(body, np.uint32).reshape(DEPTH + 1, -1)
+        local = columns[:DEPTH].astype(np.int32)
         parts.append(numbers[np.where(local > 0, base + local - 1, -1)])
-        sums.append(columns[DEPTH].astype(np.int64))
+        sums.append(columns[DEPTH])
         base += len(own)
-    return coded.dictionary, *_distinct(np.concatenate(parts, 1), np.concatenate(sums))
-
-
-def _fifths(body: bytes) -> list[bytes]:
-    size = len(body) // (DEPTH + 1)
-    return [body[k * size : (k + 1) * size] for k in range(DEPTH + 1)]
+    return coded.dictionary, *_distinct(np.concatenate(parts, 1), np.concatenate(sums).astype(np.int64))
 
 
 def _phrases(sent: DataFrame, least: int) -> DataFrame:
