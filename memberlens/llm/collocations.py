@@ -57,7 +57,7 @@ class Mining:
     least: int = 30
     percent: int = 80
     top: int = 2000
-    budget: int = 1 << 20
+    budget: int = 1 << 19
 
     @property
     def hot(self) -> int:
