@@ -2,8 +2,10 @@
 
 Amounts are added up as whole minor units: exact in any order. Decimal columns of up to 18
 digits, 6 of them decimals, use 64-bit integers, far cheaper than wide decimals; all others
-use 38-digit integers. A sum too large raises an error; nothing is rounded but DOUBLE amounts,
-which become decimals first (``DOUBLES``).
+use 38-digit integers. A sum too large raises an error; nothing is rounded but amounts of types
+that are not exact (DOUBLE, text), which become decimals first (``DOUBLES``). Of those, an amount
+that does not fit (NaN, infinite, no number, 10**26 or more) is unknown, like NULL: it never
+stops a job, and :meth:`Money.rejected` counts it where the lines are read.
 
 Net sales stay two running sums, what was sold and what came back, until the last step.
 Both can be added up again at a coarser grain, and multiplied by the number of matches
@@ -47,8 +49,17 @@ class Money:
     def narrow(self) -> bool:
         return self.kind.precision <= NARROW.precision and self.kind.scale <= NARROW.scale
 
+    def exact(self, amount: Column) -> Column:
+        """The amount as a decimal; NULL where it does not fit."""
+        return amount.try_cast(self.kind)
+
+    def rejected(self, column: str = "order_rrp_amt") -> Column:
+        """How many amounts there are that do not fit, as an aggregate."""
+        amount = F.col(column)
+        return F.count(F.when(amount.isNotNull() & self.exact(amount).isNull(), 1))
+
     def units(self, amount: Column) -> Column:
-        exact = amount.cast(self.kind)
+        exact = self.exact(amount)
         unit = F.lit(10**self.kind.scale)
         if self.narrow:
             return (exact * unit).cast("bigint")

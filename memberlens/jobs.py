@@ -4,17 +4,29 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
 from memberlens.plans import shared
 from memberlens.plans.marts import BY_TABLE, MARTS, VISIT_LOG
-from memberlens.session import configure, now
+from memberlens.session import configure, now, shared_folder
+from memberlens.sinks.clustered import ClusteredTables
 from memberlens.sinks.refresh import CatalogSink, FolderSink
+from memberlens.sources.checks import Watch
 from memberlens.sources.tables import Tables, from_catalog, from_folder
 
 
+@dataclass(frozen=True)
+class Run:
+    """The tables that a run has written, and what it counted in its inputs on the way."""
+
+    tables: list[str]
+    inputs: dict[str, dict[str, int]]
+
+
 def refresh_marts(
     spark: SparkSession,
     tables: Tables,
@@ -22,49 +34,54 @@ def refresh_marts(
     as_of: date | None = None,
     load_time: datetime | None = None,
     only: Iterable[str] = (),
-) -> list[str]:
-    """Refresh the marts (or ``only`` some, by table name) and return their names.
+) -> Run:
+    """Refresh the marts (or ``only`` some, by table name); returns their names and input counts.
 
-    The visit log is written first and read back by its eight readers. Blocks that
-    more than one of the marts needs are written once to the shared work folder, which
-    also spares recomputing them when an executor is lost, and removed at the end.
+    The visit log is written first and read back. Blocks that more than one of the marts
+    needs are written once to the shared work folder, which also spares recomputing them
+    when an executor is lost, and removed at the end; those that all their marts join by one key are
+    clustered by it.
     """
     as_of = as_of or now(spark).date()
     chosen = [BY_TABLE[name] for name in only] or MARTS
     uses = [role for mart in chosen for role in mart.inputs]
     repeated = [role for role in shared.BLOCKS if uses.count(role) > 1]
-    work = None
-    if repeated or "visit_log" in uses:
-        work = FolderSink(spark, _work_folder(spark, sink))
-
+    work = []
     try:
-        if VISIT_LOG in chosen:
-            sink.refresh(VISIT_LOG.table, VISIT_LOG(tables, as_of, load_time))
-        if "visit_log" in uses:
-            log = shared.by_day(sink.read(VISIT_LOG.table))
-            tables = tables.with_table("visit_log", work.refresh("visit_log", log))
-        for role in repeated:
-            block = shared.BLOCKS[role](tables, as_of)
-            tables = tables.with_table(role, work.refresh(role, block))
-        for mart in chosen:
-            if mart is not VISIT_LOG:
-                sink.refresh(mart.table, mart(tables, as_of, load_time))
+        with Watch() as watch:
+            if VISIT_LOG in chosen:
+                sink.refresh(VISIT_LOG.table, VISIT_LOG(tables, as_of, load_time))
+            if {"visit_log", "visit_years"} & {*uses}:
+                tables = tables.with_table("visit_log", sink.read(VISIT_LOG.table))
+            if repeated:
+                folder = _work_folder(spark, sink)
+                plain = FolderSink(spark, f"{folder}/blocks")
+                clustered = ClusteredTables(spark, f"{folder}/clustered")
+                work = [plain, clustered, FolderSink(spark, folder)]
+            for role in repeated:
+                block = shared.BLOCKS[role](tables, as_of)
+                if role in shared.CLUSTERED:
+                    written = clustered.write(role, block, shared.CLUSTERED[role])
+                else:
+                    written = plain.refresh(role, block)
+                tables = tables.with_table(role, written)
+            for mart in chosen:
+                if mart is not VISIT_LOG:
+                    sink.refresh(mart.table, mart(tables, as_of, load_time))
     finally:
-        if work:
-            work.remove()
-    return [mart.table for mart in chosen]
+        for written in work:
+            written.remove()
+    return Run([mart.table for mart in chosen], watch.counts())
 
 
 def _work_folder(spark: SparkSession, sink: FolderSink | CatalogSink) -> str:
     """A folder of this run, in the shared folder that the cluster names."""
-    shared_folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared_folder:
+    folder = shared_folder(spark)
+    if not folder:
         if not isinstance(sink, FolderSink):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared_folder = f"{sink.root}/_work"
-    if shared_folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{shared_folder} is a folder of one machine: executors cannot share it")
-    return f"{shared_folder.rstrip('/')}/memberlens-{spark.sparkContext.applicationId}"
+        folder = f"{sink.root}/_work"
+    return f"{folder}/memberlens-{spark.sparkContext.applicationId}-{uuid4().hex[:8]}"
 
 
 def main() -> None:
@@ -92,7 +109,9 @@ def main() -> None:
         sink = FolderSink(spark, options.target_folder)
     else:
         sink = CatalogSink(spark, options.target_database, options.prefix)
-    refresh_marts(spark, tables, sink, options.as_of, options.load_time, options.marts)
+    run = refresh_marts(spark, tables, sink, options.as_of, options.load_time, options.marts)
+    for role, counts in run.inputs.items():
+        print(role, *[f"{name}={count}" for name, count in counts.items()])
 
 
 if __name__ == "__main__":

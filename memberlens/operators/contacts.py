@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from memberlens.functions.keys import SPREAD, int_key, keyed, lookup, spread_nulls
 from memberlens.operators.identity import all_identities
+from memberlens.sources.checks import none_of, watched
 
 # Fixed values of the event log, the tag table and the binding table.
 CONTACT_ADD = "external_user_add"
 WMP_SCENE = "乐高小程序"
 ATTRIBUTES = ["store_codes", "unionId", "external_userId", "add_way", "code_name"]
+#: All of them are read as text: a nested value as its JSON.
+ATTRIBUTES_TYPE = ", ".join(f"`{name}` string" for name in ATTRIBUTES)
 BINDING_TYPE = "unionId"
 BINDING_APP = 4
 
@@ -24,19 +27,29 @@ def _events(contact_event: DataFrame, as_of: date) -> DataFrame:
     The bound folds to a number of seconds, so that the scan itself can skip later data.
     """
     end = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
-    return contact_event.filter(
+    events = contact_event.filter(
         (F.col("event_key") == CONTACT_ADD) & (F.col("event_time") < end)
     )
+    return watched("contact_event", events, **none_of("gio_id", "attributes"))
+
+
+def _with_attributes(events: DataFrame) -> DataFrame:
+    """The events with ``parsed``, their attributes, each text parsed once.
+
+    Text that is no JSON object, or breaks off, has no attributes; of a name that comes twice
+    the last value counts.
+    """
+    return events.withColumn("parsed", F.from_json("attributes", ATTRIBUTES_TYPE))
 
 
 def contact_adds(
     contact_event: DataFrame, identity: DataFrame, contact_tag: DataFrame, as_of: date
 ) -> DataFrame:
     """Every contact-adding event with its attributes, member ids and latest scene."""
-    events = _events(contact_event, as_of).select(
+    events = _with_attributes(_events(contact_event, as_of)).select(
         "event_key",
         F.timestamp_seconds("event_time").alias("event_time"),
-        *[F.get_json_object("attributes", f"$.{name}").alias(name) for name in ATTRIBUTES],
+        *[F.col(f"parsed.{name}") for name in ATTRIBUTES],
         "gio_id",
     )
     everything = events.columns
@@ -63,10 +76,10 @@ def adding_years(
     and many union ids share does not meet in all their pairs.
     """
     devices = (
-        _events(contact_event, as_of)
+        _with_attributes(_events(contact_event, as_of))
         .select(
             "gio_id",
-            F.get_json_object("attributes", "$.unionId").alias("union_id"),
+            F.col("parsed.unionId").alias("union_id"),
             F.year(F.timestamp_seconds("event_time")).alias("add_year"),
         )
         .distinct()

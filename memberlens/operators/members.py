@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from memberlens.functions.keys import int_key, text_key
 from memberlens.functions.labels import BRANDWMP, channel_label, year_label
+from memberlens.sources.checks import bad_ids, none_of, watched
 
 
 def join_year() -> Column:
@@ -76,4 +77,5 @@ def wmp_registrants(member: DataFrame, floor_text: str) -> DataFrame:
 def _known(member: DataFrame) -> DataFrame:
     """Dimension rows with a numeric id; the others match no lookup."""
     key = int_key("member_detail_id")
-    return member.filter(key.isNotNull()).withColumn("member_detail_id", key)
+    ids = {**none_of("member_detail_id", "join_time"), **bad_ids("member_detail_id")}
+    return watched("member", member, **ids).filter(key.isNotNull()).withColumn("member_detail_id", key)

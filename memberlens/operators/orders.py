@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from memberlens.functions.keys import keyed, lookup, spread_nulls, text_key
 from memberlens.functions.labels import DOUYIN, DOUYIN_B2B, LCS, TMALL
 from memberlens.functions.measures import ALL_SALES, Money
+from memberlens.sources.checks import none_of, watched
 
 # Fixed values of the order table.
 ALL_CHANNELS = (LCS, TMALL, DOUYIN, DOUYIN_B2B)
@@ -52,6 +53,7 @@ def with_omni_id(lines: DataFrame, crm_map: DataFrame, first_match: str | None =
     resolvable = F.col("type_name").isin(*RESOLVABLE_IDS)
     crm_id = F.when(resolvable, text_key("crm_member_detail_id"))
     entries = crm_map.select(text_key("member_id").alias("member_id"), text_key("id").alias("mapped_id"))
+    entries = watched("crm_map", entries, **none_of("member_id", "mapped_id"))
     found, counted = ["mapped_id"], []
     if first_match:
         by_id = Window.partitionBy("member_id").orderBy("mapped_id")
@@ -98,6 +100,12 @@ def distinct_lines(
         "parent_order_id",
         *ID_COLUMNS,
     )
+    lines = watched(
+        "order_line",
+        lines,
+        **none_of("order_rrp_amt", "parent_order_id", "type_name"),
+        rejected_amounts=Money.of(lines).rejected(),
+    )
     known = with_omni_id(lines, crm_map, first_match="counts")
     equal = [c for c in known.columns if c != "counts"]
     unplaced = F.col("omni_channel_member_id").isNull() | F.col("parent_order_id").isNull()

@@ -26,14 +26,11 @@ def purchase_days(member_order: DataFrame) -> DataFrame:
 
 
 def purchase_years(member_order: DataFrame) -> DataFrame:
-    """Distinct (numeric member id, year)."""
+    """The years in which each member (numeric id) bought, as an array."""
     return (
         qualifying(member_order)
-        .select(
-            int_key("crm_member_id").alias("member_detail_id"),
-            F.year("date_id").alias("visit_year"),
-        )
-        .distinct()
+        .groupBy(int_key("crm_member_id").alias("member_detail_id"))
+        .agg(F.collect_set(F.year("date_id")).alias("years"))
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memberlens.functions.keys import SPREAD, keyed
 from memberlens.operators.identity import latest_identity
 from memberlens.operators.members import first_join_date
+from memberlens.sources.checks import none_of, watched
 
 
 def identified_views(
@@ -28,6 +29,7 @@ def identified_views(
     pages = ["page_type"] if with_pages else []
     seen = F.to_date("event_time") if by_day else F.col("event_time")
     views = page_view.select("gio_id", seen.alias("event_time"), *pages)
+    views = watched("page_view", views, **none_of("gio_id", "event_time"))
     views = views.distinct() if by_day else views
     joined = first_join_date(member)
     devices = keyed(
@@ -41,29 +43,49 @@ def identified_views(
     return found if by_day else found.distinct()
 
 
-def visit_days(log: DataFrame) -> DataFrame:
-    """Distinct (member, day), placed by member.
+#: Days of a year are bits of six numbers, of 62 each to leave the sign alone.
+WORD, WORDS = 62, 6
 
-    Days are merged by member and day first, so a member with very many views arrives
-    as one row per day; placing by member then serves the counting and the member
-    lookup that follow with one shuffle.
-    """
-    return (
-        log.select("member_detail_id", F.to_date("event_time").alias("visit_date"))
-        .distinct()
-        .repartition("member_detail_id")
-    )
 
+def member_years(visit_log: DataFrame) -> DataFrame:
+    """One row per member and year: ``visit_days``, ``first_day`` and ``second_day``.
 
-def visit_years(log: DataFrame) -> DataFrame:
-    """Distinct (member, year)."""
-    return log.select("member_detail_id", F.year("event_time").alias("visit_year")).distinct()
+    The days of a group are bits that are put together in one aggregation: a state of a fixed
+    size, merged before the shuffle however often a member comes, with no distinct days in
+    between. A visit without a time is in the year NULL and has no days.
+    """
+    days = visit_log.select(
+        "member_detail_id",
+        F.year("event_time").alias("visit_year"),
+        (F.dayofyear("event_time") - 1).alias("day"),
+    )
+    bit = f"shiftleft(1L, day % {WORD})"
+    states = days.groupBy("member_detail_id", "visit_year").agg(
+        *[
+            F.bit_or(F.expr(f"CASE WHEN day div {WORD} = {k} THEN {bit} ELSE 0L END")).alias(f"w{k}")
+            for k in range(WORDS)
+        ]
+    )
+    words = [F.col(f"w{k}") for k in range(WORDS)]
+    before, rest = F.lit(0).cast("bigint"), []
+    for word in words:
+        rest.append(F.when(before == 0, word.bitwiseAND(word - 1)).otherwise(word))
+        before = before.bitwiseOR(word)
+    count = F.bit_count(words[0])
+    for word in words[1:]:
+        count = count + F.bit_count(word)
+    return states.select(
+        "member_detail_id",
+        "visit_year",
+        count.cast("bigint").alias("visit_days"),
+        _first_day(words).alias("first_day"),
+        _first_day(rest).alias("second_day"),
+    )
 
 
-def visit_day_counts(log: DataFrame) -> DataFrame:
-    """Visit days per member and year."""
-    return (
-        visit_days(log)
-        .groupBy("member_detail_id", F.year("visit_date").alias("visit_year"))
-        .agg(F.count("visit_date").alias("visit_days"))
-    )
+def _first_day(words: list[Column]) -> Column:
+    """The date of the lowest bit."""
+    places = [
+        F.when(w != 0, k * WORD + F.bit_count(w.bitwiseAND(-w) - 1)) for k, w in enumerate(words)
+    ]
+    return F.date_add(F.make_date("visit_year", F.lit(1), F.lit(1)), F.coalesce(*places))

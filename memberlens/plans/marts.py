@@ -44,21 +44,21 @@ VISIT_LOG = Mart(
 )
 MARTS = [
     VISIT_LOG,
-    Mart("wmp_visits_by_visits_year", visit_marts.visitors_by_year, ("visit_log", "member")),
+    Mart("wmp_visits_by_visits_year", visit_marts.visitors_by_year, ("visit_years", "member")),
     Mart(
-        "wmp_avg_visits_by_visits_year", visit_marts.average_visit_days, ("visit_log", "member")
+        "wmp_avg_visits_by_visits_year", visit_marts.average_visit_days, ("visit_years", "member")
     ),
     Mart(
         "wmp_visits_count_distribution_by_visits_year",
         visit_marts.visit_day_distribution,
-        ("visit_log", "member"),
+        ("visit_years", "member"),
     ),
-    Mart("wmp_revisit_member_count", visit_marts.revisiting_members, ("visit_log", "member")),
-    Mart("wmp_revisit_time_diff", visit_marts.revisit_gaps, ("visit_log", "member")),
+    Mart("wmp_revisit_member_count", visit_marts.revisiting_members, ("visit_years", "member")),
+    Mart("wmp_revisit_time_diff", visit_marts.revisit_gaps, ("visit_years", "member")),
     Mart(
         "wmp_visits_by_visits_year_then_YTD_converted",
         visit_marts.same_year_buyers,
-        ("visit_log", "member_order", "member"),
+        ("visit_years", "member_order", "member"),
     ),
     Mart(
         "wmp_visits_content_converted_vs_non_converted",
@@ -68,7 +68,7 @@ MARTS = [
     Mart(
         "wmp_visits_ltd",
         visit_marts.registered_and_visited,
-        ("visit_log", "member", "ec_history"),
+        ("visit_years", "member", "ec_history"),
         takes_load_time=True,
     ),
     Mart(

@@ -10,9 +10,8 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from memberlens.operators import contacts, orders
+from memberlens.operators import contacts, orders, visits
 from memberlens.sources.tables import Tables
 
 _ORDERS = ("order_line", "crm_map")
@@ -20,6 +19,10 @@ _CONTACTS = ("contact_event", "identity", "contact_tag")
 _RELATIONS = ("staff_relation", "staff", "thirdparty_bind")
 
 
+def _visit_years(tables: Tables, as_of: date) -> DataFrame:
+    return visits.member_years(tables["visit_log"])
+
+
 def _lines(tables: Tables, as_of: date) -> DataFrame:
     return orders.distinct_lines(**tables.pick(*_ORDERS), as_of=as_of)
 
@@ -39,12 +42,16 @@ def _still_added(tables: Tables, as_of: date) -> DataFrame:
 
 
 BLOCKS: dict[str, Callable[[Tables, date], DataFrame]] = {
+    "visit_years": _visit_years,
     "lines": _lines,
     "buyers": _buyers,
     "contact_adds": _contact_adds,
     "still_added": _still_added,
 }
 
+#: Blocks that all their marts join by one key, which has few rows there: written clustered by it.
+CLUSTERED = {"visit_years": "member_detail_id"}
+
 
 def resolve(tables: Tables, roles: tuple[str, ...], as_of: date) -> dict[str, DataFrame]:
     """The tables of these roles, with blocks built where none is written."""
@@ -54,10 +61,3 @@ def resolve(tables: Tables, roles: tuple[str, ...], as_of: date) -> dict[str, Da
         else tables[role]
         for role in roles
     }
-
-
-def by_day(visit_log: DataFrame) -> DataFrame:
-    """The written log at the grain its readers count, for them to read instead."""
-    return visit_log.select(
-        "member_detail_id", F.to_date("event_time").alias("event_time"), "page_type"
-    ).distinct()

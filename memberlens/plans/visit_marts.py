@@ -1,4 +1,4 @@
-"""Marts over the visit log.
+"""Marts over the visit log (M01-M09), most of them over its members' years.
 
 Both sides of each join are distinct, per member and period and per member and label,
 so that every member meets a cell at most once and plain counts are distinct counts.
@@ -40,11 +40,10 @@ def member_visits_log(page_view: DataFrame, identity: DataFrame, member: DataFra
     return visits.identified_views(page_view, identity, member)
 
 
-def visitors_by_year(visit_log: DataFrame, member: DataFrame) -> DataFrame:
+def visitors_by_year(visit_years: DataFrame, member: DataFrame) -> DataFrame:
     """Visiting members per visit year, channel and join year."""
     return (
-        visits.visit_years(visit_log)
-        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
+        visit_years.join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(
             _bigint("visit_year").alias("visit_wmp_year"), "eff_reg_channel", "join_year"
         )
@@ -52,7 +51,7 @@ def visitors_by_year(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def average_visit_days(visit_log: DataFrame, member: DataFrame) -> DataFrame:
+def average_visit_days(visit_years: DataFrame, member: DataFrame) -> DataFrame:
     """Visit days, visitors and days per visitor.
 
     A member listed twice in the dimension adds its days twice but counts once.
@@ -60,19 +59,17 @@ def average_visit_days(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     days = F.sum(F.col("visit_days") * F.coalesce("copies", F.lit(1))).cast("double")
     members = F.count("member_detail_id")
     return (
-        visits.visit_day_counts(visit_log)
-        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
+        visit_years.join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(_bigint("visit_year").alias("visit_year"), "eff_reg_channel", "join_year")
         .agg(days.alias("ttl_visit_days"), members.alias("visit_member_count"))
         .withColumn("avg_visit_days", ratio(F.col("ttl_visit_days"), F.col("visit_member_count")))
     )
 
 
-def visit_day_distribution(visit_log: DataFrame, member: DataFrame) -> DataFrame:
+def visit_day_distribution(visit_years: DataFrame, member: DataFrame) -> DataFrame:
     """Members by their number of visit days in the year."""
     return (
-        visits.visit_day_counts(visit_log)
-        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
+        visit_years.join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(
             _bigint("visit_year").alias("visit_year"),
             "join_year",
@@ -83,12 +80,11 @@ def visit_day_distribution(visit_log: DataFrame, member: DataFrame) -> DataFrame
     )
 
 
-def revisiting_members(visit_log: DataFrame, member: DataFrame) -> DataFrame:
+def revisiting_members(visit_years: DataFrame, member: DataFrame) -> DataFrame:
     """Visitors, and those with two or more visit days in the year."""
     revisited = F.when(F.col("visit_days") >= 2, F.col("member_detail_id"))
     return (
-        visits.visit_day_counts(visit_log)
-        .join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
+        visit_years.join(cohorts(member, FLOOR_SPACED), "member_detail_id", "left")
         .groupBy(_bigint("visit_year").alias("visit_year"), "join_year", "eff_reg_channel")
         .agg(
             F.count("member_detail_id").alias("visit_member_count"),
@@ -97,28 +93,32 @@ def revisiting_members(visit_log: DataFrame, member: DataFrame) -> DataFrame:
     )
 
 
-def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
+def revisit_gaps(visit_years: DataFrame, member: DataFrame) -> DataFrame:
     """Days between the first and second visit day of a member's year.
 
-    A member with several join years or channels has one row per day and each of them,
-    also of years that share a label; the rows order by day, then year, then channel, and a
-    gap of 0 has no bucket. Years get their labels last.
+    A member with several join years or channels has one row per day and each of them, also
+    of years that share a label; the rows order by day, then year, then channel. So its second row
+    is its first day again, with its second label, and a gap of 0 has no bucket. Years get their
+    labels last.
     """
-    each = (
-        visits.visit_days(visit_log)
-        .join(channel_years(member), "member_detail_id", "left")
-        .withColumn("visit_year", F.year("visit_date"))
-    )
-    in_year = Window.partitionBy("member_detail_id", "visit_year").orderBy(
-        "visit_date",
-        F.col("join_year").asc_nulls_last(),
-        F.col("eff_reg_channel").asc_nulls_last(),
+    in_order = Window.partitionBy("member_detail_id").orderBy(
+        F.col("join_year").asc_nulls_last(), F.col("eff_reg_channel").asc_nulls_last()
+    )
+    of_second_row = (
+        channel_years(member)
+        .select(
+            "*",
+            F.row_number().over(in_order).alias("place"),
+            F.lead(F.lit(1)).over(in_order).isNull().alias("alone"),
+        )
+        .filter((F.col("place") == 2) | ((F.col("place") == 1) & F.col("alone")))
     )
-    gap = F.datediff("visit_date", F.col("previous_date"))
+    again = F.when(F.col("place") == 2, F.col("first_day")).otherwise(F.col("second_day"))
+    gap = F.datediff("again", "first_day")
     return (
-        each.withColumn("visit_rank", F.row_number().over(in_year))
-        .withColumn("previous_date", F.lag("visit_date").over(in_year))
-        .filter((F.col("visit_rank") == 2) & F.col("previous_date").isNotNull())
+        visit_years.join(of_second_row, "member_detail_id", "left")
+        .withColumn("again", again)
+        .filter(F.col("again").isNotNull())
         .groupBy(
             _bigint("visit_year").alias("visit_year"),
             year_label(F.col("join_year"), FLOOR_SPACED).alias("join_year"),
@@ -130,17 +130,22 @@ def revisit_gaps(visit_log: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _bought_in_year(member_years: DataFrame, member_order: DataFrame) -> DataFrame:
-    """Adds a 0/1 flag: a qualifying purchase of the member in the same year."""
-    bought = purchase_years(member_order).withColumn("bought", F.lit(1))
-    return member_years.join(bought, ["member_detail_id", "visit_year"], "left").withColumn(
-        "bought", F.coalesce("bought", F.lit(0))
+    """Adds a 0/1 flag: a qualifying purchase of the member in the same year.
+
+    Members meet, not member years, so that rows which lie by member stay where they are.
+    """
+    bought = F.coalesce(F.array_contains("years", F.col("visit_year")), F.lit(False)).cast("int")
+    return (
+        member_years.join(purchase_years(member_order), "member_detail_id", "left")
+        .withColumn("bought", bought)
+        .drop("years")
     )
 
 
-def same_year_buyers(visit_log: DataFrame, member_order: DataFrame, member: DataFrame) -> DataFrame:
+def same_year_buyers(visit_years: DataFrame, member_order: DataFrame, member: DataFrame) -> DataFrame:
     """Visitors by whether they bought in the year of the visit."""
     return (
-        _bought_in_year(visits.visit_years(visit_log), member_order)
+        _bought_in_year(visit_years.select("member_detail_id", "visit_year"), member_order)
         .join(channels(member), "member_detail_id", "left")
         .groupBy(
             _bigint("visit_year").alias("visit_year"),
@@ -193,7 +198,7 @@ def page_penetration(visit_log: DataFrame, member_order: DataFrame, member: Data
 
 
 def registered_and_visited(
-    visit_log: DataFrame, member: DataFrame, ec_history: DataFrame, load_time: datetime
+    visit_years: DataFrame, member: DataFrame, ec_history: DataFrame, load_time: datetime
 ) -> DataFrame:
     """Members registered to date per channel, and those that ever visited."""
     registered = member.groupBy(channel_label().alias("eff_reg_channel")).agg(
@@ -223,7 +228,7 @@ def registered_and_visited(
         .agg(F.sum("member_count").alias("reg_member_count"))
     )
     visited = (
-        visit_log.select("member_detail_id")
+        visit_years.select("member_detail_id")
         .distinct()
         .join(channels(member), "member_detail_id", "left")
         .groupBy("eff_reg_channel")

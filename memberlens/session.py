@@ -27,6 +27,20 @@ def now(spark: SparkSession) -> datetime:
     return datetime.fromisoformat(text)
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Into how many partitions a shuffle begins."""
+    planned = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(spark.conf.get(INITIAL_PARTITIONS, None) or planned)
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share, if it is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} is a folder of one machine: executors cannot share it")
+    return folder and folder.rstrip("/")
+
+
 def configure(
     spark: SparkSession, time_zone: str = "UTC", input_bytes: int | None = None
 ) -> SparkSession:

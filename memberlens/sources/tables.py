@@ -50,6 +50,24 @@ COLUMNS = {
     "ec_history": "belong_type eff_belong_channel member_detail_id platform_id_value",
     "order_scenario": "parent_order_id order_scenario",
 }
+# What types the marts can work with, by column; the others are taken as text.
+IDS = "string, varchar, char, byte, tinyint, smallint, int, bigint, decimal"
+KINDS = {
+    "time": ("timestamp, timestamp_ntz, date", "join_time order_paid_date date_id update_time relation_created_at"),
+    "flag": ("boolean", "if_eff_order_tag is_member_order"),
+    "number": (
+        "tinyint, smallint, int, bigint, float, double, decimal",
+        "sales_type sales_qty is_rrp_sales_type sign relation_deleted thirdparty_app_id",
+    ),
+    "amount": ("tinyint, smallint, int, bigint, float, double, decimal, string", "order_rrp_amt"),
+    "id": (
+        IDS,
+        "member_detail_id type_value crm_member_detail_id parent_order_id original_order_id id member_id"
+        " crm_member_id staff_ext_id",
+    ),
+}
+#: Columns that are a time in one input and seconds in another.
+OWN_KINDS = {("page_view", "event_time"): "time", ("contact_event", "event_time"): "number"}
 
 
 class Tables:
@@ -103,9 +121,25 @@ def from_frames(frames: dict[str, DataFrame]) -> Tables:
     return Tables(lambda role: _checked(role, frames[role]))
 
 
+def kind_of(role: str, column: str) -> str:
+    """What a column is to the marts: a time, flag, number, amount, id or text."""
+    if (role, column) in OWN_KINDS:
+        return OWN_KINDS[role, column]
+    return next((kind for kind, (_, names) in KINDS.items() if column in names.split()), "text")
+
+
 def _checked(role: str, df: DataFrame) -> DataFrame:
+    """The columns that the marts read, where they are there and of a type that fits."""
     wanted = COLUMNS[role].split()
     missing = sorted(set(wanted) - set(df.columns))
     if missing:
         raise ValueError(f"input '{role}' ({SOURCE_TABLES[role]}) lacks columns {missing}")
+    wrong = []
+    for column in wanted:
+        kind, given = kind_of(role, column), df.schema[column].dataType
+        fitting = KINDS[kind][0] if kind in KINDS else IDS
+        if given.simpleString().split("(")[0] not in [*fitting.split(", "), "void"]:
+            wrong.append(f"{column} is {given.simpleString()}, not a {kind}")
+    if wrong:
+        raise ValueError(f"input '{role}' ({SOURCE_TABLES[role]}): {'; '.join(wrong)}")
     return df.select(*wanted)

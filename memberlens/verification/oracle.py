@@ -615,7 +615,23 @@ QUERIES = {
         SELECT y AS transaction_year,
                (sum(sold) - sum(back))::DOUBLE AS total_sales
         FROM valid WHERE source_channel = 'LCS' GROUP BY ALL""",
+    "block_line_copies": """
+        , raw AS (SELECT y, source_channel, count(*) AS n FROM valid GROUP BY ALL)
+        SELECT y AS transaction_year, source_channel, count(*) AS distinct_lines,
+               any_value(n)::BIGINT AS lines
+        FROM lines JOIN raw USING (y, source_channel) GROUP BY ALL""",
+    "block_visit_years": """
+        , days AS (
+            SELECT DISTINCT member_detail_id, year(event_time) AS visit_year,
+                   event_time::DATE AS day FROM log),
+        ordered AS (
+            SELECT member_detail_id, visit_year, list(day ORDER BY day) AS days
+            FROM days GROUP BY ALL)
+        SELECT member_detail_id, visit_year, len(days)::BIGINT AS visit_days,
+               days[1] AS first_day, days[2] AS second_day
+        FROM ordered""",
 }
+QUERIES["block_refreshed_mart"] = QUERIES["registrant_sales"]
 
 
 def statements(

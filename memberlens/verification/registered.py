@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,11 @@ from memberlens.functions.labels import (
     year_label,
 )
 from memberlens.functions.measures import ALL_SALES, MEMBER_SALES, Money, ratio
-from memberlens.operators import contacts, identity, members, orders, purchases
-from memberlens.plans import shared
+from memberlens.operators import contacts, identity, members, orders, purchases, visits
 from memberlens.plans.marts import MARTS, VISIT_LOG
-from memberlens.plans.sales_marts import yearly_sales
-from memberlens.session import configure
+from memberlens.plans.sales_marts import registrant_sales, yearly_sales
+from memberlens.session import configure, shared_folder
+from memberlens.sinks.refresh import FolderSink
 from memberlens.sources.sample import from_test_data
 from memberlens.sources.tables import Tables
 
@@ -44,8 +46,8 @@ def queries(as_of: date, load_time: datetime) -> dict[str, Query]:
 def _mart_query(mart, as_of: date, load_time: datetime) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tables = from_test_data(configure(spark), folder)
-        if "visit_log" in mart.inputs:
-            tables = tables.with_table("visit_log", shared.by_day(VISIT_LOG(tables, as_of, load_time)))
+        if {"visit_log", "visit_years"} & {*mart.inputs}:
+            tables = tables.with_table("visit_log", VISIT_LOG(tables, as_of, load_time))
         return mart(tables, as_of, load_time)
 
     return run
@@ -140,7 +142,31 @@ def blocks(as_of: date) -> dict[str, Callable[[Tables], DataFrame]]:
         lines = orders.distinct_lines(t["order_line"], t["crm_map"], as_of)
         return orders.buying_years_of(lines).withColumn("buy_year", F.col("buy_year").cast("bigint"))
 
+    def visit_years(t: Tables) -> DataFrame:
+        log = VISIT_LOG(t, as_of)
+        years = visits.member_years(log)
+        return years.withColumn("visit_year", F.col("visit_year").cast("bigint"))
+
+    def line_copies(t: Tables) -> DataFrame:
+        lines = orders.distinct_lines(t["order_line"], t["crm_map"], as_of)
+        return lines.groupBy(
+            F.year("order_paid_date").cast("bigint").alias("transaction_year"), "source_channel"
+        ).agg(F.count("*").alias("distinct_lines"), F.sum("copies").alias("lines"))
+
+    def refreshed_mart(t: Tables) -> DataFrame:
+        """The flagship as of a year before, refreshed as of today, read from what is written."""
+        spark = t["member"].sparkSession
+        folder = shared_folder(spark) or tempfile.mkdtemp(prefix="refreshed-")
+        sink = FolderSink(spark, f"{folder}/refreshed-{uuid4().hex}")
+        mart = next(m for m in MARTS if m.build is registrant_sales)
+        for day in (as_of.replace(year=as_of.year - 1), as_of):
+            rows = sink.refresh(mart.table, mart(t, day))
+        return rows
+
     return {
+        "visit_years": visit_years,
+        "line_copies": line_copies,
+        "refreshed_mart": refreshed_mart,
         "all_identities": lambda t: identity.all_identities(t["identity"]),
         "valid_orders": valid_orders,
         "net_sales": net_sales,

@@ -156,6 +156,38 @@ def contact_tables(frame):
     return events, ids, tags
 
 
+@pytest.mark.parametrize(
+    ("text", "union_id", "code"),
+    [
+        ('{"unionId":"u","code_name":"c"}', "u", "c"),
+        ('{"unionId":{"a":[1,{"b":"c"}]},"code_name":[1,"k"]}', '{"a":[1,{"b":"c"}]}', '[1,"k"]'),
+        ('{"unionId":7,"code_name":true}', "7", "true"),
+        ('{"unionId":"","code_name":null}', "", None),
+        ('{"unionId":"é\\u00e9\\"q"}', 'éé"q', None),
+        ('{"unionid":"other spelling"}', None, None),
+        ('{"outer":{"unionId":"inner"}}', None, None),
+        ('{"unionId":"first","unionId":"last"}', "last", None),
+        ('{"unionId":"u", broken', None, None),
+        ('{"unionId":"u"', None, None),
+        ('[{"unionId":"u"}]', None, None),
+        ('"unionId"', None, None),
+        ("", None, None),
+        (None, None, None),
+    ],
+)
+def test_attributes_are_parsed_once_with_any_text(frame, text, union_id, code):
+    events = frame(EVENT, (contacts.CONTACT_ADD, 0, text, "g"))
+    ids = frame(IDENTITY, ("g", MEMBER_KEY, "1", 1, DAY))
+    found = contacts.contact_adds(events, ids, frame(TAG), AS_OF)
+    row = found.first()
+    assert (row["unionId"], row["code_name"], row["crm_member_id"]) == (union_id, code, "1")
+    expected = contacts.F.get_json_object("attributes", "$.unionId")
+    if "first" not in (text or ""):
+        assert events.select(expected).first()[0] == union_id
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan
+
+
 def test_contact_adds(contact_tables):
     found = contacts.contact_adds(*contact_tables, AS_OF)
     assert rows_of(
@@ -406,6 +438,26 @@ def test_money_of_any_type_is_not_rounded(spark, kind, amount, copies, total):
         assert Decimal(units) == Decimal(amount) * copies * 10**money.kind.scale
 
 
+@pytest.mark.parametrize("kind", ["double", "float", "string"])
+def test_amounts_that_do_not_fit_are_unknown_and_counted(spark, kind):
+    """NaN, infinite, or 10**26 and more: like NULL in the sums, and none is silent."""
+    amounts = ["1.5", "NaN", "Infinity", "-Infinity", "1e27", "-1e26", None, "2.5", "9e25"]
+    rows = spark.createDataFrame([(1, True, a) for a in amounts], "sales_qty int, is_member_order boolean, a string")
+    df = rows.select("sales_qty", "is_member_order", F.col("a").cast(kind).alias("order_rrp_amt"))
+    money = Money.of(df)
+    small = df.filter("coalesce(order_rrp_amt, '0') <> '9e25'") if kind == "string" else df.filter("order_rrp_amt is null or order_rrp_amt < 5 or order_rrp_amt > 1e26 or isnan(order_rrp_amt)")
+    assert net_sales(small, money) == (4.0, 4.0)
+    assert df.agg(money.rejected()).first()[0] == 5
+    only = df.filter("order_rrp_amt is null")
+    assert net_sales(only, money) == (None, None) and only.agg(money.rejected()).first()[0] == 0
+
+
+def test_exact_amounts_are_never_rejected(spark):
+    for kind in ("decimal(18,2)", "decimal(38,0)", "bigint"):
+        df = spark.sql(f"SELECT cast('9999999999999999' AS {kind}) AS order_rrp_amt")
+        assert df.agg(Money.of(df).rejected()).first()[0] == 0
+
+
 def test_ratio_and_zero_to_null(frame):
     df = frame("a bigint, b bigint", (1, 3), (1, 0), (None, 1))
     found = df.select(ratio(F.col("a"), F.col("b")), zero_to_null(F.col("b"))).collect()
@@ -426,7 +478,7 @@ def test_qualifying_purchases(frame):
         ("5", day, 1, "D1", None, "repeat"),
     )
     assert rows_of(purchases.purchase_days(df)) == [("01", day), ("1", day)]
-    assert rows_of(purchases.purchase_years(df)) == [(1, 2024)]
+    assert rows_of(purchases.purchase_years(df)) == [(1, [2024])]
     assert rows_of(purchases.first_purchase_days(df)) == [(1, day)]
 
 

@@ -10,6 +10,7 @@ from conftest import AS_OF, LOAD_TIME, rows_of
 from pyspark.sql import functions as F
 
 from memberlens.functions.labels import NOT_CONVERTED
+from memberlens.operators.visits import member_years
 from memberlens.plans import funnel_marts, sales_marts, visit_marts
 from memberlens.plans.marts import MARTS, VISIT_LOG
 from memberlens.sources.sample import from_test_data
@@ -63,9 +64,28 @@ def days_in(count: int, year: int = 2024):
     return [(year, 1, 1 + n) for n in range(count)]
 
 
+def test_member_years_know_their_first_days(frame):
+    """Every day of ordinary and leap years, the last one too, and a visit without a time."""
+    made = [(1, (2024, 12, 31)), (1, (2024, 12, 31)), (1, (2023, 12, 31)), (1, (2023, 1, 1)), (2, (2024, 3, 3))]
+    made += [(2, (2024, 3, 2)), (2, (2024, 3, 4)), (2, (2024, 12, 30))]
+    start = date(2020, 1, 1)
+    for n in range(366):
+        day = start + timedelta(days=n)
+        made += [(100 + n, (day.year, day.month, day.day)), (100 + n, (2020, 12, 31))]
+    rows = log_of(frame, *made).unionByName(frame(LOG, (3, "g3", None, "home")))
+    found = {(r[0], r[1]): tuple(r[2:]) for r in member_years(rows).collect()}
+    assert found[1, 2024] == (1, date(2024, 12, 31), None)
+    assert found[1, 2023] == (2, date(2023, 1, 1), date(2023, 12, 31))
+    assert found[2, 2024] == (4, date(2024, 3, 2), date(2024, 3, 3))
+    assert found[3, None] == (0, None, None)
+    for n in range(365):
+        assert found[100 + n, 2020] == (2, start + timedelta(days=n), date(2020, 12, 31))
+    assert found[465, 2020] == (1, date(2020, 12, 31), None)
+
+
 def test_visitors_by_year(frame, member):
     log = log_of(frame, (1, (2024, 1, 1)), (1, (2024, 2, 1)), (2, (2024, 1, 1)), (3, (2023, 1, 1)))
-    assert rows_of(visit_marts.visitors_by_year(log, member)) == [
+    assert rows_of(visit_marts.visitors_by_year(member_years(log), member)) == [
         (2023, None, None, 1),
         (2024, "BRANDWMP", "2023", 1),
         (2024, "LCS", FLOOR, 1),
@@ -76,14 +96,14 @@ def test_average_visit_days_double_for_a_repeated_member(frame):
     log = log_of(frame, *[(1, day) for day in days_in(3)])
     once = frame(MEMBER, ("1", JOINED, "A"))
     twice = frame(MEMBER, ("1", JOINED, "A"), ("1", JOINED, "A"))
-    assert rows_of(visit_marts.average_visit_days(log, once)) == [(2024, "A", "2023", 3.0, 1, 3.0)]
-    assert rows_of(visit_marts.average_visit_days(log, twice)) == [(2024, "A", "2023", 6.0, 1, 6.0)]
+    assert rows_of(visit_marts.average_visit_days(member_years(log), once)) == [(2024, "A", "2023", 3.0, 1, 3.0)]
+    assert rows_of(visit_marts.average_visit_days(member_years(log), twice)) == [(2024, "A", "2023", 6.0, 1, 6.0)]
 
 
 def test_visit_day_distribution(frame):
     log = log_of(frame, *[(n, day) for n in range(1, 7) for day in days_in(n)])
     members = frame(MEMBER, *[(str(n), JOINED, "A") for n in range(1, 7)])
-    found = visit_marts.visit_day_distribution(log, members)
+    found = visit_marts.visit_day_distribution(member_years(log), members)
     assert rows_of(found, "visit_day_count", "member_count") == [
         ("1", 1),
         ("2", 1),
@@ -97,27 +117,27 @@ def test_revisits_do_not_cross_years(frame, member):
     log = log_of(
         frame, (1, (2023, 12, 31)), (1, (2024, 1, 1)), (2, (2024, 1, 1)), (2, (2024, 3, 1))
     )
-    found = visit_marts.revisiting_members(log, member)
+    found = visit_marts.revisiting_members(member_years(log), member)
     assert rows_of(found, "visit_year", "eff_reg_channel", "visit_member_count",
                    "revisit_member_count") == [
         (2023, "BRANDWMP", 1, 0),
         (2024, "BRANDWMP", 1, 0),
         (2024, "LCS", 1, 1),
     ]
-    gaps = visit_marts.revisit_gaps(log, member)
+    gaps = visit_marts.revisit_gaps(member_years(log), member)
     assert rows_of(gaps, "visit_year", "time_diff") == [(2024, "31-60 days")]
 
 
 def test_only_the_first_gap_counts(frame, member):
     log = log_of(frame, (1, (2024, 1, 1)), (1, (2024, 1, 3)), (1, (2024, 9, 9)))
-    gaps = visit_marts.revisit_gaps(log, member)
+    gaps = visit_marts.revisit_gaps(member_years(log), member)
     assert rows_of(gaps, "time_diff", "member_count") == [("1-7 days", 1)]
 
 
 def test_gap_of_a_member_with_two_labels(frame):
     twice = frame(MEMBER, ("1", JOINED, "A"), ("1", JOINED, "B"))
     log = log_of(frame, (1, (2024, 1, 1)), (1, (2024, 1, 3)))
-    gaps = visit_marts.revisit_gaps(log, twice)
+    gaps = visit_marts.revisit_gaps(member_years(log), twice)
     assert rows_of(gaps, "eff_reg_channel", "time_diff") == [("B", None)]
 
 
@@ -126,7 +146,7 @@ def test_gap_of_a_member_with_two_early_join_years(frame):
     early = [datetime(2021, 5, 1), datetime(2022, 5, 1)]
     twice = frame(MEMBER, *[("1", at, "A") for at in early])
     log = log_of(frame, (1, (2024, 1, 1)), (1, (2024, 1, 3)))
-    gaps = visit_marts.revisit_gaps(log, twice)
+    gaps = visit_marts.revisit_gaps(member_years(log), twice)
     assert rows_of(gaps, "join_year", "time_diff", "member_count") == [("2022 及以前", None, 1)]
 
 
@@ -143,7 +163,7 @@ def purchase(member: str, day: date, lifecycle: str = "会员生命周期首单"
 def test_buying_in_the_year_of_the_visit(frame, member):
     log = log_of(frame, (1, (2023, 6, 1)), (1, (2024, 6, 1)))
     bought = frame(ORDER, purchase("1", date(2024, 1, 1)))
-    found = visit_marts.same_year_buyers(log, bought, member)
+    found = visit_marts.same_year_buyers(member_years(log), bought, member)
     assert rows_of(found, "visit_year", "YTD_converted", "ttl_member_count") == [
         (2023, 0, 1),
         (2024, 1, 1),
@@ -186,7 +206,7 @@ def test_registered_and_visited(frame):
         ("other", "TMall", None, "p3"),
     )
     log = log_of(frame, (1, (2024, 1, 1)), (2, (2024, 1, 1)))
-    found = visit_marts.registered_and_visited(log, members, history, LOAD_TIME)
+    found = visit_marts.registered_and_visited(member_years(log), members, history, LOAD_TIME)
     assert rows_of(found) == [
         ("BRANDEC", 3, 1, "20250701", LOAD_TIME),
         ("DOUYIN", 0, None, "20250701", LOAD_TIME),

@@ -8,11 +8,13 @@ import re
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import AS_OF, LOAD_TIME
+from conftest import AS_OF, LOAD_TIME, rows_of
 from test_against_sql import hostile_tables
 
 from memberlens.operators import contacts
+from memberlens.operators.visits import member_years
 from memberlens.plans.marts import MARTS, VISIT_LOG
+from memberlens.sinks.clustered import ClusteredTables
 from memberlens.sources.tables import from_frames
 
 BY_NAME = {mart.build.__name__: mart for mart in MARTS}
@@ -30,6 +32,15 @@ def tables(spark, tmp_path_factory):
     return given.with_table("visit_log", spark.read.parquet(f"{folder}/visit_log.parquet"))
 
 
+@pytest.fixture
+def clustered(spark, tables, tmp_path):
+    """The tables of a full run, whose members' years are written by member."""
+    work = ClusteredTables(spark, str(tmp_path / "work"))
+    years = work.write("visit_years", member_years(tables["visit_log"]), "member_detail_id")
+    yield tables.with_table("visit_years", years)
+    work.remove()
+
+
 @pytest.fixture
 def no_broadcast(spark):
     """Plans as they are when every table is large."""
@@ -121,7 +132,40 @@ def test_gaps_use_one_window(tables, no_broadcast):
     plan = mart_plan(tables, "revisit_gaps", "simple")
     assert len(re.findall(r"\+- Window ", plan)) == 1
     by_member = re.findall(r"Exchange hashpartitioning\(member_detail_id#\d+L?, \d+\)", plan)
-    assert len(by_member) == 2  # the visit days and the member dimension
+    assert len(by_member) == 2  # the members' years and the member dimension
+
+
+OVER_YEARS = ["visitors_by_year", "average_visit_days", "visit_day_distribution",
+              "revisiting_members", "revisit_gaps", "same_year_buyers",
+              "registered_and_visited"]
+
+
+@pytest.mark.parametrize("name", OVER_YEARS)
+def test_written_years_of_members_are_not_shuffled(clustered, no_broadcast, name):
+    """Only what joins them is, and the cells they end in."""
+    plan = mart_plan(clustered, name)
+    assert "memberlens_" in plan
+    blocks = [b for b in re.split(r"\n\n", plan) if re.match(r"\(\d+\) Exchange", b.lstrip())]
+    assert blocks
+    years = {"visit_year", "visit_days", "first_day"}
+    for block in blocks:
+        columns = set(re.findall(r"(\w+)#\d+", re.search(r"Input \[\d+\]: \[(.*)\]", block)[1]))
+        assert not ("member_detail_id" in columns and years & columns), block
+    if name == "registered_and_visited":
+        joins = [b for b in re.split(r"\n\n", plan) if "SortMergeJoin" in b and "member_detail_id" in b]
+        assert joins
+
+
+@pytest.mark.parametrize("name", OVER_YEARS)
+def test_clustered_years_give_the_same_rows(tables, clustered, name):
+    expected = BY_NAME[name](tables, AS_OF, LOAD_TIME)
+    assert rows_of(BY_NAME[name](clustered, AS_OF, LOAD_TIME)) == rows_of(expected)
+
+
+def test_years_of_members_are_one_aggregation(tables, no_broadcast):
+    """Merged before their only shuffle, with no distinct days in between."""
+    plan = plan_of(member_years(tables["visit_log"]), "simple")
+    assert len(re.findall(r"Exchange", plan)) == 1 and len(re.findall(r"HashAggregate", plan)) == 2
 
 
 def test_member_flags_need_no_further_shuffle(tables, no_broadcast):

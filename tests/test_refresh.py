@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -9,12 +10,15 @@ from pathlib import Path
 import pytest
 from conftest import AS_OF, LOAD_TIME, rows_of
 from pyspark.sql import functions as F
+from test_plans import plan_of
 
 from memberlens.jobs import refresh_marts
+from memberlens.operators.orders import counts_as_order, distinct_lines
 from memberlens.plans.marts import MARTS, VISIT_LOG
 from memberlens.sinks.refresh import CatalogSink, FolderSink, _Files
+from memberlens.sources.checks import Watch, none_of, watched
 from memberlens.sources.sample import from_test_data
-from memberlens.sources.tables import SOURCE_TABLES, from_catalog, from_folder
+from memberlens.sources.tables import SOURCE_TABLES, from_catalog, from_folder, from_frames
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -208,15 +212,22 @@ def test_refresh_leaves_nothing_else_behind(spark, tmp_path):
 def test_full_run_equals_single_marts(spark, tmp_path):
     tables = from_test_data(spark, SMALL)
     sink = FolderSink(spark, str(tmp_path / "out"))
-    names = refresh_marts(spark, tables, sink, AS_OF, LOAD_TIME)
-    assert names == [mart.table for mart in MARTS]
+    run = refresh_marts(spark, tables, sink, AS_OF, LOAD_TIME)
+    assert run.tables == [mart.table for mart in MARTS]
+    assert set(run.inputs) == {"order_line", "crm_map", "member", "page_view", "contact_event"}
+    for role, counts in run.inputs.items():
+        assert 0 < counts["rows"] <= tables[role].count(), role
+    assert run.inputs["page_view"]["rows"] == tables["page_view"].count()
+    lost = tables["member"].filter("member_detail_id is null").count()
+    assert run.inputs["member"]["without_member_detail_id"] == lost
     tables = tables.with_table("visit_log", sink.read(VISIT_LOG.table))
     for mart in [MARTS[0], MARTS[4], MARTS[7], *MARTS[10:15]]:
         written = sink.read(mart.table)
         expected = mart(tables, AS_OF, LOAD_TIME)
         assert rows_of(written, *expected.columns) == rows_of(expected), mart.table
-    shared_folder = Path(spark.conf.get("spark.checkpoint.dir", str(tmp_path / "out/_work")))
-    assert not (shared_folder / f"memberlens-{spark.sparkContext.applicationId}").exists()
+    work = Path(spark.conf.get("spark.checkpoint.dir", str(tmp_path / "out/_work")).removeprefix("file:"))
+    assert not list(work.glob("memberlens-*"))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("memberlens_")]
 
 
 def test_run_of_some_marts_from_folders_to_a_database(spark, tmp_path):
@@ -238,3 +249,65 @@ def test_catalog_inputs(spark):
     found = from_catalog(spark, {"crm_map": "marts.crm"})["crm_map"]
     assert found.columns == ["id", "member_id"]
     assert rows_of(found) == [(1, 3)]
+
+
+def test_a_run_counts_what_it_reads(spark, tmp_path):
+    """Whatever is odd in the inputs is in the counts, for one extra read of none of them."""
+    text = from_test_data(spark, SMALL)
+    odd = F.when(F.col("parent_order_id") % 7 == 0, "NaN").otherwise(F.col("order_rrp_amt").cast("string"))
+    lines = text["order_line"].withColumn("order_rrp_amt", odd.cast("double"))
+    ids = F.when(F.col("member_detail_id") == "5", "99999999999999999999").when(F.col("member_detail_id") == "6", "x")
+    members = text["member"].withColumn("member_detail_id", ids.otherwise(F.col("member_detail_id")))
+    tables = text.with_table("order_line", lines).with_table("member", members)
+    sink = FolderSink(spark, str(tmp_path))
+    names = ["wmp_reg_member_converted_by_transaction_year", "add_wecom_member_converted_by_transaction_year",
+             "wmp_visits_by_visits_year"]
+    VISIT_LOG(tables).write.parquet(str(tmp_path / VISIT_LOG.table))
+    run = refresh_marts(spark, tables, sink, AS_OF, only=names)
+    assert run.tables == names
+    read = lines.filter(counts_as_order(AS_OF))
+    assert run.inputs["order_line"]["rows"] == read.count()
+    assert run.inputs["order_line"]["rejected_amounts"] == read.filter("isnan(order_rrp_amt)").count() > 0
+    assert run.inputs["member"]["no_number"] == 2 and run.inputs["member"]["beyond_64_bits"] == 1
+
+
+def test_counting_needs_no_read_of_its_own(spark, tmp_path):
+    """Watched or not, a mart has the same scans, with the same filters pushed down."""
+    spark.range(10).selectExpr(
+        "timestamp '2024-01-01' AS order_paid_date", "'LCS' AS source_channel", "1 AS sales_type", "'normal' AS order_type",
+        "'CRM_memberid' AS type_name", "'t' AS type_value", "'1' AS crm_member_detail_id", "true AS if_eff_order_tag",
+        "1L AS sales_qty", "true AS is_member_order", "cast(1 AS decimal(18,2)) AS order_rrp_amt", "id AS parent_order_id",
+    ).write.parquet(f"{tmp_path}/lines")
+    lines, crm_map = spark.read.parquet(f"{tmp_path}/lines"), spark.createDataFrame([(1, 1)], "id bigint, member_id bigint")
+
+    def scans(df):
+        return re.findall(r"PushedFilters: .*|ReadSchema: .*", plan_of(df))
+
+    plain = scans(distinct_lines(lines, crm_map, AS_OF))
+    with Watch() as watch:
+        found = distinct_lines(lines, crm_map, AS_OF)
+    assert plain and scans(found) == plain
+    assert found.count() == 10
+    assert watch.counts()["order_line"]["rows"] == 10
+
+
+def test_counts_of_a_job_that_never_ran_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(Watch, "PATIENCE", 1)
+    with Watch() as watch:
+        watched("lost", spark.range(3))
+        seen = watched("seen", spark.range(4), **none_of("id"))
+        assert watched("seen", spark.range(5)) is not seen
+    assert seen.count() == 4
+    assert watch.counts() == {"seen": {"rows": 4, "without_id": 0}}
+    assert watched("seen", seen) is seen
+
+
+@pytest.mark.parametrize(
+    ("column", "kind"),
+    [("join_time", "string"), ("member_detail_id", "boolean"), ("eff_reg_channel", "array<string>")],
+)
+def test_inputs_of_other_types_are_refused(spark, column, kind):
+    types = {"member_detail_id": "string", "join_time": "date", "eff_reg_channel": "string", column: kind}
+    frame = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in types.items()))
+    with pytest.raises(ValueError, match=f"{column} is {kind}"):
+        from_frames({"member": frame})["member"]
