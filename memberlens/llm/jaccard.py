@@ -8,12 +8,13 @@
    of those links swallow groups of near copies without comparing all their pairs.
 4. A pair of similar sets shares a shingle among the first of either set, in one order of
    all shingles, rare ones first (prefix filter, by size). Where the sets under a shingle
-   are of several components, these form a cluster; clusters are cut into blocks of sets, and
-   each pair of blocks is multiplied, incidence matrix by incidence matrix, column block by
-   column block. A pair whose overlap can no longer reach what the sizes ask for is
-   dropped. Blocks inside one component are not multiplied.
+   are of several components, they are multiplied, incidence matrix by incidence matrix, column
+   block by column block: all sets that such shingles join (a cluster) where they are few, else the sets
+   under the shingles of one least set (a pivot). Groups are cut into blocks of sets, and each
+   pair of blocks is a task. A pair whose overlap can no longer reach what the sizes ask for
+   is dropped. Blocks inside one component are not multiplied.
 
-Only classes within one cluster meet, and a task returns at most one link per set.
+Only classes of one group meet, and a task returns at most one link per set.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 
 from memberlens.llm.components import components
 from memberlens.llm.scratch import Scratch, columns, in_parts, saved
-from memberlens.llm.words import Words, bucket_of, chunks, mix, plain, planes, unplanes
+from memberlens.llm.words import LEFT_TOO, Words, bucket_of, chunks, mix, plain, planes, runs, unplanes
 
 #: Shingles of one batch of documents that are merged before they are sent.
 SENT_TOGETHER = 1 << 20
 #: Sets of one component or several that make a block.
 BLOCK_SETS = 128
+#: A cluster is taken apart if that reads less than this share of the sets.
+APART = 1.0
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: Minimum hashes in the first round.
@@ -56,20 +59,30 @@ class Likeness:
         return 100 * overlap >= self.percent * (a + b - overlap)
 
 
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each text's number and its set: sorted hashes. Fewer words than a shingle are one."""
+def shingle_sets(texts: pa.Array, words: int, both: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """Each text's number and its set: sorted hashes, and with ``both`` the shingles' second
+    hashes in that order. Fewer words than a shingle are one."""
     for base, part in chunks(texts):
         found = Words(part, lower=True)
         at, hashes = found.ngrams(words)
+        too = found.ngrams(words, other=True)[1] if both else None
         lows = np.searchsorted(at, found.first[:-1])
         highs = np.searchsorted(at, found.first[1:])
         for k in range(len(part)):
-            if highs[k] > lows[k]:
-                yield base + k, np.unique(hashes[lows[k] : highs[k]])
-            else:
+            own, other = hashes[lows[k] : highs[k]], None
+            if both:
+                other = too[lows[k] : highs[k]]
+            if not len(own) and found.first[k] < found.first[k + 1]:
                 a, b = found.first[k], found.first[k + 1]
-                whole = found.grams.windows(found.hash[a:b], np.array([0]), np.array([b - a]))
-                yield base + k, mix(whole + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
+                length = np.uint64(b - a)
+                own = mix(runs(found.hash[a:b], int(length)) + length)
+                if both:
+                    other = mix(runs(found.hash_too[a:b], int(length), LEFT_TOO) + length)
+            if both:
+                own, first = np.unique(own, return_index=True)
+                yield base + k, own, other[first]
+            else:
+                yield base + k, np.unique(own), None
 
 
 def _dealt(docs: DataFrame, text: str, id: str) -> tuple[int, DataFrame]:
@@ -106,7 +119,7 @@ def _shared_shingles(dealt: DataFrame, like: Likeness, n: int) -> DataFrame:
         for batch in batches:
             blocks = batch.column(0).to_numpy()
             for part in plain(batch.column(2)):
-                for k, found in shingle_sets(part, like.words):
+                for k, found, _ in shingle_sets(part, like.words):
                     if len(found):
                         block = int(blocks[k])
                         held.setdefault(block, []).append(found)
@@ -165,9 +178,9 @@ def sets(docs: DataFrame, like: Likeness, *, text: str, id: str) -> DataFrame:
         digits = np.concatenate([*digits, np.zeros(0, np.uint8)])[at]
         out = {"n": [], "class": [], "shared": [], "minima": [], "prefix": []}
         for part in plain(left["body"]):
-            for _, found in shingle_sets(part, like.words):
+            for _, found, too in shingle_sets(part, like.words, both=True):
                 out["n"].append(len(found))
-                row = _linkable(found, keys, digits, n, like) if len(found) else None
+                row = _linkable(found, too, keys, digits, n, like) if len(found) else None
                 for name, value in zip(list(out)[1:], row or (None,) * 4, strict=True):
                     out[name].append(value)
         kinds = {"n": pa.int64(), "class": pa.binary(), "shared": pa.binary()}
@@ -179,7 +192,9 @@ def sets(docs: DataFrame, like: Likeness, *, text: str, id: str) -> DataFrame:
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(match, schema)
 
 
-def _linkable(found: np.ndarray, keys: np.ndarray, digits: np.ndarray, n: int, like: Likeness) -> tuple | None:
+def _linkable(
+    found: np.ndarray, too: np.ndarray, keys: np.ndarray, digits: np.ndarray, n: int, like: Likeness
+) -> tuple | None:
     wanted = (bucket_of(found, n) << np.uint64(32)) | (found & np.uint64(0xFFFFFFFF))
     at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
     known = keys[at] == wanted if len(keys) else np.zeros(len(found), bool)
@@ -190,7 +205,7 @@ def _linkable(found: np.ndarray, keys: np.ndarray, digits: np.ndarray, n: int, l
     alone = size - len(shared)
     prefix = shared[order][: size - like.least_overlap(size) + 1 - alone]
     minima = [int(mix(shared ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for k in range(1, MINIMA + 1)]
-    name = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    name = hashlib.blake2b(found.tobytes() + too.tobytes(), digest_size=16).digest()
     six = np.sort(shared >> np.uint64(16)).astype(np.uint64)
     body = six.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     return name, body, np.array(minima, np.uint64).view(np.int64), prefix.view(np.int64)
@@ -243,14 +258,51 @@ def _with_root(rows: DataFrame, roots: DataFrame, column: str, name: str) -> Dat
     return rows.join(up, column, "left").withColumn(name, F.coalesce("_up", column)).drop("_up")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """cluster, one, two: pairs of blocks that may hold links, from class, part and cluster.
+def _bodies(k: Column) -> Column:
+    """How many sets the block pairs of a group of ``k`` read, about."""
+    return k * F.ceil(k / BLOCK_SETS)
+
+
+def _groups(live: DataFrame, scratch: Scratch) -> DataFrame:
+    """cluster, class and part: groups in which all pairs of similar sets of different parts meet.
+
+    ``live`` has class, part, and gram: a shingle under which sets of several parts have one of their
+    first, with the least of those parts, the head. A cluster is what such shingles join. The least
+    set under a shingle is its pivot, and all sets under the shingles of one pivot are a group too, which
+    may be far smaller; a cluster is taken apart into these where that reads fewer sets. So sets that
+    rare passages join to a large cluster meet the sets of their passages only. Small groups share bins.
+    """
+    clusters = components(live.select("part", "head").distinct(), scratch)
+    found = scratch.saved(_with_root(live.select("class", "part", "gram"), clusters, "part", "cluster"))
+    members = scratch.saved(found.select("cluster", "class", "part").distinct())
+    pivots = scratch.saved(found.groupBy("gram").agg(F.min("class").alias("pivot")))
+    under = scratch.saved(found.join(pivots, "gram").select("cluster", "pivot", "class", "part").distinct())
+    sizes = scratch.saved(under.groupBy("cluster", "pivot").agg(F.count(F.lit(1)).alias("k")))
+    apart = sizes.groupBy("cluster").agg(F.sum(_bodies(F.col("k"))).alias("apart"))
+    together = members.groupBy("cluster").agg(_bodies(F.count(F.lit(1))).alias("together"))
+    split = scratch.saved(apart.join(together, "cluster").filter(F.col("apart") < F.col("together") * APART).select("cluster"))
+    sizes = scratch.saved(sizes.join(split, "cluster").select("pivot", "k"))
+    small = sizes.filter(F.col("k") <= BLOCK_SETS).agg(F.sum("k")).first()[0] or 0
+    bins = F.pmod(F.xxhash64("pivot"), F.lit(max(1, small // BLOCK_SETS)))
+    name = F.when(F.col("k") > BLOCK_SETS, F.concat(F.lit("pivot "), F.hex("pivot")))
+    name = F.coalesce(name, F.concat(F.lit("bin "), bins.cast("string")))
+    whole = members.join(split, "cluster", "left_anti").select(
+        F.concat(F.lit("cluster "), F.hex("cluster")).alias("cluster"), "class", "part"
+    )
+    parted = under.drop("cluster").join(sizes, "pivot").select(name.alias("cluster"), "class", "part")
+    return scratch.saved(whole.unionByName(parted.distinct()))
+
 
-    A part (component) that fills a block has blocks of its own, the others share blocks.
+def _placed(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """class, part, cluster and the block of each member.
+
+    A part (component) that fills a block has blocks of its own, the others share blocks. The
+    sizes are tables of their own, so that joins on a very large cluster or part can be split.
     """
     sizes = members.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"))
-    sizes = sizes.withColumn("large", F.col("k") >= BLOCK_SETS // 2)
-    small = sizes.groupBy("cluster").agg(F.sum(F.when(~F.col("large"), F.col("k")).otherwise(0)).alias("rest"))
+    sizes = scratch.saved(sizes.withColumn("large", F.col("k") >= BLOCK_SETS // 2))
+    rest = F.sum(F.when(~F.col("large"), F.col("k")).otherwise(0)).alias("rest")
+    small = scratch.saved(sizes.groupBy("cluster").agg(rest))
 
     def cut(what: Column, k: Column, size: int) -> Column:
         return F.pmod(F.xxhash64(what), F.greatest(F.ceil(k / size), F.lit(1))).cast("string")
@@ -264,11 +316,9 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def _multiplied(
-    members: DataFrame, classes: DataFrame, like: Likeness, scratch: Scratch
-) -> DataFrame:
-    """Links (a, b) between parts, from class, part and cluster of the sets in question."""
-    placed = scratch.saved(_block_pairs(members))
+def _tasks(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """cluster, one, two, class and part: the sets of each pair of blocks that may hold links."""
+    placed = scratch.saved(_placed(members, scratch))
     blocks = scratch.saved(placed.select("cluster", "at").distinct())
     part = F.substring_index("one", ":", 1)
     inside = (part == F.substring_index("two", ":", 1)) & (part != "")
@@ -278,11 +328,14 @@ def _multiplied(
         .filter((F.col("one") <= F.col("two")) & ~inside)
     )
     ends = pairs.select("*", F.explode(F.array_distinct(F.array("one", "two"))).alias("at"))
-    tasks = (
-        placed.join(ends, ["cluster", "at"])
-        .select("cluster", "one", "two", "class", "part")
-        .join(classes.select("class", "n", "shared"), "class")
-    )
+    return placed.join(ends, ["cluster", "at"]).select("cluster", "one", "two", "class", "part")
+
+
+def _multiplied(
+    members: DataFrame, classes: DataFrame, like: Likeness, scratch: Scratch
+) -> DataFrame:
+    """Links (a, b) between parts, from class, part and cluster of the sets in question."""
+    tasks = _tasks(members, scratch).join(classes.select("class", "n", "shared"), "class")
 
     def multiply(table: pa.Table) -> pa.Table:
         parts = table["part"].to_pylist()
@@ -357,9 +410,8 @@ def _class_groups(found: DataFrame, like: Likeness, scratch: Scratch) -> DataFra
         .filter("head != last")
         .select("gram", "head")
     )
-    open_ = scratch.saved(entries.join(several, "gram").select("class", "part", "head").distinct())
-    clusters = components(open_.select("part", "head").distinct(), scratch)
-    members = _with_root(open_.select("class", "part").distinct(), clusters, "part", "cluster")
+    live = scratch.saved(entries.join(several, "gram").select("class", "part", "gram", "head"))
+    members = _groups(live, scratch)
     second = components(_multiplied(members, classes, like, scratch), scratch)
     whole = _with_root(classes.select("class", "least"), first, "class", "part")
     whole = scratch.saved(_with_root(whole, second, "part", "group").select("class", "least", "group"))

@@ -1,7 +1,9 @@
 """Words and word n-grams of many texts at once, as arrays of 64-bit hashes.
 
-A word is a run of bytes other than ASCII white space. Hashes are polynomials modulo 2**64
-with an odd base, read off a running sum, so an n-gram costs the same whatever its length.
+A word is a run of bytes other than ASCII white space. Each distinct word of a batch is hashed
+once, with the 128 bits of XXH3, whose halves serve as two independent hashes. The hash of a run
+of words is put together from those of runs half as long, mixed at every step: no sum of
+powers, whose differences vanish modulo 2**64 for some regular sequences whatever the base.
 """
 
 from __future__ import annotations
@@ -10,17 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes that are hashed at a time; more only where one word is longer.
-PIECE = 1 << 19
 #: Bytes of text whose words are held at a time; more only where one text is longer.
 CHUNK = 2 << 20
 SPACES = [9, 10, 11, 12, 13, 32]
-MASK = (1 << 64) - 1
-#: Odd bases: of letters in a word, and of words in an n-gram.
-IN_WORD = 0x9E3779B97F4A7C15
-IN_GRAM = 0xD1342543DE82EF95
-IN_GRAM_TOO = 0xAF251AF3B0F025B5
+#: What the left half of a run is multiplied by, in the first hash and in the second.
+LEFT, LEFT_TOO = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,37 +28,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of a base and of its inverse modulo 2**64."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up, self.down = (self._row(b, size) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-    @staticmethod
-    def _row(base: int, size: int) -> np.ndarray:
-        row = np.full(size, base, np.uint64)
-        row[0] = 1
-        return np.cumprod(row, dtype=np.uint64)
-
-    def windows(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of ``values[start:end]``, whatever stands before."""
-        up, down = self.upto(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[:-1], out=sums[1:], dtype=np.uint64)
-        return mix((sums[ends] - sums[starts]) * down[starts])
+def runs(values: np.ndarray, n: int, left: int = LEFT) -> np.ndarray:
+    """Hashes of all runs of ``n`` values, from those of 1, 2, 4 ... values."""
+    count, left = len(values) - n + 1, np.uint64(left)
+    found, covered, width, block = None, 0, 1, mix(values)
+    while covered < n:
+        if n & width:
+            part = block[covered : covered + count]
+            found = part if found is None else mix(found * left + part)
+            covered += width
+        if covered < n:
+            block = mix(block[:-width] * left + block[width:])
+            width *= 2
+    return found
 
 
 class Words:
-    """The words of some texts: ``start`` and ``end`` in ``data``, ``hash``, ``text`` (its number)."""
+    """The words of some texts: ``start`` and ``end`` in ``data``, ``hash`` and ``hash_too``, ``text`` (its number)."""
 
-    letters, grams, grams_too = Powers(IN_WORD), Powers(IN_GRAM), Powers(IN_GRAM_TOO)
     space = np.isin(np.arange(256), SPACES)
 
     def __init__(self, texts: pa.Array, lower: bool = False):
@@ -83,22 +68,20 @@ class Words:
         self.text = np.searchsorted(self.bounds, self.start, "right") - 1
         #: First word of each text, and one past the last.
         self.first = np.searchsorted(self.start, self.bounds)
-        self.hash = np.empty(len(self.start), np.uint64)
-        lo = 0
-        while lo < len(self.start):
-            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + PIECE, "right")))
-            at = self.start[lo]
-            part = self.data[at : self.end[hi - 1]].astype(np.uint64) + np.uint64(1)
-            self.hash[lo:hi] = self.letters.windows(part, self.start[lo:hi] - at, self.end[lo:hi] - at)
-            lo = hi
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int32)
+        kept = pa.py_buffer(self.data[letter].tobytes())
+        words = pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(ends), kept])
+        coded = words.dictionary_encode()
+        digests = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+        both = np.frombuffer(digests, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+        self.hash, self.hash_too = (np.ascontiguousarray(both[:, k]) for k in (0, 1))
 
     def ngrams(self, n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First words of all n-grams inside one text, and their hashes."""
         if len(self.hash) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[: len(self.text) - n + 1] == self.text[n - 1 :])
-        powers = self.grams_too if other else self.grams
-        return at, powers.windows(self.hash, at, at + n)
+        return at, (runs(self.hash_too, n, LEFT_TOO) if other else runs(self.hash, n))[at]
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from memberlens.llm import components, grace_dedup, jaccard, line_dedup, repeats, scratch
 from memberlens.llm.scratch import Scratch
+from memberlens.llm import words as words_module
 from memberlens.llm.words import Words, bucket_of, chunks, planes, unplanes
 from tests.llm.cases import SCHEMA, WORD, ascii_lower, docs, documents, none, ordered  # noqa: F401
 
@@ -231,3 +232,96 @@ def test_parts_follow_the_bytes_of_text(docs, spark, monkeypatch):
     copies = dealt.filter("doc_id = 15").groupBy("part").agg(F.sum(F.octet_length("body")).alias("bytes")).collect()
     assert sum(r["bytes"] for r in copies) > 2 * limit and max(r["bytes"] for r in copies) <= limit
     assert (near(rows), ordered(repeats.without_repeats(rows).collect())) == want
+
+
+def thue_morse(letters: str, size: int) -> str:
+    return "".join(letters[k.bit_count() % 2] for k in range(size))
+
+
+def colliding() -> list[str]:
+    """Different words, or runs of words, that sums of powers modulo 2**64 cannot tell apart."""
+    found = []
+    for size in (1024, 2048, 4096):
+        found += [thue_morse("ab", size), thue_morse("ba", size)]
+    common = [f"w{k}" for k in range(60)]
+    pairs = [" ".join([*common[:34], w]) for w in found]
+    shingled = [" ".join([*common[:20], w, *common[20:24]]) for w in found]
+    words = [" ".join(thue_morse(x, 32).replace("a", "alpha ").replace("b", "beta ").split() + ["one", "two", "three"]) for x in ("ab", "ba")]
+    return [*found, *pairs, *shingled, *words, words[0]]
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    """As words, in shingles and in windows, against brute force."""
+    texts = colliding()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sets = []
+    for text in texts:
+        words = WORD.findall(ascii_lower(text))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    group = list(range(len(texts)))
+    for _ in texts:
+        for x, y in combinations(range(len(texts)), 2):
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                group[x] = group[y] = min(group[x], group[y])
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.grouped(rows).collect()}
+    assert found == {k: (len(s), group[k]) for k, s in enumerate(sets)}
+    words = [WORD.findall(t) for t in texts]
+    seen = Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
+    want = {}
+    for i, w in enumerate(words):
+        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        want[i] = len(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.without_repeats(rows).collect()} == want
+    assert set(want.values()) == {0, 35}
+
+
+def test_hashes_of_runs_tell_sequences_apart():
+    import pyarrow as pa
+
+    ab = [np.array([1, 2], np.uint64)[[int(c == "b") for c in thue_morse(x, 4096)]] for x in ("ab", "ba")]
+    for n in (1, 2, 3, 5, 18, 32, 35, 1024, 4096):
+        seen = {}
+        for values in ab:
+            hashes = [words_module.runs(values, n, left) for left in (words_module.LEFT, words_module.LEFT_TOO)]
+            for k, h in enumerate(zip(*(x.tolist() for x in hashes), strict=True)):
+                assert seen.setdefault(h, values[k : k + n].tobytes()) == values[k : k + n].tobytes()
+        assert len(set(seen.values())) == len(seen)
+    both = Words(pa.array([thue_morse("ab", 1024) + " " + thue_morse("ba", 1024)]))
+    assert len(set(both.hash.tolist())) == len(set(both.hash_too.tolist())) == 2
+
+
+def passages(n: int) -> list[tuple]:
+    """Documents of three passages each from a pool that grows with them: joined, but not alike."""
+    rng = np.random.default_rng(7)
+    pool = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(n // 2)]
+    return [(k, " ".join(pool[p] for p in rng.choice(len(pool), 3, replace=False))) for k in range(n)]
+
+
+def test_sets_that_share_passages_meet_few_others(spark, monkeypatch):
+    """Twice the documents are twice the work, though nearly all are one cluster."""
+    sizes, counted = [], {}
+    tasks = jaccard._tasks
+
+    def counting(members, scratch):
+        rows = scratch.saved(tasks(members, scratch))
+        counted.update(sets=rows.count(), pairs=rows.select("cluster", "one", "two").distinct().count())
+        return rows
+
+    monkeypatch.setattr(jaccard, "_tasks", counting)
+    for n in (800, 1600):
+        rows = spark.createDataFrame(passages(n), "doc_id bigint, text string")
+        found = jaccard.grouped(rows).agg(F.count_distinct("component_id")).first()[0]
+        assert found > 0.95 * n
+        sizes.append(dict(counted))
+    assert sizes[0]["sets"] > 0
+    assert all(sizes[1][k] <= 2.3 * sizes[0][k] for k in ("sets", "pairs")), sizes
+
+
+@pytest.mark.parametrize(("share", "sets"), [(0.0, 4), (1e9, 4), (1e9, 128)])
+def test_groups_by_pivot_or_cluster_give_the_same(docs, monkeypatch, share, sets):
+    """Whichever way the costs decide, links are the same."""
+    monkeypatch.setattr(jaccard, "APART", share)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    monkeypatch.setattr(jaccard, "MINIMA", 1)
+    found = jaccard.grouped(docs).select("doc_id", "n_shingles", "component_id")
+    assert ordered(found.collect()) == ordered(brute_components())
