@@ -6,6 +6,10 @@ character), over the root of the product of their numbers. Ridge regression, one
 against the rest, is fitted on a sample through Nystroem landmarks. A text's n-grams are
 found in the tasks; only those of the sample come to the driver. As an n-gram weighs
 nothing unless a landmark has it, those of the landmarks are all that is kept.
+
+Texts are scored in batches by two matrix products: texts by n-grams with n-grams by
+landmarks gives the kernel, in whole numbers and thus exactly, column block by column block;
+the kernel with the weights gives a score for each language.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from memberlens.llm.scratch import columns, saved
 UNKNOWN = "und"
 #: Characters whose n-grams are sorted together.
 PIECE = 1 << 16
+#: Texts that are scored together, and n-grams that a matrix has as columns at a time.
+BATCH = 64
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -38,10 +45,11 @@ class Fit:
     sample: int = 100_000
     #: n-grams of the sample, 8 bytes each; every language has an equal share, and one text.
     sample_bytes: int = 128 << 20
-    #: At least; every language has one.
+    #: At least; every language has one, the commonest first, as long as there are not more than
+    #: ``most_landmarks``: the others are learned by the landmarks of these. The driver holds about five matrices
+    #: of landmarks by landmarks or languages, 8 bytes each: 0.7 GB at 4,096 of both.
     landmarks: int = 256
-    #: Weights of n-grams and languages that are laid out in one matrix, at most.
-    grams: int = 1 << 24
+    most_landmarks: int = 4096
     ridge: float = 1e-2
 
 
@@ -85,27 +93,33 @@ class Presence:
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
         return at[self.known[at] == own]
 
-    def kernel(self, own: np.ndarray) -> np.ndarray:
-        """A text's kernel with each landmark."""
-        at = self.places(own)
-        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        shared = np.bincount(self.marks[np.repeat(first, n) + steps], minlength=len(self.sizes))
-        return shared / np.sqrt(self.sizes * max(len(own), 1))
+    def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row for each set of n-grams: its kernel with each landmark.
+
+        Both factors are laid out for as many n-grams at a time as have a column in :data:`BLOCK`.
+        """
+        places = [self.places(own) for own in sets]
+        row = np.repeat(np.arange(len(sets)), [len(p) for p in places])
+        grams, column = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((len(sets), len(self.sizes)))
+        for lo in range(0, len(grams), BLOCK):
+            some = grams[lo : lo + BLOCK]
+            a, b = np.searchsorted(column, [lo, lo + BLOCK])
+            texts = np.zeros((len(sets), len(some)), np.float32)
+            texts[row[a:b], column[a:b] - lo] = 1
+            first, n = self.starts[some], self.starts[some + 1] - self.starts[some]
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            marks = np.zeros((len(some), len(self.sizes)), np.float32)
+            marks[np.repeat(np.arange(len(some)), n), self.marks[np.repeat(first, n) + steps]] = 1
+            shared += texts @ marks
+        sizes = np.array([max(len(own), 1) for own in sets], np.float64)
+        return shared / np.sqrt(np.outer(sizes, self.sizes))
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         """A row for each text: its kernel with each landmark."""
-        return np.array([self.kernel(distinct_grams(text)) for text in texts]).reshape(len(texts), -1)
-
-    def folded(self, weights: np.ndarray) -> np.ndarray:
-        """The weights of landmarks as weights of n-grams."""
-        out = np.zeros((len(self.known), weights.shape[1]), np.float32)
-        gram = np.repeat(np.arange(len(self.known)), np.diff(self.starts))
-        order = np.argsort(self.marks, kind="stable")
-        ends = np.cumsum(np.bincount(self.marks, minlength=len(self.sizes)))
-        for k, at in enumerate(np.split(gram[order], ends[:-1])):
-            out[at] += weights[k] / np.sqrt(self.sizes[k])
-        return out
+        return self.kernels([distinct_grams(text) for text in texts])
 
 
 @dataclass
@@ -113,8 +127,6 @@ class Classifier:
     presence: Presence
     languages: list[str]
     weights: np.ndarray
-    #: Weights of n-grams, if they are not too many.
-    by_gram: np.ndarray | None
 
     @classmethod
     def fitted(cls, texts: list[str], labels: list[str], fit: Fit) -> Classifier | None:
@@ -133,34 +145,29 @@ class Classifier:
         for k, label in enumerate(labels):
             order.append((turn[label], label, k))
             turn[label] += 1
-        marks = [sets[k] for *_, k in sorted(order)[: max(fit.landmarks, len(languages))]]
+        common = {c: k for k, c in enumerate(languages)}
+        order.sort(key=lambda x: (x[0], common[x[1]] >= fit.most_landmarks, x[1], x[2]))
+        marks = [sets[k] for *_, k in order[: min(max(fit.landmarks, len(languages)), fit.most_landmarks)]]
         presence = Presence(marks)
-        between = np.array([presence.kernel(m) for m in marks])
+        between = np.concatenate([presence.kernels(marks[lo : lo + BATCH]) for lo in range(0, len(marks), BATCH)])
         left = fit.ridge * len(sets) / len(marks) * between
         right = np.zeros((len(marks), len(languages)))
-        for lo in range(0, len(sets), 256):
-            to_marks = np.array([presence.kernel(own) for own in sets[lo : lo + 256]])
+        for lo in range(0, len(sets), BATCH):
+            to_marks = presence.kernels(sets[lo : lo + BATCH])
             wanted = np.full((len(to_marks), len(languages)), -1.0)
-            wanted[np.arange(len(to_marks)), [place[c] for c in labels[lo : lo + 256]]] = 1
+            wanted[np.arange(len(to_marks)), [place[c] for c in labels[lo : lo + BATCH]]] = 1
             left += to_marks.T @ to_marks
             right += to_marks.T @ wanted
         left += 1e-6 * np.trace(left) / len(marks) * np.eye(len(marks))
-        weights = np.linalg.solve(left, right)
-        few = len(presence.known) * len(languages) <= fit.grams
-        return cls(presence, languages, weights, presence.folded(weights) if few else None)
-
-    def scores(self, text: str) -> np.ndarray:
-        own = distinct_grams(text)
-        if self.by_gram is None:
-            return self.presence.kernel(own) @ self.weights
-        return self.by_gram[self.presence.places(own)].sum(0) / np.sqrt(max(len(own), 1))
+        return cls(presence, languages, np.linalg.solve(left, right))
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score, 0 to 1; a text without a known gram is of the commonest."""
-        scores = np.array([self.scores(text) for text in texts])
+        # Rounded, so that a text's language does not depend on the batch that it comes in.
+        scores = np.round(self.presence.matrix(texts) @ self.weights, 9)
         best = scores.argmax(1)
         score = np.clip((scores[np.arange(len(texts)), best] + 1) / 2, 0, 1)
-        return [self.languages[k] for k in best], score.astype(np.float64)
+        return [self.languages[k] for k in best], score
 
 
 def held_out(id: str) -> F.Column:
@@ -182,7 +189,7 @@ def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Clas
         return None
     texts = min(fit.per_language, max(fit.sample // len(counts), 16))
     shares = [(r["label"], max(texts / r["n"], r["least"])) for r in counts]
-    shares = F.broadcast(spark.createDataFrame(shares, "label string, share double"))
+    shares = spark.createDataFrame(shares, "label string, share double")
     drawn = usable.join(shares, "label").filter(place <= F.col("share")).select("label", "draw", "body")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +217,7 @@ def fitted(docs: DataFrame, fit: Fit, *, text: str, id: str, label: str) -> Clas
             last[r["label"]] = r["draw"]
     if not last:
         return None
-    lasts = F.broadcast(spark.createDataFrame(list(last.items()), "label string, last bigint"))
+    lasts = spark.createDataFrame(list(last.items()), "label string, last bigint")
     kept = sample.join(lasts, "label").filter("draw <= last").select("draw", "label", "grams").toArrow()
     kept = kept.sort_by([("draw", "ascending"), ("label", "ascending")])
     sets = [np.frombuffer(own.as_buffer(), np.int64) for own in kept["grams"]]
@@ -250,8 +257,8 @@ def identified(
             presence.__dict__.update(parts["presence"])
             own = Classifier(**parts | {"presence": presence})
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
                 bodies = part.column(1).to_pylist()
                 names, scores = [UNKNOWN] * len(bodies), np.zeros(len(bodies))
                 at = [k for k, body in enumerate(bodies) if body is not None]
