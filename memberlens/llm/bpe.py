@@ -293,9 +293,10 @@ def encoded(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     tokenizer = _encoder(docs, path)
 
     def answer(texts: pa.Array) -> list[pa.Array]:
-        encode = tokenizer().encode
-        ids = [encode(t.as_py()) for t in texts]
-        return [pa.array(ids, pa.list_(pa.int32()))]
+        # A text that comes several times, as a mix has it, is encoded once.
+        coded = texts.dictionary_encode()
+        ids = [tokenizer().encode(t.as_py()) for t in coded.dictionary]
+        return [pa.array(ids, pa.list_(pa.int32())).take(coded.indices)]
 
     return _mapped(docs, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], answer)
 

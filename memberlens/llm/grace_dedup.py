@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import sys
 import tempfile
 from array import array
 from collections.abc import Iterable, Iterator
@@ -29,8 +30,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from memberlens.llm.scratch import columns
 
-#: Bytes of distinct content that one table may hold.
-TABLE_BYTES = 64 << 20
+#: Bytes of distinct records that one table may hold, as they lie in memory.
+TABLE_BYTES = 128 << 20
+#: Bytes of a record's fields and its places in the table, besides its content and what it carries.
+RECORD_BYTES = 320
 #: Hash bits that one level of spill files uses.
 FAN_BITS = 4
 HASH_BITS = 64
@@ -55,7 +58,7 @@ class ContentTable:
         if self.slots[at] < 0:
             self.slots[at] = len(self.records)
             self.records.append(record)
-            self.held += len(record[CONTENT])
+            self.held += _weight(record)
             if 2 * len(self.records) > len(self.slots):
                 self._grow()
             return
@@ -84,6 +87,13 @@ class ContentTable:
             self.slots[at] = k
 
 
+def _weight(record: tuple) -> int:
+    """The memory that a record takes in the table."""
+    carried = record[COUNT + 1] if len(record) > COUNT + 1 else None
+    more = sum(sys.getsizeof(v) for v in carried.values()) + sys.getsizeof(carried) if carried else 0
+    return RECORD_BYTES + sys.getsizeof(record[CONTENT]) + more
+
+
 def distinct(records: Iterable[tuple], limit: int, depth: int = 0) -> Iterator[tuple]:
     """One record for each distinct content, with all counts added up."""
     table, rest = ContentTable(), iter(records)

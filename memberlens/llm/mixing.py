@@ -112,15 +112,15 @@ def mixed(
     """One row per document: doc (its columns), size, source_size, target, copies.
 
     ``size`` is the number of words, 0 for a null text. A null source is a source. Rows that
-    repeat an id are walked in the order of their texts' hashes. An empty table gives an empty result.
+    repeat an id, or have none, are walked in the order of their texts' hashes. An empty table gives an empty result.
     """
     kept = columns(docs) if carry else [F.col(id)]
     rows = docs.select(
         F.struct(*kept).alias("doc"),
         _by_source(F.col(source)).alias("mix_source"),
         n_words(F.col(text)).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(mix.seed), F.col(id).cast("string"))).alias("draw"),
-        F.xxhash64(F.col(text)).alias("print"),
+        # Rows without an id, or of one id, spread by their texts.
+        F.md5(F.concat_ws(":", F.lit(mix.seed), F.col(id).cast("string"), F.md5(text))).alias("draw"),
     )
     cell = ["mix_source", "class", "cell"]
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn(
@@ -146,7 +146,7 @@ def mixed(
         "source_size",
         "target",
     )
-    inside = Window.partitionBy(*cell).orderBy("draw", "print")
+    inside = Window.partitionBy(*cell).orderBy("draw")
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(mix.seed), "mix_source")), 1, 7), 16, 10)
     unit = F.floor(F.col("target") / F.col("source_size") * PARTS).cast("decimal(38,0)")
     shift = F.floor(offset.cast("double") / float(16**7) * PARTS).cast("decimal(38,0)")

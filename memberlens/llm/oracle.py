@@ -44,7 +44,7 @@ WITH RECURSIVE
 d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || doc_id) AS draw
+         md5(concat_ws(':', 'mix', doc_id, md5(text))) AS draw
   FROM documents
 ),
 c AS (

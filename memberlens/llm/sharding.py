@@ -51,7 +51,7 @@ def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
 def directory(records: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """prefix, shard_bytes and shard_rows of every shard, for records with ``bits`` and ``n_bytes``.
 
-    A shard over the limit is one whose records agree in all bits.
+    A shard over the limit is a single record, or records that agree in all bits.
     """
     total = records.agg(F.sum("n_bytes")).first()[0] or 0
     step = max(1, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS
@@ -69,7 +69,7 @@ def directory(records: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
             .agg(F.sum("n_bytes").alias("shard_bytes"), rows)
         )
         buckets = saved(buckets)
-        full = (F.col("shard_bytes") > limit) & (F.length("prefix") < HASH_BITS)
+        full = (F.col("shard_bytes") > limit) & (F.length("prefix") < HASH_BITS) & (F.col("shard_rows") > 1)
         split = buckets.filter(full).select(F.col("prefix").alias("parent"))
         parent = F.expr("substring(prefix, 1, length(prefix) - 1)")
         born = buckets.filter(F.length("prefix") == depth).unionByName(

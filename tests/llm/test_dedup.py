@@ -50,6 +50,23 @@ def test_copies_spill_until_buckets_fit():
     assert {r[grace_dedup.COUNT] for r in spilt} == {3}
 
 
+def test_a_table_of_short_texts_stays_within_its_bytes():
+    """Records count with what they take in memory, not with their letters."""
+    import tracemalloc
+
+    def records():
+        for k in range(40_000):
+            yield (k * 0x9E3779B97F4A7C15 % (1 << 63), f"text of 20 letters{k:06}", k, 1, {"lang": f"l{k}", "source": f"s{k}", "n": k, "text_is_null": False})
+
+    limit, most, files = 8 << 20, 0, 0
+    tracemalloc.start()
+    for _ in grace_dedup.distinct(records(), limit):
+        files += 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert files == 40_000 and most < 1.5 * limit
+
+
 def test_equal_hashes_of_unequal_texts_stay_apart():
     records = [(7, "a", 1, 1), (7, "b", 2, 1), (7, "a", 3, 1)]
     for limit in (0, 100):

@@ -88,6 +88,9 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
         docs = out
 
 
-def test_run(spark):
+def test_run(spark, monkeypatch):
+    removed, remove = [], corpus_pipeline.Scratch.remove
+    monkeypatch.setattr(corpus_pipeline.Scratch, "remove", lambda self: removed.append(self) or remove(self))
     rows = corpus_pipeline.run(spark, DATA)
+    assert len(removed) >= len(corpus_pipeline.STAGES) - 2
     assert rows.count() > 100 and {"doc_id", "n_tokens", "ids"} <= set(rows.columns)

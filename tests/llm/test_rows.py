@@ -30,7 +30,8 @@ def test_shards_split_only_where_they_are_too_large(docs):
 
     def shard(bits: str, prefix: str = "") -> tuple[str, int]:
         held = sum(n for b, n in sizes if b.startswith(prefix))
-        if held <= limit or len(prefix) == 48:
+        alone = sum(b.startswith(prefix) for b, _ in sizes) == 1
+        if held <= limit or alone or len(prefix) == 48:
             return prefix, held
         return shard(bits, bits[: len(prefix) + 1])
 
@@ -56,6 +57,36 @@ def test_shards_of_repeated_rows_fit(spark):
     assert sum(set(x) == {"x" * 100} for x in texts.values()) <= 64
 
 
+def test_one_large_document_is_split_off_in_few_passes(spark, monkeypatch):
+    """However large, it is a shard as soon as it is alone."""
+    rows = [(k, f"text {k} " * 40) for k in range(200)] + [(999, "x" * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tables, saved = [], sharding.saved
+    monkeypatch.setattr(sharding, "saved", lambda df: tables.append(1) or saved(df))
+    found = sharding.sharded(docs, limit=20_000, split_repeats=True).select("doc.doc_id", "shard", "shard_bytes").collect()
+    assert len(found) == 201 and len(tables) <= 4
+    assert max(len(r["shard"]) for r in found) < 24
+    assert all(r["shard_bytes"] <= 20_000 for r in found if r["doc_id"] != 999)
+
+
+def test_empty_tables_of_sharding_and_mixing(none):
+    assert sharding.sharded(none, split_repeats=True).collect() == []
+    assert mixing.mixed(none).collect() == [] and mixing.emitted(none).collect() == []
+
+
+def test_rows_without_an_id_spread_over_cells(spark, monkeypatch):
+    """A third of the rows have no id; no cell that one task ranks has many of them."""
+    rows = [(None if k % 3 == 0 else k, f"word{k} and more", "s") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    cells, saved = [], mixing.saved
+    monkeypatch.setattr(mixing, "saved", lambda df: cells.append(saved(df)) or cells[-1])
+    found = mixing.mixed(docs)
+    assert found.count() == 3000
+    assert max(r["n"] for r in cells[0].collect()) < 20
+    total = found.agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
+    assert abs(total - 1.5 * 9000) <= 6
+
+
 def test_shards_are_written(docs, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), limit=20_000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ROWS)
