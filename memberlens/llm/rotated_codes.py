@@ -3,41 +3,52 @@
 Vectors are dealt to lists by their nearest centroid. A vector's residual is rotated by a
 random orthogonal matrix and keeps one bit for each dimension, its norm, and its inner
 product with its own code; from these the inner product with any query is estimated, with a
-bound on the error. In a list only vectors whose lower bound of the distance does not exceed
-the k-th smallest upper bound are compared by their original components.
-
-Centroids, and how many lists a query looks into, are fitted on a bounded sample. Every row
-is indexed.
+bound on the error. Codes and original vectors are stored apart, and only codes meet the
+queries: first those of a query's nearest list, whose k-th smallest upper bound is then what
+the other lists must come below. Vectors whose lower bound of the distance does not exceed a
+query's k-th smallest upper bound are fetched and compared by their original components.
+
+Centroids, and how many lists a query looks into, are fitted on a sample. There are about half
+the square root of the rows lists, and eight vectors of the sample for each; ``fit_bytes`` bounds
+the sample, and a fourth of it the lists. Every row is indexed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memberlens.llm.scratch import saved
+from memberlens.llm.scratch import Scratch, saved
 
 
 @dataclass(frozen=True)
 class Index:
-    #: Vectors, about, that centroids and the number of probed lists are fitted on.
+    #: Vectors, about, that centroids and the number of probed lists are fitted on, at least.
     sample: int = 8192
-    most_lists: int = 1024
+    #: Bytes of the sample on the driver, at most.
+    fit_bytes: int = 128 << 20
     #: Share of the sample's true neighbours that lie in the probed lists.
     recall: float = 0.985
-    #: Vectors and queries that meet in one task, at most.
+    #: Queries, and codes, that meet in one task, at most.
     block: int = 4096
+    codes: int = 1 << 16
     #: Error bounds hold in all but a few of a thousand cases.
     deviations: float = 3.0
     seed: int = 7
 
 
+#: Numbers in a matrix of distances or bounds that is held at a time.
+HELD = 1 << 20
+#: With so many lists, at most, every vector is compared with every centroid.
+ONE_CELL = 1024
+
+
 def usable(vector: Column, dimension: int) -> Column:
     """Not null, of the dimension, all components finite, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -55,11 +66,21 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    step = max(1, HELD // max(1, width))
+    return (slice(lo, lo + step) for lo in range(0, rows, step))
+
+
+def _closest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    found = [_squares(rows[s], centres).argmin(1) for s in _slices(len(rows), len(centres))]
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def _centroids(sample: np.ndarray, n: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), n, replace=False)]
     for _ in range(10):
-        nearest = _squares(sample, centres).argmin(1)
+        nearest = _closest(sample, centres)
         counts = np.bincount(nearest, minlength=n)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, sample)
@@ -67,18 +88,60 @@ def _centroids(sample: np.ndarray, n: int, seed: int) -> np.ndarray:
     return centres
 
 
-def _probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
+@dataclass(frozen=True)
+class Lists:
+    """Centroids in the order of their cells; a vector's list is the nearest of its nearest cell."""
+
+    cells: np.ndarray
+    centres: np.ndarray
+    #: Where each cell's centroids begin, and the end.
+    begin: np.ndarray
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, n: int, seed: int) -> Lists:
+        """``n`` centroids, beyond ``ONE_CELL`` in sqrt(n) cells, in each as its share of the sample."""
+        if n <= ONE_CELL:
+            return cls(sample.mean(0)[None], _centroids(sample, n, seed), np.array([0, n]))
+        cells = _centroids(sample, round(np.sqrt(n)), seed)
+        cell = _closest(sample, cells)
+        cells, cell = cells[np.unique(cell)], np.unique(cell, return_inverse=True)[1]
+        inside = [sample[cell == c] for c in range(len(cells))]
+        share = [max(1, min(len(x), n * len(x) // len(sample))) for x in inside]
+        centres = [_centroids(x, k, seed) for x, k in zip(inside, share, strict=True)]
+        return cls(cells, np.concatenate(centres), np.concatenate([[0], np.cumsum(share)]))
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        cell = _closest(rows, self.cells)
+        found = np.empty(len(rows), np.int64)
+        for c in np.unique(cell):
+            at = np.flatnonzero(cell == c)
+            lo, hi = self.begin[c], self.begin[c + 1]
+            found[at] = lo + _closest(rows[at], self.centres[lo:hi])
+        return found
+
+    def nearest(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """Each row's ``n`` lists with the nearest centroids, nearest first."""
+        found = np.empty((len(rows), n), np.int32)
+        for s in _slices(len(rows), len(self.centres)):
+            found[s] = _squares(rows[s], self.centres).argsort(1, kind="stable")[:, :n]
+        return found
+
+
+def _probes(sample: np.ndarray, lists: Lists, k: int, recall: float) -> int:
     """The lists a query must look into so that the sample's own neighbours are found.
 
     The first of the sample ask; it must be in a random order.
     """
-    queries = sample[:256]
-    distance = _squares(queries, sample)
-    distance[np.arange(len(queries)), np.arange(len(queries))] = np.inf
-    near = np.argsort(distance, 1)[:, : min(k, len(sample) - 1)]
-    place = _squares(queries, centres).argsort(1).argsort(1)
-    lists = _squares(sample, centres).argmin(1)
-    ranks = np.sort(np.take_along_axis(place, lists[near], 1).ravel())
+    queries, list_of = sample[:256], lists.of(sample)
+    k = min(k, len(sample) - 1)
+    ranks = []
+    for s in _slices(len(queries), len(sample)):
+        distance = _squares(queries[s], sample)
+        distance[np.arange(len(distance)), np.arange(len(queries))[s]] = np.inf
+        near = np.argpartition(distance, max(k - 1, 0), 1)[:, :k]
+        place = _squares(queries[s], lists.centres).argsort(1).argsort(1)
+        ranks.append(np.take_along_axis(place, list_of[near], 1).ravel())
+    ranks = np.sort(np.concatenate(ranks))
     return int(ranks[min(len(ranks) - 1, int(recall * len(ranks)))]) + 1 if len(ranks) else 1
 
 
@@ -129,139 +192,216 @@ def nearest(
     Rows of the query's own id are no candidates. Rows without an id, and vectors that are
     null, zero, not finite or not of the commonest dimension, take no part.
     """
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
     spark = vectors.sparkSession
+    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sizes = vectors.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count()
     common = sizes.orderBy(F.desc("count"), "d").first()
     if common is None:
-        return spark.createDataFrame([], empty)
-    dimension = common["d"]
+        return empty
+    dimension, wanted = common["d"], np.sqrt(common["count"]) / 2
     rows = vectors.filter(F.col(id).isNotNull() & usable(F.col(vector), dimension)).select(
         F.col(id).cast("bigint").alias("id"),
-        F.col(vector).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
+        F.col(vector).alias("v"),
     )
+    sample = _sample(rows, dimension, min(max(index.sample, 8 * wanted), index.fit_bytes / 8 / dimension))
+    if not len(sample):
+        return empty
+    n_lists = int(min(max(1, wanted), max(1, len(sample) // 4)))
+    lists = Lists.fitted(sample, n_lists, index.seed)
+    probes = _probes(sample, lists, k, index.recall)
+    shared = spark.sparkContext.broadcast((lists, _rotation(dimension, index.seed)))
+    scratch = Scratch(spark)
+    try:
+        stored = _stored(scratch, rows, shared, dimension)
+        codes = _without_repeats(scratch, stored, k)
+        held = _in_lists(codes, len(lists.centres))
+        # However a query lies, the lists it looks into hold k other rows, if there are as many.
+        probes = max(probes, int(np.searchsorted(np.cumsum(np.sort(held)), k + 1)) + 1)
+        asked = _asked(scratch, stored, shared, dimension, min(probes, len(held)))
+        bounds = _bounds_of(codes, held, shared, dimension, k, index)
+
+        def reach(of: DataFrame) -> DataFrame:
+            return of.groupBy("query").agg(F.min("reach").alias("least"))
+
+        nowhere = F.lit(float("inf"))
+        first = scratch.saved(bounds(asked.filter("place = 0").withColumn("least", nowhere)))
+        further = asked.filter("place > 0").join(reach(first), "query", "left")
+        further = bounds(further.withColumn("least", F.coalesce("least", nowhere)))
+        bounded = scratch.saved(first.unionByName(further))
+        pairs = bounded.join(reach(bounded), "query").filter("low <= least")
+        return saved(_compared(stored, pairs.select("query", "row"), dimension, k))
+    finally:
+        scratch.remove()
+
+
+def _sample(rows: DataFrame, dimension: int, size: float) -> np.ndarray:
+    """About ``size`` of the vectors, in a random order; at least one, if there is one."""
     hashed = F.xxhash64("id", "v")
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     # Rows that repeat share a draw: they count once, and come once.
     unlike = rows.agg(F.approx_count_distinct(hashed)).first()[0]
-    chosen = rows.filter(draw < index.sample / max(1, unlike)).select("id", "v").distinct()
+    chosen = rows.filter(draw < size / max(1, unlike)).select("id", "v").distinct()
     # In the order of the hash, so that the first are a random part, whatever ids follow.
     table = chosen.orderBy(hashed, "id").toArrow()
     if not table.num_rows:
         table = rows.select("id", "v").limit(1).toArrow()
     if not table.num_rows:
-        return spark.createDataFrame([], empty)
-    sample = _matrix(table["v"].combine_chunks(), dimension)
-    n_lists = int(min(index.most_lists, max(1, np.sqrt(common["count"]) / 2), len(sample)))
-    centres = _centroids(sample, n_lists, index.seed)
-    probes = _probes(sample, centres, k, index.recall)
-    rotation = _rotation(dimension, index.seed)
-    shared = spark.sparkContext.broadcast((centres, rotation))
+        return np.empty((0, dimension))
+    return _matrix(table["v"].combine_chunks(), dimension)
+
+
+def _stored(scratch: Scratch, rows: DataFrame, shared: Broadcast, dimension: int) -> DataFrame:
+    """row (a number), id, asks, v, same (a hash of v), list, code, norm and fit of each row."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, rotation = shared.value
+        lists, rotation = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column(1), dimension)
-            lists = _squares(v, centres).argmin(1)
-            codes, norms, fit = encode(v - centres[lists], rotation)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(lists, pa.int32()),
-                    *batch.columns,
-                    pa.array([c.tobytes() for c in codes], pa.binary()),
-                    pa.array(norms),
-                    pa.array(fit),
-                ],
-                names=["list", "id", "v", "asks", "code", "norm", "fit"],
-            )
+            if batch.num_rows:
+                v = _matrix(batch.column("v"), dimension)
+                of = lists.of(v)
+                codes, norms, fit = encode(v - lists.centres[of], rotation)
+                bits = pa.array([c.tobytes() for c in codes], pa.binary())
+                more = [pa.array(of, pa.int32()), bits, pa.array(norms), pa.array(fit)]
+                names = [*batch.schema.names, "list", "code", "norm", "fit"]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
 
     of_v = rows.schema["v"].dataType.simpleString()
-    coded = saved(
-        rows.mapInArrow(
-            deal, f"list int, id bigint, v {of_v}, asks boolean, code binary, norm double, fit double"
-        )
+    coded = rows.withColumn("same", F.xxhash64("v")).mapInArrow(
+        deal,
+        f"id bigint, asks boolean, v {of_v}, same bigint, list int, code binary, norm double, fit double",
     )
+    return scratch.saved(coded.withColumn("row", F.monotonically_increasing_id()))
+
 
-    # At most ``most_lists`` counts come to the driver.
-    held = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
-    # However a query lies, the lists it looks into hold k other rows, if there are as many.
-    rows_in = np.cumsum(sorted(held.get(x, 0) for x in range(n_lists)))
-    probes = min(n_lists, max(probes, int(np.searchsorted(rows_in, k + 1)) + 1))
+def _without_repeats(scratch: Scratch, stored: DataFrame, k: int) -> DataFrame:
+    """The codes, of equal vectors only those that can be among a query's ``k`` nearest.
+
+    Equal vectors are equally far from a query, so smaller ids come first: beside the query's
+    own, the ``k`` smallest, and of each no more than ``k`` rows.
+    """
+    equal = ["list", "same", "code", "norm", "fit"]
+    of_id = F.row_number().over(Window.partitionBy(*equal, "id").orderBy("row"))
+    of_vector = F.dense_rank().over(Window.partitionBy(*equal).orderBy("id"))
+    codes = stored.select("row", "id", *equal)
+    codes = codes.withColumn("n", of_id).filter(F.col("n") <= k)
+    codes = codes.withColumn("n", of_vector).filter(F.col("n") <= k + 1)
+    return scratch.saved(codes.select("row", "id", "list", "code", "norm", "fit"))
+
+
+def _in_lists(rows: DataFrame, n_lists: int) -> np.ndarray:
+    """Rows in each list; a number for each comes to the driver."""
+    held = np.zeros(n_lists, np.int64)
+    for r in rows.groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+    return held
+
+
+def _asked(
+    scratch: Scratch, stored: DataFrame, shared: Broadcast, dimension: int, probes: int
+) -> DataFrame:
+    """query (its row), q_id, q, list and place, from 0, of each list that a query looks into."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _ = shared.value
+        lists, _ = shared.value
         for batch in batches:
             if batch.num_rows:
-                order = np.argsort(_squares(_matrix(batch.column(1), dimension), centres), 1)
-                lists = order[:, :probes].astype(np.int32)
-                arrays = [batch.column(0), batch.column(1), pa.array(list(lists), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "v", "lists"])
-
-    asked = (
-        coded.filter("asks")
-        .select("id", "v")
-        .mapInArrow(probe, f"id bigint, v {of_v}, lists array<int>")
-        .select("id", "v", F.explode("lists").alias("list"))
-    )
-    asked = saved(asked)
-    asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+                near = lists.nearest(_matrix(batch.column("q"), dimension), probes)
+                arrays = [*batch.columns, pa.array(list(near), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query", "q_id", "q", "lists"])
 
-    def blocks(counts: dict[int, int]) -> Column:
-        n = [-(-counts.get(x, 0) // index.block) or 1 for x in range(n_lists)]
-        return F.element_at(F.array(*(F.lit(x) for x in n)), F.col("list") + 1)
+    of_v = stored.schema["v"].dataType.simpleString()
+    asks = stored.filter("asks").select(
+        F.col("row").alias("query"), F.col("id").alias("q_id"), F.col("v").alias("q")
+    )
+    probed = asks.mapInArrow(probe, f"query bigint, q_id bigint, q {of_v}, lists array<int>")
+    return scratch.saved(
+        probed.select("query", "q_id", "q", F.posexplode("lists").alias("place", "list"))
+    )
 
-    def own(counts: dict[int, int]) -> Column:
-        return F.pmod(F.xxhash64("id"), blocks(counts)).cast("int")
 
-    def every(counts: dict[int, int]) -> Column:
-        return F.explode(F.sequence(F.lit(0), blocks(counts) - 1))
+def _bounds_of(
+    codes: DataFrame, held: np.ndarray, shared: Broadcast, dimension: int, k: int, index: Index
+) -> Callable[[DataFrame], DataFrame]:
+    """Of queries with their lists: query, row, low and reach.
 
-    key = ["list", "at", "by"]
-    candidates = coded.select("list", "id", "v", "code", "norm", "fit", own(held).alias("at"), every(asks).alias("by"))
-    questions = asked.select("list", "id", "v", own(asks).alias("by"), every(held).alias("at"))
+    Blocks of a list's codes and of its queries meet in a task. A row is named if its squared
+    distance is at least ``low``, which does not exceed ``least``, a bound that comes with the
+    query, nor reach, the ``k``-th smallest upper bound of the block.
+    """
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query": [], "row": [], "low": [], "reach": []}
         if left.num_rows and right.num_rows:
-            centres, rotation = shared.value
-            ids = left["id"].to_numpy()
-            v = _matrix(left["v"].combine_chunks(), dimension)
+            lists, rotation = shared.value
+            centre = lists.centres[left["list"][0].as_py()]
+            ids, rows = left["id"].to_numpy(), left["row"].to_numpy()
             bits = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             norms, fit = left["norm"].to_numpy(), left["fit"].to_numpy()
-            names = right["id"].to_numpy()
-            asked_v = _matrix(right["v"].combine_chunks(), dimension)
-            centre = centres[left["list"][0].as_py()]
-            for lo in range(0, len(names), 256):
-                q, q_ids = asked_v[lo : lo + 256], names[lo : lo + 256]
-                gap = np.sqrt(((q - centre) ** 2).sum(1))
-                unit = (q - centre) @ rotation / np.where(gap > 0, gap, 1)[:, None]
+            names, q_ids = right["query"].to_numpy(), right["q_id"].to_numpy()
+            least = right["least"].to_numpy()
+            away = _matrix(right["q"].combine_chunks(), dimension) - centre
+            last = min(k, len(ids)) - 1
+            for s in _slices(len(names), len(ids)):
+                gap = np.sqrt((away[s] ** 2).sum(1))
+                unit = away[s] @ rotation / np.where(gap > 0, gap, 1)[:, None]
                 product, error = estimate(bits, fit, unit, index.deviations)
                 scale = 2 * norms[:, None] * gap[None]
                 middle = norms[:, None] ** 2 + gap[None] ** 2 - scale * product
                 low, high = middle - scale * error[:, None], middle + scale * error[:, None]
-                same = ids[:, None] == q_ids[None]
+                same = ids[:, None] == q_ids[s][None]
                 high[same] = np.inf
-                worst = np.partition(high, min(k, len(ids)) - 1, axis=0)[min(k, len(ids)) - 1]
-                slack = 1e-9 * (1 + np.abs(worst))
-                wanted = (low <= np.where(np.isfinite(worst), worst + slack, np.inf)[None]) & ~same
-                for j in range(len(q)):
-                    at = np.flatnonzero(wanted[:, j])
-                    exact = np.sqrt(((v[at] - q[j]) ** 2).sum(1))
-                    best = np.lexsort((ids[at], exact))[:k]
-                    out["query_id"] += [int(q_ids[j])] * len(best)
-                    out["vec_id"] += ids[at][best].tolist()
-                    out["score"] += exact[best].tolist()
-        return pa.Table.from_pandas(
-            pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}),
-            preserve_index=False,
+                reach = np.partition(high, last, axis=0)[last]
+                if len(ids) < k:
+                    reach[:] = np.inf
+                reach += 1e-9 * (1 + reach)
+                at, of = np.nonzero((low <= np.minimum(reach, least[s])[None]) & ~same)
+                out["query"].append(names[s][of])
+                out["row"].append(rows[at])
+                out["low"].append(low[at, of])
+                out["reach"].append(reach[of])
+        kinds = {"query": np.int64, "row": np.int64, "low": np.float64, "reach": np.float64}
+        return pa.table({c: np.concatenate([np.empty(0, t), *out[c]]) for c, t in kinds.items()})
+
+    def blocks(counts: np.ndarray, most: int) -> Column:
+        return F.element_at(F.lit(np.maximum(1, -(-counts // most)).astype(np.int32)), F.col("list") + 1)
+
+    def own(row: str, n: Column) -> Column:
+        return F.pmod(F.xxhash64(row), n).cast("int")
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    def bounds(asked: DataFrame) -> DataFrame:
+        of_codes, of_queries = blocks(held, index.codes), blocks(_in_lists(asked, len(held)), index.block)
+        key = ["list", "at", "by"]
+        left = codes.select("*", own("row", of_codes).alias("at"), every(of_queries).alias("by"))
+        right = asked.select("*", own("query", of_queries).alias("by"), every(of_codes).alias("at"))
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+            compare, "query bigint, row bigint, low double, reach double"
         )
 
-    found = candidates.groupBy(*key).cogroup(questions.groupBy(*key)).applyInArrow(
-        compare, "query_id bigint, vec_id bigint, score double"
+    return bounds
+
+
+def _compared(stored: DataFrame, pairs: DataFrame, dimension: int, k: int) -> DataFrame:
+    """The ``k`` nearest of each query among ``pairs`` of query and row, by the vectors themselves."""
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                gap = _matrix(batch.column("v"), dimension) - _matrix(batch.column("q"), dimension)
+                score = pa.array(np.sqrt((gap**2).sum(1)))
+                names = ["query_id", "vec_id", "score"]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], score], names=names)
+
+    queries = stored.filter("asks").select(
+        F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")
+    )
+    both = pairs.join(stored.select("row", F.col("id").alias("vec_id"), "v"), "row").join(queries, "query")
+    scored = both.select("query_id", "vec_id", "v", "q").mapInArrow(
+        distances, "query_id bigint, vec_id bigint, score double"
     )
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

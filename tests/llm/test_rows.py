@@ -431,7 +431,7 @@ def test_neighbours_and_recall(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet")
     vectors = {r["vec_id"]: r["embedding"] for r in rows.collect()}
     asked = [i for i in vectors if i % 10 == 0]
-    small = rotated_codes.Index(block=64)
+    small = rotated_codes.Index(block=64, codes=64)
     found = rotated_codes.nearest(rows, F.pmod("vec_id", F.lit(10)) == 0, index=small).collect()
     want = brute_nearest(vectors, asked, 10)
     got = defaultdict(list)
@@ -485,6 +485,60 @@ def test_a_repeated_vector_comes_once_into_the_sample(spark, monkeypatch):
     assert sizes == [201] and len(found) == 20
 
 
+def clustered(n: int) -> list:
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 3
+    return [(k, (centres[k % 40] + rng.normal(size=16)).tolist()) for k in range(n)]
+
+
+def test_vectors_that_are_fetched_do_not_grow_with_the_table(spark, monkeypatch):
+    """Recall at two sizes; a fourfold table has fewer than twice the pairs for each query."""
+    fetched, compared = [], rotated_codes._compared
+    monkeypatch.setattr(
+        rotated_codes, "_compared", lambda stored, pairs, *rest: fetched.append(pairs.count()) or compared(stored, pairs, *rest)
+    )
+    for n in (3000, 12000):
+        rows = clustered(n)
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+        v = np.array([x for _, x in rows])
+        found = defaultdict(set)
+        for r in rotated_codes.nearest(frame, F.col("vec_id") < 100).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        hits = 0
+        for q in range(100):
+            gap = ((v - v[q]) ** 2).sum(1)
+            gap[q] = np.inf
+            hits += len(found[q] & set(np.argsort(gap)[:10].tolist()))
+        assert hits >= 950, (n, hits)
+    assert fetched[1] < 2 * fetched[0] < 2 * 100 * 3000 / 4, fetched
+
+
+def test_many_lists_lie_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(rotated_codes, "ONE_CELL", 4)
+    v = np.array([x for _, x in clustered(2000)])
+    lists = rotated_codes.Lists.fitted(v, 36, 7)
+    assert len(lists.centres) == lists.begin[-1] and 6 <= len(lists.centres) <= 36
+    of = lists.of(v)
+    near = lists.nearest(v, 3)
+    assert (of == near[:, 0]).mean() > 0.8 and near.shape == (2000, 3)
+    assert rotated_codes._probes(v, lists, 10, 0.985) < len(lists.centres)
+
+
+def test_of_equal_vectors_the_smallest_ids_are_found(spark):
+    """A third of all rows are one vector, some of them with one id; other columns may clash."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=4).tolist(), k) for k in range(400)]
+    rows += [(k, [1.0, 2.0, 3.0, 4.0], k) for k in range(1000, 1180)] + [(1003, [1.0, 2.0, 3.0, 4.0], 0)] * 20
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, list int").repartition(4)
+    found = rotated_codes.nearest(frame, F.col("vec_id").isin(1000, 1001, 1179), k=5).collect()
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[1000] == [(x, 0.0) for x in (1001, 1002, 1003, 1003, 1003)]
+    assert got[1001] == [(x, 0.0) for x in (1000, 1002, 1003, 1003, 1003)]
+    assert got[1179] == [(x, 0.0) for x in (1000, 1001, 1002, 1003, 1003)]
+
+
 def test_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(1)
     v, q = rng.normal(size=(400, 64)), rng.normal(size=(20, 64))
