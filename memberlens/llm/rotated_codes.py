@@ -3,10 +3,10 @@
 Vectors are dealt to lists by their nearest centroid. A vector's residual is rotated by a
 random orthogonal matrix and keeps one bit for each dimension, its norm, and its inner
 product with its own code; from these the inner product with any query is estimated, with a
-bound on the error. Codes and original vectors are stored apart, and only codes meet the
-queries: first those of a query's nearest list, whose k-th smallest upper bound is then what
-the other lists must come below. Vectors whose lower bound of the distance does not exceed a
-query's k-th smallest upper bound are fetched and compared by their original components.
+bound on the error. First only codes meet the queries: those of a query's nearest list, then
+those of its other lists, which must come below the k-th smallest upper bound so far. Blocks
+of a list that hold a vector whose lower bound does not exceed it are then read with their
+original vectors, and the vectors that the bounds leave are compared by their components.
 
 Centroids, and how many lists a query looks into, are fitted on a sample. There are about half
 the square root of the rows lists, and eight vectors of the sample for each; ``fit_bytes`` bounds
@@ -37,7 +37,7 @@ class Index:
     recall: float = 0.985
     #: Queries, and codes, that meet in one task, at most.
     block: int = 4096
-    codes: int = 1 << 16
+    codes: int = 1 << 14
     #: Error bounds hold in all but a few of a thousand cases.
     deviations: float = 3.0
     seed: int = 7
@@ -219,18 +219,23 @@ def nearest(
         # However a query lies, the lists it looks into hold k other rows, if there are as many.
         probes = max(probes, int(np.searchsorted(np.cumsum(np.sort(held)), k + 1)) + 1)
         asked = _asked(scratch, stored, shared, dimension, min(probes, len(held)))
-        bounds = _bounds_of(codes, held, shared, dimension, k, index)
+        meet = _Meeting(shared, held, dimension, k, index)
 
-        def reach(of: DataFrame) -> DataFrame:
+        def least(of: DataFrame) -> DataFrame:
             return of.groupBy("query").agg(F.min("reach").alias("least"))
 
         nowhere = F.lit(float("inf"))
-        first = scratch.saved(bounds(asked.filter("place = 0").withColumn("least", nowhere)))
-        further = asked.filter("place > 0").join(reach(first), "query", "left")
-        further = bounds(further.withColumn("least", F.coalesce("least", nowhere)))
+        first = scratch.saved(meet.bounds(codes, asked.filter("place = 0").withColumn("least", nowhere)))
+        further = asked.filter("place > 0").join(least(first), "query", "left")
+        further = meet.bounds(codes, further.withColumn("least", F.coalesce("least", nowhere)))
         bounded = scratch.saved(first.unionByName(further))
-        pairs = bounded.join(reach(bounded), "query").filter("low <= least")
-        return saved(_compared(stored, pairs.select("query", "row"), dimension, k))
+        open_ = bounded.join(least(bounded), "query").filter("low <= least")
+        open_ = open_.select("query", "list", "at", "least")
+        whole = stored.drop("asks", "same")
+        if held.sum() < stored.count():
+            whole = codes.join(stored.select("row", "v"), "row")
+        asking = scratch.saved(asked.join(open_, ["query", "list"]).drop("place"))
+        return saved(meet.ranked(whole, asking))
     finally:
         scratch.remove()
 
@@ -320,88 +325,112 @@ def _asked(
     )
 
 
-def _bounds_of(
-    codes: DataFrame, held: np.ndarray, shared: Broadcast, dimension: int, k: int, index: Index
-) -> Callable[[DataFrame], DataFrame]:
-    """Of queries with their lists: query, row, low and reach.
+@dataclass(frozen=True)
+class _Meeting:
+    """Blocks of a list's codes and blocks of the queries that look into it meet in tasks."""
 
-    Blocks of a list's codes and of its queries meet in a task. A row is named if its squared
-    distance is at least ``low``, which does not exceed ``least``, a bound that comes with the
-    query, nor reach, the ``k``-th smallest upper bound of the block.
-    """
+    shared: Broadcast
+    #: Codes in each list.
+    held: np.ndarray
+    dimension: int
+    k: int
+    index: Index
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "row": [], "low": [], "reach": []}
-        if left.num_rows and right.num_rows:
-            lists, rotation = shared.value
-            centre = lists.centres[left["list"][0].as_py()]
-            ids, rows = left["id"].to_numpy(), left["row"].to_numpy()
-            bits = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            norms, fit = left["norm"].to_numpy(), left["fit"].to_numpy()
-            names, q_ids = right["query"].to_numpy(), right["q_id"].to_numpy()
-            least = right["least"].to_numpy()
-            away = _matrix(right["q"].combine_chunks(), dimension) - centre
-            last = min(k, len(ids)) - 1
-            for s in _slices(len(names), len(ids)):
-                gap = np.sqrt((away[s] ** 2).sum(1))
-                unit = away[s] @ rotation / np.where(gap > 0, gap, 1)[:, None]
-                product, error = estimate(bits, fit, unit, index.deviations)
-                scale = 2 * norms[:, None] * gap[None]
-                middle = norms[:, None] ** 2 + gap[None] ** 2 - scale * product
-                low, high = middle - scale * error[:, None], middle + scale * error[:, None]
-                same = ids[:, None] == q_ids[s][None]
-                high[same] = np.inf
-                reach = np.partition(high, last, axis=0)[last]
-                if len(ids) < k:
-                    reach[:] = np.inf
-                reach += 1e-9 * (1 + reach)
-                at, of = np.nonzero((low <= np.minimum(reach, least[s])[None]) & ~same)
-                out["query"].append(names[s][of])
-                out["row"].append(rows[at])
-                out["low"].append(low[at, of])
-                out["reach"].append(reach[of])
-        kinds = {"query": np.int64, "row": np.int64, "low": np.float64, "reach": np.float64}
-        return pa.table({c: np.concatenate([np.empty(0, t), *out[c]]) for c, t in kinds.items()})
-
-    def blocks(counts: np.ndarray, most: int) -> Column:
-        return F.element_at(F.lit(np.maximum(1, -(-counts // most)).astype(np.int32)), F.col("list") + 1)
-
-    def own(row: str, n: Column) -> Column:
-        return F.pmod(F.xxhash64(row), n).cast("int")
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    def bounds(asked: DataFrame) -> DataFrame:
-        of_codes, of_queries = blocks(held, index.codes), blocks(_in_lists(asked, len(held)), index.block)
-        key = ["list", "at", "by"]
-        left = codes.select("*", own("row", of_codes).alias("at"), every(of_queries).alias("by"))
-        right = asked.select("*", own("query", of_queries).alias("by"), every(of_codes).alias("at"))
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-            compare, "query bigint, row bigint, low double, reach double"
-        )
+    def _blocks(self, counts: np.ndarray, most: int) -> Column:
+        n = np.maximum(1, -(-counts // most)).astype(np.int32)
+        return F.element_at(F.lit(n), F.col("list") + 1)
 
-    return bounds
+    def _together(
+        self, codes: DataFrame, asked: DataFrame, work: Callable[..., pa.Table], columns: str
+    ) -> DataFrame:
+        """``asked`` has a column at if it names blocks; else it asks all of a list's."""
 
+        def own(row: str, n: Column) -> Column:
+            return F.pmod(F.xxhash64(row), n).cast("int")
 
-def _compared(stored: DataFrame, pairs: DataFrame, dimension: int, k: int) -> DataFrame:
-    """The ``k`` nearest of each query among ``pairs`` of query and row, by the vectors themselves."""
+        def every(n: Column) -> Column:
+            return F.explode(F.sequence(F.lit(0), n - 1))
 
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                gap = _matrix(batch.column("v"), dimension) - _matrix(batch.column("q"), dimension)
-                score = pa.array(np.sqrt((gap**2).sum(1)))
-                names = ["query_id", "vec_id", "score"]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], score], names=names)
-
-    queries = stored.filter("asks").select(
-        F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q")
-    )
-    both = pairs.join(stored.select("row", F.col("id").alias("vec_id"), "v"), "row").join(queries, "query")
-    scored = both.select("query_id", "vec_id", "v", "q").mapInArrow(
-        distances, "query_id bigint, vec_id bigint, score double"
-    )
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        of_codes = self._blocks(self.held, self.index.codes)
+        of_queries = self._blocks(_in_lists(asked, len(self.held)), self.index.block)
+        key = ["list", "at", "by"]
+        left = codes.select("*", own("row", of_codes).alias("at"), every(of_queries).alias("by"))
+        right = asked.select("*", own("query", of_queries).alias("by"))
+        if "at" not in right.columns:
+            right = right.select("*", every(of_codes).alias("at"))
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, columns)
+
+    def _estimated(
+        self, left: pa.Table, right: pa.Table
+    ) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For some queries at a time: which, lower bounds, ``reach`` and what to exclude.
+
+        ``reach`` is the k-th smallest upper bound, or infinity where there are not k.
+        """
+        lists, rotation = self.shared.value
+        centre = lists.centres[left["list"][0].as_py()]
+        ids, q_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
+        bits = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        norms, fit = left["norm"].to_numpy(), left["fit"].to_numpy()
+        away = _matrix(right["q"].combine_chunks(), self.dimension) - centre
+        for s in _slices(len(q_ids), len(ids)):
+            gap = np.sqrt((away[s] ** 2).sum(1))
+            unit = away[s] @ rotation / np.where(gap > 0, gap, 1)[:, None]
+            product, error = estimate(bits, fit, unit, self.index.deviations)
+            scale = 2 * norms[:, None] * gap[None]
+            middle = norms[:, None] ** 2 + gap[None] ** 2 - scale * product
+            low, high = middle - scale * error[:, None], middle + scale * error[:, None]
+            same = ids[:, None] == q_ids[s][None]
+            low[same] = high[same] = np.inf
+            reach = np.full(len(gap), np.inf)
+            if len(ids) >= self.k:
+                reach = np.partition(high, self.k - 1, axis=0)[self.k - 1]
+            yield s, low, reach + 1e-9 * (1 + reach), same
+
+    def bounds(self, codes: DataFrame, asked: DataFrame) -> DataFrame:
+        """query, list, at, low and reach of each block that may hold one of the nearest.
+
+        low is the smallest lower bound of a squared distance, reach the k-th smallest upper
+        bound; ``asked`` brings ``least``, what low must not exceed.
+        """
+
+        def work(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = [np.empty((0, 3))]
+            if left.num_rows and right.num_rows:
+                least = right["least"].to_numpy()
+                for s, low, reach, _ in self._estimated(left, right):
+                    lowest = low.min(0)
+                    at = np.flatnonzero((lowest <= np.minimum(reach, least[s])) & np.isfinite(lowest))
+                    found.append(np.stack([at + s.start, lowest[at], reach[at]], 1))
+            at, low, reach = np.concatenate(found).T
+            queries = right.take(pa.array(at.astype(np.int64))).select(["query", "list"])
+            block = left["at"][0].as_py() if left.num_rows else 0
+            columns = [*queries.columns, pa.array(np.full(len(at), block, np.int32)), pa.array(low), pa.array(reach)]
+            return pa.table(columns, names=["query", "list", "at", "low", "reach"])
+
+        return self._together(codes, asked, work, "query bigint, list int, at int, low double, reach double")
+
+    def ranked(self, whole: DataFrame, asked: DataFrame) -> DataFrame:
+        """The k nearest, from codes with their vectors and queries with the blocks they ask."""
+
+        def work(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = {"query_id": [np.empty(0, np.int64)], "vec_id": [np.empty(0, np.int64)], "score": [np.empty(0)]}
+            if left.num_rows and right.num_rows:
+                ids, q_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
+                v, q = (_matrix(c.combine_chunks(), self.dimension) for c in (left["v"], right["q"]))
+                least = right["least"].to_numpy()
+                for s, low, reach, same in self._estimated(left, right):
+                    wanted = (low <= np.minimum(reach, least[s])[None]) & ~same
+                    for j in range(wanted.shape[1]):
+                        at = np.flatnonzero(wanted[:, j])
+                        exact = np.sqrt(((v[at] - q[s.start + j]) ** 2).sum(1))
+                        best = np.lexsort((ids[at], exact))[: self.k]
+                        out["query_id"].append(np.full(len(best), q_ids[s.start + j]))
+                        out["vec_id"].append(ids[at][best])
+                        out["score"].append(exact[best])
+            return pa.table({c: np.concatenate(parts) for c, parts in out.items()})
+
+        found = self._together(whole, asked, work, "query_id bigint, vec_id bigint, score double")
+        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= self.k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
