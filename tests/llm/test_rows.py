@@ -539,6 +539,14 @@ def test_of_equal_vectors_the_smallest_ids_are_found(spark):
     assert got[1179] == [(x, 0.0) for x in (1000, 1001, 1002, 1003, 1003)]
 
 
+def test_neighbours_without_queries_or_rows(spark):
+    frame = spark.createDataFrame(clustered(50), "vec_id bigint, embedding array<double>")
+    assert rotated_codes.nearest(frame, F.lit(None).cast("boolean")).collect() == []
+    assert rotated_codes.nearest(frame.filter("false"), F.lit(True)).collect() == []
+    one = rotated_codes.nearest(frame.filter("vec_id < 2"), F.lit(True), k=3)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in one.collect()) == [(0, 1, 1), (1, 1, 0)]
+
+
 def test_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(1)
     v, q = rng.normal(size=(400, 64)), rng.normal(size=(20, 64))
