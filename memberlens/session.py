@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from math import ceil
 
@@ -15,7 +16,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+ADVISED_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
+#: Shuffled bytes that adaptive execution may merge into one task. They are compressed: order lines take
+#: 25 to 35 times as much in the hash tables of a task that merges equal ones and adds them up.
+TASK_BYTES = 16 << 20
 
 #: Bytes of input for each shuffle partition, where the size of the input is given.
 PARTITION_BYTES = 128 << 20
@@ -41,19 +46,28 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder and folder.rstrip("/")
 
 
+def _bytes(size: str) -> int:
+    """A size as settings spell it: ``67108864b``, ``64MB``, ``8m`` or plain bytes."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def configure(
     spark: SparkSession, time_zone: str = "UTC", input_bytes: int | None = None
 ) -> SparkSession:
     """Apply the runtime settings, for good, to a session that already exists.
 
     ``time_zone`` decides the calendar day of epoch-second events. Memory and broadcast
-    limits stay as the session has them. With ``input_bytes``, the size of the largest
+    limits stay as the session has them; partitions are merged up to :data:`TASK_BYTES`, or up to less
+    if the session says so, for the memory of a task. With ``input_bytes``, the size of the largest
     input, shuffles begin with a partition for each 128 MB of it, which adaptive execution
     merges where they turn out small; else with as many as the session says.
     """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     spark.conf.set("spark.sql.session.timeZone", time_zone)
+    if _bytes(spark.conf.get(ADVISED_BYTES)) > TASK_BYTES:
+        spark.conf.set(ADVISED_BYTES, f"{TASK_BYTES}b")
     if input_bytes:
         planned = int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.conf.set(INITIAL_PARTITIONS, str(max(planned, ceil(input_bytes / PARTITION_BYTES))))

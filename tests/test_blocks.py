@@ -13,7 +13,14 @@ from pyspark.sql.types import DecimalType
 from memberlens.functions import keys, labels
 from memberlens.functions.measures import ALL_SALES, MEMBER_SALES, Money, ratio, zero_to_null
 from memberlens.operators import contacts, identity, orders, purchases
-from memberlens.session import INITIAL_PARTITIONS, PARTITION_BYTES, configure, now
+from memberlens.session import (
+    ADVISED_BYTES,
+    INITIAL_PARTITIONS,
+    PARTITION_BYTES,
+    TASK_BYTES,
+    configure,
+    now,
+)
 from memberlens.sources.checks import key_report, lost_keys, repeated_keys
 from memberlens.sources.tables import from_frames
 
@@ -531,6 +538,56 @@ def test_shuffles_follow_the_size_of_the_input(spark):
         spark.conf.unset(INITIAL_PARTITIONS)
 
 
+@pytest.mark.parametrize(
+    ("given", "kept"),
+    [("64MB", f"{TASK_BYTES}b"), ("67108864b", f"{TASK_BYTES}b"), ("1g", f"{TASK_BYTES}b"), ("8m", "8m"),
+     ("16k", "16k"), ("1048576", "1048576")],
+)
+def test_merged_partitions_are_bounded(spark, given, kept):
+    before = spark.conf.get(ADVISED_BYTES)
+    try:
+        spark.conf.set(ADVISED_BYTES, given)
+        configure(spark)
+        assert spark.conf.get(ADVISED_BYTES) == kept
+    finally:
+        spark.conf.set(ADVISED_BYTES, before)
+
+
+def test_no_task_merges_very_many_lines(spark):
+    """About 40 MB of shuffled lines do not meet in one task, though all would fit into 64 MB."""
+    settings = {
+        ADVISED_BYTES: "64MB",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    draw = F.xxhash64("id")
+    lines = spark.range(0, 1_000_000, 1, 4).select(
+        F.lit(DAY).alias("order_paid_date"),
+        F.lit("LCS").alias("source_channel"),
+        F.lit(1).alias("sales_type"),
+        F.lit("normal").alias("order_type"),
+        F.lit("CRM_memberid").alias("type_name"),
+        draw.cast("string").alias("type_value"),
+        F.lit(None).cast("string").alias("crm_member_detail_id"),
+        F.lit(True).alias("if_eff_order_tag"),
+        F.lit(1).cast("bigint").alias("sales_qty"),
+        F.lit(True).alias("is_member_order"),
+        F.pmod(draw, F.lit(10**6)).cast("decimal(18,2)").alias("order_rrp_amt"),
+        F.xxhash64(draw).alias("parent_order_id"),
+    )
+    crm_map = spark.createDataFrame([], "id bigint, member_id bigint")
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        configure(spark)
+        found = orders.distinct_lines(lines, crm_map, AS_OF).rdd
+        assert found.getNumPartitions() > 1
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_the_clock_is_the_sessions(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     try:
