@@ -15,7 +15,7 @@ from memberlens.llm.scratch import Scratch
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Puts the language found into ``lang``; drops null texts and texts without a letter."""
     return language.with_language(docs)
 
 

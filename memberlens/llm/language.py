@@ -272,10 +272,17 @@ def identified(
     return rows.mapInArrow(run, schema)
 
 
-def with_language(docs: DataFrame, fit: Fit = Fit(), **names: str) -> DataFrame:
-    """The documents whose text has a letter, all columns as they were.
+def with_language(docs: DataFrame, fit: Fit = Fit(), *, label: str = "lang", **names: str) -> DataFrame:
+    """The documents whose text has a letter, with the language found as their label.
 
-    These are the ones in which a language is found if there is a label to learn from.
+    All other columns are as they were, and so is the label if there is none to learn from.
     """
-    found = identified(docs, fit, **names)
-    return found.filter(F.col("doc").getField(names.get("text", "text")).rlike(r"\p{L}")).select("doc.*")
+    found = identified(docs, fit, label=label, **names)
+    kept = found.filter(F.col("doc").getField(names.get("text", "text")).rlike(r"\p{L}"))
+    kind = docs.select(F.col(label)).schema[0].dataType
+    # Without a classifier every score is 0; a label may be spelled like the unknown language.
+    learned = (F.col("lang_pred") != UNKNOWN) | (F.col("score") > 0)
+    known = F.when(learned, F.col("lang_pred").cast(kind))
+    own = F.col("doc").getField(label)
+    place = {c: F.col("doc").getField(c).alias(c) for c in docs.columns}
+    return kept.select(*(place | {label: F.coalesce(known, own).alias(label)}).values())

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Public
 
+import corpus_pipeline
 from memberlens.llm import bpe, language, mixing, queries, rotated_codes, sharding, url_model
 from tests.llm.cases import DATA, WORD, docs, documents, none, ordered  # noqa: F401
 
@@ -200,6 +202,37 @@ def test_languages_of_long_texts_are_learned(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, t, _ in rows if k < 300}
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_the_language_found_is_passed_on(spark, kind):
+    """Documents without a label or with a wrong one leave the language stage with the one found."""
+    rng = random.Random(9)
+    letters = {1: "abcdefgh", 2: "мнопрсту"}
+
+    def prose(lang: int) -> str:
+        return " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(40))
+
+    true = {k: k % 2 + 1 for k in range(120)}
+    held = {k for k in true if zlib.crc32(str(k).encode()) % 4 == 2}  # never learned from
+    given = {k: None if k % 5 == 0 else 3 - v if k in held else v for k, v in true.items()}
+    rows = [(k, prose(v), given[k], f"s{k}") for k, v in true.items()] + [(500, "1 2 3", 1, "s"), (501, None, 2, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang int, source string")
+    docs = docs.withColumn("lang", F.col("lang").cast(kind))
+    kept = corpus_pipeline.keep_languages(spark, docs, "")
+    assert kept.dtypes == docs.dtypes
+    assert {r["doc_id"]: int(r["lang"]) for r in kept.collect()} == true
+    later = corpus_pipeline.drop_copies(spark, kept, "")
+    assert {r["doc_id"]: int(r["lang"]) for r in later.collect()} == true
+    same = kept.drop("lang").collect()
+    assert ordered(same) == ordered(r for r in docs.drop("lang").collect() if r["doc_id"] < 500)
+
+
+def test_labels_stay_if_there_is_nothing_to_learn_from(spark):
+    held = spark.range(40).filter(language.held_out("id"))
+    docs = held.select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("aa").alias("lang"))
+    kept = language.with_language(docs).collect()
+    assert len(kept) == held.count() > 0 and {r["lang"] for r in kept} == {"aa"}
+
+
 def test_every_label_and_letter_is_learned(spark):
     rows = []
     for k in range(300):  # languages of three letters that no other has
