@@ -9,6 +9,8 @@ with the same words make a subtree, and a phrase's count is the total of the lea
    stay within the budget; a cell beyond it is split by further bits.
 2. Tasks send the suffixes of some texts, equal ones as one with a count, to their groups, with
    the words that these use: a suffix that a third of the corpus shares is one entry a batch.
+   A batch has a piece for nearly every group, and there are more groups the larger the corpus:
+   so all pieces of a batch are made, and all of a group are read, as slices of shared arrays.
 3. A group sorts its suffixes, which is the subtree in order, and reads off counts. Nodes above
    an extended prefix are in several groups, which add them up.
 
@@ -30,18 +32,27 @@ from pyspark.sql import functions as F
 
 from memberlens.llm.scratch import Scratch
 from memberlens.llm.tokens import Tokens, bytes_of
-from memberlens.llm.words import chunks, mix, plain, planes, unplanes
+from memberlens.llm.words import chunks, hashed, mix, plain
 
 GAPS = bytes_of((0x20, 0x20), (0x09, 0x09))
 BREAKS = bytes_of((0x0A, 0x0D)) | np.isin(np.arange(256), list(b".,;:!?"))
+SPACE = 0x20
 #: Words of a suffix, and so of the longest phrase.
 DEPTH = 4
 #: Bytes of text that are split at a time, and words that are counted, or whose suffixes are merged, before they are sent.
 TEXT_BYTES = 1 << 20
 COUNTED_WORDS = 1 << 20
-HELD_WORDS = 1 << 18
+HELD_WORDS = 1 << 20
+#: Bytes of text that weigh as much as a word there, where words are long.
+WORD_BYTES = 16
+#: Bytes from which on words are hashed one by one.
+LONG_WORD = 64
 #: Prefixes whose counts a task holds before it sends them.
 HELD_PREFIXES = 1 << 18
+#: Suffixes that are sent at a time.
+SENT_TOGETHER = 1 << 18
+#: Suffixes of a piece at most: their words, four each at most, are numbers of 16 bits.
+PIECE = 1 << 14
 #: Cells whose sizes the driver deals into groups.
 CELL_BITS = 12
 #: Phrases that a task ranks in the first of two rounds, about.
@@ -69,17 +80,21 @@ Batch = tuple[str, pa.StringArray, np.ndarray, np.ndarray]
 
 
 def _read(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Batch]:
-    """lang, distinct words, the number of each word in turn, and whether it opens a piece, of about ``most`` words."""
+    """lang, distinct words, the number of each word in turn, and whether it opens a piece.
+
+    About ``most`` words are held; when there are more, the language that has most of them goes.
+    """
     held: dict[str, list] = {}
-    size = 0
+    sizes: dict[str, int] = {}
 
-    def flush() -> Iterator[Batch]:
-        for lang in list(held):
-            parts = held.pop(lang)
-            coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
-            if len(coded):
-                yield lang, coded.dictionary, coded.indices.to_numpy(), np.concatenate([o for _, o in parts])
+    def taken(lang: str) -> Iterator[Batch]:
+        parts = held.pop(lang)
+        del sizes[lang]
+        coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+        if len(coded):
+            yield lang, coded.dictionary, coded.indices.to_numpy(), np.concatenate([o for _, o in parts])
 
+    size = 0
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         codes = langs.indices.to_numpy()
@@ -88,37 +103,59 @@ def _read(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Batch]:
                 for _, texts in chunks(part, TEXT_BYTES):
                     found = Tokens(texts, GAPS, BREAKS)
                     held.setdefault(lang, []).append((found.words, found.opens))
-                    size += len(found.words)
-                    if size > most:
-                        yield from flush()
-                        size = 0
-    yield from flush()
+                    own = max(len(found.words), found.words.nbytes // WORD_BYTES)
+                    sizes[lang] = sizes.get(lang, 0) + own
+                    size += own
+                    while size > most:
+                        largest = max(sizes, key=sizes.get)
+                        size -= sizes[largest]
+                        yield from taken(largest)
+    for lang in list(held):
+        yield from taken(lang)
 
 
 def _hashes(lang: str, words: pa.StringArray) -> np.ndarray:
     """A hash of each word in its language; the first stands for no word."""
     seed = xxhash.xxh3_64_intdigest(lang)
-    found = (xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist())
-    return np.concatenate([[np.uint64(seed)], np.fromiter(found, np.uint64, len(words))])
+    ends, data = _buffers(words)
+    size = np.diff(ends)
+    long = np.flatnonzero(size >= LONG_WORD)
+    size[long] = 0
+    found = mix(hashed(data, ends[:-1], size) ^ np.uint64(seed))
+    found[long] = [xxhash.xxh3_64_intdigest(data[ends[k] : ends[k + 1]].tobytes(), seed) for k in long.tolist()]
+    return np.concatenate([[np.uint64(seed)], found])
+
+
+def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where values of an array of strings or binaries end, and the first begins, in their bytes."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    body = values.buffers()[2]
+    data = np.frombuffer(body, np.uint8) if body else np.zeros(0, np.uint8)
+    return ends - ends[0], data[ends[0] : ends[-1]]
 
 
 def _distinct(w: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns of ``w`` in order of their first row, second row and so on, with their counts added up."""
     if not w.shape[1]:
         return w, np.zeros(0, np.int64)
-    bits = int(w.max()).bit_length()
 
-    def packed(rows: np.ndarray, bits: int) -> np.ndarray:
+    def packed(rows: np.ndarray, bits: list[int]) -> np.ndarray:
         key = rows[0].astype(np.uint64)
-        for row in rows[1:]:
-            key <<= np.uint64(bits)
+        for row, own in zip(rows[1:], bits[1:], strict=True):
+            key <<= np.uint64(own)
             key |= row.astype(np.uint64)
         return key
 
-    if DEPTH * bits <= 64:
-        key = packed(w, bits)
+    def widths(rows: np.ndarray) -> list[int]:
+        return [int(row.max()).bit_length() for row in rows]
+
+    low = w
+    if sum(widths(w)) > 64:
+        low = np.stack([(np.cumsum(np.bincount(row) > 0) - 1)[row] for row in w])
+    if sum(widths(low)) <= 64:
+        key = packed(low, widths(low))
     else:
-        key = packed(np.stack([np.unique(packed(w[k : k + 2], 32), return_inverse=True)[1] for k in (0, 2)]), 32)
+        key = packed(np.stack([np.unique(packed(low[k : k + 2], [32, 32]), return_inverse=True)[1] for k in (0, 2)]), [32, 32])
     order = np.argsort(key)
     key = key[order]
     fresh = np.ones(len(key), bool)
@@ -268,23 +305,50 @@ def partitioned(texts: DataFrame, words: DataFrame, mining: Mining, scratch: Scr
     return Directory(hot, first, parts.astype(np.uint64))
 
 
-def _packed(words: pa.StringArray) -> bytes:
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-    lengths = np.diff(ends).astype(np.uint32)
-    return len(words).to_bytes(4, "little") + planes(lengths) + bytes(words.buffers()[2][int(ends[0]) : int(ends[-1])])
+KINDS = {"group": pa.int64(), "lang": pa.string()} | dict.fromkeys(["words", *(f"w{j}" for j in range(DEPTH)), "leaves"], pa.binary())
+SENT = "group bigint, lang string, words binary, " + "".join(f"w{j} binary, " for j in range(DEPTH)) + "leaves binary"
 
 
-def _unpacked(blob: bytes) -> pa.StringArray:
-    n = int.from_bytes(blob[:4], "little")
-    ends = np.concatenate([[0], np.cumsum(unplanes(blob[4 : 4 + 4 * n], np.uint32))]).astype(np.int32)
-    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(blob[4 + 4 * n :]))
+def _pieces(lang: str, spelled: pa.StringArray, group: np.ndarray, w: np.ndarray, leaves: np.ndarray) -> pa.RecordBatch:
+    """The suffixes, which are in order of their groups, a row for each group and ``PIECE`` suffixes.
 
-
-SENT = "group bigint, lang string, depth int, words binary, body binary"
+    ``words`` are those of the piece, each with a space after it; ``w0`` to ``w3`` say which of
+    them the suffixes have. ``spelled`` has them all, with the space.
+    """
+    n = len(group)
+    run = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    at = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
+    first = np.flatnonzero(at % PIECE == 0)
+    piece = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    # In order of the suffixes, so that numbers of new words go up from piece to piece.
+    coded = pa.array((piece * len(spelled) + w).T.ravel()).dictionary_encode()
+    numbers = coded.indices.to_numpy().reshape(n, DEPTH)
+    begin = numbers[first, 0]
+    numbers = (numbers - begin[piece][:, None]).astype(np.uint16)
+    used = spelled.take(pa.array(coded.dictionary.to_numpy() % len(spelled)))
+    ends, data = _buffers(used)
+
+    def sliced(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        values = np.ascontiguousarray(values)
+        bounds = pa.py_buffer((bounds * values.itemsize).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(values)])
+
+    bounds = np.append(first, n)
+    columns = {
+        "group": pa.array(group[first]),
+        "lang": pa.array([lang]).take(pa.array(np.zeros(len(first), np.int64))),
+        "words": sliced(data, ends[np.append(begin, len(used))]),
+        **{f"w{j}": sliced(numbers[:, j], bounds) for j in range(DEPTH)},
+        "leaves": sliced(leaves, bounds),
+    }
+    return pa.RecordBatch.from_arrays([columns[c] for c in KINDS], names=list(KINDS))
 
 
 def _sent(texts: DataFrame, directory) -> DataFrame:
-    """The suffixes of each batch by group, language and length of the prefix."""
+    """The suffixes of each batch in pieces by group and language.
+
+    ``leaves`` has four times the count of each suffix, and one less than the words of its prefix.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Directory = directory.value
@@ -293,58 +357,52 @@ def _sent(texts: DataFrame, directory) -> DataFrame:
             if not w.shape[1]:
                 continue
             found, depth = _prefixes(w, _hashes(lang, words), known.hot)
-            place = known.group(found) * DEPTH + depth - 1
-            order = np.argsort(place, kind="stable")
-            place, table = place[order], np.concatenate([w, counts[None].astype(np.int32)])[:, order]
-            cuts = np.flatnonzero(np.diff(place)) + 1
-            out = {"group": [], "depth": [], "words": [], "body": []}
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
-                part = table[:, lo:hi]
-                used = np.zeros(len(words) + 1, np.int32)
-                used[part[:DEPTH]] = 1
-                used[0] = 0
-                local = np.cumsum(used, dtype=np.int32) * used
-                part[:DEPTH] = local[part[:DEPTH]]
-                group, depth_less_1 = divmod(int(place[lo]), DEPTH)
-                out["group"].append(group)
-                out["depth"].append(depth_less_1 + 1)
-                out["words"].append(_packed(words.take(pa.array(np.flatnonzero(used) - 1))))
-                out["body"].append(planes(part.astype(np.uint32).ravel()))
-            kinds = {"group": pa.int64(), "depth": pa.int32(), "words": pa.binary(), "body": pa.binary()}
-            columns = {c: pa.array(v, kinds[c]) for c, v in out.items()}
-            columns["lang"] = pa.array([lang] * len(out["group"]))
-            names = ["group", "lang", "depth", "words", "body"]
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+            leaves = (counts * DEPTH + depth - 1).astype(np.uint32)
+            group = known.group(found)
+            order = np.argsort(group, kind="stable")
+            spelled = pc.binary_join_element_wise(pa.concat_arrays([pa.array([""]), words]), "", chr(SPACE))
+            for lo in range(0, len(order), SENT_TOGETHER):
+                at = order[lo : lo + SENT_TOGETHER]
+                yield _pieces(lang, spelled, group[at], w[:, at], leaves[at])
 
     return texts.mapInArrow(send, SENT)
 
 
-def _subtree(rows: list[tuple[bytes, bytes]]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
-    """The words, distinct suffixes in order, and their counts, of what several batches sent."""
-    names = [_unpacked(words) for words, _ in rows]
-    coded = pa.concat_arrays(names).dictionary_encode()
-    # The last number is 0, which stands for no word.
-    numbers = np.append(coded.indices.to_numpy() + 1, 0).astype(np.int32)
-    parts, sums, base = [], [], 0
-    for own, (_, body) in zip(names, rows, strict=True):
-        columns = unplanes(body, np.uint32).reshape(DEPTH + 1, -1)
-        local = columns[:DEPTH].astype(np.int32)
-        parts.append(numbers[np.where(local > 0, base + local - 1, -1)])
-        sums.append(columns[DEPTH])
-        base += len(own)
-    return coded.dictionary, *_distinct(np.concatenate(parts, 1), np.concatenate(sums).astype(np.int64))
+def _subtree(pieces: pa.Table) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, suffixes, counts and numbers of words of the prefixes, of what several batches sent."""
+
+    def joined(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all pieces, and how many each has."""
+        found = [_buffers(chunk.cast(pa.binary())) for chunk in pieces[name].chunks if len(chunk)]
+        sizes = np.concatenate([np.diff(ends) for ends, _ in found])
+        return np.concatenate([data for _, data in found]).view(kind), sizes // np.dtype(kind).itemsize
+
+    text, sizes = joined("words", np.uint8)
+    spaces = np.flatnonzero(text == SPACE)
+    ends = np.append(0, spaces - np.arange(len(spaces))).astype(np.int32)
+    spelled = pa.StringArray.from_buffers(len(spaces), pa.py_buffer(ends), pa.py_buffer(text[text != SPACE]))
+    # The empty word comes first: it has the number 0, which stands for no word.
+    coded = pa.concat_arrays([pa.array([""]), spelled]).dictionary_encode()
+    numbers = coded.indices.to_numpy()[1:]
+    leaves, sizes_too = joined("leaves", np.uint32)
+    begin = np.repeat(np.searchsorted(spaces, np.cumsum(sizes) - sizes), sizes_too)
+    w = np.stack([numbers[begin + joined(f"w{j}", np.uint16)[0]] for j in range(DEPTH)])
+    return coded.dictionary, w, (leaves // DEPTH).astype(np.int64), leaves % DEPTH + 1
 
 
 def _phrases(sent: DataFrame, least: int) -> DataFrame:
     """lang, phrase and f of all phrases of two words and more that occur ``least`` times."""
 
+    def subtrees(table: pa.Table) -> Iterator[tuple]:
+        for lang in pc.unique(table["lang"]):
+            words, w, counts, depths = _subtree(table.filter(pc.equal(table["lang"], lang)))
+            for depth in np.unique(depths).tolist():
+                own = depths == depth
+                yield lang.as_py(), depth, words, *_distinct(w[:, own], counts[own])
+
     def build(table: pa.Table) -> pa.Table:
         found = [pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "f": pa.array([], pa.int64())})]
-        kinds: dict[tuple, list] = {}
-        for lang, depth, words, body in zip(*(table[c].to_pylist() for c in ("lang", "depth", "words", "body")), strict=True):
-            kinds.setdefault((lang, depth), []).append((words, body))
-        for (lang, depth), rows in kinds.items():
-            words, w, counts = _subtree(rows)
+        for lang, depth, words, w, counts in subtrees(table):
             fresh = np.zeros(w.shape[1], bool)
             fresh[0] = True
             fresh[1:] |= w[0][1:] != w[0][:-1]
@@ -355,7 +413,7 @@ def _phrases(sent: DataFrame, least: int) -> DataFrame:
                 # Above an extended prefix, other groups have leaves of the node too.
                 good = (w[k - 1][nodes] > 0) & ((totals >= least) | (k < depth))
                 at, totals = nodes[good], totals[good]
-                names = [words.take(pa.array(w[j][at] - 1)) for j in range(k)]
+                names = [words.take(pa.array(w[j][at])) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*names, " ")
                 own = pa.array([lang]).take(pa.array(np.zeros(len(at), np.int64)))
                 found.append(pa.table({"lang": own, "phrase": phrase, "f": pa.array(totals, pa.int64())}))

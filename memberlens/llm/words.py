@@ -43,6 +43,25 @@ def runs(values: np.ndarray, n: int, left: int = LEFT) -> np.ndarray:
     return found
 
 
+def hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: int = LEFT) -> np.ndarray:
+    """Hashes of runs of bytes, each from its length and its bytes."""
+    left, size = np.uint64(left), size.copy()
+    found = mix(size.astype(np.uint64) * left)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    rest, at = np.arange(len(size)), start
+    while len(rest):
+        part = np.ascontiguousarray(eights[at]).view(np.uint64).ravel()
+        short = size[rest] < 8
+        keep = (np.uint64(1) << (8 * size[rest][short]).astype(np.uint64)) - np.uint64(1)
+        part[short] &= keep
+        found[rest] = mix(found[rest] * left + part)
+        more = size[rest] > 8
+        rest, at = rest[more], at[more] + 8
+        size[rest] -= 8
+    return found
+
+
 class Words:
     """The words of some texts: ``start`` and ``end`` in ``data``, ``hash`` and ``hash_too``, ``text`` (its number)."""
 
@@ -77,22 +96,7 @@ class Words:
         return self._hashes(LEFT_TOO)
 
     def _hashes(self, left: int) -> np.ndarray:
-        """Of every word, from its length and its bytes."""
-        left, size = np.uint64(left), self.end - self.start
-        found = mix(size.astype(np.uint64) * left)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eights = np.lib.stride_tricks.as_strided(padded, (len(self.data) + 1, 8), (1, 1))
-        rest, at = np.arange(len(size)), self.start
-        while len(rest):
-            part = np.ascontiguousarray(eights[at]).view(np.uint64).ravel()
-            short = size[rest] < 8
-            keep = (np.uint64(1) << (8 * size[rest][short]).astype(np.uint64)) - np.uint64(1)
-            part[short] &= keep
-            found[rest] = mix(found[rest] * left + part)
-            more = size[rest] > 8
-            rest, at = rest[more], at[more] + 8
-            size[rest] -= 8
-        return found
+        return hashed(self.data, self.start, self.end - self.start, left)
 
     def ngrams(self, n: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First words of all n-grams inside one text, and their hashes."""

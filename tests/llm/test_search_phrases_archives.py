@@ -6,8 +6,14 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +205,93 @@ def test_many_words_do_not_fit_one_number():
     assert found.tolist() == [[1, 1, 70000], [2, 2, 3], [0, 5, 0], [0, 0, 0]] and counts.tolist() == [3, 4, 3]
 
 
+def sent_here(rows, groups, hot=()):
+    """What the task that sends suffixes makes of the rows, with cells dealt into so many groups."""
+    first, parts = np.arange(1 << collocations.CELL_BITS) % groups, np.ones(1 << collocations.CELL_BITS, np.uint64)
+    directory = SimpleNamespace(value=collocations.Directory(list(hot), first, parts))
+    send = collocations._sent(SimpleNamespace(mapInArrow=lambda task, kinds: task), directory)
+    texts, langs = (pa.array(c) for c in zip(*rows, strict=True))
+    return pa.Table.from_batches(send(iter([pa.RecordBatch.from_arrays([langs, texts], names=["lang", "body"])]))).combine_chunks()
+
+
+def build_here(least):
+    """The function that a group's pieces go to."""
+    sent = MagicMock()
+    collocations._phrases(sent, least)
+    return sent.groupBy.return_value.applyInArrow.call_args[0][0]
+
+
+def calls(run):
+    """How many functions are called, and the result."""
+    n = 0
+
+    def seen(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        found = run()
+    finally:
+        sys.setprofile(None)
+    return n, found
+
+
+def some_texts(long):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)] + ["x" * k for k in long]
+    return [(" ".join(rng.choices(words, k=30)) + ". the same line", rng.choice(["aa", "bb"])) for _ in range(60)]
+
+
+def test_sending_does_not_cost_more_the_more_groups_there_are(spark, monkeypatch):
+    rows = some_texts([])
+    few, table = calls(lambda: sent_here(rows, 1))
+    many, spread = calls(lambda: sent_here(rows, 4096))
+    assert table.num_rows == 2 and spread.num_rows > 1000
+    assert many < few + 50
+    build = build_here(2)
+    few, _ = calls(lambda: build(table))
+    monkeypatch.setattr(collocations, "HELD_WORDS", 20)
+    monkeypatch.setattr(collocations, "TEXT_BYTES", 20)
+    pieces = sent_here(rows, 1)
+    many, _ = calls(lambda: build(pieces))
+    assert pieces.num_rows == 60
+    assert many < few + 50
+
+
+def test_pieces_have_all_phrases(spark, monkeypatch):
+    """Also of long words, in small pieces, and below prefixes that are extended."""
+    monkeypatch.setattr(collocations, "PIECE", 3)
+    monkeypatch.setattr(collocations, "SENT_TOGETHER", 50)
+    rows = some_texts([63, 64, 65, 300]) + [("a b a b c " * 9, "aa")]
+    wanted = Counter()
+    for text, lang in rows:
+        for words in (piece.split() for piece in text.split(".")):
+            wanted.update((lang, " ".join(words[s : s + k])) for k in (2, 3, 4) for s in range(len(words) - k + 1))
+    hashes = [collocations._hashes(lang, pa.array(["the", "x" * 64, "a"]))[1:] for lang in ("aa", "bb")]
+    assert len(set(np.concatenate(hashes).tolist())) == 6
+    build = build_here(1)
+    for hot in [], [np.sort(np.concatenate(hashes))]:
+        table, found = sent_here(rows, 7, hot), Counter()
+        assert max(len(w.as_py()) for w in table["leaves"]) <= 12
+        for group in table["group"].unique():
+            for row in build(table.filter(pc.equal(table["group"], group))).to_pylist():
+                found[row["lang"], row["phrase"]] += row["f"]
+        assert found == wanted
+
+
+def test_pieces_with_as_many_words_as_fit():
+    n = collocations.PIECE + 3
+    spelled = pa.array([" ", *(f"w{k} " for k in range(4 * n))])
+    w = np.arange(1, 4 * n + 1).reshape(n, 4).T.copy()
+    w[3, collocations.PIECE :: 2] = 0
+    batch = collocations._pieces("aa", spelled, np.zeros(n, np.int64), w, np.full(n, 7, np.uint32))
+    assert batch.num_rows == 2
+    words, found, counts, depths = collocations._subtree(pa.Table.from_batches([batch]))
+    assert set(counts) == {1} and set(depths) == {4}
+    assert [words[k].as_py() for k in found.T.ravel().tolist()] == [spelled[k].as_py()[:-1] for k in w.T.ravel().tolist()]
+
+
 def test_phrases_of_nothing(none, docs):
     found = collocations.mined(none)
     assert found.collect() == []
